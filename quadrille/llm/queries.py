@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quadrille.llm.bpe import round_trip
 from quadrille.llm.minhash import MinMax, near_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +43,8 @@ reach(x, y) AS (SELECT a, a FROM both_ways UNION SELECT r.x, e.b FROM reach r JO
 least_id AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(y, d.doc_id) AS component_id, coalesce(y, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id ON x = d.doc_id"""
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
