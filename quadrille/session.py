@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +21,17 @@ def local_session(app: str = "quadrille", cores: int | str = "*", shuffle: int =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, for clusters where it is not installed; once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_quadrille_shipped", False):
+        return
+    context._quadrille_shipped = True
+    root = Path(__file__).parent
+    at = Path(tempfile.mkdtemp(prefix="quadrille-ship-")) / "quadrille-package.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(at))
