@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.bpe import round_trip
 from quadrille.llm.minhash import MinMax, near_components
+from quadrille.llm.mixing import mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +49,23 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id ON x = d.doc_
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.selectExpr("doc_id", "size", "source_size", "target", "size * times AS taken")
+
+
+ORACLES["op10_mixing"] = rf"""
+WITH {WORDS},
+sized AS (SELECT d.doc_id, source, len(w)::BIGINT AS size, md5('7:' || coalesce(d.doc_id::VARCHAR, '')) AS r FROM documents d JOIN words x ON x.doc_id = d.doc_id),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM sized GROUP BY source),
+levels AS (SELECT *, source_size * 2.0::DOUBLE AS lim, ((SELECT sum(source_size) FROM sources) * 1.5::DOUBLE
+    - coalesce(sum(source_size * 2.0::DOUBLE) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM sources),
+goals AS (SELECT source, source_size, n, CASE WHEN lev * weight > lim THEN lim ELSE (SELECT max(lev) FROM levels WHERE lev * weight <= lim) * weight END AS target FROM levels),
+placed AS (SELECT s.*, g.source_size, g.target, g.target / g.source_size AS ratio, ('0x' || substr(r, 1, 8))::BIGINT % greatest(1, ceil(n / 4096.0))::BIGINT AS bucket
+    FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY source, bucket ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER (PARTITION BY source, bucket) AS whole FROM placed)
+SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE least(2, floor(ratio + 1e-12) + (upto - size / 2.0::DOUBLE <= whole * greatest(ratio - floor(ratio + 1e-12), 0))::INT) * size END)::BIGINT AS taken FROM summed"""
