@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quadrille.llm.bpe import round_trip
 from quadrille.llm.minhash import MinMax, near_components
 from quadrille.llm.mixing import mix
+from quadrille.llm.pii import find as find_pii
+from quadrille.llm.pii import listed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +72,15 @@ placed AS (SELECT s.*, g.source_size, g.target, g.target / g.source_size AS rati
     FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
 summed AS (SELECT *, sum(size) OVER (PARTITION BY source, bucket ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER (PARTITION BY source, bucket) AS whole FROM placed)
 SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE least(2, floor(ratio + 1e-12) + (upto - size / 2.0::DOUBLE <= whole * greatest(ratio - floor(ratio + 1e-12), 0))::INT) * size END)::BIGINT AS taken FROM summed"""
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def of(kind: str):
+        return F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    count = [of(kind) for kind in ("email", "ip", "card", "phone")]
+    base = F.filter("pii", lambda x: x["kind_no"] < 4)
+    return found.select("doc_id", *count, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
