@@ -13,6 +13,7 @@ from quadrille.llm.minhash import MinMax, near_components
 from quadrille.llm.mixing import mix
 from quadrille.llm.pii import find as find_pii
 from quadrille.llm.pii import listed
+from quadrille.llm.quality import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +85,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = [of(kind) for kind in ("email", "ip", "card", "phone")]
     base = F.filter("pii", lambda x: x["kind_no"] < 4)
     return found.select("doc_id", *count, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")

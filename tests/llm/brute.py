@@ -31,3 +31,15 @@ def pii(text):
 
 def digest(parts):
     return hashlib.sha256(",".join(parts).encode()).hexdigest()
+
+
+def quality(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    w = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    at = {}
+    for i in range(len(w) - 7):
+        at.setdefault(tuple(w[i : i + 8]), []).append(i)
+    covered = {j for x in at.values() if len(x) > 1 for i in x for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
