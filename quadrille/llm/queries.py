@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.bpe import round_trip
 from quadrille.llm.minhash import MinMax, near_components
 from quadrille.llm.mixing import mix
+from quadrille.llm.ogg import describe, to_media
 from quadrille.llm.pii import find as find_pii
 from quadrille.llm.pii import listed
 from quadrille.llm.quality import judge
@@ -99,3 +100,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
     return featured(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe(to_media(table(spark, sf_dir, "documents")))
