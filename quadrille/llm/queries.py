@@ -15,6 +15,7 @@ from quadrille.llm.ogg import describe, to_media
 from quadrille.llm.pii import find as find_pii
 from quadrille.llm.pii import listed
 from quadrille.llm.quality import judge
+from quadrille.llm.substrings import remove_repeats
 from quadrille.llm.toxicity import featured, held_out, learn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +106,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(to_media(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_substring_dedup"] = rf"""
+WITH {WORDS},
+placed AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS s FROM placed),
+early AS (SELECT s, min(doc_id) AS lo FROM windows GROUP BY s),
+hit AS (SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS i FROM windows JOIN early USING (s) WHERE lo < doc_id),
+gone AS (SELECT doc_id, list(i) AS at FROM hit GROUP BY doc_id),
+numbered AS (SELECT doc_id, w, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words),
+kept AS (SELECT n.doc_id, string_agg(x, ' ' ORDER BY n.i) AS t, count(*) AS n FROM numbered n LEFT JOIN hit h ON h.doc_id = n.doc_id AND h.i = n.i WHERE h.i IS NULL GROUP BY n.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
