@@ -17,6 +17,7 @@ from quadrille.llm.pii import listed
 from quadrille.llm.quality import judge
 from quadrille.llm.substrings import remove_repeats
 from quadrille.llm.toxicity import featured, held_out, learn
+from quadrille.llm.warc import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +124,16 @@ gone AS (SELECT doc_id, list(i) AS at FROM hit GROUP BY doc_id),
 numbered AS (SELECT doc_id, w, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words),
 kept AS (SELECT n.doc_id, string_agg(x, ' ' ORDER BY n.i) AS t, count(*) AS n FROM numbered n LEFT JOIN hit h ON h.doc_id = n.doc_id AND h.i = n.i WHERE h.i IS NULL GROUP BY n.doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+
+@query
+def op1_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive(table(spark, sf_dir, "pages"))
+    return found.select(F.col("source").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op1_warc_convert"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT d, max(page_id) AS r FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest, CASE WHEN r IS NULL OR r = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r <> page_id THEN r END AS refers_to
+FROM p LEFT JOIN g ON g.d = p.d AND n >= 1000"""
