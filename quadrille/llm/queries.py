@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.llm.backoff import score
 from quadrille.llm.bpe import round_trip
 from quadrille.llm.minhash import MinMax, near_components
 from quadrille.llm.mixing import mix
@@ -137,3 +138,26 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS
 g AS (SELECT d, max(page_id) AS r FROM p WHERE n >= 1000 GROUP BY d)
 SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest, CASE WHEN r IS NULL OR r = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r <> page_id THEN r END AS refers_to
 FROM p LEFT JOIN g ON g.d = p.d AND n >= 1000"""
+
+
+@query
+def op6_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("mean", 6).alias("mean"))
+
+
+ORACLES["op6_lm_backoff"] = rf"""
+WITH {WORDS},
+placed AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words),
+pairs AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM placed),
+one AS (SELECT x, count(*) AS c FROM placed GROUP BY x),
+one_own AS (SELECT doc_id, x, count(*) AS c FROM placed GROUP BY ALL),
+two AS (SELECT v, x, count(*) AS c FROM pairs WHERE v IS NOT NULL GROUP BY ALL),
+two_own AS (SELECT doc_id, v, x, count(*) AS c FROM pairs WHERE v IS NOT NULL GROUP BY ALL),
+counted AS (SELECT p.doc_id, p.n, p.v, a.c - b.c AS cx, c.c - d.c AS cv, e.c - f.c AS cvx FROM pairs p
+    JOIN one a ON a.x = p.x JOIN one_own b ON b.doc_id = p.doc_id AND b.x = p.x
+    LEFT JOIN one c ON c.x = p.v LEFT JOIN one_own d ON d.doc_id = p.doc_id AND d.x = p.v
+    LEFT JOIN two e ON e.v = p.v AND e.x = p.x LEFT JOIN two_own f ON f.doc_id = p.doc_id AND f.v = p.v AND f.x = p.x),
+valued AS (SELECT doc_id, n, CASE WHEN v IS NOT NULL AND cvx > 0 THEN log10(cvx / greatest(cv, cvx)::DOUBLE)
+    ELSE (CASE WHEN v IS NULL THEN 0 ELSE log10(0.4) END) + log10(greatest(cx, 1) / ((SELECT count(*) FROM placed) - n + 1)::DOUBLE) END AS s FROM counted)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, round(sum(s) / len(d.w), 6) AS mean FROM words d LEFT JOIN valued v ON v.doc_id = d.doc_id GROUP BY d.doc_id, d.w"""
