@@ -82,7 +82,7 @@ def status(members: DataFrame, elected: DataFrame, marked: DataFrame) -> DataFra
     return out.select("root", F.when(F.col("marks") == 1, F.col("explicit")).otherwise(F.coalesce("first", "explicit")).alias("canonical"), kind.alias("status"), "size")
 
 
-def same_as(edges: DataFrame, triples: DataFrame, members: DataFrame, predicate: str) -> DataFrame:
+def same_as(triples: DataFrame, members: DataFrame, predicate: str) -> DataFrame:
     """What identity adds to triples (s, p, o): all pairs of a cluster, and every member's other statements for all members.
 
     The closed form of symmetry, transitivity and property propagation; only
