@@ -18,8 +18,9 @@ the choice of hubs. With the default bands, a pair exactly at the threshold of
 Rows: null text counts as empty; a document without words has an empty set and
 is its own component; documents with fewer words than a shingle have one
 shingle, the whole sequence; equal texts are linked; rows that repeat a doc_id
-are one document; a null doc_id is a document of its own kind, all of them
-together, reported with a null component. Other columns are ignored.
+are one document; rows with a null doc_id are one document that comes last, so
+their component is null unless they are linked to others. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from quadrille.llm.kernels import as_long, mix, slices, text_bytes, windows, wor
 from quadrille.plans.components import connected_components
 from quadrille.plans.lineage import cut
 
-NULL_ID = -(1 << 63)
+NULL_ID = (1 << 63) - 1  # after all others
 
 
 @dataclass(frozen=True)
@@ -222,6 +223,7 @@ def _link(docs: DataFrame, member: DataFrame, p: MinMax) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
-    """docs with one row of each component: of its smallest doc_id, one of equal rows."""
+    """docs with one row of each component: that of its smallest doc_id; rows with a null doc_id stay, once for each text."""
     kept = near_components(docs, p).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    once = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").withColumn("_near_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    return once.dropDuplicates(["doc_id", "_near_text"]).drop("_near_text")
