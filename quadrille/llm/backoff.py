@@ -131,7 +131,7 @@ def score(docs: DataFrame, order: int = 2, discount: float = 0.4, slice_chars: i
             open_ &= ~found
             value[here & open_] += math.log10(discount)
         value[open_] += np.log10(np.maximum(others[0][open_], 1) / rest[open_])
-        sums = np.bincount(doc, value, len(sizes))
+        sums = np.bincount(doc, value, len(sizes)).astype(float)
         mean = pa.array(np.divide(sums, sizes, where=sizes > 0, out=np.zeros(len(sizes))), mask=sizes == 0)
         return pa.table([left.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(sums), mean], ["doc_id", "n_words", "score", "mean"])
 
