@@ -181,11 +181,18 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_term
         labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most most_rows pairs of numbers
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
     beginnings = F.transform(F.filter("w", lambda x: F.length(x) > stem), lambda x: F.concat(F.substring(x, 1, stem), F.lit("*")))
-    # One key for near copies: the least hash of their longer words.
-    key = F.array_min(F.transform(F.filter("w", lambda x: F.length(x) > 5), lambda x: F.xxhash64(x)))
-    worded = rows.select("_toxic", found.alias("w")).select("_toxic", F.coalesce(key, F.hash("w").cast("long")).alias("key"), F.array_union("w", F.array_distinct(beginnings)).alias("w"))
+
+    def pairs(h: Column, by: int) -> Column:
+        n = F.greatest(F.size(h) - by, F.lit(0))
+        return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(1 + by), n), lambda x, y: F.xxhash64(x, y))
+
+    # One key for near copies: the least hash of three or four words in a row.
+    parsed = rows.select("_toxic", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("all"))
+    hashed = parsed.select("_toxic", "all", F.transform("all", lambda x: F.xxhash64(x)).alias("h"))
+    chained = hashed.select("_toxic", "all", pairs(F.col("h"), 1).alias("h")).select("_toxic", "all", pairs(F.col("h"), 2).alias("h"))
+    distinct = F.array_distinct(F.filter("all", lambda x: F.length(x) > 2))
+    worded = chained.select("_toxic", F.coalesce(F.array_min("h"), F.hash("all").cast("long")).alias("key"), distinct.alias("w")).select("_toxic", "key", F.array_union("w", F.array_distinct(beginnings)).alias("w"))
     # Each document brings its key under an empty term too: the totals.
     each = worded.select("_toxic", "key", F.explode(F.concat(F.array(F.lit("")), "w")).alias("term")).groupBy("term", "key").agg(F.max("_toxic").alias("_toxic"))
     tally = each.groupBy("term").agg(F.sum("_toxic").alias("pos"), F.count("*").alias("n")).where("pos >= 4")
