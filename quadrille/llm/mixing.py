@@ -49,26 +49,28 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, bucket: int = 4096) -> DataFrame:
     """docs with size, source_size, target and times: how often the mix takes the document.
 
+    Columns of docs with these names are replaced.
     bucket: about how many documents one bucket of a source has.
     """
-    sized = docs.withColumn("size", word_count("text")).withColumn("_text", F.xxhash64("text"))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
+    docs = docs.drop("size", "source_size", "target", "times")
+    sized = docs.withColumn("size", word_count("text")).withColumn("_mix_text", F.xxhash64("text"))
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_mix_n"))
     goals = targets(sources.select("source", "source_size"), weights, share, cap)
-    plan = goals.join(sources.select(F.col("source").alias("_s"), "_n"), F.col("source").eqNullSafe(F.col("_s"))).select(
-        F.col("source").alias("_s"), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("_n") / bucket)).alias("_buckets")
+    plan = goals.join(sources.select(F.col("source").alias("_mix_s"), "_mix_n"), F.col("source").eqNullSafe(F.col("_mix_s"))).select(
+        F.col("source").alias("_mix_s"), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("_mix_n") / bucket)).alias("_mix_buckets")
     )
     rank = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = sized.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_rank", rank)
-    keyed = keyed.withColumn("_bucket", F.conv(F.substring("_rank", 1, 8), 16, 10).cast("long") % F.col("_buckets"))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_rank", "_text").rowsBetween(Window.unboundedPreceding, 0)
+    keyed = sized.join(plan, F.col("source").eqNullSafe(F.col("_mix_s"))).withColumn("_mix_rank", rank)
+    keyed = keyed.withColumn("_mix_bucket", F.conv(F.substring("_mix_rank", 1, 8), 16, 10).cast("long") % F.col("_mix_buckets"))
+    inside = Window.partitionBy("source", "_mix_bucket").orderBy("_mix_rank", "_mix_text").rowsBetween(Window.unboundedPreceding, 0)
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     whole = F.floor(ratio + 1e-12)
-    part = F.sum("size").over(Window.partitionBy("source", "_bucket")) * F.greatest(ratio - whole, F.lit(0.0))
+    part = F.sum("size").over(Window.partitionBy("source", "_mix_bucket")) * F.greatest(ratio - whole, F.lit(0.0))
     once = (F.sum("size").over(inside) - F.col("size") / 2 <= part) & (F.col("size") > 0)
     times = F.when(F.col("size") > 0, whole + once.cast("long")).otherwise(0)
-    return keyed.withColumn("times", F.least(times, F.lit(int(cap))).cast("long")).drop("_s", "_n", "_buckets", "_bucket", "_rank", "_text")
+    return keyed.withColumn("times", F.least(times, F.lit(int(cap))).cast("long")).drop("_mix_s", "_mix_n", "_mix_buckets", "_mix_bucket", "_mix_rank", "_mix_text")
 
 
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of the mix: each document as often as it is taken."""
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("times", F.lit(1))))).where("_copy <= times").select(*columns)
+    return mixed.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.greatest("times", F.lit(1))))).where("_mix_copy <= times").select(*columns)

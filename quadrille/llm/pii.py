@@ -10,7 +10,8 @@ and a lookbehind that lets a match begin only where a run begins or the last
 match ended; both keep long runs linear.
 
 Rows: a null text counts as empty and has no spans; matches of one kind do not
-overlap, those of different kinds may; other columns pass through.
+overlap, those of different kinds may; other columns pass through, but one
+named pii is replaced.
 """
 
 from __future__ import annotations
@@ -103,12 +104,13 @@ def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, reach: int = 40) -> D
 
     reach: how many code points on either side count as nearby.
     """
+    docs = docs.drop("pii")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     parts = [_spans(text, no, k, reach) for no, k in enumerate(kinds)]
-    hit = docs.select("*", *(hits.alias(f"_hit{i}") for i, (hits, _, _) in enumerate(parts)))
-    some = [F.size(f"_hit{i}") > 0 for i in range(len(parts))]
-    cut = hit.select("*", *(F.when(some[i], gaps).alias(f"_gap{i}") for i, (_, gaps, _) in enumerate(parts)))
-    spans = F.concat(*(place(F.col(f"_hit{i}"), F.col(f"_gap{i}")) for i, (_, _, place) in enumerate(parts)))
+    hit = docs.select("*", *(hits.alias(f"_pii_hit{i}") for i, (hits, _, _) in enumerate(parts)))
+    some = [F.size(f"_pii_hit{i}") > 0 for i in range(len(parts))]
+    cut = hit.select("*", *(F.when(some[i], gaps).alias(f"_pii_gap{i}") for i, (_, gaps, _) in enumerate(parts)))
+    spans = F.concat(*(place(F.col(f"_pii_hit{i}"), F.col(f"_pii_gap{i}")) for i, (_, _, place) in enumerate(parts)))
     return cut.withColumn("pii", F.sort_array(spans)).select(*docs.columns, "pii")
 
 
