@@ -121,8 +121,9 @@ class Scorer:
             kind, term, weight = self.classed(word)
             state, out, factor = self.machine.step(state, kind)
             if out in (INSULT_, THREAT_):
-                seen.add(term)
                 total += weight * factor
+                if factor >= 0.5:  # weakened mentions are not told apart
+                    seen.add(term)
         return total
 
     def features(self, text: str | None) -> tuple[float, float, float]:
@@ -204,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_term
     # Evidence against the base rate, in nats, by the divergence of the two rates.
     evidence = F.col("n") * (q * F.log(q / rate) + (1 - q) * F.log((1 - q) / (1 - rate)))
     odds = F.log((F.col("pos") + 0.5) / (F.col("n") - F.col("pos") + 0.5)) - math.log(rate / (1 - rate))
-    good = tally.where("term <> ''").withColumn("odds", odds).withColumn("evidence", evidence).where((q > 2 * rate) & (F.col("evidence") > 13) & (F.col("odds") > 1.6))
+    good = tally.where("term <> ''").withColumn("odds", odds).withColumn("evidence", evidence).where((q > 2 * rate) & (F.col("evidence") > 14) & (F.col("odds") > 2.7))
     terms = {r.term: float(r.odds) for r in good.orderBy(F.desc("evidence"), "term").limit(most_terms).collect()}
     model = Model(terms, (), max(terms.values(), default=1.0) / 2)
     sample = featured(rows.select("doc_id", "text", "_toxic"), model, "_toxic int").select("best", "total", "distinct", "_toxic").collect()  # at most most_rows
