@@ -149,7 +149,8 @@ class QuadStore(Engine):
     @classmethod
     def open(cls, spark: SparkSession, path: str, version: str | None = None, **more) -> QuadStore:
         version = version or spark.read.text(f"{path}/current").first().value
-        return cls(spark.read.parquet(f"{path}/{version}/quads"), spark.read.parquet(f"{path}/{version}/notes"), **more)
+        schema = ", ".join(f"{c} string" for c in NOTE)
+        return cls(spark.read.schema(", ".join(f"{c} string" for c in QUAD)).parquet(f"{path}/{version}/quads"), spark.read.schema(schema).parquet(f"{path}/{version}/notes"), **more)
 
 
 def point(spark: SparkSession, path: str, version: str) -> None:
