@@ -80,8 +80,8 @@ def score(docs: DataFrame, order: int = 2, discount: float = 0.4, slice_chars: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("words")).first()
     slices = max(8, -(-total[0] // slice_chars))
-    bits = max(4, min(15, math.ceil(math.log2(max(1, total[1] / part_words)))))
-    n_all, shift = int(total[1]), np.uint64(64 - bits - 48)
+    bits = max(4, min(26, math.ceil(math.log2(max(1, total[1] / part_words)))))
+    n_all, shift = int(total[1]), np.uint64(max(0, 16 - bits))
     dealt = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)))
 
     def ask(table: pa.Table) -> pa.Table:
