@@ -220,7 +220,7 @@ kg("kg_label_search", "SELECT ?c ?name { GRAPH ex:people { ?c ex:name ?name FILT
 kg("kg_property_path", "SELECT ?n { GRAPH ex:geo { <http://example.org/data/Region/1> (ex:partOf|^ex:partOf)+ ?n } }", f"SELECT '{DATA}Nation/' || n_nationkey AS n FROM nation WHERE n_regionkey = 1 UNION ALL SELECT '{DATA}Region/1'")
 kg("kg_path_sequence", "SELECT ?c ?name { GRAPH ex:people { ?c ex:inNation ?n } GRAPH ex:geo { ?n ex:partOf/ex:name ?name } }", f"SELECT '{DATA}Customer/' || c_custkey AS c, r_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 kg("kg_numeric_filter_bind", "SELECT ?c ?twice { GRAPH ex:people { ?c ex:balance ?b } FILTER(?b > 9000) BIND(?b * 2 AS ?twice) }", f"SELECT '{DATA}Customer/' || c_custkey AS c, c_acctbal * 2 AS twice FROM customer WHERE c_acctbal > 9000")
-kg("kg_ask", "ASK { GRAPH ex:geo { ?n ex:name 'FRANCE' } }", "SELECT EXISTS (SELECT 1 FROM nation WHERE n_name = 'FRANCE') AS ask")
+kg("kg_ask", "ASK { GRAPH ex:geo { ?n ex:name 'NATION_3' } }", "SELECT EXISTS (SELECT 1 FROM nation WHERE n_name = 'NATION_3') AS ask")
 kg("kg_type_tests", "SELECT ?o (isIRI(?o) AS ?i) (STRENDS(STR(?o), '3') AS ?e) { GRAPH ex:geo { <http://example.org/data/Nation/6> ?p ?o } }", f"SELECT '{DATA}Region/' || n_regionkey AS o, true AS i, n_regionkey % 10 = 3 AS e FROM nation WHERE n_nationkey = 6 UNION ALL SELECT n_name, false, n_name LIKE '%3' FROM nation WHERE n_nationkey = 6")
 
 
@@ -426,9 +426,9 @@ sql("sql_nullif_ratio", "SELECT l_returnflag AS f, round(max(l_extendedprice) /
 sql("sql_derived_key_join", "SELECT s_name, c_name FROM supplier JOIN customer ON right(s_name, 6) = right(c_name, 6) AND lpad(CAST(s_suppkey AS STRING), 4, '0') = lpad(CAST(c_custkey AS STRING), 4, '0') LIMIT 100000", "SELECT s_name, c_name FROM supplier JOIN customer ON right(s_name, 6) = right(c_name, 6) AND lpad(s_suppkey::VARCHAR, 4, '0') = lpad(c_custkey::VARCHAR, 4, '0')")
 sql(
     "sql_inline_lookup",
-    "SELECT n.n_name AS nation, v.code, count(*) AS customers FROM (VALUES ('FRANCE', 'FR'), ('GERMANY', 'DE'), ('JAPAN', 'JP')) AS v(name, code) JOIN nation n ON n.n_name = v.name JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2",
+    "SELECT n.n_name AS nation, v.code, count(*) AS customers FROM (VALUES ('NATION_1', 'N1'), ('NATION_7', 'N7'), ('NATION_12', 'N12')) AS v(name, code) JOIN nation n ON n.n_name = v.name JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2",
 )
-sql("sql_like_in_null", "SELECT p_brand AS brand, count(*) AS n FROM part WHERE p_type LIKE '%BRASS%' AND p_size NOT IN (1, 2) AND p_name IS NOT NULL GROUP BY 1")
+sql("sql_like_in_null", "SELECT p_brand AS brand, count(*) AS n FROM part WHERE p_type LIKE '%ECON%' AND p_size NOT IN (1, 2) AND p_name IS NOT NULL GROUP BY 1")
 sql("sql_dirty_cast", "SELECT sum(try_cast(substr(c_mktsegment, 1, 1) AS INT)) AS s, count_if(try_cast(right(c_name, 4) AS INT) > 50) AS n FROM customer", "SELECT sum(try_cast(substr(c_mktsegment, 1, 1) AS INT))::BIGINT AS s, count_if(try_cast(right(c_name, 4) AS INT) > 50)::BIGINT AS n FROM customer")
 
 
