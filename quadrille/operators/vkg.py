@@ -16,10 +16,14 @@ TYPE = RDF + "type"
 
 
 class VirtualGraph(Engine):
-    """Mappings over temp views. subclasses: class to its direct superclasses; rules: heads defined by bodies."""
+    """Mappings over temp views. subclasses: class to its direct superclasses; rules: heads defined by bodies.
 
-    def __init__(self, spark: SparkSession, prefixes: dict[str, str], mappings: list[Mapping], subclasses: dict[str, list[str]] | None = None, rules=()):
+    prepare: called with a source query before its first use, to make its views.
+    """
+
+    def __init__(self, spark: SparkSession, prefixes: dict[str, str], mappings: list[Mapping], subclasses: dict[str, list[str]] | None = None, rules=(), prepare=None):
         super().__init__(spark)
+        self.prepare = prepare
         self.prefixes, self.mappings, self.rules = prefixes, mappings, list(rules)
         self.sources: dict[str, DataFrame] = {}
         self.below: dict[str, set[str]] = {}
@@ -35,6 +39,8 @@ class VirtualGraph(Engine):
 
     def source(self, m: Mapping) -> DataFrame:
         if m.source not in self.sources:
+            if self.prepare:
+                self.prepare(m.source)
             self.sources[m.source] = self.spark.sql(m.source)
         return self.sources[m.source]
 

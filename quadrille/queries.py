@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -78,11 +79,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def virtual(spark: SparkSession, sf_dir: str, rule_text: str = "") -> VirtualGraph:
-    for name in TABLES[:8]:
+def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """Temp views of the tables that a statement names."""
+    for name in set(re.findall(r"\w+", sql)) & set(TABLES):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def virtual(spark: SparkSession, sf_dir: str, rule_text: str = "") -> VirtualGraph:
     prefixes, mappings = parse_mappings(MAPPINGS, UNIQUE)
-    return VirtualGraph(spark, prefixes, mappings, SUBCLASSES, rules.parse_rules(rule_text, prefixes).rules if rule_text else ())
+    found = rules.parse_rules(rule_text, prefixes).rules if rule_text else ()
+    return VirtualGraph(spark, prefixes, mappings, SUBCLASSES, found, lambda sql: views(spark, sf_dir, sql))
 
 
 def query(oracle: str | None = None):
@@ -405,8 +411,7 @@ def bitemporal_asof(spark, sf_dir):
 # -- SQL
 def sql(name: str, text: str, oracle: str | None = None, args: dict | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in TABLES:
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
+        views(spark, sf_dir, text)
         return X.guarded(spark, text, args=args)
 
     run.__name__ = name
