@@ -10,8 +10,8 @@ exactly as often as the edge between them, the path does not branch; such paths
 are compacted, and one node's earliest document is that of all windows inside.
 
 Windows at the ends of compacted paths, and between them, are compared one by
-one by 128-bit hashes with their source coordinates, so the result is exact up
-to collisions of hashes of 96 bits and more. Only windows that hold a repeated
+one by hash, with their source coordinates, so the result is exact up to
+collisions of 64-bit hashes. Only windows whose own least k-mer is a repeated
 node are ever looked at. Hot passages are counted before they are shuffled, and
 joins on them are left to skew handling; rows of one document meet in one task.
 
@@ -43,17 +43,20 @@ def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
     return f(out[: len(out) - (n - width)], out[n - width :]) if width < n else out
 
 
-def nodes(hashes: np.ndarray, ends: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the sparse nodes and their k-mer hashes; ends: where each word's document ends."""
+def nodes(hashes: np.ndarray, ends: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the sparse nodes, their k-mer hashes, and every window's least k-mer (0 over a document's end).
+
+    ends: where each word's document ends.
+    """
     run = length - k + 1
     if len(hashes) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     mers = windows(hashes, k)
     least = _slide(mers, run, np.minimum)
     least[np.arange(len(least)) + length > ends[: len(least)]] = 0  # windows over a document's end
     around = _slide(np.concatenate([np.zeros(run - 1, np.uint64), least, np.zeros(run - 1, np.uint64)]), run, np.maximum)
     at = np.flatnonzero((around[: len(mers)] == mers) & (mers != 0))
-    return at, mers[at]
+    return at, mers[at], least
 
 
 def _parsed(batch: pa.RecordBatch):
@@ -62,28 +65,27 @@ def _parsed(batch: pa.RecordBatch):
 
 
 def _find(docs: DataFrame, k: int, length: int) -> DataFrame:
-    """Every node of every document: h, c (of the k-mer), doc_id, th, pos."""
+    """Every node of every document: h (of the k-mer), doc_id, th, pos."""
 
     def run(batches):
         for batch in slices(batches):
             w, ends = _parsed(batch)
-            at, h = nodes(w.hashes, ends, k, length)
+            at, h, _ = nodes(w.hashes, ends, k, length)
             doc = np.searchsorted(w.first, at, "right") - 1
-            c = (windows(w.hashes, k, salt=2)[at] >> np.uint64(33)).astype(np.int32)
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([as_long(h), pa.array(c), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array((at - w.first[doc]).astype(np.int32))], ["h", "c", "doc_id", "th", "pos"])
+            yield pa.RecordBatch.from_arrays([as_long(h), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array((at - w.first[doc]).astype(np.int32))], ["h", "doc_id", "th", "pos"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "h long, c int, doc_id long, th long, pos int")
+    return docs.where("doc_id is not null").mapInArrow(run, "h long, doc_id long, th int, pos int")
 
 
 def _paths(found: DataFrame, k: int) -> DataFrame:
     """Per document, its repeated nodes in order: pos, earliest document, and whether the path to the next can't branch."""
-    seen = found.groupBy("h", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi")
-    again = cut(found.join(seen, ["h", "c"]), "nodes")
+    seen = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi")
+    again = cut(found.join(seen, "h"), "nodes")
     text = Window.partitionBy("doc_id", "th").orderBy("pos")
-    ahead = again.select("*", *(F.lead(x).over(text).alias(f"{x}2") for x in ("h", "c", "n")), (F.lead("pos").over(text) - F.col("pos")).alias("gap"))
-    edges = ahead.where(f"n = n2 and gap between 1 and {k}").groupBy("h", "c", "h2", "c2", "gap").agg(F.count("*").alias("m"), F.max("n").alias("n")).where("m = n").select("h", "c", "h2", "c2", "gap", F.lit(True).alias("joined"))
-    joined = ahead.join(edges, ["h", "c", "h2", "c2", "gap"], "left")
+    ahead = again.select("*", *(F.lead(x).over(text).alias(f"{x}2") for x in ("h", "n")), (F.lead("pos").over(text) - F.col("pos")).alias("gap"))
+    edges = ahead.where(f"n = n2 and gap between 1 and {k}").groupBy("h", "h2", "gap").agg(F.count("*").alias("m"), F.max("n").alias("n")).where("m = n").select("h", "h2", "gap", F.lit(True).alias("joined"))
+    joined = ahead.join(edges, ["h", "h2", "gap"], "left")
     return joined.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "lo", F.coalesce("joined", F.lit(False)).alias("joined")))).alias("path"))
 
 
@@ -105,9 +107,9 @@ _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def _split(docs: DataFrame, k: int, length: int) -> DataFrame:
     """Finished rows of documents without repeats; for the others the text, what paths cover and the windows to compare."""
-    window = pa.list_(pa.struct([("pos", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
+    window = pa.list_(pa.struct([("pos", pa.int32()), ("a", pa.int64())]))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "th", "text", "spans", "windows"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.int32()), window]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32()), window]
 
     def one(doc, th, text, path):
         if not path:
@@ -115,8 +117,9 @@ def _split(docs: DataFrame, k: int, length: int) -> DataFrame:
         raw = text.encode()
         w = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         n, spans, test, i = len(w.hashes), [], np.zeros(len(w.hashes), bool), 0
-        for p in path:  # window starts that hold this node
-            test[max(0, p["pos"] - (length - k)) : p["pos"] + 1] = True
+        # A window can only be found elsewhere if its own least k-mer is.
+        at, h, least = nodes(w.hashes, np.full(n, n), k, length)
+        test[: len(least)] = np.isin(least, h[np.isin(at, [p["pos"] for p in path])])
         while i < len(path):
             j = i
             while path[j]["joined"] and j + 1 < len(path):
@@ -129,15 +132,15 @@ def _split(docs: DataFrame, k: int, length: int) -> DataFrame:
             i = j + 1
         test[n - length + 1 :] = False
         at = np.flatnonzero(test)
-        x, y = (windows(w.hashes, length, salt=s)[at].view(np.int64).tolist() for s in (3, 4))
-        return doc, n, None, None, th, text, spans, [{"pos": p, "a": u, "b": v} for p, u, v in zip(at.tolist(), x, y, strict=True)]
+        x = windows(w.hashes, length, salt=3)[at].view(np.int64).tolist()
+        return doc, n, None, None, th, text, spans, [{"pos": p, "a": u} for p, u in zip(at.tolist(), x, strict=True)]
 
     def run(batches):
         for batch in slices(batches):
             rows = [one(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "path")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, f"{_OUT}, th long, text string, spans array<int>, windows array<struct<pos:int,a:bigint,b:bigint>>")
+    return docs.mapInArrow(run, f"{_OUT}, th int, text string, spans array<int>, windows array<struct<pos:int,a:bigint>>")
 
 
 def _finish(rows: DataFrame, length: int) -> DataFrame:
@@ -160,12 +163,12 @@ def _finish(rows: DataFrame, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256: the words left, joined by one space."""
     k = length // 2
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.hash("text"))
     paths = _paths(_find(plain, k, length), k)
     state = cut(_split(plain.join(paths, ["doc_id", "th"], "left"), k, length), "repeats")
     some = state.where("windows is not null")
     tests = some.select("doc_id", "th", F.inline("windows"))
-    first = tests.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
-    hits = tests.join(first, ["a", "b"]).where("lo < doc_id").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("hits"))
+    first = tests.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "lo")
+    hits = tests.join(first, "a").where("lo < doc_id").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("hits"))
     done = _finish(some.join(hits, ["doc_id", "th"], "left"), length)
     return state.where("windows is null").select("doc_id", "n_words", "n_removed", "kept_sha256").union(done)
