@@ -464,3 +464,40 @@ def crawl_url_parts(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     u = X.canonical_url(F.col("url"))
     return p.select("page_id", F.regexp_extract(u, r"^[a-z]+://([^/?#]*)", 1).alias("host"), X.url_year(u).alias("year"))
+
+
+kg(
+    "kg_both_directions",
+    "SELECT ?p ?x { GRAPH ex:geo { { <http://example.org/data/Region/2> ?p ?x } UNION { ?x ?p <http://example.org/data/Region/2> } } FILTER(?p != ex:name) }",
+    f"SELECT '{EX}partOf' AS p, '{DATA}Nation/' || n_nationkey AS x FROM nation WHERE n_regionkey = 2",
+)
+kg("kg_order_by_cast", "SELECT ?c { GRAPH ex:people { ?c ex:balance ?b } } ORDER BY DESC(xsd:double(?b)) ?c LIMIT 10", f"SELECT '{DATA}Customer/' || c_custkey AS c FROM customer ORDER BY c_acctbal DESC, 1 LIMIT 10")
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0), n AS (SELECT count(*) AS n FROM c)
+    SELECT * FROM (VALUES ('has'), ('label'), ('slug'), ('type'), ('size')) v(p), LATERAL (SELECT CASE p WHEN 'has' THEN n WHEN 'size' THEN n ELSE n + 1 END AS n FROM n) x"""
+)
+def ingest_statements(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id").distinct()
+    conv = F.col("conv_id").cast("string")
+    none = F.lit(None).cast("string")
+    rows = c.select(
+        F.concat(F.lit(DATA + "Doc/"), conv).alias("document"), F.lit("run1").alias("run"), F.lit("2020-01-01T00:00:00").alias("extracted_at"), F.lit("test").alias("method"), F.lit("2020-01-01T00:00:00").alias("now"),
+        F.array(
+            F.struct(F.concat(F.lit("Conv "), conv).alias("label"), F.lit("Conversation").alias("type"), none.alias("description"), F.array(F.struct(F.lit("size").alias("predicate"), conv.alias("value"))).alias("attributes")),
+            F.struct(F.lit("The User").alias("label"), F.lit("Person").alias("type"), none.alias("description"), F.array().cast("array<struct<predicate:string,value:string>>").alias("attributes")),
+        ).cast(ingest.ENTITIES).alias("entities"),
+        F.array(*(F.struct(F.lit(i).alias("subjectId"), F.lit("has").alias("predicate"), F.lit(1).alias("objectId"), none.alias("objectLiteral"), F.lit(False).alias("objectIsLiteral"), F.lit(0.9).alias("confidence")) for i in (0, 5))).cast(ingest.LINKS).alias("relationships"),
+    )
+    names = spark.createDataFrame([("Person", EX + "Person")], "local string, iri string")
+    quads, _ = ingest.statements(rows, names, EX + "asserted", DATA.rstrip("/"), "talk", EX)
+    return quads.groupBy(F.regexp_extract("p", r"([^#/]*)>$", 1).alias("p")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_NAMES} SELECT n AS size, n - 1 AS edges, count(*) AS clusters FROM (SELECT DISTINCT root, n FROM m WHERE n > 1) GROUP BY 1, 2")
+def norm_summary(spark, sf_dir):
+    edges, members = _same_names(spark, sf_dir)
+    sized = members.groupBy("root").agg(F.count("*").alias("size"))
+    n = edges.join(members, edges["a"] == members["node"]).groupBy("root").agg(F.count("*").alias("edges"))
+    return sized.join(n, "root").groupBy("size", "edges").agg(F.count("*").alias("clusters"))
