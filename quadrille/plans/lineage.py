@@ -51,5 +51,5 @@ def cut(df: DataFrame, kind: str = "t") -> DataFrame:
     """Write df once and return it read back, with its schema and a short lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, kind)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
