@@ -29,6 +29,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_quadrille_shipped", False):
         return
     context._quadrille_shipped = True
+    # Texts are long: batches of fewer rows keep Python workers small.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     root = Path(__file__).parent
     at = Path(tempfile.mkdtemp(prefix="quadrille-ship-")) / "quadrille-package.zip"
     with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
