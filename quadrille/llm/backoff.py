@@ -4,7 +4,9 @@ Documents are dealt into slices by hash. Each slice asks with its distinct
 n-grams and how often it has them; questions are dealt by n-gram hash, so a
 partition holds the whole counts of its n-grams, and each comes once from a
 slice however often it occurs. The answers, joined to the slices again, are
-summed over each document's n-grams. Every document is scored against all
+summed over each document's n-grams. Words and pairs are asked for at once, each
+longer n-gram in a round of its own and only where both n-grams a word shorter
+in it occur elsewhere: any other has a count of 0 without asking. Every document is scored against all
 others: its own occurrences are taken off the counts first, so that text found
 nowhere else backs off.
 
@@ -21,6 +23,7 @@ more on large tables, so counts are exact up to rare collisions.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -55,24 +58,48 @@ def _distinct(h: np.ndarray):
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs."""
+    """Counts in as few bytes each as the largest needs, deflated as most are 1."""
     kind = np.uint8 if x.max(initial=0) < 1 << 8 else np.uint16 if x.max() < 1 << 16 else np.uint32 if x.max() < 1 << 32 else np.uint64
-    return bytes((np.dtype(kind).itemsize,)) + x.astype(kind).tobytes()
+    return bytes((np.dtype(kind).itemsize,)) + zlib.compress(x.astype(kind).tobytes(), 1)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
 
 
 def _six(keys: np.ndarray) -> bytes:
-    """The lower 48 bits of the keys shifted down, six bytes each."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The lower 48 bits of the keys shifted down, in order: their differences as byte planes, the upper two, mostly small, deflated."""
+    planes = np.diff(keys & np.uint64((1 << 48) - 1), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return planes[:4].tobytes() + zlib.compress(planes[4:6].tobytes(), 1)
 
 
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _long(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :4] = np.frombuffer(data, np.uint8, 4 * n).reshape(4, n).T
+    out[:, 4:6] = np.frombuffer(zlib.decompress(data[4 * n :]), np.uint8).reshape(2, n).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _asked(grams, k: int, others, place: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams of order k + 1 that are asked for, 0 elsewhere."""
+    if k < 2:
+        return grams[k]
+    known = others[k - 1] > 0
+    return np.where((place >= k) & known & np.concatenate([[False], known[:-1]]), grams[k], 0).astype(np.uint64)
+
+
+def _others(grams, doc: np.ndarray, place: np.ndarray, right: pa.Table, order: int):
+    """Per order: how often the n-gram that ends at each word occurs in other documents."""
+    told = sorted(zip(right.column("k").to_pylist(), right.column("part").to_pylist(), range(right.num_rows), strict=True))
+    others = []
+    for k in range(order):
+        h = _asked(grams, k, others, place)
+        _, inverse, _ = _distinct(h)
+        sums = [_unpack(right.column("sums")[i].as_py()) for kk, _, i in told if kk == k]
+        whole = np.concatenate(sums)[inverse] if sums else np.zeros(len(h), np.int64)
+        _, same, own = np.unique(mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+        others.append(np.where(h != 0, whole - own[same], 0))
+    return others
 
 
 def score(docs: DataFrame, order: int = 2, discount: float = 0.4, slice_chars: int = 6_000_000, part_words: int = 400_000) -> DataFrame:
@@ -84,17 +111,28 @@ def score(docs: DataFrame, order: int = 2, discount: float = 0.4, slice_chars: i
     n_all, shift = int(total[1]), np.uint64(max(0, 16 - bits))
     dealt = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)))
 
+    def questions(slice_: int, k: int, h: np.ndarray) -> list[dict]:
+        keys, _, counts = _distinct(h)
+        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        edges, out = np.searchsorted(part, np.arange((1 << bits) + 1)), []
+        for p in np.flatnonzero(np.diff(edges)):
+            a, b = edges[p], edges[p + 1]
+            out.append({"part": int(p), "slice": slice_, "k": k, "n": int(b - a), "keys": _six(keys[a:b] >> shift), "counts": _pack(counts[a:b])})
+        return out
+
+    fields = pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
     def ask(table: pa.Table) -> pa.Table:
-        grams, *_ = _grams(table, order)
-        out = []
-        for k, h in enumerate(grams):
-            keys, _, counts = _distinct(h)
-            part = (keys >> np.uint64(64 - bits)).astype(np.int64)
-            edges = np.searchsorted(part, np.arange((1 << bits) + 1))
-            for p in np.flatnonzero(np.diff(edges)):
-                a, b = edges[p], edges[p + 1]
-                out.append({"part": int(p), "slice": table.column("slice")[0].as_py(), "k": k, "keys": _six(keys[a:b] >> shift), "counts": _pack(counts[a:b])})
-        return pa.Table.from_pylist(out, pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("k", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+        grams, *_ = _grams(table, min(order, 2))
+        return pa.Table.from_pylist([x for k, h in enumerate(grams) for x in questions(table.column("slice")[0].as_py(), k, h)], fields)
+
+    def ask_longer(k: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            grams, doc, place, _ = _grams(left, k + 1)
+            h = _asked(grams, k, _others(grams, doc, place, right, k), place)
+            return pa.Table.from_pylist(questions(left.column("slice")[0].as_py(), k, h), fields)
+
+        return run
 
     def answer(table: pa.Table) -> pa.Table:
         out = []
@@ -102,7 +140,7 @@ def score(docs: DataFrame, order: int = 2, discount: float = 0.4, slice_chars: i
             own = table.filter(pa.compute.equal(table.column("k"), k))
             if not own.num_rows:
                 continue
-            keys = [_long(x.as_py()) for x in own.column("keys")]
+            keys = [_long(x.as_py(), n.as_py()) for x, n in zip(own.column("keys"), own.column("n"), strict=True)]
             _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             sums = np.bincount(inverse, np.concatenate([_unpack(x.as_py()) for x in own.column("counts")])).astype(np.int64)[inverse]
             at = 0
@@ -113,15 +151,8 @@ def score(docs: DataFrame, order: int = 2, discount: float = 0.4, slice_chars: i
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         grams, doc, place, sizes = _grams(left, order)
-        told = sorted(zip(right.column("k").to_pylist(), right.column("part").to_pylist(), range(right.num_rows), strict=True))
         value, open_ = np.zeros(len(doc)), np.ones(len(doc), bool)
-        others = []
-        for k, h in enumerate(grams):
-            _, inverse, _ = _distinct(h)
-            sums = [_unpack(right.column("sums")[i].as_py()) for kk, _, i in told if kk == k]
-            whole = np.concatenate(sums)[inverse] if sums else np.zeros(len(h), np.int64)
-            _, same, own = np.unique(mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
-            others.append(np.where(h != 0, whole - own[same], 0))
+        others = _others(grams, doc, place, right, order)
         rest = (n_all - sizes[doc] + 1).astype(float)
         for k in range(order - 1, 0, -1):
             here = open_ & (place >= k)
@@ -135,6 +166,9 @@ def score(docs: DataFrame, order: int = 2, discount: float = 0.4, slice_chars: i
         mean = pa.array(np.divide(sums, sizes, where=sizes > 0, out=np.zeros(len(sizes))), mask=sizes == 0)
         return pa.table([left.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(sums), mean], ["doc_id", "n_words", "score", "mean"])
 
-    asked = dealt.groupBy("slice").applyInArrow(ask, "part int, slice long, k int, keys binary, counts binary")
-    told = asked.groupBy("part").applyInArrow(answer, "slice long, part int, k int, sums binary")
+    asks, tells = "part int, slice long, k int, n int, keys binary, counts binary", "slice long, part int, k int, sums binary"
+    told = dealt.groupBy("slice").applyInArrow(ask, asks).groupBy("part").applyInArrow(answer, tells).repartition("slice")
+    for k in range(2, order):
+        longer = dealt.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(ask_longer(k), asks)
+        told = told.union(longer.groupBy("part").applyInArrow(answer, tells).repartition("slice"))
     return dealt.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(add, "doc_id long, n_words long, score double, mean double")

@@ -140,6 +140,35 @@ SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest, CASE WHEN r I
 FROM p LEFT JOIN g ON g.d = p.d AND n >= 1000"""
 
 
+@query
+def op6_lm_backoff_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model of order 3; op6_lm_backoff is the model of order 2 that its SQL states."""
+    scored = score(table(spark, sf_dir, "documents"), order=3)
+    return scored.select("doc_id", "n_words", F.round("mean", 6).alias("mean"))
+
+
+ORACLES["op6_lm_backoff_trigram"] = rf"""
+WITH {WORDS},
+placed AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words),
+runs AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS v, lag(x, 2) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM placed),
+one AS (SELECT x, count(*) AS c FROM placed GROUP BY x),
+one_own AS (SELECT doc_id, x, count(*) AS c FROM placed GROUP BY ALL),
+two AS (SELECT v, x, count(*) AS c FROM runs WHERE v IS NOT NULL GROUP BY ALL),
+two_own AS (SELECT doc_id, v, x, count(*) AS c FROM runs WHERE v IS NOT NULL GROUP BY ALL),
+three AS (SELECT u, v, x, count(*) AS c FROM runs WHERE u IS NOT NULL GROUP BY ALL),
+three_own AS (SELECT doc_id, u, v, x, count(*) AS c FROM runs WHERE u IS NOT NULL GROUP BY ALL),
+counted AS (SELECT p.doc_id, p.n, p.u, p.v, a.c - b.c AS cx, c.c - d.c AS cv, e.c - f.c AS cvx, g.c - h.c AS cuv, k.c - l.c AS cuvx FROM runs p
+    JOIN one a ON a.x = p.x JOIN one_own b ON b.doc_id = p.doc_id AND b.x = p.x
+    LEFT JOIN one c ON c.x = p.v LEFT JOIN one_own d ON d.doc_id = p.doc_id AND d.x = p.v
+    LEFT JOIN two e ON e.v = p.v AND e.x = p.x LEFT JOIN two_own f ON f.doc_id = p.doc_id AND f.v = p.v AND f.x = p.x
+    LEFT JOIN two g ON g.v = p.u AND g.x = p.v LEFT JOIN two_own h ON h.doc_id = p.doc_id AND h.v = p.u AND h.x = p.v
+    LEFT JOIN three k ON k.u = p.u AND k.v = p.v AND k.x = p.x LEFT JOIN three_own l ON l.doc_id = p.doc_id AND l.u = p.u AND l.v = p.v AND l.x = p.x),
+paired AS (SELECT *, CASE WHEN v IS NOT NULL AND cvx > 0 THEN log10(cvx / greatest(cv, cvx)::DOUBLE)
+    ELSE (CASE WHEN v IS NULL THEN 0 ELSE log10(0.4) END) + log10(greatest(cx, 1) / ((SELECT count(*) FROM placed) - n + 1)::DOUBLE) END AS s2 FROM counted),
+valued AS (SELECT doc_id, CASE WHEN u IS NOT NULL AND cuvx > 0 THEN log10(cuvx / greatest(cuv, cuvx)::DOUBLE) ELSE (CASE WHEN u IS NULL THEN 0 ELSE log10(0.4) END) + s2 END AS s FROM paired)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, round(sum(s) / len(d.w), 6) AS mean FROM words d LEFT JOIN valued v ON v.doc_id = d.doc_id GROUP BY d.doc_id, d.w"""
+
+
 @query
 def op6_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(table(spark, sf_dir, "documents"))
