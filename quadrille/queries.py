@@ -322,6 +322,14 @@ def _same_names(spark, sf_dir):
     return edges, connected_components(edges).select("root", "node")
 
 
+def _spread_brands(spark, sf_dir, parts):
+    """(s, o): the brands that parts of equal name get from these parts."""
+    _, members = _same_names(spark, sf_dir)
+    brands = parts.select(F.col("p_partkey").cast("string").alias("s"), F.lit("brand").alias("p"), F.col("p_brand").alias("o"))
+    text = members.select(F.col("root").cast("string").alias("root"), F.col("node").cast("string").alias("node"))
+    return graph.same_as(brands, text, "sameAs").where("p = 'brand'").select(F.col("s").cast("long").alias("s"), "o")
+
+
 _NAMES = "k AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS k FROM part), m AS (SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY k) AS root, count(*) OVER (PARTITION BY k) AS n FROM k)"
 
 
@@ -332,10 +340,13 @@ def same_as_components(spark, sf_dir):
 
 @query(f"WITH {_NAMES}, b AS (SELECT p_partkey, p_brand FROM part WHERE p_partkey <= 400) SELECT DISTINCT x.node AS s, p_brand AS o FROM m x JOIN m y USING (root) JOIN b ON b.p_partkey = y.node WHERE x.n > 1 EXCEPT SELECT p_partkey, p_brand FROM b")
 def same_as_closure(spark, sf_dir):
-    _, members = _same_names(spark, sf_dir)
-    brands = table(spark, sf_dir, "part").where("p_partkey <= 400").select(F.col("p_partkey").cast("string").alias("s"), F.lit("brand").alias("p"), F.col("p_brand").alias("o"))
-    text = members.select(F.col("root").cast("string").alias("root"), F.col("node").cast("string").alias("node"))
-    return graph.same_as(brands, text, "sameAs").where("p = 'brand'").select(F.col("s").cast("long").alias("s"), "o")
+    return _spread_brands(spark, sf_dir, table(spark, sf_dir, "part").where("p_partkey <= 400"))
+
+
+@query(f"WITH {_NAMES}, b AS (SELECT DISTINCT root, p_brand FROM m JOIN part ON p_partkey = node WHERE n > 1) SELECT node AS s, p_brand AS o FROM m JOIN b USING (root) EXCEPT SELECT p_partkey, p_brand FROM part")
+def same_as_closure_whole(spark, sf_dir):
+    """same_as_closure with the statements of all parts; the SQL of that one has the first 400."""
+    return _spread_brands(spark, sf_dir, table(spark, sf_dir, "part"))
 
 
 @query(f"WITH {_NAMES} SELECT root, root AS node, n - 1 AS indegree FROM m WHERE n > 1 GROUP BY root, n")

@@ -38,6 +38,13 @@ def test_query(name, spark, duck):
     assert sorted(map(key, rows)) == sorted(map(key, want))
 
 
+def test_identity_spreads_brands_of_all_parts(spark, tmp_path):
+    rows = [(1, "Red Bolt", "A"), (500, "red bolt", "B"), (501, "red-bolt", "B"), (502, "other", "C")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.QUERIES["same_as_closure_whole"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, "B"), (500, "A"), (501, "A")]
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
