@@ -45,23 +45,39 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _blocks(df: DataFrame) -> DataFrame:
-    """(key, block): a label belongs to the blocks of its words and of its first two characters."""
-    keys = df.select(label_key(F.col("label")).alias("key")).distinct()
-    return keys.select("key", F.explode(F.array_distinct(F.concat(F.split("key", " "), F.array(F.concat(F.lit("^"), F.substring("key", 1, 2)))))).alias("block"))
+def _keys(df: DataFrame, side: str) -> DataFrame:
+    """Distinct keys that are not empty, with their length and characters, each with how often it came before, rare letters first."""
+    key = df.select(label_key(F.col("label")).alias("key")).where("key <> ''").distinct()
+    chars = F.split("key", "")
+    numbered = F.transform(chars, lambda c, i: F.concat(F.translate(c, "zqjxkvbywgpfmucdlhrsnioate ", "abcdefghijklmnopqrstuvwxyz~"), F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
+    return key.select(F.col("key").alias(f"key_{side}"), F.length("key").alias(f"n_{side}"), F.array_sort(numbered).alias(f"chars_{side}"))
 
 
 def alike(left: DataFrame, right: DataFrame, least: float = LOW) -> DataFrame:
-    """(key_a, key_b, score) of different labels that share a block, their lengths allowing, from `least` on.
+    """(key_a, key_b, score) of all pairs of different labels with a score from `least`, above 0, on.
 
     Labels are compared as distinct keys, so a hot label is one row; equal labels
-    need no comparison. The most a pair can reach follows from its lengths.
+    need no comparison. Jaro's ratio is at most (m / |a| + m / |b| + 1) / 3 with m
+    characters in common, and a common head of s characters credits s tenths of the
+    rest. Pairs that share two leading characters meet by these. Others need a ratio
+    of (least - 0.1) / 0.9, so m of at least `most` below, and meet by a character
+    that is not among the last m - 1 of either (prefix filtering), which loses none.
     """
-    a = _blocks(left).select("block", F.col("key").alias("key_a"))
-    b = _blocks(right).select("block", F.col("key").alias("key_b"))
-    short, long_ = (f(F.length("key_a"), F.length("key_b")) for f in (F.least, F.greatest))
-    best = (short / long_ + 2) / 3
-    pairs = a.join(b, "block").where(F.col("key_a") != F.col("key_b")).where(best + 0.4 * (1 - best) >= least).select("key_a", "key_b").distinct()
+    a, b = _keys(left, "a"), _keys(right, "b")
+    n_a, n_b, m = F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("chars_a", "chars_b"))
+    need = 3 * (least - 0.1) / 0.9 - 1
+    most = F.greatest(F.lit(1), F.ceil(F.lit(need) * n_a * n_b / (n_a + n_b) - 1e-9))
+
+    def headed(df: DataFrame, side: str) -> DataFrame:
+        return df.where(F.col(f"n_{side}") > 1).withColumn("head", F.substring(f"key_{side}", 1, 2))
+
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        return df.select("*", F.posexplode(f"chars_{side}").alias(f"at_{side}", "char")).where(F.col(f"at_{side}") <= F.col(f"n_{side}") - F.greatest(F.lit(1), F.ceil(F.lit(need - 1) * F.col(f"n_{side}") - 1e-9)))
+
+    best = (m / n_a + m / n_b + 1) / 3
+    by_head = headed(a, "a").join(headed(b, "b"), "head").where(best + 0.4 * (1 - best) >= least - 1e-9)
+    by_char = placed(a, "a").join(placed(b, "b"), "char").where((F.col("at_a") <= n_a - most) & (F.col("at_b") <= n_b - most)).where(m >= most)
+    pairs = by_head.select("key_a", "key_b").union(by_char.select("key_a", "key_b")).where("key_a <> key_b").distinct()
     return pairs.withColumn("score", similarity("key_a", "key_b")).where(F.col("score") >= least)
 
 

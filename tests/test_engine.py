@@ -258,6 +258,24 @@ def test_text_functions(spark):
     assert X.guarded(spark, "select @x AS v, '@y' AS w", args={"x": 3}).collect() == [(3, "@y")]
 
 
+@pytest.mark.parametrize("least", [entities.HIGH, entities.LOW])
+def test_alike_finds_all_pairs(spark, least):
+    rng = random.Random(5)
+    labels = ["microsoft", "nicrosoft", "a", "ab", "ba", "", "...", "1 a", "a 1", "aaaa", "aaab", "baaa"]
+    for _ in range(60):
+        word = [rng.choice("abcde ") for _ in range(rng.randint(1, 14))]
+        labels.append("".join(word))
+        for _ in range(rng.randint(1, 2)):
+            at = rng.choice([0, 0, rng.randrange(len(word))])
+            word[at] = rng.choice("abcdexyz")
+        labels.append("".join(word))
+    df = spark.createDataFrame([(x,) for x in labels], "label string")
+    keys = {r[0] for r in df.select(X.label_key(F.col("label"))).collect()}
+    want = {(a, b) for a in keys for b in keys if a != b and entities.jaro_winkler(a, b) >= least}
+    assert ("microsoft", "nicrosoft") in want
+    assert sorted((r.key_a, r.key_b) for r in entities.alike(df, df, least).collect()) == sorted(want)
+
+
 def test_similarity():
     jw = entities.jaro_winkler
     assert jw("", "") == 1.0 and jw("a", "") == 0.0 and jw("abc", "xyz") == 0.0
