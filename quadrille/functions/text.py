@@ -92,13 +92,13 @@ class SqlRefused(ValueError):
     """A statement that the guard does not let through."""
 
 
-def guarded(spark, sql: str, limit: int = 500, args: dict | None = None) -> DataFrame:
-    """A SELECT with named parameters (@name or :name), with a limit where it has none."""
+def guarded(spark, sql: str, limit: int | None = 500, args: dict | None = None) -> DataFrame:
+    """A SELECT with named parameters (@name or :name), with a limit where it has none; limit None: the whole result."""
     text = sql.strip().rstrip(";")
     if not re.match(r"(?i)select\b", text):
         raise SqlRefused("only SELECT is accepted")
     df = spark.sql(parameters(text), args=args or {})
-    return df if re.search(r"(?i)\blimit\s+\d+", text) else df.limit(limit)
+    return df if limit is None or re.search(r"(?i)\blimit\s+\d+", text) else df.limit(limit)
 
 
 def parameters(sql: str) -> str:

@@ -420,10 +420,10 @@ def bitemporal_asof(spark, sf_dir):
 
 
 # -- SQL
-def sql(name: str, text: str, oracle: str | None = None, args: dict | None = None) -> None:
+def sql(name: str, text: str, oracle: str | None = None, args: dict | None = None, limit: int | None = 500) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, text)
-        return X.guarded(spark, text, args=args)
+        return X.guarded(spark, text, limit, args)
 
     run.__name__ = name
     query(oracle or text)(run)
@@ -439,7 +439,7 @@ sql(
 sql("sql_conditional_aggs", "SELECT o_orderpriority AS p, count_if(o_orderstatus = 'F') AS closed, sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END)::BIGINT AS large, round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS open_avg FROM orders GROUP BY 1")
 sql("sql_two_level_avg", "SELECT round(avg(s), 4) AS a FROM (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey)")
 sql("sql_nullif_ratio", "SELECT l_returnflag AS f, round(max(l_extendedprice) / NULLIF(avg(l_extendedprice), 0), 6) AS r, count(DISTINCT l_suppkey) AS suppliers FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1")
-sql("sql_derived_key_join", "SELECT s_name, c_name FROM supplier JOIN customer ON right(s_name, 6) = right(c_name, 6) AND lpad(CAST(s_suppkey AS STRING), 4, '0') = lpad(CAST(c_custkey AS STRING), 4, '0') LIMIT 100000", "SELECT s_name, c_name FROM supplier JOIN customer ON right(s_name, 6) = right(c_name, 6) AND lpad(s_suppkey::VARCHAR, 4, '0') = lpad(c_custkey::VARCHAR, 4, '0')")
+sql("sql_derived_key_join", "SELECT s_name, c_name FROM supplier JOIN customer ON right(s_name, 6) = right(c_name, 6) AND lpad(CAST(s_suppkey AS STRING), 4, '0') = lpad(CAST(c_custkey AS STRING), 4, '0')", "SELECT s_name, c_name FROM supplier JOIN customer ON right(s_name, 6) = right(c_name, 6) AND lpad(s_suppkey::VARCHAR, 4, '0') = lpad(c_custkey::VARCHAR, 4, '0')", limit=None)
 sql(
     "sql_inline_lookup",
     "SELECT n.n_name AS nation, v.code, count(*) AS customers FROM (VALUES ('NATION_1', 'N1'), ('NATION_7', 'N7'), ('NATION_12', 'N12')) AS v(name, code) JOIN nation n ON n.n_name = v.name JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2",

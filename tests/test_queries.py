@@ -45,6 +45,13 @@ def test_identity_spreads_brands_of_all_parts(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(1, "B"), (500, "A"), (501, "A")]
 
 
+def test_derived_key_join_is_whole(spark, tmp_path):
+    n = 100_001
+    for name, key, label in (("supplier", "s_suppkey", "s_name"), ("customer", "c_custkey", "c_name")):
+        spark.range(n).selectExpr(f"id AS {key}", f"lpad(id, 9, '0') AS {label}").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert queries.QUERIES["sql_derived_key_join"](spark, str(tmp_path)).count() == n
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
