@@ -29,14 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.kernels import as_long, mix, slices, text_bytes, windows, words
 from quadrille.plans.components import connected_components
 from quadrille.plans.lineage import cut
 
-NULL_ID = (1 << 63) - 1  # after all others
+NULL_IDS = (1 << 63) - (1 << 44)  # nodes of texts without a doc_id, after all others
 
 
 @dataclass(frozen=True)
@@ -103,14 +103,20 @@ def sketch(batch: pa.RecordBatch, p: MinMax) -> pa.RecordBatch:
     )
 
 
+def _node() -> Column:
+    """The doc_id; without one, a number of the text's own from NULL_IDS on, after other ids."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_IDS) + F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit((1 << 63) - NULL_IDS)))
+
+
 def sketches(docs: DataFrame, p: MinMax) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2 (of the set; 0 if empty) and keys (one for each band)."""
+    """doc_id, n_shingles, fp1, fp2 (of the set; 0 if empty), keys (one for each band) and node."""
 
     def run(batches):
         for batch in slices(batches, size=1 << 19):
-            yield sketch(batch, p)
+            made = sketch(batch, p)
+            yield pa.RecordBatch.from_arrays([*made.columns, batch.column("node")], [*made.schema.names, "node"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _node().alias("node")).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, node long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, p: MinMax) -> DataFrame:
@@ -122,7 +128,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, p: MinMax) -> DataFrame:
             sets = distinct(*shingles(data, at, p.shingle))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
 
-    ided = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), F.col("text").cast("string").alias("text"))
+    ided = docs.select(_node().alias("node"), F.col("text").cast("string").alias("text"))
     return ided.join(nodes, "node", "left_semi").mapInArrow(run, "node long, members binary")
 
 
@@ -179,14 +185,15 @@ def _rare_pairs(sets: DataFrame, nodes: DataFrame, p: MinMax) -> DataFrame:
 def near_components(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     seen = cut(sketches(docs, p), "sketch")
-    some = seen.where("n_shingles > 0").withColumn("node", F.coalesce("doc_id", F.lit(NULL_ID)))
-    classes = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("node").alias("node"))
+    some = seen.where("n_shingles > 0")
+    classes = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"))
     banded = some.join(classes, ["fp1", "fp2", "n_shingles", "node"], "left_semi").select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     member = cut(banded.join(shared, "key").groupBy("key", "node").agg(F.max("n").alias("n")), "buckets")
     roots = _link(docs, member, p)
-    label = classes.join(roots, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("root", "node").alias("component_id"))
-    found = some.join(label, ["fp1", "fp2", "n_shingles"]).select("doc_id", "n_shingles", F.nullif("component_id", F.lit(NULL_ID)).alias("component_id"))
+    alone_or_first = F.coalesce("root", "node") == F.col("node")
+    label = classes.join(roots, "node", "left").select("fp1", "fp2", "n_shingles", F.when(alone_or_first, F.col("least")).when(F.col("root") < NULL_IDS, F.col("root")).alias("component_id"))
+    found = some.join(label, ["fp1", "fp2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     alone = seen.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -224,6 +231,6 @@ def _link(docs: DataFrame, member: DataFrame, p: MinMax) -> DataFrame:
 
 def keep_one(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     """docs with one row of each component: that of its smallest doc_id; rows with a null doc_id stay, once for each text."""
-    kept = near_components(docs, p).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    once = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").withColumn("_near_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    kept = near_components(docs, p).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    once = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").union(docs.where("doc_id is null")).withColumn("_near_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     return once.dropDuplicates(["doc_id", "_near_text"]).drop("_near_text")

@@ -292,6 +292,15 @@ def test_backoff_against_plain_counts(docs, rows, spark, empty):
     assert backoff.score(docs).count() == len(rows) and backoff.score(empty).count() == 0
 
 
+def test_near_copies_without_ids(spark):
+    five, nine, clean = prose(900, 80), prose(901, 80), prose(902, 80)
+    rows = [(5, five, None, None, None), (9, nine, None, None, None), *((None, t, None, None, None) for t in (five + " end", nine + " end", clean))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [(r.doc_id, r.component_id) for r in minhash.near_components(df).collect()]
+    assert sorted(got, key=str) == [(5, 5), (9, 9), (None, 5), (None, 9), (None, None)]
+    assert sorted(r.text for r in minhash.keep_one(df).collect()) == sorted(r[1] for r in rows)
+
+
 def test_registered_trigrams(spark, tmp_path):
     from quadrille.llm.queries import QUERIES
 
