@@ -82,12 +82,13 @@ def _spans(text: Column, no: int, k: Kind, reach: int) -> tuple[Column, Column,
 
     def place(hit: Column, gap: Column) -> Column:
         n = F.size(hit)
-        rows = F.arrays_zip(hit.alias("hit"), F.slice(gap, F.lit(1), n).alias("before"), F.slice(gap, F.lit(2), n).alias("after"))
+        rows = F.arrays_zip(hit.alias("hit"), F.slice(gap, F.lit(1), n).alias("before"))
 
         def add(state: Column, x: Column) -> Column:
             start = state["at"] + F.length(x["before"])
             end = start + F.length(x["hit"])
-            around = F.lower(F.concat(F.right(x["before"], F.lit(reach)), F.lit(" "), F.left(x["after"], F.lit(reach))))
+            first = F.greatest(start - reach, F.lit(0))
+            around = F.lower(F.concat(F.substring(text, first + 1, start - first), F.lit(" "), F.substring(text, end + 1, F.lit(reach))))
             score = F.lit(k.score) + F.when(around.rlike(k.near), 0.3).otherwise(0.0) - F.when(around.rlike(k.against), 0.3).otherwise(0.0)
             found = F.struct(start.alias("start"), F.lit(no).alias("kind_no"), end.alias("end"), F.lit(k.name).alias("kind"), score.alias("score"))
             good = k.confirmed(x["hit"]) if k.base else k.confirmed(x["hit"]) & (score >= 0.5)

@@ -301,6 +301,12 @@ def test_near_copies_without_ids(spark):
     assert sorted(r.text for r in minhash.keep_one(df).collect()) == sorted(r[1] for r in rows)
 
 
+def test_context_reaches_past_other_numbers(spark):
+    text = "phone: 555-123-4567 or 555-987-6543, " + "x " * 30 + "555-111-2222"
+    clean = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert clean == "phone: <LOCAL_PHONE> or <LOCAL_PHONE>, " + "x " * 30 + "555-111-2222"
+
+
 def test_registered_trigrams(spark, tmp_path):
     from quadrille.llm.queries import QUERIES
 
