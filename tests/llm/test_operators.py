@@ -194,10 +194,51 @@ def test_quality_counts(docs, rows, empty):
     assert len(got) == len(rows) and quality.judge(empty).count() == 0
 
 
-def test_quality_learns_single_faults():
-    good, fault = (1, 1, 1), (1, -1, 1)
-    voters = quality.fit([(good, 900), (fault, 60), ((-1, 1, 1), 40)], 3)
-    assert quality._posterior(good, voters) > 0.5 > quality._posterior(fault, voters)
+def test_quality_weighs_faults():
+    """One fault that good documents have too is outvoted; two that bad ones have together are not."""
+    every = [((1, 1, 1, 1), 900), ((-1, 1, 1, 1), 60), ((1, -1, 1, 1), 50), ((-1, -1, -1, 1), 40), ((-1, 1, -1, -1), 30), ((1, -1, -1, -1), 20), ((-1, -1, 1, -1), 10)]
+    voters = quality.fit(every, 4)
+    assert quality.posterior((-1, 1, 1, 1), voters) > 0.5 > quality.posterior((-1, -1, 1, 1), voters)
+    assert quality.posterior((1, 1, 1, 1), voters) > quality.posterior((0, 1, 1, 1), voters) > quality.posterior((0, 0, 0, 0), voters) == pytest.approx(voters.prior)
+    assert quality.fit([], 4).prior == pytest.approx(0.8)
+
+
+def test_quality_equals_brute_force_em(spark):
+    """Votes from plain Python counts, and expectation-maximisation over single documents."""
+    r = random.Random(12)
+    texts = [prose(i, r.choice((15, 30, 60, 150))) + "." for i in range(60)] + [None, "", "a"]
+    texts += ["".join(c.upper() if i % 2 else c for c in t) for i, t in enumerate(texts[:12])] + [t.replace(" ", " ### ") for t in texts[:8]] + [(t + "\n") * 4 for t in texts[3:9]] + ["same " * 80] * 3
+    got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    votes = []
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = brute.WORD.findall(t)
+        n, chars, symbols, dup, repeat = brute.quality(t)
+        lines = sum(bool(brute.WORD.search(x)) for x in t.split("\n"))
+        letters = sum(c.isalpha() for c in t)
+        c = {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "n_lines": lines, "n_letters": letters, "n_other": chars - letters, "n_upper": sum(x.isupper() for x in t), "n_distinct": len(set(w)), "n_stutter": sum(a == b for a, b in zip(w, w[1:], strict=False)), "n_ends": sum(x[-1] in ".,;:!?" for x in w)}
+        assert all(got[i][k] == v for k, v in c.items()), (i, c, got[i])
+        truth = lambda s, c=c: eval(s.replace("word_chars between 4 * n_words and 7", "4 * n_words <= word_chars <= 7").replace(" = ", " == "), {}, c)
+        votes.append([-1 if truth(x.bad) else 1 if truth(x.good) else 0 for x in quality.RULES])
+    prior, good, bad = 0.8, [0.9] * len(quality.RULES), [0.5] * len(quality.RULES)
+    for _ in range(500):
+        p = []
+        for v in votes:
+            a, b = prior, 1 - prior
+            for k, x in enumerate(v):
+                a *= 1 if x == 0 else good[k] if x > 0 else 1 - good[k]
+                b *= 1 if x == 0 else bad[k] if x > 0 else 1 - bad[k]
+            p.append(a / (a + b))
+        prior = (4 + sum(p)) / (5 + len(p))
+        for k in range(len(good)):
+            says = lambda sign, share, k=k: sum(s for v, s in zip(votes, share, strict=True) if v[k] == sign)
+            rest = [1 - x for x in p]
+            good[k] = (9 + says(1, p)) / (10 + says(1, p) + says(-1, p))
+            bad[k] = (2 + says(1, rest)) / (4 + says(1, rest) + says(-1, rest))
+    for i, want in enumerate(p):
+        assert got[i].quality == pytest.approx(want, abs=1e-6) and got[i].kept == (not got[i].base_failed and got[i].quality >= 0.5)
+    judged = [got[i].kept for i, v in enumerate(votes) if min(v) < 0 and not got[i].base_failed]
+    assert any(judged) and not all(judged)  # not the same as passing every rule
 
 
 def test_mixing(docs, rows, empty):
