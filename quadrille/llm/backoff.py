@@ -1,14 +1,19 @@
-"""Language-model scores by stupid backoff, as joins of n-gram count tables.
-
-Documents are dealt into slices by hash. Each slice asks with its distinct
-n-grams and how often it has them; questions are dealt by n-gram hash, so a
-partition holds the whole counts of its n-grams, and each comes once from a
-slice however often it occurs. The answers, joined to the slices again, are
-summed over each document's n-grams. Words and pairs are asked for at once, each
-longer n-gram in a round of its own and only where both n-grams a word shorter
-in it occur elsewhere: any other has a count of 0 without asking. Every document is scored against all
-others: its own occurrences are taken off the counts first, so that text found
-nowhere else backs off.
+"""Language-model scores by stupid backoff, computed relationally.
+
+Documents are dealt into slices by hash. A slice explodes its texts into n-grams
+and keeps each distinct one once, with how often the slice has it (the map-side
+combine). These rows are dealt by n-gram hash, so that a hash partition holds the
+count table of its n-grams; every exploded n-gram is joined to its count there,
+in one sort of the partition, and goes back to its slice, where the counts are
+looked up for every word and the logarithms are summed for each document. The
+counts of contexts come from the same table. On the way, an n-gram is 48 bits of
+its hash beside the number of its partition: columns of ints and shorts.
+
+Words and pairs are asked for at once, each longer n-gram in a round of its own
+and only where both n-grams a word shorter in it occur elsewhere: any other has a
+count of 0 without asking. Every document is scored against all others: its own
+occurrences are taken off the counts first, so that text found nowhere else
+backs off.
 
 S(w | context) is c(context w) / c(context) if that n-gram occurs elsewhere, else
 `discount` times S with a context shorter by a word; a single word has max(c, 1)
@@ -16,19 +21,20 @@ over the number of all words outside the document, plus one.
 
 Rows: a null text has no words; a document without words has score 0 and null
 mean; rows that repeat a document are documents of their own; results do not
-depend on the partitions. Hashes have 48 bits and those of the partition, 56 and
-more on large tables, so counts are exact up to rare collisions.
+depend on the partitions; an empty table gives no rows; other columns are
+ignored. Hashes have 48 bits and those of the partition, 56 and more on large
+tables, so counts are exact up to rare collisions. A very frequent n-gram has a
+row for each slice, not for each occurrence.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.kernels import mix, text_bytes, windows, words
@@ -57,27 +63,15 @@ def _distinct(h: np.ndarray):
     return keys, inverse, counts
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs, deflated as most are 1."""
-    kind = np.uint8 if x.max(initial=0) < 1 << 8 else np.uint16 if x.max() < 1 << 16 else np.uint32 if x.max() < 1 << 32 else np.uint64
-    return bytes((np.dtype(kind).itemsize,)) + zlib.compress(x.astype(kind).tobytes(), 1)
+FEW = 127  # counts from here on are in a list of their own
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
-
-
-def _six(keys: np.ndarray) -> bytes:
-    """The lower 48 bits of the keys shifted down, in order: their differences as byte planes, the upper two, mostly small, deflated."""
-    planes = np.diff(keys & np.uint64((1 << 48) - 1), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return planes[:4].tobytes() + zlib.compress(planes[4:6].tobytes(), 1)
-
-
-def _long(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :4] = np.frombuffer(data, np.uint8, 4 * n).reshape(4, n).T
-    out[:, 4:6] = np.frombuffer(zlib.decompress(data[4 * n :]), np.uint8).reshape(2, n).T
-    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+def _told(right: pa.Table, k: int) -> np.ndarray:
+    """The counts of the slice's distinct n-grams of order k + 1, in the order of their hashes."""
+    own = right.filter(pyarrow.compute.equal(right.column("k"), k)).sort_by("part")
+    few, many = (pyarrow.compute.list_flatten(own.column(c)).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("few", "many"))
+    few[few == FEW] = many
+    return few
 
 
 def _asked(grams, k: int, others, place: np.ndarray) -> np.ndarray:
@@ -90,19 +84,22 @@ def _asked(grams, k: int, others, place: np.ndarray) -> np.ndarray:
 
 def _others(grams, doc: np.ndarray, place: np.ndarray, right: pa.Table, order: int):
     """Per order: how often the n-gram that ends at each word occurs in other documents."""
-    told = sorted(zip(right.column("k").to_pylist(), right.column("part").to_pylist(), range(right.num_rows), strict=True))
     others = []
     for k in range(order):
         h = _asked(grams, k, others, place)
         _, inverse, _ = _distinct(h)
-        sums = [_unpack(right.column("sums")[i].as_py()) for kk, _, i in told if kk == k]
-        whole = np.concatenate(sums)[inverse] if sums else np.zeros(len(h), np.int64)
+        told = _told(right, k)
+        whole = told[inverse] if len(told) else np.zeros(len(h), np.int64)
         _, same, own = np.unique(mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
         others.append(np.where(h != 0, whole - own[same], 0))
     return others
 
 
-def score(docs: DataFrame, order: int = 2, discount: float = 0.4, slice_chars: int = 6_000_000, part_words: int = 400_000) -> DataFrame:
+def _lists(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
+
+
+def score(docs: DataFrame, order: int = 3, discount: float = 0.4, slice_chars: int = 6_000_000, part_words: int = 400_000) -> DataFrame:
     """doc_id, n_words, score (sum of log10 S) and mean (per word) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("words")).first()
@@ -111,43 +108,49 @@ def score(docs: DataFrame, order: int = 2, discount: float = 0.4, slice_chars: i
     n_all, shift = int(total[1]), np.uint64(max(0, 16 - bits))
     dealt = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)))
 
-    def questions(slice_: int, k: int, h: np.ndarray) -> list[dict]:
-        keys, _, counts = _distinct(h)
-        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
-        edges, out = np.searchsorted(part, np.arange((1 << bits) + 1)), []
-        for p in np.flatnonzero(np.diff(edges)):
-            a, b = edges[p], edges[p + 1]
-            out.append({"part": int(p), "slice": slice_, "k": k, "n": int(b - a), "keys": _six(keys[a:b] >> shift), "counts": _pack(counts[a:b])})
-        return out
-
-    fields = pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    def exploded(slice_: int, orders: dict[int, np.ndarray]) -> pa.Table:
+        """The distinct n-grams of a slice by partition: 32 and 16 bits of the hash, and how often each occurs."""
+        out = []
+        for k, h in orders.items():
+            keys, _, counts = _distinct(h)
+            part = keys >> np.uint64(64 - bits)
+            first = np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 32)))
+            edges, gram = np.append(first, len(keys)), keys >> shift
+            n = len(first)
+            named = {"part": pa.array(part[first].astype(np.int32)), "slice": pa.array(np.full(n, slice_)), "k": pa.array(np.full(n, k, np.int32))}
+            lists = {"low": gram.astype(np.uint32).view(np.int32), "mid": (gram >> np.uint64(32)).astype(np.uint16).view(np.int16), "own": counts.astype(np.int32)}
+            out.append(pa.table(named | {c: _lists(v, edges) for c, v in lists.items()}))
+        return pa.concat_tables(out)
 
     def ask(table: pa.Table) -> pa.Table:
         grams, *_ = _grams(table, min(order, 2))
-        return pa.Table.from_pylist([x for k, h in enumerate(grams) for x in questions(table.column("slice")[0].as_py(), k, h)], fields)
+        return exploded(table.column("slice")[0].as_py(), dict(enumerate(grams)))
 
     def ask_longer(k: int):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             grams, doc, place, _ = _grams(left, k + 1)
-            h = _asked(grams, k, _others(grams, doc, place, right, k), place)
-            return pa.Table.from_pylist(questions(left.column("slice")[0].as_py(), k, h), fields)
+            if not left.num_rows:
+                return exploded(0, {k: np.zeros(0, np.uint64)})
+            return exploded(left.column("slice")[0].as_py(), {k: _asked(grams, k, _others(grams, doc, place, right, k), place)})
 
         return run
 
-    def answer(table: pa.Table) -> pa.Table:
-        out = []
-        for k in range(order):
-            own = table.filter(pa.compute.equal(table.column("k"), k))
-            if not own.num_rows:
-                continue
-            keys = [_long(x.as_py(), n.as_py()) for x, n in zip(own.column("keys"), own.column("n"), strict=True)]
-            _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(inverse, np.concatenate([_unpack(x.as_py()) for x in own.column("counts")])).astype(np.int64)[inverse]
-            at = 0
-            for x, s in zip(keys, own.column("slice").to_pylist(), strict=True):
-                out.append({"slice": s, "part": table.column("part")[0].as_py(), "k": k, "sums": _pack(sums[at : at + len(x)])})
-                at += len(x)
-        return pa.Table.from_pylist(out, pa.schema([("slice", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("sums", pa.binary())]))
+    def counted(asked: DataFrame) -> DataFrame:
+        """The counts of the n-grams of each slice: joined in the hash partition to the sum over all slices."""
+        each = asked.selectExpr("part", "slice", "k", "inline(arrays_zip(low, mid, own))")
+        gram = "cast(k as bigint) << 48 | cast(mid & 65535 as bigint) << 32 | cast(low as bigint) & 4294967295 AS gram"
+        total = F.sum("own").over(Window.partitionBy("part", "gram")).alias("total")
+        return each.selectExpr("part", "slice", gram, "own").select("part", "slice", "gram", total).groupBy("part").applyInArrow(back, tells).repartition("slice")
+
+    def back(table: pa.Table) -> pa.Table:
+        slice_, gram, total = (table.column(c).to_numpy() for c in ("slice", "gram", "total"))
+        order_ = np.lexsort((gram, slice_))
+        slice_, k, total = slice_[order_], gram[order_] >> 48, total[order_]
+        first = np.flatnonzero(np.append(True, (np.diff(slice_) != 0) | (np.diff(k) != 0)))
+        edges, much = np.append(first, len(total)), total >= FEW
+        n = len(first)
+        lists = {"few": _lists(np.minimum(total, FEW).astype(np.int8), edges), "many": _lists(total[much], np.append(0, np.cumsum(much))[edges])}
+        return pa.table({"slice": pa.array(slice_[first]), "part": pa.array(np.full(n, table.column("part")[0].as_py(), np.int32)), "k": pa.array(k[first].astype(np.int32))} | lists)
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         grams, doc, place, sizes = _grams(left, order)
@@ -166,9 +169,9 @@ def score(docs: DataFrame, order: int = 2, discount: float = 0.4, slice_chars: i
         mean = pa.array(np.divide(sums, sizes, where=sizes > 0, out=np.zeros(len(sizes))), mask=sizes == 0)
         return pa.table([left.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(sums), mean], ["doc_id", "n_words", "score", "mean"])
 
-    asks, tells = "part int, slice long, k int, n int, keys binary, counts binary", "slice long, part int, k int, sums binary"
-    told = dealt.groupBy("slice").applyInArrow(ask, asks).groupBy("part").applyInArrow(answer, tells).repartition("slice")
+    asks, tells = "part int, slice long, k int, low array<int>, mid array<smallint>, own array<int>", "slice long, part int, k int, few array<tinyint>, many array<long>"
+    told = counted(dealt.groupBy("slice").applyInArrow(ask, asks).repartition("part"))
     for k in range(2, order):
         longer = dealt.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(ask_longer(k), asks)
-        told = told.union(longer.groupBy("part").applyInArrow(answer, tells).repartition("slice"))
+        told = told.union(counted(longer.repartition("part")))
     return dealt.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(add, "doc_id long, n_words long, score double, mean double")

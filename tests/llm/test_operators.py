@@ -353,7 +353,7 @@ def test_registered_trigrams(spark, tmp_path):
 
     texts = ["a b c d", "a b c e", "x b c d", "a b"]
     spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r["mean"] for r in QUERIES["op6_lm_backoff_trigram"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r["mean"] for r in QUERIES["op6_lm_backoff"](spark, str(tmp_path)).collect()}
     # a: 2 of 10 other words and 1; b after a: 2 of 2; c after a b: 1 of 2; d after b c: 1 of 2
     assert got[0] == round((np.log10(2 / 11) + np.log10(2 / 2) + np.log10(1 / 2) + np.log10(1 / 2)) / 4, 6)
 
