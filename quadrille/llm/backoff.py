@@ -3,11 +3,12 @@
 Documents are dealt into slices by hash. A slice explodes its texts into n-grams
 and keeps each distinct one once, with how often the slice has it (the map-side
 combine). These rows are dealt by n-gram hash, so that a hash partition holds the
-count table of its n-grams; every exploded n-gram is joined to its count there,
-in one sort of the partition, and goes back to its slice, where the counts are
-looked up for every word and the logarithms are summed for each document. The
-counts of contexts come from the same table. On the way, an n-gram is 48 bits of
-its hash beside the number of its partition: columns of ints and shorts.
+count table of its n-grams, grouped and summed; the exploded n-grams are joined
+to it there and go back to their slices, where the counts are looked up for every
+word and the logarithms are summed for each document. The counts of contexts come
+from the same table. On the way, a row holds the n-grams that a slice has of one
+partition, as lists in the order of their hashes: 48 bits beside the number of
+the partition.
 
 Words and pairs are asked for at once, each longer n-gram in a round of its own
 and only where both n-grams a word shorter in it occur elsewhere: any other has a
@@ -34,7 +35,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.kernels import mix, text_bytes, windows, words
@@ -66,14 +67,29 @@ def _distinct(h: np.ndarray):
 FEW = 127  # counts from here on are in a list of their own
 
 
-def _told(right: pa.Table, k: int) -> np.ndarray:
-    """The counts of the slice's distinct n-grams of order k + 1, in the order of their hashes."""
-    own = right.filter(pyarrow.compute.equal(right.column("k"), k)).sort_by("part")
-    few, many = (pyarrow.compute.list_flatten(own.column(c)).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("few", "many"))
-    few[few == FEW] = many
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return pyarrow.compute.list_flatten(table.column(name)).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _counts(table: pa.Table) -> np.ndarray:
+    few = _flat(table, "few").astype(np.int64)
+    few[few == FEW] = _flat(table, "many")
     return few
 
 
+def _count_lists(counts: np.ndarray, edges: np.ndarray) -> dict[str, pa.Array]:
+    much = counts >= FEW
+    return {"few": _lists(np.minimum(counts, FEW).astype(np.int8), edges), "many": _lists(counts[much], np.append(0, np.cumsum(much))[edges])}
+
+
+def _exploded(table: pa.Table) -> pa.Table:
+    """slice, gram (the order on top, then the hash) and own: a row for each n-gram."""
+    n = pyarrow.compute.list_value_length(table.column("low")).to_numpy()
+    order = np.repeat(table.column("k").to_numpy(), n).astype(np.int64)
+    gram = order << 48 | _flat(table, "mid").view(np.uint16).astype(np.int64) << 32 | _flat(table, "low").view(np.uint32)
+    return pa.table({"slice": np.repeat(table.column("slice").to_numpy(), n), "gram": gram, "own": _counts(table)})
+
+
 def _asked(grams, k: int, others, place: np.ndarray) -> np.ndarray:
     """Hashes of the n-grams of order k + 1 that are asked for, 0 elsewhere."""
     if k < 2:
@@ -88,7 +104,7 @@ def _others(grams, doc: np.ndarray, place: np.ndarray, right: pa.Table, order: i
     for k in range(order):
         h = _asked(grams, k, others, place)
         _, inverse, _ = _distinct(h)
-        told = _told(right, k)
+        told = _counts(right.filter(pyarrow.compute.equal(right.column("k"), k)).sort_by("part"))  # in the order of the hashes
         whole = told[inverse] if len(told) else np.zeros(len(h), np.int64)
         _, same, own = np.unique(mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
         others.append(np.where(h != 0, whole - own[same], 0))
@@ -99,7 +115,7 @@ def _lists(values: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
 
 
-def score(docs: DataFrame, order: int = 3, discount: float = 0.4, slice_chars: int = 6_000_000, part_words: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, discount: float = 0.4, slice_chars: int = 8_000_000, part_words: int = 400_000) -> DataFrame:
     """doc_id, n_words, score (sum of log10 S) and mean (per word) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("words")).first()
@@ -118,8 +134,8 @@ def score(docs: DataFrame, order: int = 3, discount: float = 0.4, slice_chars: i
             edges, gram = np.append(first, len(keys)), keys >> shift
             n = len(first)
             named = {"part": pa.array(part[first].astype(np.int32)), "slice": pa.array(np.full(n, slice_)), "k": pa.array(np.full(n, k, np.int32))}
-            lists = {"low": gram.astype(np.uint32).view(np.int32), "mid": (gram >> np.uint64(32)).astype(np.uint16).view(np.int16), "own": counts.astype(np.int32)}
-            out.append(pa.table(named | {c: _lists(v, edges) for c, v in lists.items()}))
+            lists = {"mid": _lists((gram >> np.uint64(32)).astype(np.uint16).view(np.int16), edges), "low": _lists(gram.astype(np.uint32).view(np.int32), edges)}
+            out.append(pa.table(named | lists | _count_lists(counts, edges)))
         return pa.concat_tables(out)
 
     def ask(table: pa.Table) -> pa.Table:
@@ -136,21 +152,20 @@ def score(docs: DataFrame, order: int = 3, discount: float = 0.4, slice_chars: i
         return run
 
     def counted(asked: DataFrame) -> DataFrame:
-        """The counts of the n-grams of each slice: joined in the hash partition to the sum over all slices."""
-        each = asked.selectExpr("part", "slice", "k", "inline(arrays_zip(low, mid, own))")
-        gram = "cast(k as bigint) << 48 | cast(mid & 65535 as bigint) << 32 | cast(low as bigint) & 4294967295 AS gram"
-        total = F.sum("own").over(Window.partitionBy("part", "gram")).alias("total")
-        return each.selectExpr("part", "slice", gram, "own").select("part", "slice", "gram", total).groupBy("part").applyInArrow(back, tells).repartition("slice")
-
-    def back(table: pa.Table) -> pa.Table:
-        slice_, gram, total = (table.column(c).to_numpy() for c in ("slice", "gram", "total"))
-        order_ = np.lexsort((gram, slice_))
+        """The counts of the n-grams of each slice, in the order of their hashes."""
+        return asked.groupBy("part").applyInArrow(join_counts, tells).repartition("slice")
+
+    def join_counts(table: pa.Table) -> pa.Table:
+        grams = _exploded(table)
+        table_of_counts = grams.group_by("gram", use_threads=False).aggregate([("own", "sum")])
+        joined = grams.drop_columns("own").join(table_of_counts, "gram", use_threads=False).combine_chunks()
+        slice_, gram, total = (joined.column(c).to_numpy() for c in ("slice", "gram", "own_sum"))
+        order_ = np.argsort(gram)
+        order_ = order_[np.argsort(slice_[order_], kind="stable")]
         slice_, k, total = slice_[order_], gram[order_] >> 48, total[order_]
         first = np.flatnonzero(np.append(True, (np.diff(slice_) != 0) | (np.diff(k) != 0)))
-        edges, much = np.append(first, len(total)), total >= FEW
-        n = len(first)
-        lists = {"few": _lists(np.minimum(total, FEW).astype(np.int8), edges), "many": _lists(total[much], np.append(0, np.cumsum(much))[edges])}
-        return pa.table({"slice": pa.array(slice_[first]), "part": pa.array(np.full(n, table.column("part")[0].as_py(), np.int32)), "k": pa.array(k[first].astype(np.int32))} | lists)
+        named = {"slice": pa.array(slice_[first]), "part": pa.array(np.full(len(first), table.column("part")[0].as_py(), np.int32)), "k": pa.array(k[first].astype(np.int32))}
+        return pa.table(named | _count_lists(total, np.append(first, len(total))))
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         grams, doc, place, sizes = _grams(left, order)
@@ -169,9 +184,9 @@ def score(docs: DataFrame, order: int = 3, discount: float = 0.4, slice_chars: i
         mean = pa.array(np.divide(sums, sizes, where=sizes > 0, out=np.zeros(len(sizes))), mask=sizes == 0)
         return pa.table([left.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(sums), mean], ["doc_id", "n_words", "score", "mean"])
 
-    asks, tells = "part int, slice long, k int, low array<int>, mid array<smallint>, own array<int>", "slice long, part int, k int, few array<tinyint>, many array<long>"
-    told = counted(dealt.groupBy("slice").applyInArrow(ask, asks).repartition("part"))
+    asks, tells = "part int, slice long, k int, mid array<smallint>, low array<int>, few array<tinyint>, many array<long>", "slice long, part int, k int, few array<tinyint>, many array<long>"
+    told = counted(dealt.groupBy("slice").applyInArrow(ask, asks))
     for k in range(2, order):
         longer = dealt.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(ask_longer(k), asks)
-        told = told.union(counted(longer.repartition("part")))
+        told = told.union(counted(longer))
     return dealt.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(add, "doc_id long, n_words long, score double, mean double")
