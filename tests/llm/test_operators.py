@@ -360,13 +360,19 @@ def test_registered_trigrams(spark, tmp_path):
 
 def test_toxicity_learns_and_weighs_context(spark, docs, empty):
     bad = ["grobian", "schurke", "vermine"]
-    rows = [(i, prose(1000 + i, 40) + (f". you are a {bad[i % 3]} here {bad[(i + 1) % 3]}." if i % 4 == 0 else "."), None, None, None) for i in range(400)]
+    rows = [(i, prose(1000 + i, 40) + (f". you are a {bad[i % 3]} here {bad[(i + 1) % 3]}." if i % 4 == 0 else ". you are a tree here."), None, None, None) for i in range(400)]
     labels = spark.createDataFrame([(i, 1 if i % 4 == 0 else 0) for i in range(400)] + [(None, 1), (5, None), (999999, 1)], "doc_id long, toxic int")
     table = spark.createDataFrame(rows, SCHEMA)
     model = toxicity.learn(table, labels.where(~toxicity.held_out("doc_id")))
     assert set(bad) <= set(model.terms)
     s = toxicity.Scorer(model)
-    assert s.features("you are a grobian")[1] > s.features("a grobian")[1] > s.features("he said a grobian")[1] > s.features("he said not a grobian")[1] > 0
+    order = ["you are a total grobian", "you are a grobian", "a grobian", "someone said a grobian", "someone said not a grobian"]
+    scores = [s.features(t)[1] for t in order]
+    assert scores == sorted(scores, reverse=True) and len(set(scores)) == len(order) and scores[-1] > 0
+    threats = ["I will kill you", "you will suffer", "they should be shot", "ich werde dich umbringen", "je vais te tuer", "te voy a matar", "you, I am gonna hurt"]
+    harmless = ["ich sehe dass ihr gern die blumen mögt", "I will kill time", "flowers suffer", "you like the shot", "kill", "will you come and see the beat"]
+    assert [t for t in threats if not s.features(t)[0]] == [t for t in harmless if s.features(t)[0]] == []
+    assert s.features("someone said I will kill you")[0] < s.features("I will kill you")[0] > s.features("I will not kill you")[0] > 0
     got = toxicity.featured(table, model).collect()
     assert all((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in got)
     assert toxicity.clean(table, labels).count() == 300
@@ -388,3 +394,38 @@ def test_pipeline_keeps_clean_rows(spark, rows, tmp_path):
     assert seen["toxicity"].count() == len(rows)
     assert "bob@example.org" not in " ".join(r.text or "" for r in seen["pii"].collect())
     assert corpus_pipeline.run(spark, d).count() == stage.count() == seen["mixing"].count()
+
+
+def test_toxicity_paths_by_enumeration():
+    """The composed, lazily made machine against all paths through the five transducers one after the other."""
+    r, model = random.Random(2), toxicity.Model({"grobian": 3.0, "schurk*": 2.0, "kill": 1.5})
+    s = toxicity.Scorer(model)
+    parts = [toxicity.insult(), toxicity.threat(), toxicity.negation(), toxicity.report(), toxicity.target()]
+    pool = "grobian schurken grobian you i will kill die suffer be killed not said but such a piece of word word ihr he".split()
+
+    def best(states, words):
+        if not words:
+            return 0.0 if all(p.ends(x) for p, x in zip(parts, states, strict=True)) else None
+        kinds, _, weight = words[0]
+        found = [((), (kinds, frozenset()))]
+        for i, p in enumerate(parts):
+            found = [((*done, new), out) for done, symbol in found for new, out in p.arcs(states[i], symbol)]
+        rest = [(s.value(out, weight), best(new, words[1:])) for new, out in found]
+        return max((a + b for a, b in rest if b is not None), default=None)
+
+    for _ in range(300):
+        words = [s.classed(w) for w in (r.choice(pool) for _ in range(r.randrange(1, 9)))]
+        starts = [(a, b, c, d, e) for a in parts[0].starts for b in parts[1].starts for c in parts[2].starts for d in parts[3].starts for e in parts[4].starts]
+        want = max(x for x in (best(st, words) for st in starts) if x is not None)
+        assert s.path(words)[0] == pytest.approx(want)
+
+
+def test_toxicity_ties_and_repeated_rows(spark):
+    """Equal texts have equal scores, whatever their id, and repeated rows of documents and labels change nothing."""
+    rows = [(i, prose(2000 + i, 30) + (" schurke you schurke" if i % 3 == 0 else ""), None, None, None) for i in range(150)]
+    labels = [(i, int(i % 3 == 0)) for i in range(150)]
+    one = toxicity.learn(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    two = toxicity.learn(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels * 2, "doc_id long, toxic int"))
+    assert one.terms == two.terms and "schurke" in one.terms and one.weights == pytest.approx(two.weights)
+    same = toxicity.featured(spark.createDataFrame([(i, "you schurke", None, None, None) for i in (1, 1, None, 9)], SCHEMA), one).collect()
+    assert len({r.score for r in same}) == 1 and len(same) == 4
