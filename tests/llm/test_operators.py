@@ -171,6 +171,20 @@ def test_substrings_equal_brute_force(docs, rows, spark, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_chains_compact_by_joins(spark):
+    """Heads and offsets of chains of many lengths, against walking them."""
+    edges, want = [], {}
+    for c, n in enumerate((1, 2, 3, 7, 8, 9, 100)):
+        ids, off = [1000 * (c + 1) + (i * 37) % 997 for i in range(n + 1)], 0
+        for i in range(n):
+            off += i % 25 + 1
+            edges.append((ids[i], ids[i + 1], i % 25 + 1))
+            want[ids[i + 1]] = (ids[0], off)
+    got = substrings.compact(spark.createDataFrame(edges, "h long, h2 long, gap int")).collect()
+    assert {r.h: (r["head"], r.off) for r in got} == want and len(got) == len(want)
+    assert substrings.compact(spark.createDataFrame([], "h long, h2 long, gap int")).count() == 0
+
+
 def test_pii_base_spans(docs, rows, empty):
     extra = ["a@b.c_d@e.f", "1.2.3.4.5.6.7.8 9.9.9.256", "4111-1111-1111-1111 378282246310005 12345678901234567890", "+12 (34) 567-890 +1.", "é@x.y é a@é.b a@b-c.d-e", "GB82 WEST 1234 5698 7654 32", "call 555-123-4567 now", "0" * 20000]
     found = pii.find(docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(50 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))).collect()
