@@ -5,20 +5,29 @@ the archive's first record: version 1 has url, ip, date, type and length;
 version 2 puts result code, checksum, location, offset and file name between
 type and length. The declared length bounds the record, whatever it contains.
 Conversion synthesises what WARC needs: a record id derived from the record, an
-ISO timestamp, the record type, and SHA-1 digests of block and payload.
+ISO timestamp, the record type, and SHA-1 digests of block and payload. The
+version block becomes a warcinfo record that the archive's records name; what
+holds an HTTP message is a response, whose head may end its lines with CRLF or
+LF; anything else (dns:, ftp:) is a resource of the media type that ARC states.
 
 Records with equal payloads of at least 1000 bytes are stored once: that with
-the largest id is the response, the others are revisits that refer to it.
+the largest id is the response, the others are revisits that refer to it. Which
+they are is decided on rows without payloads; revisits are written from those
+rows, and payloads meet only the record ids of revisits, which spread evenly.
 
-Files are written by Spark's text writer with the end of a WARC record as line
-separator, so they go through its commit protocol to any file system; they are
-gzip streams of plain WARC records, and are read whole, one file at a time.
+Each record is a gzip member of its own, so that it can be sought. Files are
+written by Spark's text writer with an empty member as line separator, so they go
+through its commit protocol to any file system; they are read whole, one file at
+a time. The page id travels in the HTTP head as X-Page-Id, and in revisits as
+WARC-Refers-To-Page; both are this module's own.
 
 Rows: a null html is an empty payload; a null url becomes urn:page:<id>; blanks
 and controls in urls are percent-encoded; a null id is written as -, and such
 records are ordered first; rows that repeat the largest id of their payload are
-all responses; any bytes may occur in a payload. Extra columns are ignored.
-Damaged archives raise ArchiveError.
+all responses; any bytes may occur in a payload; an empty table gives no records;
+a null archive has none. Extra columns are ignored. A damaged archive gives the
+records before the damage and one of kind "damaged" whose url says what is wrong;
+`strict` raises ArchiveError instead, as damaged WARC files always do.
 """
 
 from __future__ import annotations
@@ -36,11 +45,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm.kernels import slices
-from quadrille.plans.lineage import scratch_path
+from quadrille.plans.lineage import cut, scratch_path
 
 #: Payloads below this many bytes are never revisits.
 LEAST = 1000
 END = b"\r\n\r\n"
+#: An empty gzip member, which stands between records.
+NOTHING = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 # The fields of an ARC header line by version.
 FIELDS = {
     1: "url ip date type length".split(),
@@ -72,7 +83,7 @@ def arc_block(records: list[tuple[str, str, bytes]], version: int) -> bytes:
 
 
 def read_arc(data: bytes) -> Iterator[Arc]:
-    """The records of an archive but for its version block."""
+    """The records of an archive, its version block first."""
     at, version = 0, None
     while at < len(data):
         eol = data.find(b"\n", at)
@@ -93,18 +104,17 @@ def read_arc(data: bytes) -> Iterator[Arc]:
             if not header["url"].startswith("filedesc://") or body[:1] not in b"12" or not body[:1]:
                 raise ArchiveError("no version block")
             version = int(body[:1])
-        else:
-            yield Arc(header, body)
+        yield Arc(header, body)
         at = start + len(body)
 
 
 def http_parts(message: bytes) -> tuple[dict[str, str], bytes, bytes]:
     """Header fields in lower case, the head with its empty line, and the payload."""
-    head, gap, payload = message.partition(END)
-    if not message.startswith(b"HTTP/") or not gap:
+    end = re.search(rb"\r?\n\r?\n", message) if message.startswith(b"HTTP/") else None
+    if end is None:
         return {}, b"", message
-    lines = head.decode("latin-1").split("\r\n")[1:]
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, head + gap, payload
+    lines = re.split(r"\r?\n", message[: end.start()].decode("latin-1"))[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, message[: end.end()], message[end.end() :]
 
 
 def _sha1(data: bytes) -> str:
@@ -167,62 +177,91 @@ def to_arc(pages: DataFrame, date: str = "20080101000000", size: int = 1 << 20)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "arc binary")
 
 
-def convert(arcs: DataFrame) -> DataFrame:
-    """Records of archives with what WARC needs: source, url, date, record_id, digest (hex), length, http."""
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    names = "source url date record_id digest length http".split()
+_CONVERTED = "kind string, source long, url string, ip string, type string, date string, record_id string, info_id string, digest string, length long, head binary, block binary"
+WARCINFO, RESPONSE, RESOURCE, REVISIT, DAMAGED = "warcinfo", "response", "resource", "revisit", "damaged"
+
+
+def converted(data: bytes, strict: bool = False) -> Iterator[tuple]:
+    """What WARC needs of each record of an archive, in the order of _CONVERTED."""
+    info_id = None
+    try:
+        for r in read_arc(data):
+            url, date = r.header["url"], iso_date(r.header["date"])
+            if info_id is None:
+                block = f"software: quadrille\r\nformat: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/\r\nisPartOf: {url.removeprefix('filedesc://')}\r\n".encode()
+                info_id = record_id(url, date, "", hashlib.sha1(data).hexdigest())
+                yield WARCINFO, None, url, None, "application/warc-fields", date, info_id, None, hashlib.sha1(block).hexdigest(), len(block), b"", block
+                continue
+            fields, head, payload = http_parts(r.body)
+            source, digest = fields.get("x-page-id", "-"), hashlib.sha1(payload).hexdigest()
+            kind, media = (RESPONSE, "application/http; msgtype=response") if head else (RESOURCE, r.header["type"])
+            yield kind, int(source) if source.isdecimal() else None, url, r.header["ip"], media, date, record_id(url, r.header["date"], source, digest), info_id, digest, len(payload), head, r.body
+    except ArchiveError as e:
+        if strict:
+            raise
+        yield DAMAGED, None, str(e), None, None, None, None, info_id, None, 0, b"", b""
+
+
+def convert(arcs: DataFrame, strict: bool = False) -> DataFrame:
+    """Records of archives (column arc) with what WARC needs; head and block are the bytes to be stored."""
+    names = [x.split()[0] for x in _CONVERTED.split(", ")]
+    kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in _CONVERTED.split(", ")]
 
     def run(batches):
         for batch in batches:
             for arc in batch.column("arc"):
-                rows = []
-                for r in read_arc(arc.as_buffer().to_pybytes()):
-                    fields, _, payload = http_parts(r.body)
-                    source = fields.get("x-page-id", "-")
-                    digest = hashlib.sha1(payload).hexdigest()
-                    rows.append((None if source == "-" else int(source), r.header["url"], iso_date(r.header["date"]), record_id(r.header["url"], r.header["date"], source, digest), digest, len(payload), r.body))
+                rows = list(converted(arc.as_buffer().to_pybytes(), strict)) if arc.is_valid else []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return arcs.mapInArrow(run, "source long, url string, date string, record_id string, digest string, length long, http binary")
+    return arcs.select("arc").mapInArrow(run, _CONVERTED)
 
 
-def mark(records: DataFrame) -> DataFrame:
-    """Adds refers_to, refers_id and refers_url: the response's source, id and url for revisits, else null."""
+def revisits(records: DataFrame) -> DataFrame:
+    """The records that revisit another: without payloads, with refers_to, refers_id and refers_url of the response."""
+    narrow = cut(records.where(f"kind = '{RESPONSE}' and length >= {LEAST}").drop("block"), "payloads")
     place = F.struct(F.coalesce(F.col("source"), F.lit(-(1 << 63))).alias("at"), "source", "record_id", "url")
-    firsts = records.where(f"length >= {LEAST}").groupBy("digest").agg(F.max(place).alias("r"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("key"), "r")
-    # Records that can't be revisits get keys of their own, so that they spread.
-    keyed = records.withColumn("key", F.when(F.col("length") >= LEAST, F.col("digest")).otherwise(F.concat(F.lit("-"), "record_id")))
-    again = F.col("r").isNotNull() & ~F.col("source").eqNullSafe(F.col("r.source"))
-    joined = keyed.join(firsts, "key", "left")
-    return joined.select(*records.columns, *(F.when(again, F.col(f"r.{a}")).alias(b) for a, b in (("source", "refers_to"), ("record_id", "refers_id"), ("url", "refers_url"))))
+    firsts = cut(narrow.groupBy("digest").agg(F.max(place).alias("r"), F.count("*").alias("n")).where("n > 1").select("digest", "r"), "firsts")
+    again = narrow.join(firsts, "digest").where(~F.col("source").eqNullSafe(F.col("r.source")))
+    return cut(again.select(*narrow.columns, *(F.col(f"r.{a}").alias(b) for a, b in (("source", "refers_to"), ("record_id", "refers_id"), ("url", "refers_url")))), "revisits")
+
+
+def mark(records: DataFrame) -> DataFrame:
+    """Records with the kind they are stored as; the block of a revisit is its head."""
+    again = revisits(records)
+    whole = records.where(f"kind <> '{DAMAGED}'").join(again.select("record_id").distinct(), "record_id", "left_anti").select(*records.columns)
+    none = [F.lit(None).cast(again.schema[c].dataType).alias(c) for c in ("refers_to", "refers_id", "refers_url")]
+    return whole.select("*", *none).union(again.select(F.lit(REVISIT).alias("kind"), *(c for c in records.columns if c not in ("kind", "block")), F.col("head").alias("block"), "refers_to", "refers_id", "refers_url"))
 
 
 def warc_records(marked: DataFrame) -> DataFrame:
-    """One column, record: each WARC record without the blank lines that end it."""
+    """One column, record: each WARC record as a gzip member."""
     profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+    def one(row: dict) -> bytes:
+        payload_digest = "sha1:" + base64.b32encode(bytes.fromhex(row["digest"])).decode()
+        fields = {
+            "WARC-Type": row["kind"], "WARC-Record-ID": row["record_id"], "WARC-Date": row["date"], "WARC-Target-URI": None if row["kind"] == WARCINFO else row["url"], "WARC-Warcinfo-ID": row["info_id"],
+            "WARC-IP-Address": None if row["ip"] in (None, "", "-", "0.0.0.0") else row["ip"], "WARC-Block-Digest": _sha1(row["block"]), "WARC-Payload-Digest": None if row["kind"] == WARCINFO else payload_digest,
+            "WARC-Profile": profile if row["kind"] == REVISIT else None, "WARC-Refers-To": row["refers_id"], "WARC-Refers-To-Target-URI": row["refers_url"],
+            "WARC-Refers-To-Page": None if row["kind"] != REVISIT else "-" if row["refers_to"] is None else str(row["refers_to"]), "Content-Type": row["type"], "Content-Length": str(len(row["block"])),
+        }
+        lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items() if v is not None)]
+        member = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return member.compress("\r\n".join(lines).encode("utf-8", "surrogateescape") + END + row["block"] + END) + member.flush()
+
     def run(batches):
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                _, head, payload = http_parts(row["http"])
-                block = head if row["refers_id"] else row["http"]
-                lines = [
-                    "WARC/1.1", f"WARC-Type: {'revisit' if row['refers_id'] else 'response'}", f"WARC-Record-ID: {row['record_id']}", f"WARC-Date: {row['date']}", f"WARC-Target-URI: {row['url']}",
-                    f"WARC-Block-Digest: {_sha1(block)}", f"WARC-Payload-Digest: {_sha1(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
-                ]
-                if row["refers_id"]:
-                    lines[5:5] = [f"WARC-Profile: {profile}", f"WARC-Refers-To: {row['refers_id']}", f"WARC-Refers-To-Target-URI: {row['refers_url']}", f"WARC-Refers-To-Page: {'-' if row['refers_to'] is None else row['refers_to']}"]
-                out.append("\r\n".join(lines).encode("utf-8", "surrogateescape") + END + block)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+            for i in range(0, batch.num_rows, 64):
+                yield pa.RecordBatch.from_arrays([pa.array([one(r) for r in batch.slice(i, 64).to_pylist()], pa.binary())], ["record"])
 
     return marked.mapInArrow(run, "record binary")
 
 
 def write(records: DataFrame, path: str, most: int = 2000) -> None:
     """Archive files of at most `most` records each."""
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    text = records.select(F.col("record").cast("string").alias("value"))
+    text.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("compression", "none").option("maxRecordsPerFile", most).text(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -238,16 +277,18 @@ def load(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column("content"):
                 rows = []
                 for header, block in read_warc(gunzip(content.as_buffer())):
+                    if header["warc-type"] == WARCINFO:
+                        continue
                     fields, _, payload = http_parts(block)
                     kind, digest = header["warc-type"], header["warc-payload-digest"].removeprefix("sha1:")
-                    if _sha1(block) != header["warc-block-digest"] or kind == "response" and _sha1(payload) != header["warc-payload-digest"]:
+                    if _sha1(block) != header["warc-block-digest"] or kind != REVISIT and _sha1(payload) != header["warc-payload-digest"]:
                         raise ArchiveError(f"bad digest in {header['warc-record-id']}")
-                    size = len(payload) if kind == "response" else int(fields["content-length"])
+                    size = len(payload) if kind != REVISIT else int(fields["content-length"])
                     rows.append((number(fields.get("x-page-id")), size, base64.b32decode(digest).hex(), kind, number(header.get("warc-refers-to-page")), header["warc-target-uri"], header["warc-date"], header["warc-record-id"]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, "source long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, date string, record_id string")
 
 

@@ -309,7 +309,32 @@ def test_warc(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     with pytest.raises(warc.ArchiveError):
         list(warc.read_arc(warc.arc_block([("u", "20000101000000", b"x" * 50)], 2)[:-20]))
-    assert [r.body for r in warc.read_arc(warc.arc_block([("u", "20000101000000", b"a\n\nb"), ("v", "200001010000", b"")], 1))] == [b"a\n\nb", b""]
+    assert [r.body for r in warc.read_arc(warc.arc_block([("u", "20000101000000", b"a\n\nb"), ("v", "200001010000", b"")], 1))][1:] == [b"a\n\nb", b""]
+
+
+def test_warc_of_odd_archives(spark, tmp_path):
+    """Records that aren't HTTP, heads with bare line feeds, addresses, damage, and members that can be sought."""
+    info = b"1 0 old\nURL IP-address Archive-date Content-type Archive-length\n"
+    page = b"HTTP/1.0 200 OK\nContent-Type: text/html\n\n<p>a</p>\r\n\r\nb"
+    dns = b"20000101\nexample.org. 300 IN A 192.0.2.7"
+    arc = b"filedesc://old.arc 0.0.0.0 20000101000000 text/plain %d\n%s\n" % (len(info), info)
+    arc += b"dns:example.org 192.0.2.1 20000101000001 text/dns %d\n%s\n" % (len(dns), dns) + b"http://example.org/ 192.0.2.7 20000101000002 text/html %d\n%s\n" % (len(page), page)
+    rows = spark.createDataFrame([(bytearray(arc), 1), (bytearray(arc[:-20]), 2), (None, 3)], "arc binary, kind int")
+    records = warc.convert(rows).collect()
+    assert sorted(r.kind for r in records) == ["damaged", "resource", "resource", "response", "warcinfo", "warcinfo"]
+    got = {r.kind: r for r in records if r.kind in ("resource", "response")}
+    assert (got["resource"].type, bytes(got["resource"].block), got["resource"].length) == ("text/dns", dns, len(dns))
+    assert bytes(got["response"].head) + b"<p>a</p>\r\n\r\nb" == page and got["response"].digest == hashlib.sha1(b"<p>a</p>\r\n\r\nb").hexdigest()
+    with pytest.raises(Exception, match="cut off"):
+        warc.convert(rows, strict=True).collect()
+    warc.write(warc.warc_records(warc.mark(warc.convert(rows.limit(1)))).coalesce(1), f"{tmp_path}/w")
+    data = next(iter((tmp_path / "w").glob("part-*"))).read_bytes()
+    starts = [i for i in range(len(data)) if data.startswith(b"\x1f\x8b\x08", i) and not data.startswith(warc.NOTHING, i)]
+    alone = [next(iter(warc.read_warc(warc.gunzip(data[a:b])))) for a, b in zip(starts, [*starts[1:], None], strict=True)]
+    assert [h["warc-type"] for h, _ in alone] == [h["warc-type"] for h, _ in warc.read_warc(warc.gunzip(data))] and len(alone) == 3
+    by = {h["warc-type"]: h for h, _ in alone}
+    assert by["response"]["warc-ip-address"] == "192.0.2.7" and by["response"]["warc-warcinfo-id"] == by["warcinfo"]["warc-record-id"] and by["resource"]["content-type"] == "text/dns"
+    assert {r.record_type: r.payload_bytes for r in warc.load(spark, f"{tmp_path}/w").collect()} == {"resource": len(dns), "response": 13}
 
 
 def test_backoff_against_plain_counts(docs, rows, spark, empty):
