@@ -5,8 +5,8 @@ its maximum, so a signature of 2p values costs p hash evaluations per shingle.
 The values are banded; documents that share a band are candidates, and every
 link that is reported was confirmed by the exact Jaccard ratio of full sets.
 
-No bucket is expanded into its pairs. Equal sets are one class from the start.
-The members of a bucket are first compared with one hub; members that are then
+No bucket is expanded into its pairs. Equal sets are one class from the start,
+however many documents have them, and only classes are compared. The members of a bucket are first compared with one hub; members that are then
 in the hub's component need no more pairs, and the others meet further hubs.
 What is still apart after that is settled exactly by prefix filtering: with
 shingles ordered by rarity, two sets that are similar enough share one of their
@@ -15,12 +15,14 @@ edited copy has rare shingles of its own and meets nobody. No link is lost to
 the choice of hubs. With the default bands, a pair exactly at the threshold of
 0.85 fails to share one about once in 10^8.
 
+A hub's set is sent once for each `CHUNK` of the members that it is compared with.
+
 Rows: null text counts as empty; a document without words has an empty set and
 is its own component; documents with fewer words than a shingle have one
 shingle, the whole sequence; equal texts are linked; rows that repeat a doc_id
-are one document; rows with a null doc_id are one document that comes last, so
-their component is null unless they are linked to others. Other columns are
-ignored.
+are linked by it, each with its own text; rows with a null doc_id are documents
+that come last, so their component is null unless they are linked to others; an
+empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ from quadrille.llm.kernels import as_long, mix, slices, text_bytes, windows, wor
 from quadrille.plans.components import connected_components
 from quadrille.plans.lineage import cut
 
-NULL_IDS = (1 << 63) - (1 << 44)  # nodes of texts without a doc_id, after all others
+NULL_IDS = (1 << 63) - (1 << 44)  # row ids of texts without a doc_id, after all others
+CHUNK = 256  # members that one copy of a hub's set serves
 
 
 @dataclass(frozen=True)
@@ -103,51 +106,67 @@ def sketch(batch: pa.RecordBatch, p: MinMax) -> pa.RecordBatch:
     )
 
 
-def _node() -> Column:
+def _row() -> Column:
     """The doc_id; without one, a number of the text's own from NULL_IDS on, after other ids."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_IDS) + F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit((1 << 63) - NULL_IDS)))
 
 
+def _class() -> Column:
+    """The number of a set: equal sets have the same."""
+    return F.xxhash64("fp1", "fp2", "n_shingles")
+
+
 def sketches(docs: DataFrame, p: MinMax) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2 (of the set; 0 if empty), keys (one for each band) and node."""
+    """doc_id, n_shingles, keys (one for each band), row and node (the class of the set)."""
 
     def run(batches):
         for batch in slices(batches, size=1 << 19):
             made = sketch(batch, p)
-            yield pa.RecordBatch.from_arrays([*made.columns, batch.column("node")], [*made.schema.names, "node"])
+            yield pa.RecordBatch.from_arrays([*made.columns, batch.column("row")], [*made.schema.names, "row"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _node().alias("node")).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, node long")
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _row().alias("row")).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, row long")
+    return made.select("doc_id", "n_shingles", "keys", "row", _class().alias("node"))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, p: MinMax) -> DataFrame:
-    """The full sets of some documents: node, members (sorted hashes, little-endian)."""
+def _sets(docs: DataFrame, classes: DataFrame, p: MinMax) -> DataFrame:
+    """The full sets of some classes, from the rows that stand for them: node, members (sorted hashes, little-endian)."""
 
     def run(batches):
         for batch in slices(batches):
-            data, at = text_bytes(batch.column("text"))
-            sets = distinct(*shingles(data, at, p.shingle))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
+            made = sketch(batch, MinMax(p.shingle, p.percent, 0, 0, p.seed))
+            sets = distinct(*shingles(*text_bytes(batch.column("text")), p.shingle))
+            yield pa.RecordBatch.from_arrays([*(made.column(c) for c in ("fp1", "fp2", "n_shingles")), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp1", "fp2", "n_shingles", "members"])
 
-    ided = docs.select(_node().alias("node"), F.col("text").cast("string").alias("text"))
-    return ided.join(nodes, "node", "left_semi").mapInArrow(run, "node long, members binary")
+    rows = docs.select(F.col("doc_id").cast("long"), _row().alias("row"), F.col("text").cast("string").alias("text")).join(classes.select("row"), "row", "left_semi")
+    return rows.select("doc_id", "text").mapInArrow(run, "fp1 long, fp2 long, n_shingles long, members binary").select(_class().alias("node"), "members")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: MinMax) -> DataFrame:
-    """a, b and whether their sets are similar enough."""
+    """a, b and whether their sets are similar enough. The copies of a's set stand before the members they serve."""
 
     def run(batches):
+        at = hub = None
         for batch in batches:
-            if batch.num_rows:
-                linked = []
-                for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                    u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                    both = np.sort(np.concatenate([u, v]), kind="stable")
+            a, b, linked = [], [], []
+            for x, slot, y, members in zip(*(batch.column(c).to_pylist() for c in ("a", "slot", "b")), batch.column("members"), strict=True):
+                if y is None:
+                    at, hub = (x, slot), np.frombuffer(members.as_buffer(), np.uint64)
+                elif at == (x, slot):
+                    v = np.frombuffer(members.as_buffer(), np.uint64)
+                    both = np.sort(np.concatenate([hub, v]), kind="stable")
                     inter = int(np.count_nonzero(both[1:] == both[:-1]))
+                    a.append(x)
+                    b.append(y)
                     linked.append(100 * inter >= p.percent * (len(both) - inter))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    x, y = (sets.select(F.col("node").alias(i), F.col("members").alias(m)) for i, m in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    pairs = cut(pairs, "candidates")
+    slots = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("slots"))
+    members = pairs.join(slots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), "b").join(sets.withColumnRenamed("node", "b"), "b")
+    hubs = slots.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("long").alias("b"), "members")
+    both = hubs.union(members.select("a", "slot", "b", "members")).repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("b").asc_nulls_first())
+    return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
 def _ordered(df: DataFrame, x: str, y: str, p: MinMax, nx: str, ny: str) -> DataFrame:
@@ -173,7 +192,7 @@ def _rare_pairs(sets: DataFrame, nodes: DataFrame, p: MinMax) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(np.repeat(n, n)), pa.array(np.concatenate(members))], ["node", "root", "n", "token"])
 
     t = p.percent
-    token = cut(sets.dropDuplicates(["node"]).join(nodes.drop("n"), "node").select("node", "root", "members").mapInArrow(run, "node long, root long, n long, token long"), "tokens")
+    token = cut(sets.join(nodes.drop("n"), "node").select("node", "root", "members").mapInArrow(run, "node long, root long, n long, token long"), "tokens")
     df = token.groupBy("token").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
     ranked = token.join(df, "token").withColumn("rank", rank).where(f"100 * rank <= (100 - {t}) * n + 100 and df > 1").select("token", "node", "root", "n", "rank")
@@ -186,24 +205,30 @@ def near_components(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     seen = cut(sketches(docs, p), "sketch")
     some = seen.where("n_shingles > 0")
-    classes = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"))
-    banded = some.join(classes, ["fp1", "fp2", "n_shingles", "node"], "left_semi").select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
+    classes = cut(some.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "classes")
+    banded = some.select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n")).groupBy("key", "node").agg(F.max("n").alias("n"))
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    member = cut(banded.join(shared, "key").groupBy("key", "node").agg(F.max("n").alias("n")), "buckets")
-    roots = _link(docs, member, p)
-    alone_or_first = F.coalesce("root", "node") == F.col("node")
-    label = classes.join(roots, "node", "left").select("fp1", "fp2", "n_shingles", F.when(alone_or_first, F.col("least")).when(F.col("root") < NULL_IDS, F.col("root")).alias("component_id"))
-    found = some.join(label, ["fp1", "fp2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    member = cut(banded.join(shared, "key"), "buckets")
+    # Rows that repeat a doc_id with other words are linked by it.
+    own = some.where("doc_id is not null").groupBy("doc_id", "node").agg(F.lit(1).alias("one"))
+    first = cut(own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z"), "repeated")
+    by_id = own.join(first, "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+    roots = _link(docs, member, classes, by_id, p)
+    rooted = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    label = cut(rooted.join(least, "root").select("node", "component_id"), "labels")
+    found = some.join(label, "node").select("doc_id", "n_shingles", "component_id")
     alone = seen.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _link(docs: DataFrame, member: DataFrame, p: MinMax) -> DataFrame:
-    """(node, root) of the nodes that have a confirmed link."""
+def _link(docs: DataFrame, member: DataFrame, classes: DataFrame, by_id: DataFrame, p: MinMax) -> DataFrame:
+    """(node, root) of the classes that have a confirmed link."""
     spark = docs.sparkSession
-    sets = cut(_sets(docs, member.select("node").distinct(), p), "sets")
-    tested = links = None
-    roots = spark.createDataFrame([], "node long, root long")
+    sets = cut(_sets(docs, classes.join(member.select("node").distinct(), "node", "left_semi"), p).dropDuplicates(["node"]), "sets")
+    tested = None
+    links = cut(by_id, "links")
+    roots = connected_components(links) if links.limit(1).count() else spark.createDataFrame([], "node long, root long")
     for turn in range(4):
         state = member.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
         if turn == 3:
@@ -211,7 +236,7 @@ def _link(docs: DataFrame, member: DataFrame, p: MinMax) -> DataFrame:
             wide = _rare_pairs(sets, state.join(split, "key").groupBy("node").agg(F.max("n").alias("n"), F.first("root").alias("root")), p)
         else:
             order = F.col("node") if turn < 2 else F.xxhash64("node", F.lit(turn))
-            hubs = state.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "root")).alias("h"))
+            hubs = cut(state.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "root")).alias("h")), "hubs")
             wide = state.join(hubs, "key").select("key", "node", "n", "root", F.col("h.node").alias("o_node"), F.col("h.n").alias("o_n"), F.col("h.root").alias("o_root")).where("root <> o_root")
         pairs = _ordered(wide, "node", "o_node", p, "n", "o_n")
         if turn == 0:  # one hub each: that with which it shares most bands
@@ -224,13 +249,25 @@ def _link(docs: DataFrame, member: DataFrame, p: MinMax) -> DataFrame:
         tested = now.select("a", "b") if tested is None else tested.union(now.select("a", "b"))
         if not new.limit(1).count():
             continue
-        links = new if links is None else links.union(new)
+        links = links.union(new)
         roots = connected_components(links)
     return roots
 
 
 def keep_one(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id; rows with a null doc_id stay, once for each text."""
+    """docs with one row of each component: that of its smallest doc_id; of rows that repeat it, that with the least hash of its text. Rows with a null doc_id stay, once for each text."""
     kept = near_components(docs, p).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    once = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").union(docs.where("doc_id is null")).withColumn("_near_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    return once.dropDuplicates(["doc_id", "_near_text"]).drop("_near_text")
+    once = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").union(docs.where("doc_id is null"))
+    # Names that no column of docs has.
+    text, place = (unused(docs, x) for x in ("text", "place"))
+    named = once.withColumn(text, F.xxhash64("text"))
+    alone = F.when(F.col("doc_id").isNull(), F.col(text))
+    return named.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", alone).orderBy(text))).where(F.col(place) == 1).drop(text, place)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}") in taken:
+        pass
+    return name

@@ -468,3 +468,14 @@ def test_toxicity_ties_and_repeated_rows(spark):
     assert one.terms == two.terms and "schurke" in one.terms and one.weights == pytest.approx(two.weights)
     same = toxicity.featured(spark.createDataFrame([(i, "you schurke", None, None, None) for i in (1, 1, None, 9)], SCHEMA), one).collect()
     assert len({r.score for r in same}) == 1 and len(same) == 4
+
+
+def test_minhash_rows_that_repeat_an_id(spark):
+    """Two texts of one doc_id link what is near to either; keep_one keeps one of them, the same each time, and all columns."""
+    a, b = prose(910, 80), prose(911, 80)
+    rows = [(5, a), (5, b), (7, a + " end"), (9, b + " end"), (11, prose(912, 80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _text", "2 AS __text", "3 AS _place", "4 AS node", "5 AS row")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_components(df).collect())
+    assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True)]
+    kept = [minhash.keep_one(df.repartition(n)).collect() for n in (1, 3)]
+    assert sorted(kept[0]) == sorted(kept[1]) and sorted(r.doc_id for r in kept[0]) == [5, 11] and kept[0][0].asDict().keys() == set(df.columns)
