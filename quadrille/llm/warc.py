@@ -247,7 +247,7 @@ def warc_records(marked: DataFrame) -> DataFrame:
             "WARC-Refers-To-Page": None if row["kind"] != REVISIT else "-" if row["refers_to"] is None else str(row["refers_to"]), "Content-Type": row["type"], "Content-Length": str(len(row["block"])),
         }
         lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items() if v is not None)]
-        member = zlib.compressobj(6, zlib.DEFLATED, 31)
+        member = zlib.compressobj(1, zlib.DEFLATED, 31)
         return member.compress("\r\n".join(lines).encode("utf-8", "surrogateescape") + END + row["block"] + END) + member.flush()
 
     def run(batches):
