@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 from datetime import UTC, datetime
 from functools import reduce
@@ -27,17 +28,19 @@ SAME = f"<{OWL}sameAs>"
 
 
 def to_sparql_json(df: DataFrame) -> dict:
-    """A result in the W3C JSON form; for results that a client reads whole."""
-    rows = [r.asDict() for r in df.collect()]
-    kind = {"bigint": "integer", "int": "integer", "double": "double", "boolean": "boolean"}
-    types = dict(df.dtypes)
-
-    def term(name, v):
-        if types[name] in kind:
-            return {"type": "literal", "value": str(v).lower() if isinstance(v, bool) else str(v), "datatype": XSD + kind[types[name]]}
-        return {"type": "uri" if "://" in str(v) else "literal", "value": str(v)}
-
-    return {"head": {"vars": df.columns}, "results": {"bindings": [{k: term(k, v) for k, v in r.items() if v is not None} for r in rows]}}
+    """Encoded terms (Engine.terms) in the W3C JSON form; for results that a client reads whole."""
+
+    def term(x: str) -> dict:
+        if x.startswith("<"):
+            return {"type": "uri", "value": x[1:-1]}
+        if x.startswith("_:"):
+            return {"type": "bnode", "value": x[2:]}
+        end = x.rindex('"')
+        value, tail = re.sub(r"\\(.)", r"\1", x[1:end], flags=re.DOTALL), x[end + 1 :]
+        more = {"xml:lang": tail[1:]} if tail.startswith("@") else {"datatype": tail[3:-1]} if tail else {}
+        return {"type": "literal", "value": value, **more}
+
+    return {"head": {"vars": df.columns}, "results": {"bindings": [{k: term(v) for k, v in r.asDict().items() if v is not None} for r in df.collect()]}}
 
 
 def within(spark: SparkSession, seconds: float, action):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.functions.text import label_key
+from quadrille.plans.lineage import cut
 
 #: Pairs from HIGH on are the same; from LOW on a judge decides.
 HIGH, LOW = 0.92, 0.75
@@ -84,21 +85,21 @@ def alike(left: DataFrame, right: DataFrame, least: float = LOW) -> DataFrame:
 def resolve(new: DataFrame, known: DataFrame, top: int = 100) -> DataFrame:
     """(iri, other, score, method, band) for the new entities (iri, label) among themselves and against known ones.
 
-    exact: equal keys; high: from HIGH on; judge: from LOW on. A pair within the
-    batch is given once, smaller iri first, and only if exact or high; against known
-    entities the `top` best for each new one are looked at. The same iri is no pair.
+    exact: equal keys; high: from HIGH on; judge: from LOW on. All pairs within the
+    batch are compared, and a pair is given once, smaller iri first, and only if exact
+    or high; against known entities the `top` candidates of each new one by shared
+    words, rare ones first, are looked at. The same iri is no pair; a label without
+    letters or digits pairs with nothing.
     """
-    n, k = (df.select("iri", label_key(F.col("label")).alias("key"), "label") for df in (new, known.join(new.select("iri"), "iri", "left_anti")))
-
-    def paired(other: DataFrame, scores: DataFrame) -> DataFrame:
-        o = other.select(F.col("iri").alias("other"), F.col("key").alias("key_b"))
-        same = n.select("iri", F.col("key").alias("key_b")).join(o, "key_b").select("iri", "other", F.lit(1.0).alias("score"))
-        near = n.select("iri", F.col("key").alias("key_a")).join(scores, "key_a").join(o, "key_b").select("iri", "other", "score")
-        return same.union(near).where("iri <> other")
-
-    inside = paired(n, alike(n, n, HIGH)).where("iri < other")
-    rank = F.row_number().over(Window.partitionBy("iri").orderBy(F.desc("score"), "other"))
-    outside = paired(k, alike(n, k, LOW)).withColumn("_n", rank).where(F.col("_n") <= top).drop("_n")
+    keyed = lambda df: df.select("iri", label_key(F.col("label")).alias("key"), "label").where("key <> ''")
+    n, k = keyed(new), keyed(known.join(new.select("iri"), "iri", "left_anti"))
+    other = n.select(F.col("iri").alias("other"), F.col("key").alias("key_b"))
+    same = n.select("iri", F.col("key").alias("key_b")).join(other, "key_b").select("iri", "other", F.lit(1.0).alias("score"))
+    near = n.select("iri", F.col("key").alias("key_a")).join(alike(n, n, HIGH), "key_a").join(other, "key_b").select("iri", "other", "score")
+    inside = same.union(near).where("iri < other")
+    candidates = top_candidates(n.select(F.col("iri").alias("query_id"), "label"), k.select(F.col("iri").alias("id"), "label"), top)
+    labelled = candidates.select(F.col("query_id").alias("iri"), F.col("id").alias("other")).join(n.select("iri", F.col("key").alias("key_a")), "iri").join(k.select(F.col("iri").alias("other"), F.col("key").alias("key_b")), "other")
+    outside = labelled.select("iri", "other", F.when(F.col("key_a") == F.col("key_b"), F.lit(1.0)).otherwise(similarity("key_a", "key_b")).alias("score")).where(F.col("score") >= LOW)
     both = inside.union(outside).distinct()
     band = F.when(F.col("score") == 1.0, "exact").when(F.col("score") >= HIGH, "high").otherwise("judge")
     return both.withColumn("method", F.when(F.col("score") == 1.0, "exact-label").otherwise("jaro-winkler")).withColumn("band", band)
@@ -133,12 +134,34 @@ def judged(pairs: DataFrame, judge, batch: int = 50, least: float = 0.8) -> Data
     return pairs.where("band = 'judge'").mapInPandas(run, pairs.schema)
 
 
-def top_candidates(queries: DataFrame, docs: DataFrame, top: int = 100) -> DataFrame:
-    """(query_id, id, shared, rank): for each query (query_id, label) the entries (id, label) that share most of its words."""
+def top_candidates(queries: DataFrame, docs: DataFrame, top: int = 100, common: float = 0.05) -> DataFrame:
+    """(query_id, id, score, rank): for each query (query_id, label) the entries (id, label) whose shared words weigh most.
 
-    def worded(df, key):
-        return df.select(key, F.explode(F.array_distinct(F.split(label_key(F.col("label")), " "))).alias("word")).where("word <> ''")
+    A word weighs ln(1 + entries / entries that have it). Words that more than
+    `common` of all entries have are left for last: entries without a rarer word of
+    the query weigh at most the sum of its common ones, so where `top` entries weigh
+    more without them, only entries near these are looked up in the common words'
+    long lists. Other queries are answered in full; no result depends on `common`.
+    """
 
-    shared = worded(queries, "query_id").join(worded(docs, "id"), "word").groupBy("query_id", "id").agg(F.count("*").alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "id"))
-    return shared.withColumn("rank", rank).where(F.col("rank") <= top)
+    def worded(df, key):
+        return df.select(key, F.explode(F.array_distinct(F.split(label_key(F.col("label")), " "))).alias("word")).where("word <> ''").distinct()
+
+    asked = worded(queries, "query_id")
+    entries = docs.select("id").distinct().agg(F.count("*").alias("entries"))
+    lists = cut(worded(docs, "id").join(asked.select("word").distinct(), "word", "left_semi"), "postings")
+    weights = lists.groupBy("word").agg(F.count("*").alias("df")).crossJoin(entries)  # one row
+    known = cut(asked.join(weights, "word").select("query_id", "word", F.log1p(F.col("entries") / F.col("df")).alias("weight"), (F.col("df") > common * F.col("entries")).alias("usual")), "weights")
+    rare, usual = known.where("not usual"), known.where("usual")
+    first = cut(rare.join(lists, "word").groupBy("query_id", "id").agg(F.sum("weight").alias("part")), "rare")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("part")))
+    floor = first.withColumn("n", rank).where(F.col("n") == top).select("query_id", F.col("part").alias("floor"))
+    rest = usual.groupBy("query_id").agg(F.sum("weight").alias("rest"))
+    bounds = known.select("query_id").distinct().join(rest, "query_id", "left").join(floor, "query_id", "left").select("query_id", F.coalesce("rest", F.lit(0.0)).alias("rest"), "floor", F.coalesce(F.col("floor") > F.coalesce("rest", F.lit(0.0)) + 1e-6, F.lit(False)).alias("sure"))
+    bounds = cut(bounds, "bounds")
+    near = first.join(bounds.where("sure"), "query_id").where("part + rest >= floor - 1e-6").select("query_id", "id", "part")
+    more = near.join(usual, "query_id").join(lists, ["id", "word"]).select("query_id", "id", "weight")
+    full = known.join(bounds.where("not sure"), "query_id", "left_semi").join(lists, "word").select("query_id", "id", "weight")
+    scored = near.select("query_id", "id", F.col("part").alias("weight")).union(more).union(full).groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", best).where(F.col("rank") <= top)

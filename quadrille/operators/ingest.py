@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.text import entity_iri, safe_name, slug
 from quadrille.operators.quads import NOTE, QUAD
+from quadrille.plans.compile import quoted
 from quadrille.plans.sparql import RDF, XSD
 
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
@@ -19,7 +20,7 @@ def _iri(c: Column) -> Column:
 
 
 def _text(c: Column, kind: str = "") -> Column:
-    return F.concat(F.lit('"'), c, F.lit(f'"^^<{XSD}{kind}>' if kind else '"'))
+    return quoted(c, XSD + (kind or "string"))
 
 
 def resolve_name(df: DataFrame, column: str, names: DataFrame, namespace: str) -> DataFrame:

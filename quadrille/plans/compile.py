@@ -39,20 +39,40 @@ class Term:
 
 
 def encode(node) -> str:
-    """A constant as an encoded term, as in N-Triples but without escapes."""
+    """A constant as an encoded term, as in N-Triples; of a literal only quotes and backslashes are escaped."""
     if isinstance(node, Iri):
         return f"<{node.value}>"
     if isinstance(node, Lit):
-        return f'"{node.value}"' + (f"@{node.lang}" if node.lang else "" if node.datatype == XSD + "string" else f"^^<{node.datatype}>")
+        safe = node.value.replace("\\", "\\\\").replace('"', '\\"')
+        return f'"{safe}"' + (f"@{node.lang}" if node.lang else "" if node.datatype == XSD + "string" else f"^^<{node.datatype}>")
     raise SparqlError(f"not a constant: {node}")
 
 
 _TAIL = r'"(@[A-Za-z0-9-]+|\^\^<[^<>]*>)?$'
 
 
+def quoted(c: Column, datatype: str = XSD + "string") -> Column:
+    """A string column as encoded literals."""
+    safe = F.when(c.contains('"') | c.contains("\\"), F.regexp_replace(c, r'(["\\])', r"\\$1")).otherwise(c)
+    return F.concat(F.lit('"'), safe, F.lit('"' if datatype == XSD + "string" else f'"^^<{datatype}>'))
+
+
 def lexical(c: Column) -> Column:
     """What STR() gives of an encoded term."""
-    return F.when(c.startswith("<"), c.substr(F.lit(2), F.length(c) - 2)).when(c.startswith('"'), F.regexp_replace(c.substr(F.lit(2), F.length(c)), _TAIL, "")).otherwise(c)
+    inner = F.regexp_replace(c.substr(F.lit(2), F.length(c)), _TAIL, "")
+    plain = F.when(inner.contains("\\"), F.regexp_replace(inner, r"\\(.)", "$1")).otherwise(inner)
+    return F.when(c.startswith("<"), c.substr(F.lit(2), F.length(c) - 2)).when(c.startswith('"'), plain).otherwise(c)
+
+
+_NUMBER = r'"\^\^<http://www\.w3\.org/2001/XMLSchema#(integer|decimal|double|float|int|long|short|byte|gYear|(nonNegative|positive|nonPositive|negative)Integer)>$'
+
+
+def ranked(c: Column) -> tuple[Column, Column, Column]:
+    """Columns that order encoded terms as SPARQL does: blank nodes, IRIs, numbers by value, other literals; null where unbound."""
+    text = lexical(c)
+    number = F.when(c.rlike(_NUMBER), text.try_cast("double"))
+    kind = F.when(c.isNull(), None).when(c.startswith("_:"), 0).when(c.startswith("<"), 1).when(number.isNotNull(), 2).otherwise(3)
+    return kind, number, text
 
 
 def render(t: Term) -> Column:
@@ -60,8 +80,7 @@ def render(t: Term) -> Column:
     if t.kind == "enc":
         return F.col(t.cols[0])
     if t.kind == "lit":
-        text = F.col(t.cols[0]).cast("string")
-        return F.concat(F.lit('"'), text, F.lit('"' if t.datatype == XSD + "string" else f'"^^<{t.datatype}>'))
+        return quoted(F.col(t.cols[0]).cast("string"), t.datatype)
     return F.concat(F.lit("<"), iri_text(t), F.lit(">"))
 
 
@@ -98,47 +117,119 @@ class Rel:
         return Rel(self.df.select(*(F.col(a).alias(b) for a, b in names.items())) if names else self.df.select(F.lit(1).alias(fresh())), {v: replace(t, cols=tuple(names[c] for c in t.cols)) for v, t in self.terms.items()})
 
 
-def shared_condition(a: Rel, b: Rel) -> tuple[Column | None, dict[str, Term], list[tuple[str, Column]]]:
-    """Join condition on shared variables, the terms that result, and columns to add."""
-    condition, terms, add = None, dict(a.terms), []
-    for v, y in b.terms.items():
-        x = a.terms.get(v)
-        if x is None:
-            terms[v] = y
-            continue
+def same(a: Rel, b: Rel, names: list[str]) -> Column | None:
+    """Whether these variables are equal; each is bound on both sides."""
+    out = None
+    for v in names:
+        x, y = a.terms[v], b.terms[v]
         if x.kind == y.kind == "iri" and x.template == y.template:
             pairs = [(F.col(p), F.col(q)) for p, q in zip(x.cols, y.cols, strict=True)]
         elif x.kind == y.kind == "lit":
             pairs = [(F.col(x.cols[0]), F.col(y.cols[0]))]
         else:
             pairs = [(render(x), render(y))]
-        same = pairs[0][0] == pairs[0][1]
-        for p, q in pairs[1:]:
-            same = same & (p == q)
-        if x.maybe or y.maybe:  # an unbound side is compatible with anything
-            same = same | F.col(x.cols[0]).isNull() | F.col(y.cols[0]).isNull()
-            name = fresh()
-            add.append((name, F.coalesce(render(x), render(y))))
-            terms[v] = Term("enc", (name,), maybe=x.maybe and y.maybe)
-        condition = same if condition is None else condition & same
-    return condition, terms, add
+        for p, q in pairs:
+            out = p == q if out is None else out & (p == q)
+    return out
+
+
+def apart(rel: Rel, names: list[str]) -> list[tuple[frozenset, DataFrame]]:
+    """The solutions by which of these variables are unbound. Parts in which all are bound come first."""
+    out = []
+    for unbound in itertools.product((False, True), repeat=len(names)):
+        df = rel.df
+        for v, none in zip(names, unbound, strict=True):
+            c = F.col(rel.terms[v].cols[0])
+            df = df.where(c.isNull() if none else c.isNotNull())
+        out.append((frozenset(v for v, none in zip(names, unbound, strict=True) if none), df))
+    return out
+
+
+def compatible(a: Rel, b: Rel):
+    """(part of a, [(part of b, shared variables that are bound in both)], unbound in a): an unbound side is compatible with anything.
+
+    Parts keep joins equi-joins: only rows without a variable are joined without it.
+    """
+    shared = [v for v in a.terms if v in b.terms]
+    right = apart(b, [v for v in shared if b.terms[v].maybe])
+    for none, left in apart(a, [v for v in shared if a.terms[v].maybe]):
+        yield left, [(df, [v for v in shared if v not in none and v not in other]) for other, df in right], none
 
 
 def join(a: Rel, b: Rel, how: str = "inner", extra=None) -> Rel:
-    if any(v in a.terms and a.terms[v].kind == t.kind == "iri" and not unifiable(a.terms[v].template, t.template) for v, t in b.terms.items()) and how == "inner":
+    shared = [v for v in a.terms if v in b.terms]
+    clash = [v for v in shared if a.terms[v].kind == b.terms[v].kind == "iri" and not unifiable(a.terms[v].template, b.terms[v].template)]
+    if how == "inner" and any(not a.terms[v].maybe and not b.terms[v].maybe for v in clash):
         b = Rel(b.df.where("false"), b.terms)
-    condition, terms, add = shared_condition(a, b)
-    if extra is not None:
-        more = extra({**a.terms, **{v: t for v, t in b.terms.items() if v not in a.terms}})
-        condition = more if condition is None else condition & more
-    df = a.df.crossJoin(b.df) if condition is None and how == "inner" else a.df.join(b.df, F.lit(True) if condition is None else condition, how)
-    if how == "left":
-        terms = {v: t if v in a.terms else replace(t, maybe=True) for v, t in terms.items()}
-    for name, c in add:
-        df = df.withColumn(name, c)
+    parts = []
+    for left, rights, none in compatible(a, b):
+        terms = {**a.terms, **{v: t for v, t in b.terms.items() if v not in a.terms or v in none}}
+        rest, more = left, extra(terms) if extra else None
+        for df, names in rights:
+            condition = same(a, b, names)
+            if more is not None:
+                condition = more if condition is None else condition & more
+            if how == "left" and len(rights) == 1:
+                parts.append(left.join(df, F.lit(True) if condition is None else condition, "left"))
+                continue
+            parts.append(left.crossJoin(df) if condition is None else left.join(df, condition))
+            if how == "left":
+                rest = rest.join(df, F.lit(True) if condition is None else condition, "left_anti")
+        if how == "left" and len(rights) > 1:
+            parts.append(rest.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in b.df.schema)))
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.union(p)
+    terms = {**a.terms, **{v: replace(t, maybe=t.maybe or how == "left") for v, t in b.terms.items() if v not in a.terms}}
+    for v in shared:
+        x, y = a.terms[v], b.terms[v]
+        if x.maybe:
+            name = fresh()
+            df = df.withColumn(name, F.coalesce(render(x), render(y)))
+            terms[v] = Term("enc", (name,), maybe=y.maybe or how == "left")
     return Rel(df, terms)
 
 
+def matched(a: Rel, b: Rel, keep: bool, extra=None, disjoint: bool = True) -> Rel:
+    """The solutions of a that some solution of b is compatible with (keep), or none. disjoint: also where no variable is shared."""
+    parts = []
+    for left, rights, none in compatible(a, b):
+        terms = {**a.terms, **{v: t for v, t in b.terms.items() if v not in a.terms or v in none}}
+        more, rest = extra(terms) if extra else None, left
+        for i, (df, names) in enumerate(rights):
+            condition = same(a, b, names)
+            if condition is None and not disjoint:
+                continue
+            if more is not None:
+                condition = more if condition is None else condition & more
+            condition = F.lit(True) if condition is None else condition
+            if keep:
+                parts.append(rest.join(df, condition, "left_semi"))
+            if not keep or i + 1 < len(rights):
+                rest = rest.join(df, condition, "left_anti")
+        if not keep:
+            parts.append(rest)
+    df = parts[0] if parts else a.df.where("false")
+    for p in parts[1:]:
+        df = df.union(p)
+    return Rel(df, a.terms)
+
+
+#: Functions whose value is there whenever their arguments are.
+TOTAL = {"STR", "IRI", "URI", "LCASE", "UCASE", "STRLEN", "MD5", "SHA256", "CONTAINS", "STRSTARTS", "STRENDS", "CONCAT", "REGEX", "REPLACE", "STRBEFORE", "STRAFTER", "LANG"}
+
+
+def total(e, terms) -> bool:
+    """Whether an expression has a value in every solution."""
+    if isinstance(e, Var):
+        return e.name in terms and not terms[e.name].maybe
+    if isinstance(e, Call):
+        if e.op == "COALESCE":
+            return any(total(a, terms) for a in e.args)
+        return e.op in TOTAL and all(total(a, terms) for a in e.args)
+    return True
+
+
 class Engine:
     """Evaluates queries; a subclass says what a basic graph pattern is."""
 
@@ -176,8 +267,28 @@ class Engine:
                 out = out.union(x)
             return out.distinct()
         rel = self.select(q)
+        return self.shown(rel, q, value)
+
+    def shown(self, rel: Rel, q: Select, how) -> DataFrame:
         names = [v if isinstance(v, str) else v[1] for v in q.vars] or sorted(v for v in rel.terms if not v.startswith("."))
-        return rel.df.select(*((value(rel.terms[v]) if v in rel.terms else F.lit(None).cast("string")).alias(v) for v in names))
+        return rel.df.select(*((how(rel.terms[v]) if v in rel.terms else F.lit(None).cast("string")).alias(v) for v in names))
+
+    def terms(self, text: str, graphs: tuple[str, ...] = ()) -> DataFrame:
+        """The solutions of a SELECT as encoded terms, with datatypes and languages; for results that leave the engine."""
+        q = parse(text, self.prefixes)
+        q.graphs += [Iri(g) for g in graphs]
+        if q.kind != "SELECT":
+            raise SparqlError("only a SELECT has terms")
+        rel = self.select(q)
+        kinds = {"bigint": "integer", "int": "integer", "smallint": "integer", "double": "double", "float": "double", "boolean": "boolean", "date": "date", "timestamp": "dateTime", "timestamp_ntz": "dateTime"}
+        types = dict(rel.df.dtypes)
+
+        def how(t: Term) -> Column:
+            if t.kind == "lit" and t.datatype == XSD + "string":
+                t = replace(t, datatype=XSD + kinds.get(types[t.cols[0]], "decimal" if types[t.cols[0]].startswith("decimal") else "string"))
+            return render(t)
+
+        return self.shown(rel, q, how)
 
     def default(self, q: Select):
         return tuple(g.value for g in q.graphs) or None
@@ -196,16 +307,18 @@ class Engine:
             keep = {v: rel.terms[v] for v in names or rel.terms if v in rel.terms and not v.startswith(".")}
             rel = Rel(rel.df.select(*(c for t in keep.values() for c in t.cols)).distinct(), keep)
         if q.order:
-            keys = [self.order_key(e, rel) for e, _ in q.order]
-            rel = Rel(rel.df.orderBy(*(k.desc_nulls_last() if down else k.asc_nulls_first() for k, (_, down) in zip(keys, q.order, strict=True))), rel.terms)
+            keys = [(k, down) for e, down in q.order for k in self.order_keys(e, rel)]
+            rel = Rel(rel.df.orderBy(*(k.desc_nulls_last() if down else k.asc_nulls_first() for k, down in keys)), rel.terms)
         if q.offset:
             rel = Rel(rel.df.offset(q.offset), rel.terms)
         if q.limit is not None:
             rel = Rel(rel.df.limit(q.limit), rel.terms)
         return rel
 
-    def order_key(self, e, rel: Rel) -> Column:
-        return self.expr(e, rel.terms)
+    def order_keys(self, e, rel: Rel) -> tuple[Column, ...]:
+        if isinstance(e, Var) and e.name in rel.terms and rel.terms[e.name].kind == "enc":
+            return ranked(render(rel.terms[e.name]))
+        return (self.expr(e, rel.terms),)
 
     def aggregate(self, rel: Rel, q: Select) -> Rel:
         for g in q.group:
@@ -229,7 +342,8 @@ class Engine:
         order = [(lift(e), down) for e, down in q.order]
         cols = [self.agg(e, rel).alias(name) for e, name in aggs.items()] or [F.count("*").alias(fresh())]
         df = rel.df.groupBy(*(c for t in terms.values() for c in t.cols)).agg(*cols)
-        out = Rel(df, {**terms, **{n: Term("lit", (n,)) for n in aggs.values()}})
+        kept = {n for e, n in aggs.items() if e.op in ("MIN", "MAX", "SAMPLE") and isinstance(e.args[0], Var) and e.args[0].name in rel.terms and rel.terms[e.args[0].name].kind == "enc"}
+        out = Rel(df, {**terms, **{n: Term("enc" if n in kept else "lit", (n,), maybe=n in kept) for n in aggs.values()}})
         for h in having:
             out = Rel(out.df.where(self.expr(h, out.terms)), out.terms)
         for name, e in wanted.items():
@@ -247,6 +361,10 @@ class Engine:
             if key is not None and key.kind == "iri":
                 return F.count_distinct(*map(F.col, key.cols)) if e.distinct else F.count(F.col(key.cols[0]))
             return F.count_distinct(c) if e.distinct else F.count(c)
+        if e.op in ("MIN", "MAX", "SAMPLE") and key is not None and key.kind == "enc":  # by value, with the term that has it
+            kind, number, lex = ranked(render(key))
+            best = F.when(kind.isNotNull(), F.struct(kind.alias("k"), number.alias("n"), lex.alias("x"), render(key).alias("term")))
+            return (F.max(best) if e.op == "MAX" else F.min(best)).getField("term")
         number = self.number(x, rel.terms) if e.op in ("SUM", "AVG") else c
         if e.op == "SUM":
             return F.coalesce((F.sum_distinct if e.distinct else F.sum)(number), F.lit(0))
@@ -304,6 +422,7 @@ class Engine:
             if isinstance(f, Call) and f.op in ("EXISTS", "NOT EXISTS"):
                 rel = self.exists(rel, f, graph)
             else:
+                rel, f = self.flagged(rel, f, graph)
                 rel = Rel(rel.df.where(self.expr(f, rel.terms)), rel.terms)
         return rel
 
@@ -311,21 +430,36 @@ class Engine:
         return Rel(self.spark.range(1).select(F.lit(1).alias(fresh())), {})
 
     def without(self, rel: Rel, g: Group, graph) -> Rel:
-        right = self.group(g, graph).renamed()
-        condition, _, _ = shared_condition(rel, right)
-        return rel if condition is None else Rel(rel.df.join(right.df, condition, "left_anti"), rel.terms)
+        return matched(rel, self.group(g, graph).renamed(), False, disjoint=False)
 
     def exists(self, rel: Rel, f: Call, graph) -> Rel:
         """A semi or anti join; the group's own filters may use the outer variables."""
         g = f.args[0]
         inner = Group([p for p in g.parts if not (isinstance(p, tuple) and p[0] == "filter")])
-        right = self.group(inner, graph).renamed()
-        condition, _, _ = shared_condition(rel, right)
-        condition = F.lit(True) if condition is None else condition
-        for p in g.parts:
-            if isinstance(p, tuple) and p[0] == "filter":
-                condition = condition & self.expr(p[1], {**rel.terms, **{v: t for v, t in right.terms.items() if v not in rel.terms}})
-        return Rel(rel.df.join(right.df, condition, "left_semi" if f.op == "EXISTS" else "left_anti"), rel.terms)
+        conditions = [p[1] for p in g.parts if isinstance(p, tuple) and p[0] == "filter"]
+
+        def extra(terms):
+            out = F.lit(True)
+            for c in conditions:
+                out = out & self.expr(c, terms)
+            return out
+
+        return matched(rel, self.group(inner, graph).renamed(), f.op == "EXISTS", extra if conditions else None)
+
+    def flagged(self, rel: Rel, e, graph) -> tuple[Rel, object]:
+        """The expression with every EXISTS in it replaced by a variable that says whether it holds."""
+        if not isinstance(e, Call):
+            return rel, e
+        if e.op in ("EXISTS", "NOT EXISTS"):
+            yes, no = (self.exists(rel, replace(e, op=op), graph) for op in ("EXISTS", "NOT EXISTS"))
+            c = fresh()
+            df = yes.df.withColumn(c, F.lit(e.op == "EXISTS")).union(no.df.withColumn(c, F.lit(e.op != "EXISTS")))
+            return Rel(df, {**rel.terms, "." + c: Term("lit", (c,))}), Var("." + c)
+        args = []
+        for x in e.args:
+            rel, x = self.flagged(rel, x, graph)
+            args.append(x)
+        return rel, replace(e, args=tuple(args))
 
     def union(self, rels: list[Rel]) -> Rel:
         names = list(dict.fromkeys(v for r in rels for v in r.terms))
@@ -363,7 +497,7 @@ class Engine:
         c = fresh()
         if isinstance(e, Iri):
             return Rel(rel.df.withColumn(c, F.lit(encode(e))), {**rel.terms, name: Term("enc", (c,))})
-        return Rel(rel.df.withColumn(c, self.expr(e, rel.terms)), {**rel.terms, name: Term("lit", (c,), maybe=True)})
+        return Rel(rel.df.withColumn(c, self.expr(e, rel.terms)), {**rel.terms, name: Term("lit", (c,), maybe=not total(e, rel.terms))})
 
     # -- patterns with paths
     def patterns(self, triples: list[Triple], graph) -> Rel:
@@ -541,6 +675,8 @@ class Engine:
             return text[0].substr(self.number(args[1], terms).cast("int"), n)
         if op == "STRBEFORE":
             return F.when(text[0].contains(text[1]), F.split_part(text[0], text[1], F.lit(1))).otherwise("")
+        if op == "STRAFTER":
+            return F.when(text[0].contains(text[1]), text[0].substr(F.position(text[1], text[0]) + F.length(text[1]), F.length(text[0]))).otherwise("")
         raise SparqlError(f"unknown function {op}")
 
 
@@ -548,4 +684,4 @@ def has_aggregate(e) -> bool:
     return isinstance(e, Call) and (e.op in AGGREGATES or any(has_aggregate(a) for a in e.args))
 
 
-__all__ = ["Engine", "Quoted", "Rel", "Term", "encode", "fresh", "join", "lexical", "render"]
+__all__ = ["Engine", "Quoted", "Rel", "Term", "encode", "fresh", "join", "lexical", "quoted", "render"]

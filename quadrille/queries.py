@@ -12,6 +12,7 @@ from quadrille.functions import text as X
 from quadrille.operators import entities, graph, ingest, rules, search
 from quadrille.operators.quads import QuadStore
 from quadrille.operators.vkg import VirtualGraph
+from quadrille.plans.compile import quoted
 from quadrille.sources.mapping import parse_mappings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +167,7 @@ vkg("vkg_set_of_triples", "SELECT ?o ?p { ?l ex:ofOrder ?o ; ex:ofPart ?p }", "S
 vkg("vkg_projection_order", "SELECT ?size ?brand ?name { ?p ex:partName ?name ; ex:brand ?brand ; ex:size ?size FILTER(?size IN (1, 2, 3) && ?brand != 'Brand#11') }", "SELECT p_size AS size, p_brand AS brand, p_name AS name FROM part WHERE p_size IN (1, 2, 3) AND p_brand <> 'Brand#11'")
 vkg("vkg_union_minus", "SELECT ?name { { ?x ex:customerName ?name } UNION { ?x ex:supplierName ?name } MINUS { ?x a ex:Builder } }", "SELECT c_name AS name FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT s_name FROM supplier")
 vkg("vkg_not_exists", "SELECT ?name { ?c ex:customerName ?name FILTER NOT EXISTS { ?o ex:placedBy ?c ; ex:total ?t FILTER(?t > 100000) } }", "SELECT c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+vkg("vkg_optional_chain", "SELECT ?o ?x { ?o ex:placedBy ?c OPTIONAL { ?c ex:inNation ?n } OPTIONAL { ?n ex:nationName ?x } }", "SELECT 'http://example.org/data/Order/' || o_orderkey AS o, n_name AS x FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey")
 vkg("vkg_subselect", "SELECT ?name ?n { ?c ex:customerName ?name { SELECT ?c (COUNT(?o) AS ?n) { ?o ex:placedBy ?c } GROUP BY ?c } FILTER(?n >= 15) }", "SELECT c_name AS name, n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE n >= 15")
 
 
@@ -180,7 +182,7 @@ def stored(spark: SparkSession, sf_dir: str) -> QuadStore:
         return df.select(F.lit(f"<{EX}{g}>").alias("g"), s.alias("s"), F.lit(f"<{EX}{p}>").alias("p"), o.alias("o"))
 
     def lit(c, kind=""):
-        return F.concat(F.lit('"'), F.col(c).cast("string"), F.lit(f'"^^<http://www.w3.org/2001/XMLSchema#{kind}>' if kind else '"'))
+        return quoted(F.col(c).cast("string"), f"http://www.w3.org/2001/XMLSchema#{kind or 'string'}")
 
     nation, region, customer = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
     quads = (
@@ -229,6 +231,18 @@ kg("kg_numeric_filter_bind", "SELECT ?c ?twice { GRAPH ex:people { ?c ex:balance
 kg("kg_ask", "ASK { GRAPH ex:geo { ?n ex:name 'NATION_3' } }", "SELECT EXISTS (SELECT 1 FROM nation WHERE n_name = 'NATION_3') AS ask")
 kg("kg_type_tests", "SELECT ?o (isIRI(?o) AS ?i) (STRENDS(STR(?o), '3') AS ?e) { GRAPH ex:geo { <http://example.org/data/Nation/6> ?p ?o } }", f"SELECT '{DATA}Region/' || n_regionkey AS o, true AS i, n_regionkey % 10 = 3 AS e FROM nation WHERE n_nationkey = 6 UNION ALL SELECT n_name, false, n_name LIKE '%3' FROM nation WHERE n_nationkey = 6")
 
+kg(
+    "kg_optional_then_join",
+    "SELECT ?c ?n ?r { GRAPH ex:people { ?c ex:name ?m } OPTIONAL { GRAPH ex:people { ?c ex:inNation ?n ; ex:balance ?b FILTER(?b > -900) } } GRAPH ex:geo { ?n ex:partOf ?r } }",
+    f"SELECT '{DATA}Customer/' || c_custkey AS c, '{DATA}Nation/' || n_nationkey AS n, '{DATA}Region/' || n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey OR c_acctbal <= -900",
+)
+kg("kg_bind_join", "SELECT ?c ?d { GRAPH ex:people { ?c ex:name ?m } BIND(STR(?m) AS ?t) GRAPH ex:people { ?d ex:name ?t } }", f"SELECT '{DATA}Customer/' || x.c_custkey AS c, '{DATA}Customer/' || y.c_custkey AS d FROM customer x JOIN customer y USING (c_name)")
+kg("kg_order_numeric", "SELECT ?c (xsd:double(?b) AS ?v) { GRAPH ex:people { ?c ex:balance ?b } } ORDER BY ?b ?c LIMIT 20", f"SELECT '{DATA}Customer/' || c_custkey AS c, c_acctbal AS v FROM customer ORDER BY 2, 1 LIMIT 20")
+kg("kg_min_max_numeric", "SELECT ?n (xsd:double(MIN(?b)) AS ?lo) (xsd:double(MAX(?b)) AS ?hi) { GRAPH ex:people { ?c ex:inNation ?n ; ex:balance ?b } } GROUP BY ?n", f"SELECT '{DATA}Nation/' || c_nationkey AS n, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1")
+kg("kg_exists_or", "SELECT ?c { GRAPH ex:people { ?c ex:balance ?b } FILTER(?b > 9000 || EXISTS { GRAPH ex:people { ?c ex:inNation <http://example.org/data/Nation/3> } }) }", f"SELECT '{DATA}Customer/' || c_custkey AS c FROM customer WHERE c_acctbal > 9000 OR c_nationkey = 3")
+kg("kg_bound_strafter", "SELECT ?c (STRAFTER(STR(?m), '#') AS ?t) { GRAPH ex:people { ?c ex:name ?m } OPTIONAL { GRAPH ex:people { ?c ex:balance ?b FILTER(?b > 5000) } } FILTER(!BOUND(?b)) }", f"SELECT '{DATA}Customer/' || c_custkey AS c, CASE WHEN contains(c_name, '#') THEN substr(c_name, instr(c_name, '#') + 1) ELSE '' END AS t FROM customer WHERE NOT c_acctbal > 5000")
+kg("kg_str_less", "SELECT ?a ?b { GRAPH ex:geo { ?a ex:partOf ?r . ?b ex:partOf ?r } FILTER(STR(?a) < STR(?b)) }", f"SELECT '{DATA}Nation/' || x.n_nationkey AS a, '{DATA}Nation/' || y.n_nationkey AS b FROM nation x JOIN nation y USING (n_regionkey) WHERE '{DATA}Nation/' || x.n_nationkey < '{DATA}Nation/' || y.n_nationkey")
+
 
 @query(f"SELECT '{DATA}Customer/' || c_custkey AS s FROM customer WHERE c_custkey % 10 <> 3")
 def kg_delete_document(spark, sf_dir):
@@ -322,14 +336,6 @@ def _same_names(spark, sf_dir):
     return edges, connected_components(edges).select("root", "node")
 
 
-def _spread_brands(spark, sf_dir, parts):
-    """(s, o): the brands that parts of equal name get from these parts."""
-    _, members = _same_names(spark, sf_dir)
-    brands = parts.select(F.col("p_partkey").cast("string").alias("s"), F.lit("brand").alias("p"), F.col("p_brand").alias("o"))
-    text = members.select(F.col("root").cast("string").alias("root"), F.col("node").cast("string").alias("node"))
-    return graph.same_as(brands, text, "sameAs").where("p = 'brand'").select(F.col("s").cast("long").alias("s"), "o")
-
-
 _NAMES = "k AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS k FROM part), m AS (SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY k) AS root, count(*) OVER (PARTITION BY k) AS n FROM k)"
 
 
@@ -338,15 +344,13 @@ def same_as_components(spark, sf_dir):
     return _same_names(spark, sf_dir)[1]
 
 
-@query(f"WITH {_NAMES}, b AS (SELECT p_partkey, p_brand FROM part WHERE p_partkey <= 400) SELECT DISTINCT x.node AS s, p_brand AS o FROM m x JOIN m y USING (root) JOIN b ON b.p_partkey = y.node WHERE x.n > 1 EXCEPT SELECT p_partkey, p_brand FROM b")
-def same_as_closure(spark, sf_dir):
-    return _spread_brands(spark, sf_dir, table(spark, sf_dir, "part").where("p_partkey <= 400"))
-
-
 @query(f"WITH {_NAMES}, b AS (SELECT DISTINCT root, p_brand FROM m JOIN part ON p_partkey = node WHERE n > 1) SELECT node AS s, p_brand AS o FROM m JOIN b USING (root) EXCEPT SELECT p_partkey, p_brand FROM part")
-def same_as_closure_whole(spark, sf_dir):
-    """same_as_closure with the statements of all parts; the SQL of that one has the first 400."""
-    return _spread_brands(spark, sf_dir, table(spark, sf_dir, "part"))
+def same_as_closure(spark, sf_dir):
+    """(s, o): the brands that parts get from parts of equal name."""
+    _, members = _same_names(spark, sf_dir)
+    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("s"), F.lit("brand").alias("p"), F.col("p_brand").alias("o"))
+    text = members.select(F.col("root").cast("string").alias("root"), F.col("node").cast("string").alias("node"))
+    return graph.same_as(brands, text, "sameAs").where("p = 'brand'").select(F.col("s").cast("long").alias("s"), "o")
 
 
 @query(f"WITH {_NAMES} SELECT root, root AS node, n - 1 AS indegree FROM m WHERE n > 1 GROUP BY root, n")
@@ -378,8 +382,9 @@ def er_bands_counts(spark, sf_dir):
 @query(
     """WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '))) AS word FROM benchmark),
     d AS (SELECT doc_id AS id, unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '))) AS word FROM documents),
-    s AS (SELECT query_id, id, count(*) AS shared FROM q JOIN d USING (word) WHERE word <> '' GROUP BY 1, 2)
-    SELECT * FROM (SELECT query_id, id, shared, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, id)::INT AS rank FROM s) WHERE rank <= 100"""
+    f AS (SELECT word, ln(1 + (SELECT count(*) FROM documents) / count(*)::DOUBLE) AS weight FROM d GROUP BY 1),
+    s AS (SELECT query_id, id, round(sum(weight), 6) AS score FROM q JOIN d USING (word) JOIN f USING (word) WHERE word <> '' GROUP BY 1, 2)
+    SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s) WHERE rank <= 100"""
 )
 def er_topk_blocking(spark, sf_dir):
     return entities.top_candidates(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("label")), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("label")))

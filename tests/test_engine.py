@@ -1,7 +1,9 @@
 """The engine on hand-made graphs and tables."""
 
 import json
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from quadrille.operators import entities, graph, ingest, rules, search
 from quadrille.operators.quads import QuadStore
 from quadrille.operators.vkg import VirtualGraph
 from quadrille.plans.components import connected_components
-from quadrille.plans.sparql import SparqlError, parse
+from quadrille.plans.sparql import XSD, SparqlError, parse
 from quadrille.sources import files
 from quadrille.sources.mapping import from_r2rml, parse_mappings
 from quadrille.sources.turtle import encoded, read_turtle, to_turtle
@@ -195,7 +197,7 @@ def test_terms_and_expressions(spark):
     assert q("(SUM(?v) AS ?s) { GRAPH ?g { ?x ex:none ?v } }") == [(0.0,)]
     assert q("?x ?w { GRAPH ?g { ?x ex:v 5 } OPTIONAL { GRAPH ?g { ?x ex:w ?w } } FILTER(!BOUND(?w)) }") == [("a", None)]
     assert q("(IF(?v = 5, 'five', 'other') AS ?t) { GRAPH ?g { <a:> ex:v ?v } }".replace("<a:>", "?x")) .count(("five",)) == 1
-    assert to_sparql_json(s.query("SELECT ?x (COUNT(*) AS ?n) { GRAPH ?g { ?x ex:v 5 } } GROUP BY ?x"))["results"]["bindings"][0]["n"]["value"] == "1"
+    assert to_sparql_json(s.terms("SELECT ?x (COUNT(*) AS ?n) { GRAPH ?g { ?x ex:v 5 } } GROUP BY ?x"))["results"]["bindings"][0]["n"]["value"] == "1"
     assert s.query("CONSTRUCT { ?x ex:w ?v } WHERE { GRAPH ?g { ?x ex:v ?v } }").count() == 3
     assert s.ask("ASK { GRAPH ?g { ?x ex:v 5 } }") and within(spark, 60, lambda: 3) == 3
 
@@ -313,3 +315,65 @@ def test_files_search_bitemporal_stream(spark, tmp_path):
     stream = spark.readStream.schema("id int, v string, at timestamp").parquet(str(tmp_path / "in"))
     into(once(stream, "id", "at"), lambda b: b.select("id"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_top_candidates_are_exact_however_common_words_are(spark):
+    r = random.Random(7)
+    pool = [f"w{i}" for i in range(40)] + ["the"] * 30 + ["of"] * 15
+    docs = [(f"d{i}", " ".join(r.choice(pool) for _ in range(r.randrange(1, 9)))) for i in range(300)]
+    asked = [(f"q{i}", " ".join(r.choice(pool) for _ in range(r.randrange(1, 6)))) for i in range(30)] + [("none", "zzz"), ("empty", "")]
+    n, words = len(docs), {i: set(t.split()) for i, t in docs}
+    weight = {w: math.log(1 + n / sum(w in x for x in words.values())) for w in {w for x in words.values() for w in x}}
+    want = set()
+    for q, t in asked:
+        scores = sorted(((-round(sum(weight.get(w, 0) for w in set(t.split()) & x), 6), i) for i, x in words.items() if set(t.split()) & x))
+        want |= {(q, i, -s, k) for k, (s, i) in enumerate(scores[:10], 1)}
+    for common in (0.0, 0.05, 1.0):
+        got = entities.top_candidates(spark.createDataFrame(asked, "query_id string, label string"), spark.createDataFrame(docs, "id string, label string"), 10, common)
+        assert {(x.query_id, x.id, round(x.score, 6), x["rank"]) for x in got.collect()} == {(q, i, round(s, 6), k) for q, i, s, k in want}
+
+
+def test_resolve_against_brute_force(spark):
+    """Bands by plain Jaro-Winkler over the batch and over the candidates that share a word; empty labels pair with nothing."""
+    names = ["Microsoft Corp", "Imcrosoft Corp", "microsoft  corp", "Apple Inc", "Aple Inc", "--", "!!", "Banana Republic", "Banana Republik"]
+    new = [(f"n{i}", x) for i, x in enumerate(names)]
+    known = [(f"k{i}", x) for i, x in enumerate(["Microsoft Corp.", "Apple Incorporated", "Banana", "Nothing", "??"])]
+    got = {(x.iri, x.other): x.band for x in entities.resolve(spark.createDataFrame(new, "iri string, label string"), spark.createDataFrame(known, "iri string, label string")).collect()}
+    key = lambda t: " ".join(re.findall("[a-z0-9]+", t.lower()))
+    want = {}
+    for i, (a, x) in enumerate(new):
+        for b, y in new[i + 1 :] + known:
+            u, v = key(x), key(y)
+            if u and v and (b[0] == "n" or set(u.split()) & set(v.split())):
+                s = entities.jaro_winkler(u, v)
+                if s >= (entities.HIGH if b[0] == "n" else entities.LOW):
+                    want[a, b] = "exact" if u == v else "high" if s >= entities.HIGH else "judge"
+    assert got == want
+
+
+def test_typed_order_escapes_and_compatible_joins(spark):
+    rows = [("<g>", f"<x{i}>", "<v>", t) for i, t in enumerate(['"2"^^<%sinteger>' % XSD, '"9"^^<%sinteger>' % XSD, '"10"^^<%sdouble>' % XSD, '"b"', "<iri>", "_:n"])]
+    store = QuadStore.of(spark, rows, union_default=True)
+    assert [r.o for r in store.query("SELECT ?o { ?s <v> ?o } ORDER BY ?o").collect()] == ["_:n", "iri", "2", "9", "10", "b"]
+    assert [r.o for r in store.query("SELECT ?o { ?s <v> ?o } ORDER BY DESC(?o)").collect()] == ["b", "10", "9", "2", "iri", "_:n"]
+    one = store.query("SELECT (MIN(?o) AS ?a) (MAX(?o) AS ?b) { ?s <v> ?o FILTER(isLiteral(?o) && ?o < 100) }").first()
+    assert tuple(one) == ("2", "10")
+    odd = ['a"@en', 'b"^^<t>', "c\\", 'say "x"', "plain"]
+    texts = QuadStore.of(spark, [], union_default=True).update("".join("INSERT DATA { GRAPH <g> { <s%d> <t> %s } } ; " % (i, json.dumps(t)) for i, t in enumerate(odd)).rstrip("; "))
+    assert sorted(r.o for r in texts.query("SELECT ?o { ?s <t> ?o }").collect()) == sorted(odd)
+    assert texts.query("SELECT ?s { ?s <t> ?o FILTER(?o = %s) }" % json.dumps(odd[0])).collect()[0].s == "s0"
+    json_ = to_sparql_json(store.terms("SELECT ?o (STRLEN(STR(?s)) AS ?n) { ?s <v> ?o } ORDER BY ?o"))["results"]["bindings"]
+    assert json_[0]["o"] == {"type": "bnode", "value": "n"} and json_[2]["o"] == {"type": "literal", "value": "2", "datatype": XSD + "integer"} and json_[0]["n"]["datatype"] == XSD + "integer"
+    # An unbound variable is compatible with any value, on either side, in joins, OPTIONAL, MINUS and EXISTS.
+    data = [("<g>", s, p, o) for s, p, o in (("<a>", "<name>", '"A"'), ("<b>", "<name>", '"B"'), ("<c>", "<name>", '"C"'), ("<a>", "<k>", "<b>"))]
+    g = QuadStore.of(spark, data, union_default=True)
+    q = lambda t: sorted(tuple(r) for r in g.query("SELECT " + t).collect())
+    assert q("?a ?b { ?a <name> ?m OPTIONAL { ?a <k> ?b } ?b <name> ?n }") == [("a", "b"), *((x, y) for x in "bc" for y in "abc")]
+    assert q("?a ?n { ?a <name> ?m OPTIONAL { ?a <k> ?b } OPTIONAL { ?b <name> ?n FILTER(?n = 'B') } }") == [("a", "B"), ("b", "B"), ("c", "B")]
+    assert q("?x ?y { VALUES (?x ?y) { (<a> UNDEF) (UNDEF <b>) } ?x <k> ?y }") == [("a", "b"), ("a", "b")]
+    assert q("?a { ?a <name> ?m OPTIONAL { ?a <k> ?b } MINUS { ?b <name> 'B' } }") == [("b",), ("c",)]
+    assert q("?a { ?a <name> ?m OPTIONAL { ?a <k> ?b } FILTER EXISTS { ?b <name> 'B' } }") == [("a",), ("b",), ("c",)]
+    assert q("?a { ?a <name> ?m FILTER(?m = 'C' || EXISTS { ?a <k> ?z }) }") == [("a",), ("c",)]
+    assert q("?a { ?a <name> ?m FILTER(?m != 'C' && !EXISTS { ?a <k> ?z }) }") == [("b",)]
+    plan = g.query("SELECT ?a ?c { ?a <name> ?m BIND(STR(?m) AS ?b) ?c <name> ?b }")._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
