@@ -208,7 +208,11 @@ def near_components(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     classes = cut(some.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "classes")
     banded = some.select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n")).groupBy("key", "node").agg(F.max("n").alias("n"))
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    member = cut(banded.join(shared, "key"), "buckets")
+    together = cut(banded.join(shared, "key"), "shared")
+    # The class that meets most others is the likeliest to be what its copies were made from.
+    sizes = cut(together.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    weight = together.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("met"))
+    member = cut(together.join(weight, "node"), "buckets")
     # Rows that repeat a doc_id with other words are linked by it.
     own = some.where("doc_id is not null").groupBy("doc_id", "node").agg(F.lit(1).alias("one"))
     first = cut(own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z"), "repeated")
@@ -230,12 +234,12 @@ def _link(docs: DataFrame, member: DataFrame, classes: DataFrame, by_id: DataFra
     links = cut(by_id, "links")
     roots = connected_components(links) if links.limit(1).count() else spark.createDataFrame([], "node long, root long")
     for turn in range(4):
-        state = member.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        state = member.join(roots, "node", "left").select("key", "node", "n", "met", F.coalesce("root", "node").alias("root"))
         if turn == 3:
             split = state.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
             wide = _rare_pairs(sets, state.join(split, "key").groupBy("node").agg(F.max("n").alias("n"), F.first("root").alias("root")), p)
         else:
-            order = F.col("node") if turn < 2 else F.xxhash64("node", F.lit(turn))
+            order = -F.col("met") if turn < 2 else F.xxhash64("node", F.lit(turn))
             hubs = cut(state.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "root")).alias("h")), "hubs")
             wide = state.join(hubs, "key").select("key", "node", "n", "root", F.col("h.node").alias("o_node"), F.col("h.n").alias("o_n"), F.col("h.root").alias("o_root")).where("root <> o_root")
         pairs = _ordered(wide, "node", "o_node", p, "n", "o_n")
