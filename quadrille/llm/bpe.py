@@ -94,7 +94,7 @@ class MergeTransducer:
         """Whether the two tokens' bytes, encoded together, give these two tokens."""
         if len(self._fits) > PAIRS:
             self._fits.clear()
-        found = self._fits[left << 20 | right] = self._apart(left, right)
+        found = self._fits[left << 32 | right] = self._apart(left, right)
         return found
 
     def _apart(self, left: int, right: int) -> bool:
@@ -145,7 +145,7 @@ class MergeTransducer:
                     before = emitted
                 if before is None:
                     break
-                fits = known.get(before << 20 | token)
+                fits = known.get(before << 32 | token)
                 if fits if fits is not None else self.fits(before, token):
                     break
             else:
@@ -216,14 +216,14 @@ class Tape:
         self.arcs += 1
 
     def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) << 20 | right
+        key = left.astype(np.int64) << 32 | right
         slot = (key * 0x9E3779B97F4A7C1 >> 33) & (self.SLOTS - 1)
         miss = np.flatnonzero(self.pair[slot] != key)
         out = self.fits[slot]
         if len(miss):
             new, back = np.unique(key[miss], return_inverse=True)
             known, check = self.machine._fits, self.machine.fits
-            found = np.array([known[k] if k in known else check(k >> 20, k & 0xFFFFF) for k in new.tolist()], bool)
+            found = np.array([known[k] if k in known else check(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], bool)
             out[miss] = found[back]
             self.pair[slot[miss]], self.fits[slot[miss]] = key[miss], found[back]
         return out
@@ -335,7 +335,10 @@ class Codec:
         return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        try:
+            return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        except KeyError as e:
+            raise ValueError(f"no token has the id {e.args[0]}") from None
 
 
 # Which bytes may follow a lead byte of UTF-8, and how many more then.
@@ -346,27 +349,33 @@ _LEADS = (
 
 
 class Utf8Stream:
-    """Bytes in, text out; a character cut by the end of an input waits for the next."""
+    """Bytes in, text out, by a state machine: a character cut by the end of an input waits for the next.
+
+    A state is what is due: how many bytes of the character are to come and between
+    which values the next one must lie; None is the state between characters.
+    """
 
     def __init__(self) -> None:
         self.held = b""
 
     @staticmethod
-    def _unfinished(tail: bytes) -> bool:
-        for low, high, least, most, more in _LEADS:
-            if low <= tail[0] <= high:
-                rest = tail[1:]
-                return len(rest) <= more and (not rest or least <= rest[0] <= most) and all(0x80 <= x <= 0xBF for x in rest[1:])
-        return False
+    def step(state: tuple[int, int, int] | None, byte: int) -> tuple[int, int, int] | None:
+        """The next state; a byte that can't follow ends the character, and begins another if it can lead one."""
+        if state is not None:
+            due, least, most = state
+            if least <= byte <= most:
+                return (due - 1, 0x80, 0xBF) if due > 1 else None
+        return next(((more + 1, least, most) for low, high, least, most, more in _LEADS if low <= byte <= high), None)
 
     def feed(self, data: bytes, last: bool = False) -> str:
         data, self.held = self.held + data, b""
-        if not last:
-            for n in range(1, min(3, len(data)) + 1):
-                if data[-n] >= 0xC0:
-                    if self._unfinished(data[-n:]):
-                        data, self.held = data[:-n], data[-n:]
-                    break
+        # The state at the end depends on no more than the last three bytes, from the last one that can lead a character.
+        begin = next((len(data) - n for n in range(1, min(3, len(data)) + 1) if data[-n] >= 0xC0), len(data))
+        state = None
+        for byte in data[begin:]:
+            state = self.step(state, byte)
+        if state is not None and not last:
+            data, self.held = data[:begin], data[begin:]
         return data.decode("utf-8", "replace")
 
 
@@ -390,8 +399,14 @@ def _codec(data: bytes, pattern: str) -> Codec:
 
 
 def _file(docs: DataFrame, path: str):
-    with open(path, "rb") as f:
-        return docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, about 1 MB
+    """A vocabulary file, of about 1 MB, for all executors; a path with a scheme is read by Spark."""
+    spark = docs.sparkSession
+    if "://" in path:
+        data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    else:
+        with open(path, "rb") as f:
+            data = f.read()
+    return spark.sparkContext.broadcast(data)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.llm.columns import unused
 from quadrille.llm.kernels import as_long, mix, slices, text_bytes, windows, words
 from quadrille.plans.components import connected_components
 from quadrille.plans.lineage import cut
@@ -268,10 +269,3 @@ def keep_one(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     alone = F.when(F.col("doc_id").isNull(), F.col(text))
     return named.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", alone).orderBy(text))).where(F.col(place) == 1).drop(text, place)
 
-
-def unused(df: DataFrame, name: str) -> str:
-    """A column name like `name` that df does not have."""
-    taken = {c.lower() for c in df.columns}
-    while (name := f"_{name}") in taken:
-        pass
-    return name

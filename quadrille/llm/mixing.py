@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.llm.columns import unused
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,24 +55,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     bucket: about how many documents one bucket of a source has.
     """
     docs = docs.drop("size", "source_size", "target", "times")
-    sized = docs.withColumn("size", word_count("text")).withColumn("_mix_text", F.xxhash64("text"))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_mix_n"))
+    text, own, n, buckets, place, in_bucket = (unused(docs, x) for x in ("text", "source", "n", "buckets", "rank", "bucket"))
+    sized = docs.withColumn("size", word_count("text")).withColumn(text, F.xxhash64("text"))
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias(n))
     goals = targets(sources.select("source", "source_size"), weights, share, cap)
-    plan = goals.join(sources.select(F.col("source").alias("_mix_s"), "_mix_n"), F.col("source").eqNullSafe(F.col("_mix_s"))).select(
-        F.col("source").alias("_mix_s"), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("_mix_n") / bucket)).alias("_mix_buckets")
-    )
+    plan = goals.join(sources.select(F.col("source").alias(own), n), F.col("source").eqNullSafe(F.col(own))).select(F.col("source").alias(own), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col(n) / bucket)).alias(buckets))
     rank = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = sized.join(plan, F.col("source").eqNullSafe(F.col("_mix_s"))).withColumn("_mix_rank", rank)
-    keyed = keyed.withColumn("_mix_bucket", F.conv(F.substring("_mix_rank", 1, 8), 16, 10).cast("long") % F.col("_mix_buckets"))
-    inside = Window.partitionBy("source", "_mix_bucket").orderBy("_mix_rank", "_mix_text").rowsBetween(Window.unboundedPreceding, 0)
+    keyed = sized.join(plan, F.col("source").eqNullSafe(F.col(own))).withColumn(place, rank)
+    keyed = keyed.withColumn(in_bucket, F.conv(F.substring(place, 1, 8), 16, 10).cast("long") % F.col(buckets))
+    inside = Window.partitionBy("source", in_bucket).orderBy(place, text).rowsBetween(Window.unboundedPreceding, 0)
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     whole = F.floor(ratio + 1e-12)
-    part = F.sum("size").over(Window.partitionBy("source", "_mix_bucket")) * F.greatest(ratio - whole, F.lit(0.0))
+    part = F.sum("size").over(Window.partitionBy("source", in_bucket)) * F.greatest(ratio - whole, F.lit(0.0))
     once = (F.sum("size").over(inside) - F.col("size") / 2 <= part) & (F.col("size") > 0)
     times = F.when(F.col("size") > 0, whole + once.cast("long")).otherwise(0)
-    return keyed.withColumn("times", F.least(times, F.lit(int(cap))).cast("long")).drop("_mix_s", "_mix_n", "_mix_buckets", "_mix_bucket", "_mix_rank", "_mix_text")
+    return keyed.withColumn("times", F.least(times, F.lit(int(cap))).cast("long")).drop(own, buckets, in_bucket, place, text)
 
 
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of the mix: each document as often as it is taken."""
-    return mixed.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.greatest("times", F.lit(1))))).where("_mix_copy <= times").select(*columns)
+    copy = unused(mixed, "copy")
+    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.greatest("times", F.lit(1))))).where(F.col(copy) <= F.col("times")).select(*columns)

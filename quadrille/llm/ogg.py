@@ -3,15 +3,16 @@
 A media column holds one physical Ogg bitstream in each row. Writing puts the
 packets of several logical streams into pages; reading verifies every page's
 checksum and sequence number, joins packets over page borders, separates the
-streams by serial number and turns granule positions into seconds.
+streams by serial number and gives every packet its time from the granule
+positions of the pages.
 
 The text codec stores UTF-8 bytes, padded with byte 255, as unsigned 8-bit
 samples: a stream of one header and one packet for every 576 samples, and beside
 it an annotation stream with the length before padding.
 
 Rows: null and empty texts give one packet of padding; any length is taken
-whole; equal texts give equal media. A media row that is null or damaged raises
-OggError where it is read. Other columns are ignored.
+whole; equal texts give equal media. A null media row has null in every column;
+a damaged one raises OggError where it is read. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,9 +95,15 @@ class Stream:
     number: int = 0
     ended: bool = False
 
-    def seconds(self, rate: int) -> float:
-        """The time at which the stream ends."""
-        return max(self.granules, default=0) / rate
+    def times(self, rate: int) -> list[float]:
+        """The time at which each packet ends. A page's granule position is that of the last packet that ends on it; those before it share the way from the page before evenly."""
+        out, before, waiting = [], 0, 0
+        for granule in self.granules:
+            waiting += 1
+            if granule >= 0:
+                out += [(before + (granule - before) * (i + 1) / waiting) / rate for i in range(waiting)]
+                before, waiting = granule, 0
+        return out + [before / rate] * waiting
 
 
 def read(media: bytes) -> dict[int, Stream]:
@@ -158,29 +165,30 @@ def store(text: bytes) -> bytes:
     return b"".join([a[0], b[0], *b[1:], *a[1:]])  # all first pages come before any other
 
 
-def load(media: bytes) -> tuple[bytes, int, float]:
-    """The payload, its length before padding, and the seconds it lasts."""
+def load(media: bytes) -> tuple[bytes, int, list[float]]:
+    """The payload, its length before padding, and when each of its packets ends, in seconds."""
     payload = length = None
-    seconds = 0.0
+    times: list[float] = []
     for s in read(media).values():
         head, *rest = s.packets
         if head.startswith(b"U8PCM\0"):
             rate, _ = struct.unpack_from("<IH", head, 6)
-            payload, seconds = b"".join(rest), s.seconds(rate)
+            payload, times = b"".join(rest), s.times(rate)[1:]
         elif head == b"NOTE\0":
             length = int(rest[0].partition(b"=")[2])
     if payload is None or length is None:
         raise OggError("a stream is missing")
-    return payload, length, seconds
+    return payload, length, times
 
 
-def features(payload: bytes, seconds: float) -> str:
-    """Mean, root mean square about 128, zero crossings and the loudest frame of the samples."""
+def features(payload: bytes, times: list[float]) -> str:
+    """How long it lasts, mean, root mean square about 128, zero crossings, and the loudest frame of the samples with the time at which it ends."""
     x = np.frombuffer(payload, np.uint8).astype(np.int64)
     y = x - 128
     energy = (y * y).reshape(-1, FRAME).sum(axis=1)
     crossings = int(np.count_nonzero((y[1:] < 0) != (y[:-1] < 0)))
-    return f"seconds={seconds:.3f};mean={x.mean():.4f};rms={np.sqrt(energy.sum() / len(y)):.4f};crossings={crossings};loudest={int(energy.argmax())}"
+    loudest = int(energy.argmax())
+    return f"seconds={times[-1]:.3f};mean={x.mean():.4f};rms={np.sqrt(energy.sum() / len(y)):.4f};crossings={crossings};loudest={loudest}@{times[loudest]:.3f}"
 
 
 def to_media(docs: DataFrame) -> DataFrame:
@@ -203,9 +211,12 @@ def describe(media: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for m in batch.column("media"):
-                raw = m.as_buffer().to_pybytes() if m.is_valid else b""
-                payload, length, seconds = load(raw)
-                rows.append((length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), features(payload, seconds)))
+                if not m.is_valid:
+                    rows.append((None,) * len(kinds))
+                    continue
+                raw = m.as_buffer().to_pybytes()
+                payload, length, times = load(raw)
+                rows.append((length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), features(payload, times)))
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names)
 

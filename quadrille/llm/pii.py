@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.columns import unused
+
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
@@ -108,10 +110,10 @@ def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, reach: int = 40) -> D
     docs = docs.drop("pii")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     parts = [_spans(text, no, k, reach) for no, k in enumerate(kinds)]
-    hit = docs.select("*", *(hits.alias(f"_pii_hit{i}") for i, (hits, _, _) in enumerate(parts)))
-    some = [F.size(f"_pii_hit{i}") > 0 for i in range(len(parts))]
-    cut = hit.select("*", *(F.when(some[i], gaps).alias(f"_pii_gap{i}") for i, (_, gaps, _) in enumerate(parts)))
-    spans = F.concat(*(place(F.col(f"_pii_hit{i}"), F.col(f"_pii_gap{i}")) for i, (_, _, place) in enumerate(parts)))
+    hit_names, gap_names = ([unused(docs, f"{x}{i}") for i in range(len(parts))] for x in ("hit", "gap"))
+    hit = docs.select("*", *(hits.alias(name) for name, (hits, _, _) in zip(hit_names, parts, strict=True)))
+    cut = hit.select("*", *(F.when(F.size(h) > 0, gaps).alias(g) for h, g, (_, gaps, _) in zip(hit_names, gap_names, parts, strict=True)))
+    spans = F.concat(*(place(F.col(h), F.col(g)) for h, g, (_, _, place) in zip(hit_names, gap_names, parts, strict=True)))
     return cut.withColumn("pii", F.sort_array(spans)).select(*docs.columns, "pii")
 
 

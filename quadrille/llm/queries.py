@@ -89,7 +89,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     count = [of(kind) for kind in ("email", "ip", "card", "phone")]
     base = F.filter("pii", lambda x: x["kind_no"] < 4)
-    return found.select("doc_id", *count, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *count, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda x: F.format_number(x["score"], 1)), ",").alias("scores"))
 
 
 @query

@@ -44,7 +44,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    names = ["size", "target", "node", "key", "h", "pii", "slice", "_id", "w", "term"]
+    names = ["size", "target", "node", "key", "h", "pii", "slice", "_id", "w", "term", "_hit0", "_gap0", "__hit1", "_source", "_n", "_bucket", "_rank", "_text", "_copy", "_place", "row", "total", "kind"]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     return df.select("*", *(F.lit(7).alias(n) for n in names))
 
@@ -289,7 +289,20 @@ def test_ogg(docs, rows, empty):
             b = (next(x[1] for x in rows if x[0] == r.doc_id) or "").encode()
             p = b + b"\xff" * (-len(b) % 576 or (0 if b else 576))
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        text = next((x[1] for x in rows if x[0] == r.doc_id), None) if r.doc_id is not None else ""
+        if r.doc_id is not None:
+            media = ogg.store((text or "").encode())
+            x = np.frombuffer(p, np.uint8).astype(float)
+            frames = ((x - 128) ** 2).reshape(-1, 576).sum(1)
+            loud = int(frames.argmax())
+            signs = x < 128
+            assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+            assert r.feature == f"seconds={len(p) / ogg.RATE:.3f};mean={x.mean():.4f};rms={np.sqrt(frames.sum() / len(x)):.4f};crossings={int((signs[1:] != signs[:-1]).sum())};loudest={loud}@{(loud + 1) * 576 / ogg.RATE:.3f}"
     assert ogg.describe(ogg.to_media(empty)).count() == 0
+    none = ogg.describe(docs.sparkSession.createDataFrame([(1, None)], "doc_id long, media binary")).first()
+    assert none.doc_id == 1 and none.n_bytes is None and none.feature is None
+    timed = ogg.Stream(granules=[0, -1, -1, 30, -1])
+    assert timed.times(10) == [0, 1, 2, 3, 3]
     media = bytearray(ogg.store(b"abc" * 1000))
     media[200] ^= 1
     with pytest.raises(ogg.OggError):
