@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.plans.lineage import cut
+from quadrille.plans.lineage import cut, discard
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 64) -> DataFrame:
@@ -18,15 +18,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", limit: in
     end are ignored; an empty table gives no rows. Raises when `limit` rounds
     were not enough, which needs a path of over 2**(limit/2) nodes.
     """
-    known = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct()
+    known = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     both = cut(known.union(known.select("b", "a")).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "cc")
+    whole = labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "cc")
     for _ in range(limit):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.least("root", "near").alias("next"), "root")
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
         new = cut(step.join(jump, "next").select("node", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("moved")), "cc")
-        labels = new.select("node", "root")
+        discard(whole)
+        whole, labels = new, new.select("node", "root")
         if not new.where("moved").limit(1).count():
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {limit} rounds")

@@ -17,9 +17,11 @@ _made: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and everything runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quadrille-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -52,4 +54,15 @@ def cut(df: DataFrame, kind: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._quadrille_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a cut that nothing will read again: the last round of a loop, once the next one is written."""
+    path = getattr(df, "_quadrille_path", None)
+    if path:
+        with contextlib.suppress(ValueError):
+            _made.remove((df.sparkSession, path))
+        drop_path(df.sparkSession, path)
