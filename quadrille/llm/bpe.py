@@ -409,20 +409,28 @@ def _file(docs: DataFrame, path: str):
     return spark.sparkContext.broadcast(data)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns to keep, n_tokens and ids (array<int>) of every text."""
+def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
+    """The columns to keep, n_tokens and ids (array<int>) of every text; check: decoded, whether the ids give the text back."""
     data, schema = _file(docs, path), docs.select(*keep).schema
 
     def run(batches):
         codec = _codec(data.value, pattern)
         for batch in slices(batches):
-            ids = codec.encode_all([text or "" for text in batch.column("text").to_pylist()])
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            ids = codec.encode_all(texts)
             at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), flat)], [*keep, "n_tokens", "ids"])
+            out = {c: batch.column(c) for c in keep} | {"n_tokens": pa.array(np.diff(at).astype(np.int64)), "ids": pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), np.int32)))}
+            if check:
+                out["decoded"] = pa.array(["".join(decode_stream(codec, _blocks(x))) == text for x, text in zip(ids, texts, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_pydict(out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{fields}, n_tokens long, ids array<int>")
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{fields}, n_tokens long, ids array<int>" + ", decoded boolean" * check)
+
+
+def _blocks(ids: bytes, block: int = 1 << 14) -> Iterable[bytes]:
+    """Parts of `block` ids each."""
+    return (ids[i : i + 4 * block] for i in range(0, len(ids), 4 * block))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, block: int = 1 << 14) -> DataFrame:
@@ -435,7 +443,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, block: int = 1 << 14) ->
             texts = []
             for ids in batch.column("ids"):
                 raw = np.asarray(ids.as_py() or [], "<u4").tobytes()
-                texts.append("".join(decode_stream(codec, (raw[i : i + 4 * block] for i in range(0, len(raw), 4 * block)))))
+                texts.append("".join(decode_stream(codec, _blocks(raw, block))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
@@ -451,7 +459,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, block: int = 1 << 14) -
             rows = []
             for ids in codec.encode_all([text or "" for text in batch.column("text").to_pylist()]):
                 back = hashlib.sha256()
-                for part in decode_stream(codec, (ids[i : i + 4 * block] for i in range(0, len(ids), 4 * block))):
+                for part in decode_stream(codec, _blocks(ids, block)):
                     back.update(part.encode())
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), back.hexdigest()))
             n, a, b = zip(*rows, strict=True)

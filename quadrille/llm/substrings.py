@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.kernels import as_long, slices, text_bytes, windows, words
-from quadrille.plans.lineage import cut
+from quadrille.plans.lineage import cut, discard
 
 
 def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -108,9 +108,10 @@ def compact(edges: DataFrame) -> DataFrame:
         back = at.select(F.col("h").alias("head"), F.col("head").alias("far"), F.col("off").alias("more"))
         step = at.join(back, "head", "left").select("h", F.coalesce("far", "head").alias("head"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), F.col("far").isNotNull().alias("moved"))
         step = cut(step, "chains")
+        discard(at)
         if not step.where("moved").limit(1).count():
             return step.drop("moved")
-        at = step.drop("moved")
+        at = step
 
 
 def _paths(found: DataFrame, k: int, length: int) -> DataFrame:

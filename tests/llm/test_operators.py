@@ -492,3 +492,99 @@ def test_minhash_rows_that_repeat_an_id(spark):
     assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True)]
     kept = [minhash.keep_one(df.repartition(n)).collect() for n in (1, 3)]
     assert sorted(kept[0]) == sorted(kept[1]) and sorted(r.doc_id for r in kept[0]) == [5, 11] and kept[0][0].asDict().keys() == set(df.columns)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage's rows from the rows before it, by plain Python, on a table with toxic, copied, private, empty and repeated rows."""
+    r = random.Random(31)
+    texts = [prose(3000 + i, r.randrange(10, 90)) + (" you schurke, what a schurke you are" if i % 5 == 0 else "") for i in range(160)]
+    texts += [t + " end" for t in texts[1:9]] + texts[10:14] + ["", None, "mail bob@example.org now", "+1 (389) 555-5010 " + prose(9999, 40) + " 10.0.0.1"]
+    rows = [(i, t, "en", f"s{i % 4}" if i % 11 else None, len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(160)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d, docs, out = str(tmp_path), spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, f in corpus_pipeline.STAGES:
+        f(spark, docs, d).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        out[name] = sorted((tuple(x) for x in docs.collect()), key=str)
+    model = toxicity.learn(spark.createDataFrame(rows, SCHEMA), spark.read.parquet(f"{tmp_path}/labels.parquet").where(~toxicity.held_out("doc_id")))
+    scorer = toxicity.Scorer(model)
+    kept = [x for x in rows if scorer.score(x[1]) < 0.5]
+    assert out["toxicity"] == sorted(kept, key=str) and {x[0] for x in rows} - {x[0] for x in kept} == {i for i in range(160) if i % 5 == 0} | {x[0] for x in rows[160:] if "schurke" in (x[1] or "")}
+
+    def shingles(t):
+        w = brute.WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+
+    sets, root = {x[0]: shingles(x[1]) for x in kept}, {x[0]: x[0] for x in kept}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    alone = [x for x in kept if root[x[0]] == x[0]]
+    assert out["minhash_near_dedup"] == sorted(alone, key=str) and len(alone) < len(kept)
+    clean = []
+    for i, t, lang, source, n in alone:
+        for span in reversed(brute.pii(t)):
+            kind, a, b = span.split(":")
+            t = f"{t[: int(a)]}<{kind.upper()}>{t[int(b) :]}"
+        clean.append((i, t, lang, source, None if t is None else len(t)))
+    assert out["pii"] == sorted(clean, key=str) and any("<PHONE>" in (x[1] or "") for x in clean)
+    times = defaultdict(int)
+    for x in out["mixing"]:
+        assert x in clean
+        times[x[0]] += 1
+    size = {x[0]: len(brute.WORD.findall(x[1] or "")) for x in clean}
+    sources = {x[3] for x in clean}
+    weights = dict(zip(sorted(s for s in sources if s) + [None], (5, 2, 1, 5, 2), strict=True))
+    whole = {s: sum(size[x[0]] for x in clean if x[3] == s) for s in sources}
+    goal, open_ = {}, set(sources)
+    while True:
+        rest = 1.5 * sum(whole.values()) - sum(goal.values())
+        full = {s for s in open_ if rest * weights[s] / sum(weights[x] for x in open_) > 2 * whole[s]}
+        goal |= {s: 2 * whole[s] for s in full}
+        open_ -= full
+        if not full:
+            break
+    goal |= {s: rest * weights[s] / sum(weights[x] for x in open_) for s in open_}
+    for s in sources:
+        own = [x for x in clean if x[3] == s]
+        base = int(goal[s] / whole[s] + 1e-12)
+        assert all(times[x[0]] in (base, base + 1) for x in own if size[x[0]] and base < 2) and all(times[x[0]] <= 2 for x in own)
+        assert abs(sum(times[x[0]] * size[x[0]] for x in own) - goal[s]) <= max(size[x[0]] for x in own)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(Path(VOCAB).read_bytes()), special_tokens={})
+    want = [(i, source, len(ids), ids, True) for i, t, _, source, _ in out["mixing"] for ids in (enc.encode_ordinary(t or ""),)]
+    assert out["byte_bpe"] == sorted(want, key=str)
+
+
+def test_pipeline_on_empty_tables_and_extra_columns(spark, tmp_path):
+    more = [F.lit(7).alias(n) for n in ("size", "pii", "node", "root", "key", "times", "ids", "score", "_text")]
+    spark.createDataFrame([], SCHEMA).select("*", *more).write.parquet(f"{tmp_path}/a/documents.parquet")
+    some = [(1, "one two three four five six", "en", "s", 1), (1, "one two three four five six", "en", "s", 1), (None, None, None, None, None)]
+    spark.createDataFrame(some, SCHEMA).select("*", *more).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for d in "ab":
+        spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/{d}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/b").collect()
+    assert {r.doc_id for r in got} <= {1, None} and all(r.decoded for r in got)
+
+
+def test_quality_ties_and_private_data_by_hand(spark):
+    """A posterior of exactly one half is kept; checksums, context and what speaks against a kind decide the kinds beside the base ones."""
+    even = quality.Voters(0.5, (0.5,), (0.5,))
+    assert quality.posterior((1,), even) == quality.posterior((-1,), even) == quality.posterior((0,), even) == 0.5
+    cases = {
+        "iban GB82 WEST 1234 5698 7654 32": ["iban"], "GB82 WEST 1234 5698 7654 33": [], "serial GB82 WEST 1234 5698 7654 32": ["iban"], "DE89370400440532013000": ["iban"],
+        "ssn 123-45-6789": ["ssn"], "123-45-6789": [], "social security 000-45-6789": [], "call 555-123-4567": ["local_phone"], "555-123-4567": [], "serial call 555-123-4567": [], "tel (555) 123-4567": ["local_phone"],
+    }
+    got = pii.find(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    assert [[x.kind for x in r.pii if x.kind_no > 3] for r in sorted(got, key=lambda r: r.doc_id)] == list(cases.values())
+
+    def mod97(x):
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+    r = random.Random(4)
+    numbers = [f"GB{r.randrange(100):02}WEST{r.randrange(10**14):014}" for _ in range(600)]
+    found = pii.find(spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string")).collect()
+    assert {x.doc_id: any(y.kind == "iban" for y in x.pii) for x in found} == {i: mod97(x) for i, x in enumerate(numbers)} and any(map(mod97, numbers))
