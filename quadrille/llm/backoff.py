@@ -115,7 +115,7 @@ def _lists(values: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
 
 
-def score(docs: DataFrame, order: int = 3, discount: float = 0.4, slice_chars: int = 8_000_000, part_words: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, discount: float = 0.4, slice_chars: int = 10_000_000, part_words: int = 400_000) -> DataFrame:
     """doc_id, n_words, score (sum of log10 S) and mean (per word) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("words")).first()
