@@ -13,6 +13,7 @@ import pandas as pd
 import pytest
 
 from quadrille.operators.vkg import VirtualGraph
+from quadrille.plans.sqltext import DIALECTS, SqlTextError, SqlWriter, rewrite_tables
 from quadrille.sources.mapping import from_r2rml, parse_mappings
 from quadrille.sources.turtle import read_turtle
 
@@ -199,6 +200,35 @@ def test_question(both, n):
     assert "CartesianProduct" not in plan
 
 
+@pytest.mark.parametrize("n", range(len(QUESTIONS)))
+def test_question_as_sql_text(both, n):
+    """The text written for another database, with its table names, gives the rows there."""
+    graph, con = both
+    made = SqlWriter(graph, "duckdb", {f"ins_{t}": f"main.{t}" for t in TABLES}).translate(sparql(*QUESTIONS[n]))
+    assert made["projectedRequested"] and made["projectedApplied"] and "ins_" not in made["sql"] and '"main"."' in made["sql"]
+    got, want = con.cursor().execute(made["sql"]), con.cursor().execute(sql(*QUESTIONS[n]))
+    assert [d[0] for d in got.description] == [d[0] for d in want.description]
+    assert sorted(map(plain, got.fetchall())) == sorted(map(plain, want.fetchall()))
+
+
+def test_sql_text_runs_here_too(both, spark):
+    graph, con = both
+    for q in (
+        "SELECT ?policy ?cause { ?p ex:policyNumber ?policy . ?v ex:ofPolicy ?p . ?c ex:against ?v OPTIONAL { ?c ex:causedBy [ ex:catastropheName ?cause ] } } ORDER BY ?policy ?cause LIMIT 7 OFFSET 2",
+        "SELECT DISTINCT ?x { { ?a ex:AgentId ?x } UNION { ?b ex:HolderId ?x } FILTER(STRSTARTS(?x, '10') || CONTAINS(?x, '20')) }",
+        "SELECT ?policy (COUNT(?c) AS ?n) { ?c ex:against ?v . ?v ex:ofPolicy <http://t/insurance/Policy/3> . <http://t/insurance/Policy/3> ex:policyNumber ?policy } GROUP BY ?policy HAVING (COUNT(?c) > 0)",
+        "SELECT ?v ?none { ?v a ex:Coverage . ?v ex:unknown ?none }",
+    ):
+        made = SqlWriter(graph, "spark").translate(q)["sql"]
+        assert sorted(map(str, spark.sql(made).collect())) == sorted(map(str, graph.query(q).collect()))
+    raw = SqlWriter(graph, "postgres").translate("SELECT ?policy { ?p ex:policyNumber ?policy }", projected=False)
+    assert not raw["projectedRequested"] and not raw["projectedApplied"] and '"policy"' not in raw["sql"]
+    assert rewrite_tables("SELECT 'from a' FROM a JOIN b.c x ON x.a = a.a", {"a": "p.q", "b.c": "z"}, DIALECTS["bigquery"]) == "SELECT 'from a' FROM `p`.`q` JOIN `z` x ON x.a = a.a"
+    for q in ("SELECT ?x { ?x ?y ?z }", "ASK { ?x ex:policyNumber ?z }", "SELECT ?x { ?x ex:policyNumber ?z MINUS { ?x a ex:Claim } }", "SELECT ?x { ?x ex:policyNumber ?z OPTIONAL { ?x ex:policyStart ?s } ?y ex:policyEnd ?s }"):
+        with pytest.raises(SqlTextError):
+            SqlWriter(graph, "duckdb").translate(q)
+
+
 def test_r2rml_says_the_same(both, spark):
     """Six triples maps of the other front end, over tables and queries, joined."""
     def triples_map(name, subject, table, facts):
