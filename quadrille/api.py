@@ -20,7 +20,9 @@ from quadrille.plans.compile import lexical
 from quadrille.plans.components import connected_components
 from quadrille.plans.lineage import cut
 from quadrille.plans.sparql import RDF, XSD
-from quadrille.sources.mapping import parse_mappings
+from quadrille.plans.sqltext import DIALECTS, SqlWriter
+from quadrille.sources import bindings
+from quadrille.sources.mapping import RR, parse_mappings
 from quadrille.sources.turtle import encoded, read_turtle
 
 OWL, RDFS = "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2000/01/rdf-schema#"
@@ -110,8 +112,48 @@ class Service:
             subclasses.setdefault(r.s[1:-1], []).append(r.o[1:-1])
         return VirtualGraph(self.spark, {**self.prefixes, **prefixes}, mappings, subclasses)
 
-    def translate(self, dataset: str, text: str) -> dict:
-        return {"plan": self.virtual(dataset).translate(text), "projectedRequested": True, "projectedApplied": True}
+    def available(self, dataset: str) -> bool:
+        """Whether queries over the dataset's tables can be translated: it is known, and has mappings and a dialect."""
+        d = self.manifest.datasets.get(dataset)
+        return bool(d and d.mappings and (self.root / d.mappings).exists() and d.dialect in DIALECTS)
+
+    def translate(self, dataset: str, text: str, projected: bool = True) -> dict:
+        """sql for the database that holds the tables, and whether its columns are the query's variables; plan: how it would run here."""
+        if not self.available(dataset):
+            raise KeyError(f"{dataset} has no mappings")
+        d, graph_ = self.manifest.datasets[dataset], self.virtual(dataset)
+        return SqlWriter(graph_, d.dialect, d.tables).translate(text, projected) | {"plan": graph_.translate(text)}
+
+    def tables(self, dataset: str) -> str:
+        """The context text of the dataset's external tables: from their description file, else from the bindings graph."""
+        d = self.manifest.datasets[dataset]
+        if d.tables_file:
+            return bindings.table_context(bindings.load_bindings(str(self.root / d.tables_file)))
+        found = self.store.query(
+            f"SELECT ?map ?label ?description ?source ?join_key ?ex_label ?ex_sql {{ GRAPH <{self.manifest.graph(dataset, 'bindings')}> {{ ?map a <{RR}TriplesMap> ; rdfs:label ?label "
+            "OPTIONAL { ?map rdfs:comment ?description } OPTIONAL { ?map ex:dataSource ?source } OPTIONAL { ?map ex:joinKey ?join_key } OPTIONAL { ?map ex:queryExample [ rdfs:label ?ex_label ; ex:sql ?ex_sql ] } } }"
+        )
+        return bindings.map_context(found, f"dataset: {dataset}", d.tables)
+
+    def ontology_context(self, dataset: str) -> str:
+        """The ontology as text: classes, then properties with their domains and ranges, by local name."""
+        rows = self.ontology(dataset).collect()  # an ontology's terms
+        short = lambda iris: ", ".join(sorted(re.split("[#/]", x)[-1] for x in (iris or "").split()))
+        classes = [f"- {short(r.term)}" + (f": {r.label}" if r.label else "") for r in rows if r.kind.endswith("#Class")]
+        properties = [f"- {short(r.term)} ({short(r.domains) or 'any'} -> {short(r.ranges) or 'any'})" for r in rows if not r.kind.endswith("#Class")]
+        return "\n".join(["Classes:", *sorted(classes), "Properties:", *sorted(properties)])
+
+    def health(self) -> dict:
+        """live: the engine answers; ready: every known dataset was loaded; statements: how many there are."""
+        loaded = {r.d for r in self.store.query("SELECT DISTINCT ?d { GRAPH ?g { ?e a ex:OntologyLoadEvent ; ex:datasetId ?d } }").collect()}
+        waiting = sorted(set(self.manifest.datasets) - loaded)
+        return {"live": self.spark.range(1).count() == 1, "ready": not waiting, "waiting": waiting, "statements": self.store.quads.count()}
+
+    def methods(self, dataset: str) -> DataFrame:
+        """(method, n): identities by the method that found them; one found by several counts for each, one without as unknown."""
+        g = f"<{self.manifest.graph(dataset, 'normalization')}>"
+        same = self.store.quads.where((F.col("g") == g) & (F.col("p") == SAME)).select(*QUAD)
+        return graph.method_counts(same, self.store.notes.where(F.col("ap") == f"<{self.manifest.namespace}normalizationMethod>").select(*QUAD, lexical(F.col("ao")).alias("method")), list(QUAD))
 
     def sql(self, text: str, args: dict | None = None) -> DataFrame:
         return X.guarded(self.spark, text, args=args)

@@ -26,6 +26,9 @@ class Dataset:
     bindings: list[str] = field(default_factory=list)
     mappings: str = ""
     unique: tuple[str, ...] = ()
+    dialect: str = "spark"  # of the database that holds the mapped tables
+    tables: dict[str, str] = field(default_factory=dict)  # names in the mappings to names in that database
+    tables_file: str = ""  # descriptions of external tables
 
 
 @dataclass

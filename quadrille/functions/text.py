@@ -87,6 +87,15 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return found.select("page_url", canonical_url(full).alias("link")).where("link rlike '^https?://'").distinct()
 
 
+def canonical_value(c: Column) -> Column:
+    """A value as results are compared by: numbers as plain decimals without needless zeros, times to the second, null as <NULL>."""
+    text = c.cast("string")
+    number = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("decimal(38,10)").cast("string"))
+    plain = F.when(number.contains("."), F.regexp_replace(F.regexp_replace(number, "0+$", ""), r"\.$", "")).otherwise(number)
+    time = F.when(text.rlike(r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d"), F.date_format(text.try_cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss"))
+    return F.coalesce(plain, time, text, F.lit("<NULL>"))
+
+
 # -- guarded SQL
 class SqlRefused(ValueError):
     """A statement that the guard does not let through."""

@@ -100,3 +100,9 @@ def same_as(triples: DataFrame, members: DataFrame, predicate: str) -> DataFrame
 def latest(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     """The last row of each key by a time column, by window."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at)))).where("_n = 1").drop("_n")
+
+
+def method_counts(items: DataFrame, methods: DataFrame, key: list[str]) -> DataFrame:
+    """(method, n): items by method; several methods, in rows or joined by |, count for each, none as unknown."""
+    each = methods.select(*key, F.explode(F.split("method", r"\|")).alias("method")).select(*key, F.trim("method").alias("method")).where("method <> ''").distinct()
+    return items.distinct().join(each, key, "left").groupBy(F.coalesce("method", F.lit("unknown")).alias("method")).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import text as X
-from quadrille.operators import entities, graph, ingest, rules, search
+from quadrille.operators import crawl, entities, graph, ingest, rules, search
 from quadrille.operators.quads import QuadStore
 from quadrille.operators.vkg import VirtualGraph
 from quadrille.plans.compile import quoted
@@ -316,6 +316,8 @@ rule("rules_bridge", "[b: (?a ex:partOf ?r), (?b ex:partOf ?r), notEqual(?a, ?b)
 rule("rules_inverse", "[v: (?r ex:has ?n) <- (?n ex:partOf ?r)]", "has", f"SELECT {_node('Region', 'n_regionkey')} AS s, {_node('Nation', 'n_nationkey')} AS o FROM nation")
 rule("rules_type", "[y: (?c ex:balance ?b), greaterThan(?b, 5000) -> (?c ex:kind d:Rich)]", "kind", f"SELECT {_node('Customer', 'c_custkey')} AS s, '<{DATA}Rich>' AS o FROM customer WHERE c_acctbal > 5000")
 rule("rules_inherit", "[h: (?c ex:inNation ?n), (?n ex:partOf ?r) -> (?c ex:inRegion ?r)]", "inRegion", f"SELECT {_node('Customer', 'c_custkey')} AS s, {_node('Region', 'n_regionkey')} AS o FROM customer JOIN nation ON n_nationkey = c_nationkey")
+rule("rules_variable_predicate", "[v: (?a ex:partOf ?r), (?r ?p ?o) -> (?a ?p ?o)]", "name", f"SELECT {_node('Nation', 'n_nationkey')} AS s, '\"' || r_name || '\"' AS o FROM nation JOIN region ON n_regionkey = r_regionkey")
+rule("rules_two_joined", "[a: (?c ex:inNation ?n), (?d ex:inNation ?n), notEqual(?c, ?d), (?n ex:partOf ?r), (?c ex:balance ?x), lessThan(?x, -900), (?d ex:balance ?y), greaterThan(?y, 9800) -> (?c ex:owedBy ?d)]", "owedBy", f"SELECT {_node('Customer', 'c.c_custkey')} AS s, {_node('Customer', 'd.c_custkey')} AS o FROM customer c JOIN customer d USING (c_nationkey) WHERE c.c_custkey <> d.c_custkey AND c.c_acctbal < -900 AND d.c_acctbal > 9800")
 rule("rules_symmetric", "[s: (?a ex:partOf ?b) -> (?a ex:near ?b)] [m: (?a ex:near ?b) -> (?b ex:near ?a)]", "near", f"SELECT {_node('Nation', 'n_nationkey')} AS s, {_node('Region', 'n_regionkey')} AS o FROM nation UNION ALL SELECT {_node('Region', 'n_regionkey')}, {_node('Nation', 'n_nationkey')} FROM nation")
 
 
@@ -470,11 +472,48 @@ def vector_topk(spark, sf_dir):
     return search.nearest(v, v.orderBy("vec_id").first().embedding)
 
 
-@query()
+def _canonical(x: str) -> str:
+    """SQL of a URL's canonical form."""
+    parts = "'(?i)^([a-z][a-z0-9+.-]*)://([^/?]*)([^?]*)([?].*)?$'"
+    bare = f"regexp_replace({x}, '#.*$', '')"
+    at = lambda i: f"regexp_extract({bare}, {parts}, {i})"
+    path = f"regexp_replace({at(3)}, '/{{2,}}', '/', 'g')"
+    return f"CASE WHEN regexp_matches({bare}, {parts}) THEN lower({at(1)}) || '://' || lower({at(2)}) || CASE WHEN {path} = '' THEN '/' ELSE {path} END || {at(4)} ELSE {bare} END"
+
+
+_LINKS = rf"""found AS (SELECT url, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS host, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*/)', 1) AS folder,
+    unnest(list_distinct(list_concat(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"''#][^"'']*)["'']', 1), regexp_extract_all(html, '["''](https?://[^"''<> ]+)["'']', 1)))) AS x FROM pages),
+whole AS (SELECT url, CASE WHEN regexp_matches(x, '(?i)^[a-z][a-z0-9+.-]*:') THEN x WHEN x LIKE '/%' THEN host || x ELSE folder || x END AS y FROM found),
+links AS (SELECT DISTINCT url AS page_url, {_canonical("y")} AS link FROM whole WHERE regexp_matches({_canonical("y")}, '^https?://'))"""
+
+
+@query(f"WITH {_LINKS} SELECT page_url, link FROM links")
 def crawl_links(spark, sf_dir):
     return X.links(table(spark, sf_dir, "pages"))
 
 
+@query(
+    f"""WITH {_LINKS}, seeds AS (SELECT DISTINCT {_canonical("url")} AS url FROM pages WHERE url IS NOT NULL), hosts AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM seeds),
+    reached AS (SELECT url, 0 AS depth FROM seeds UNION SELECT link, 1 FROM links JOIN hosts ON host = regexp_extract(link, '^[a-z]+://([^/?#]*)', 1))
+    SELECT url, min(depth) AS depth, regexp_matches(regexp_replace(url, '[?#].*$', ''), '(?i)\.pdf$') AS is_pdf FROM reached GROUP BY url"""
+)
+def crawl_frontier(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return crawl.frontier(pages, pages, crawl.Bounds(depth=1))
+
+
+@query("SELECT method, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_type, ' ')) AS method FROM part) GROUP BY 1")
+def norm_methods(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return graph.method_counts(p.select("p_partkey"), p.select("p_partkey", F.replace("p_type", F.lit(" "), F.lit("|")).alias("method")), ["p_partkey"])
+
+
+@query("SELECT o_orderkey, regexp_replace(regexp_replace(o_totalprice::DECIMAL(18, 2)::VARCHAR, '0+$', ''), '[.]$', '') AS total, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS day FROM orders")
+def value_canonical(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", X.canonical_value(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"), X.canonical_value(F.col("o_orderdate")).alias("day"))
+
+
 @query("SELECT page_id, lower(regexp_extract(url, '(?i)^[a-z]+://([^/?#]*)', 1)) AS host, TRY_CAST(regexp_extract(regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-z]+://[^/]*', ''), '/((?:19|20)[0-9][0-9])(/|\\?|$)', 1) AS INT) AS year FROM pages")
 def crawl_url_parts(spark, sf_dir):
     p = table(spark, sf_dir, "pages")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ def load_csv(spark: SparkSession, path: str, schema: str, columns: dict[str, str
     into: rows already loaded; theirs win, so loading twice changes nothing.
     """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
-    new = raw.select(*(F.col(old).alias(name) for name, old in columns.items())).dropDuplicates(keys)
+    # A file with quoted line ends is read by one task, so numbers grow along it.
+    placed = raw.select(*(F.col(old).alias(name) for name, old in columns.items()), F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")).alias("_place"))
+    new = placed.groupBy(*keys).agg(*(F.min_by(c, "_place").alias(c) for c in columns if c not in keys)).select(*columns)
     return new if into is None else into.unionByName(new.join(into.select(*keys), keys, "left_anti").select(*into.columns))
 
 
@@ -35,12 +38,17 @@ def resolve_object(objects: DataFrame) -> DataFrame:
 
 def text_of(files: DataFrame, pdf=None) -> DataFrame:
     """files (path, content) with text: plain text trimmed; PDF by the function given, bytes to text; others null."""
-    plain = F.trim(F.decode("content", "UTF-8"))
+    plain = F.regexp_replace(F.decode("content", "UTF-8"), r"^\s+|\s+$", "")
     out = files.withColumn("text", F.when(F.lower("path").endswith(".txt"), plain))
     if pdf is None:
         return out
-    read = F.udf(lambda b: pdf(bytes(b)), "string")
-    return out.withColumn("text", F.when(F.lower("path").endswith(".pdf"), read("content")).otherwise(F.col("text")))
+
+    @F.pandas_udf("string")
+    def read(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda b: None if b is None else pdf(bytes(b)))
+
+    is_pdf = F.lower("path").endswith(".pdf")
+    return out.withColumn("text", F.when(is_pdf, read(F.when(is_pdf, F.col("content")))).otherwise(F.col("text")))
 
 
 def discover(spark: SparkSession, root: str, suffix: str = ".pdf", offset: int = 0, limit: int | None = None) -> DataFrame:

@@ -377,3 +377,33 @@ def test_typed_order_escapes_and_compatible_joins(spark):
     assert q("?a { ?a <name> ?m FILTER(?m != 'C' && !EXISTS { ?a <k> ?z }) }") == [("b",)]
     plan = g.query("SELECT ?a ?c { ?a <name> ?m BIND(STR(?m) AS ?b) ?c <name> ?b }")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_service_describes_translates_and_reports(spark, tmp_path):
+    (tmp_path / "o.ttl").write_text(ONTOLOGY)
+    (tmp_path / "b.ttl").write_text(
+        '@prefix ex: <http://t/o#> . @prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n'
+        'ex:m a rr:TriplesMap ; rdfs:label "City table" ; ex:joinKey "id" ; ex:queryExample [ rdfs:label "all" ; ex:sql "SELECT * FROM {schema}.city" ] , [ rdfs:label "one" ; ex:sql "SELECT 1" ] .\n'
+    )
+    (tmp_path / "m.obda").write_text("[PrefixDeclaration]\n:\thttp://t/\nex:\thttp://t/o#\n\n[MappingDeclaration] @collection [[\n\nmappingId City\ntarget :City/{id} a ex:City ; ex:name {name} .\nsource SELECT id, name FROM city_rows\n\n]]\n")
+    sets = [{"id": "d", "ontology": ["o.ttl"], "bindings": ["b.ttl"], "mappings": "m.obda", "unique": ["City"], "dialect": "bigquery", "tables": {"city_rows": "project.set.cities", "schema": "s"}}, {"id": "e"}]
+    (tmp_path / "m.json").write_text(json.dumps({"base": "http://t", "namespace": NS, "datasets": sets}))
+    spark.createDataFrame([(1, "A"), (2, 'B "x"')], "id int, name string").createOrReplaceTempView("city_rows")
+    s = Service(spark, Manifest.load(str(tmp_path / "m.json")), str(tmp_path))
+    s.reload("d")
+    assert s.available("d") and not s.available("e") and not s.available("no")
+    made = s.translate("d", "SELECT ?n { ?c a ex:City ; ex:name ?n }")
+    assert made["projectedRequested"] and made["projectedApplied"] and "`project`.`set`.`cities`" in made["sql"] and made["sql"].startswith("SELECT") and "Project" in made["plan"]
+    with pytest.raises(KeyError):
+        s.translate("e", "SELECT ?n { ?c ex:name ?n }")
+    assert sorted(r.n for r in s.virtual("d").query("SELECT ?n { ?c a ex:Place ; ex:name ?n }").collect()) == ["A", 'B "x"']
+    assert "## City table\nJoin key: id\nExample queries:\n  # all\n  ```sql\n  SELECT * FROM s.city\n" in s.tables("d")
+    assert s.ontology_context("d") == "Classes:\n- City: City\n- Place\nProperties:\n- near (Place -> City, Place)"
+    h = s.health()
+    assert h["live"] and not h["ready"] and h["waiting"] == ["e"] and h["statements"] > 8
+    s.reload("e")
+    assert s.health()["ready"]
+    new = spark.createDataFrame([("http://t/1", "Town Hall"), ("http://t/2", "town hall"), ("http://t/3", "Town Halls")], "iri string, label string")
+    s.normalize("d", "run", new)
+    assert {(r.method, r.n) for r in s.methods("d").collect()} == {("exact-label", 1), ("jaro-winkler", 2)}
+    spark.catalog.dropTempView("city_rows")
