@@ -13,7 +13,9 @@ from quadrille.operators import crawl, entities, graph, ingest, rules, search
 from quadrille.operators.quads import QuadStore
 from quadrille.operators.vkg import VirtualGraph
 from quadrille.plans.compile import quoted
-from quadrille.sources.mapping import parse_mappings
+from quadrille.plans.sqltext import SqlWriter
+from quadrille.sources.mapping import from_r2rml, parse_mappings
+from quadrille.sources.turtle import encoded, read_turtle, to_turtle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,6 +173,43 @@ vkg("vkg_optional_chain", "SELECT ?o ?x { ?o ex:placedBy ?c OPTIONAL { ?c ex:inN
 vkg("vkg_subselect", "SELECT ?name ?n { ?c ex:customerName ?name { SELECT ?c (COUNT(?o) AS ?n) { ?o ex:placedBy ?c } GROUP BY ?c } FILTER(?n >= 15) }", "SELECT c_name AS name, n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE n >= 15")
 
 
+vkg("vkg_year_month", "SELECT ?y ?m (COUNT(?o) AS ?n) { ?o ex:orderDate ?d BIND(YEAR(?d) AS ?y) BIND(MONTH(?d) AS ?m) } GROUP BY ?y ?m", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2")
+vkg("vkg_concat_if", "SELECT ?t (COUNT(*) AS ?n) { ?p ex:brand ?b ; ex:size ?z BIND(CONCAT(LCASE(STR(?b)), IF(?z > 25, '-large', '-small')) AS ?t) } GROUP BY ?t", "SELECT lower(p_brand) || CASE WHEN p_size > 25 THEN '-large' ELSE '-small' END AS t, count(*) AS n FROM part GROUP BY 1")
+
+R2RML = """@prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix ex: <http://example.org/ontology#> .
+ex:A rr:logicalTable [ rr:tableName "nation" ] ; rr:subjectMap [ rr:template "http://example.org/data/Nation/{n_nationkey}" ; rr:class ex:Nation ] ;
+    rr:predicateObjectMap [ rr:predicate ex:nationName ; rr:objectMap [ rr:column "n_name" ] ] ;
+    rr:predicateObjectMap [ rr:predicate ex:partOf ; rr:objectMap [ rr:parentTriplesMap ex:B ; rr:joinCondition [ rr:child "n_regionkey" ; rr:parent "r_regionkey" ] ] ] .
+ex:B rr:logicalTable [ rr:sqlQuery "SELECT r_regionkey, r_name FROM region" ] ; rr:subjectMap [ rr:template "http://example.org/data/Region/{r_regionkey}" ] ;
+    rr:predicateObjectMap [ rr:predicate ex:regionName ; rr:objectMap [ rr:column "r_name" ] ] .
+ex:C rr:logicalTable [ rr:tableName "customer" ] ; rr:subjectMap [ rr:template "http://example.org/data/Customer/{c_custkey}" ] ;
+    rr:predicateObjectMap [ rr:predicate ex:inNation ; rr:objectMap [ rr:template "http://example.org/data/Nation/{c_nationkey}" ] ] ."""
+
+
+@query("SELECT r_name AS region, n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def vkg_r2rml(spark, sf_dir):
+    views(spark, sf_dir, "nation region customer")
+    graph_ = VirtualGraph(spark, {"ex": EX}, from_r2rml(read_turtle(R2RML)))
+    return graph_.query("SELECT ?region ?nation (COUNT(?c) AS ?n) { ?c ex:inNation ?x . ?x a ex:Nation ; ex:nationName ?nation ; ex:partOf [ ex:regionName ?region ] } GROUP BY ?region ?nation")
+
+
+def sqltext(name: str, sparql: str, oracle: str) -> None:
+    """A query over the virtual graph by way of its SQL text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir, MAPPINGS)
+        return spark.sql(SqlWriter(virtual(spark, sf_dir)).translate(sparql)["sql"])
+
+    run.__name__ = name
+    query(oracle)(run)
+
+
+sqltext("sqltext_chain", "SELECT ?nation ?name ?total { ?o ex:total ?total ; ex:placedBy ?c . ?c ex:customerName ?name ; ex:inNation [ ex:nationName ?nation ] . FILTER(?total > 300000) }", "SELECT n_name AS nation, c_name AS name, o_totalprice AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 300000")
+sqltext("sqltext_group", "SELECT ?name (COUNT(?o) AS ?n) (MAX(?t) AS ?most) { ?o ex:total ?t ; ex:placedBy [ ex:customerName ?name ] } GROUP BY ?name HAVING (COUNT(?o) > 10)", "SELECT c_name AS name, count(*) AS n, max(o_totalprice) AS most FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1 HAVING count(*) > 10")
+sqltext("sqltext_entailed_union", "SELECT DISTINCT ?x { ?x a ex:Party }", "SELECT 'http://example.org/data/Customer/' || c_custkey AS x FROM customer UNION SELECT 'http://example.org/data/Supplier/' || s_suppkey FROM supplier")
+sqltext("sqltext_optional", "SELECT ?n ?big { ?c ex:customerName ?n OPTIONAL { ?c ex:largestOrder ?big } }", "SELECT c_name AS n, max(o_totalprice) AS big FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name")
+
+
 # -- stored graphs
 def stored(spark: SparkSession, sf_dir: str) -> QuadStore:
     """Nations and regions in one graph, customers of positive balance in another, with annotations on the latter."""
@@ -244,6 +283,43 @@ kg("kg_bound_strafter", "SELECT ?c (STRAFTER(STR(?m), '#') AS ?t) { GRAPH ex:peo
 kg("kg_str_less", "SELECT ?a ?b { GRAPH ex:geo { ?a ex:partOf ?r . ?b ex:partOf ?r } FILTER(STR(?a) < STR(?b)) }", f"SELECT '{DATA}Nation/' || x.n_nationkey AS a, '{DATA}Nation/' || y.n_nationkey AS b FROM nation x JOIN nation y USING (n_regionkey) WHERE '{DATA}Nation/' || x.n_nationkey < '{DATA}Nation/' || y.n_nationkey")
 
 
+@query(f"SELECT '<{DATA}Nation/' || n_nationkey || '>' AS s, '<{EX}in>' AS p, '\"' || r_name || '\"' AS o FROM nation JOIN region ON n_regionkey = r_regionkey")
+def kg_construct(spark, sf_dir):
+    return stored(spark, sf_dir).query("CONSTRUCT { ?n ex:in ?name } WHERE { GRAPH ex:geo { ?n ex:partOf ?r . ?r ex:name ?name } }")
+
+
+@query("SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def kg_turtle_roundtrip(spark, sf_dir):
+    """The geography written as Turtle, read again (nations and regions are a few lines) and queried."""
+    geo = stored(spark, sf_dir).quads.where(F.col("g") == f"<{EX}geo>")
+    text = "\n".join(r.value for r in to_turtle(geo.select("s", "p", "o")).collect())
+    back = QuadStore.of(spark, encoded(read_turtle(text), EX + "geo"), prefixes={"ex": EX})
+    return back.query("SELECT ?nation ?region { GRAPH ex:geo { ?n ex:partOf ?r ; ex:name ?nation . ?r ex:name ?region } }")
+
+
+@query(f"SELECT '{DATA}Customer/' || c_custkey AS c FROM customer WHERE NOT (c_custkey % 3 = 1 AND c_custkey % 2 <> 0)")
+def kg_forget_run(spark, sf_dir):
+    """What is left when a run's statements go, but for those that another run asserts too."""
+    p = f"<{EX}indexingRun>"
+    return stored(spark, sf_dir).without_document('"run1"', p, also=p).query("SELECT ?c { GRAPH ex:people { ?c ex:inNation ?n } }")
+
+
+@query(f"SELECT '{DATA}Customer/' || c_custkey AS c FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2")
+def kg_reasoned(spark, sf_dir):
+    """A query over statements and what rules derive from them."""
+    base = _triples(spark, sf_dir)
+    derived = rules.derive(base, rules.parse_rules("[h: (?c ex:inNation ?n), (?n ex:partOf ?r) -> (?c ex:inRegion ?r)]", {"ex": EX}).rules)
+    store = QuadStore(base.union(derived).select(F.lit("<g>").alias("g"), "s", "p", "o"), prefixes={"ex": EX}, union_default=True)
+    return store.query("SELECT ?c { ?c ex:inRegion <http://example.org/data/Region/2> }")
+
+
+@query("SELECT p_partkey, '[' || p_size || '.0,' || p_size || '.5]' AS v FROM part WHERE p_size <> 7")
+def vector_text(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    half = F.when(F.col("p_size") == 7, F.lit(float("nan"))).otherwise(F.col("p_size") + 0.5)
+    return p.select("p_partkey", X.vector_text(F.array(F.col("p_size").cast("double"), half)).alias("v")).where("v is not null")
+
+
 @query(f"SELECT '{DATA}Customer/' || c_custkey AS s FROM customer WHERE c_custkey % 10 <> 3")
 def kg_delete_document(spark, sf_dir):
     left = stored(spark, sf_dir).without_document(f"<{DATA}Doc/3>", f"<{EX}sourceDocument>")
@@ -438,6 +514,8 @@ def sql(name: str, text: str, oracle: str | None = None, args: dict | None = Non
 
 sql("sql_guard_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500")
 sql("sql_param_template", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = @status AND o_totalprice > @low GROUP BY 1", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 GROUP BY 1", {"status": "F", "low": 1000})
+sql("sql_semi_on", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", limit=None)
+sql("sql_anti_not_in", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)", limit=None)
 sql("sql_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 sql(
     "sql_self_join_gap",
@@ -456,12 +534,22 @@ sql("sql_dirty_cast", "SELECT sum(try_cast(substr(c_mktsegment, 1, 1) AS INT)) A
 
 
 # -- search, links, streams
-@query(
-    r"""WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+') IF x <> ''] AS w FROM documents),
-    t AS (SELECT doc_id, len(w) AS n, len([x FOR x IN w IF x = 'license']) AS a, len([x FOR x IN w IF x = 'version']) AS b FROM w),
-    s AS (SELECT count(*) AS d, avg(n) AS m, count_if(a > 0) AS da, count_if(b > 0) AS db FROM t)
-    SELECT doc_id, score FROM (SELECT doc_id, round(ln(1 + (d - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (d - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m)), 6) AS score FROM t, s) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20"""
-)
+def _bm25(*words: str) -> str:
+    """SQL of the twenty best documents for some words."""
+    counts = ", ".join(f"len([x FOR x IN w IF x = '{w}']) AS c{i}" for i, w in enumerate(words))
+    having = ", ".join(f"count_if(c{i} > 0) AS d{i}" for i in range(len(words)))
+    score = " + ".join(f"ln(1 + (d - d{i} + 0.5) / (d{i} + 0.5)) * c{i} * 2.2 / (c{i} + 1.2 * (0.25 + 0.75 * n / m))" for i in range(len(words)))
+    return rf"""WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+') IF x <> ''] AS w FROM documents),
+    t AS (SELECT doc_id, len(w) AS n, {counts} FROM w), s AS (SELECT count(*) AS d, avg(n) AS m, {having} FROM t)
+    SELECT doc_id, score FROM (SELECT doc_id, CASE WHEN n > 0 THEN round({score}, 6) ELSE 0 END AS score FROM t, s) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@query(_bm25("license", "version", "für"))
+def text_search_index(spark, sf_dir):
+    return search.TextIndex(table(spark, sf_dir, "documents").select("doc_id", "text")).search("License, version für")
+
+
+@query(_bm25("license", "version"))
 def text_search(spark, sf_dir):
     return search.bm25(table(spark, sf_dir, "documents"), "license version")
 
