@@ -196,7 +196,7 @@ def _rare_pairs(sets: DataFrame, nodes: DataFrame, p: MinMax) -> DataFrame:
     token = cut(sets.join(nodes.drop("n"), "node").select("node", "root", "members").mapInArrow(run, "node long, root long, n long, token long"), "tokens")
     df = token.groupBy("token").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
-    ranked = token.join(df, "token").withColumn("rank", rank).where(f"100 * rank <= (100 - {t}) * n + 100 and df > 1").select("token", "node", "root", "n", "rank")
+    ranked = cut(token.join(df, "token").withColumn("rank", rank).where(f"100 * rank <= (100 - {t}) * n + 100 and df > 1").select("token", "node", "root", "n", "rank"), "rare")
     other = ranked.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "root", "n", "rank")))
     need = f"ceil({t} * (n + o_n) / {100 + t}.0D - 1e-9)"
     return ranked.join(other, "token").where(f"root < o_root and rank <= n - {need} + 1 and o_rank <= o_n - {need} + 1").select("node", "n", "o_node", "o_n")
