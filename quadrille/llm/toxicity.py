@@ -65,6 +65,7 @@ INSULT, THREAT, OTHER = "insult", "threat", "other"
 _CLAUSE = re.compile(r"[^.!?;\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 BEGINNINGS = (5, 6, 7, 8)
+ARCS = 20_000  # that a worker keeps; they are made again when needed
 
 
 def classes() -> dict[str, tuple[str, ...]]:
@@ -214,6 +215,8 @@ class Scorer:
             for state, (total, back) in best.items():
                 arcs = self.made.get((state, kinds))
                 if arcs is None:
+                    if len(self.made) > ARCS:
+                        self.made.clear()
                     arcs = self.made[state, kinds] = self.machine.arcs(state, (kinds, frozenset()))
                 for new, out in arcs:
                     score = total + self.value(out, weight) if out[0] & {INSULT, THREAT} else total
