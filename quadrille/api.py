@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import threading
+import time
 from datetime import UTC, datetime
 from functools import reduce
 from pathlib import Path
@@ -74,6 +75,7 @@ class Service:
         self.spark, self.manifest, self.root = spark, manifest, Path(root)
         self.prefixes = {"ex": manifest.namespace}
         self.store = QuadStore.of(spark, [], prefixes=self.prefixes)
+        self._pages: dict[str, tuple] = {}
 
     # -- loading
     def reload(self, dataset: str) -> None:
@@ -106,11 +108,11 @@ class Service:
         if not d.mappings:
             raise KeyError(f"{dataset} has no mappings")
         prefixes, mappings = parse_mappings((self.root / d.mappings).read_text(), d.unique)
-        below = self.store.quads.where((F.col("g") == f"<{self.manifest.graph(dataset, 'tbox')}>") & (F.col("p") == f"<{RDFS}subClassOf>"))
-        subclasses: dict[str, list[str]] = {}
-        for r in below.collect():  # an ontology's class axioms
-            subclasses.setdefault(r.s[1:-1], []).append(r.o[1:-1])
-        return VirtualGraph(self.spark, {**self.prefixes, **prefixes}, mappings, subclasses)
+        axioms: dict[str, dict[str, list[str]]] = {x: {} for x in ("subClassOf", "subPropertyOf", "domain", "range")}
+        found = self.store.quads.where((F.col("g") == f"<{self.manifest.graph(dataset, 'tbox')}>") & F.col("p").isin([f"<{RDFS}{x}>" for x in axioms]) & F.col("s").startswith("<") & F.col("o").startswith("<"))
+        for r in found.orderBy("s", "o").collect():  # an ontology's axioms
+            axioms[r.p[len(RDFS) + 1 : -1]].setdefault(r.s[1:-1], []).append(r.o[1:-1])
+        return VirtualGraph(self.spark, {**self.prefixes, **prefixes}, mappings, axioms["subClassOf"], properties=axioms["subPropertyOf"], domains=axioms["domain"], ranges=axioms["range"])
 
     def available(self, dataset: str) -> bool:
         """Whether queries over the dataset's tables can be translated: it is known, and has mappings and a dialect."""
@@ -228,12 +230,25 @@ class Service:
         self.store = self.store.without_document(f'"{run}"', p, also=p)
 
     def saga(self, steps) -> object:
-        """Run steps in order on the service; if one fails, the store is what it was before the first."""
-        before, out = self.store, None
+        """Run steps in order on the service; if one fails, the store is what it was before the first.
+
+        A step is a function of the service, or a pair of one and of what takes its
+        outer effects back (files, tables, indexes); these run in reverse order for
+        the steps that were done, and one that fails itself doesn't keep the others.
+        """
+        before, out, done = self.store, None, []
         try:
             for step in steps:
-                out = step(self)
-        except Exception:
+                do, undo = step if isinstance(step, tuple) else (step, None)
+                out = do(self)
+                done.append(undo)
+        except Exception as e:
+            for undo in reversed(done):
+                if undo:
+                    try:
+                        undo(self)
+                    except Exception as late:
+                        e.add_note(f"not taken back: {late}")
             self.store = before
             raise
         return out
@@ -319,8 +334,12 @@ class Service:
         out = named.select("root", lexical(F.col("canonical")).alias("canonical"), "status", "size", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("_label", "_slug", X.local_name(lexical(F.col("canonical")))).alias("label"))
         return out.orderBy(F.desc("size"), F.desc("edges"), "canonical")
 
-    def normalization_page(self, dataset: str, page: int = 1, size: int = 25) -> DataFrame:
-        return self.clusters(dataset).offset((page - 1) * size).limit(size)
+    def normalization_page(self, dataset: str, page: int = 1, size: int = 25, seconds: float = 30.0, refresh: bool = False) -> DataFrame:
+        """A page of the clusters, from a table that is kept for some seconds while the store stays the same."""
+        kept = self._pages.get(dataset)
+        if refresh or kept is None or kept[0] is not self.store or time.monotonic() - kept[1] > seconds:
+            kept = self._pages[dataset] = (self.store, time.monotonic(), cut(self.clusters(dataset), "clusters"))
+        return kept[2].orderBy(F.desc("size"), F.desc("edges"), "canonical").offset((page - 1) * size).limit(size)
 
     # -- pages and health
     def ontology(self, dataset: str) -> DataFrame:

@@ -7,6 +7,7 @@ comes back as rows with an error, so that one bad document stops no others.
 
 from __future__ import annotations
 
+import json
 import math
 import time
 from collections.abc import Callable, Iterator
@@ -67,6 +68,54 @@ def embed(parts: DataFrame, encoder: Callable[[list[str]], list[list[float]]], s
     return parts.mapInPandas(run, f"{fields}, vector array<double>, error string").withColumn("vector_text", vector_text(F.col("vector")))
 
 
+def extract(parts: DataFrame, extractor: Callable[[str, str | None], dict], schema: str) -> DataFrame:
+    """parts (with chunk), payload and error: what an extractor makes of each chunk.
+
+    extractor: a text, and what was wrong with its first answer (None at first), to
+    a dict of entities and relationships. An answer whose relationships point
+    outside its entities, or that is no such dict, is asked for once more with the
+    reason; a second one loses the relationships that are wrong, and one that is no
+    dict at all is an error. schema: of the payload, as a struct.
+    """
+
+    def wrong(found) -> str | None:
+        if not isinstance(found, dict) or not isinstance(found.get("entities"), list) or not isinstance(found.get("relationships", []), list):
+            return "an answer has entities and relationships"
+        n = len(found["entities"])
+        bad = [r for r in found.get("relationships", []) if not _inside(r, n)]
+        return f"relationships outside 0 to {n - 1}: {bad[:3]}" if bad else None
+
+    def one(text: str) -> tuple[dict | None, str | None]:
+        reason = None
+        for _ in range(2):
+            try:
+                found = extractor(text, reason)
+            except Exception as e:  # an extractor is an outside service
+                found, reason = None, f"{type(e).__name__}: {e}"
+                continue
+            reason = wrong(found)
+            if reason is None:
+                return found, None
+        if not isinstance(found, dict) or not isinstance(found.get("entities"), list):
+            return None, reason
+        n = len(found["entities"])
+        return {**found, "relationships": [r for r in found.get("relationships") or [] if _inside(r, n)]}, None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [one(t or "") for t in frame["chunk"]]
+            yield frame.assign(payload=[None if p is None else json.dumps(p) for p, _ in made], error=[e for _, e in made])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
+    return parts.mapInPandas(run, f"{fields}, payload string, error string").withColumn("payload", F.from_json("payload", schema))
+
+
+def _inside(r, n: int) -> bool:
+    ends = [r.get("subjectId"), r.get("objectId")] if isinstance(r, dict) else [None]
+    needed = ends[:1] if isinstance(r, dict) and r.get("objectIsLiteral") else ends
+    return all(isinstance(x, int) and 0 <= x < n for x in needed)
+
+
 def index(docs: DataFrame, known: DataFrame, encoder, strict: bool = False, **how) -> tuple[DataFrame, DataFrame]:
     """(chunk rows, failures) of documents (key, text) whose key known lacks; one row of a key is used.
 

@@ -15,16 +15,46 @@ from quadrille.sources.mapping import Made, Mapping
 TYPE = RDF + "type"
 
 
+def entailed(mappings: list[Mapping], properties: dict[str, list[str]], domains: dict[str, list[str]], ranges: dict[str, list[str]]) -> list[Mapping]:
+    """The mappings with the facts of superproperties, and with mappings for what domains and ranges say of subjects and objects."""
+
+    def above(p: str) -> list[str]:
+        out, todo = [], [p]
+        while todo:
+            x = todo.pop()
+            if x not in out:
+                out.append(x)
+                todo += properties.get(x, [])
+        return out
+
+    out, typed = [], {}
+    for m in mappings:
+        facts = list(dict.fromkeys((q, o) for p, o in m.facts for q in (above(p) if p != TYPE else [p])))
+        out.append(replace(m, facts=facts))
+        said = {o.value for p, o in facts if p == TYPE and isinstance(o, Iri)}
+        for p, o in facts:
+            there = tuple(o.cols) if isinstance(o, Made) else ()
+            ends = [(m.subject, c) for c in domains.get(p, ()) if c not in said] + ([(o, c) for c in ranges.get(p, ())] if isinstance(o, Made) and o.template else [])
+            for node, c in ends:
+                cols = dict.fromkeys((*node.cols, *there))
+                source = f"SELECT DISTINCT {', '.join(dict.fromkeys(node.cols))} FROM ({m.source}) AS x WHERE {' AND '.join(f'{x} IS NOT NULL' for x in cols)}" if cols else m.source
+                typed.setdefault((node, c, source), Mapping(f"{m.id}-{len(typed)}", source, node, [(TYPE, Iri(c))]))
+    return out + list(typed.values())
+
+
 class VirtualGraph(Engine):
     """Mappings over temp views. subclasses: class to its direct superclasses; rules: heads defined by bodies.
 
     prepare: called with a source query before its first use, to make its views.
+    properties: property to its direct superproperties; domains, ranges: property to
+    the classes of its subjects and objects. What they entail is mapped too.
     """
 
-    def __init__(self, spark: SparkSession, prefixes: dict[str, str], mappings: list[Mapping], subclasses: dict[str, list[str]] | None = None, rules=(), prepare=None):
+    def __init__(self, spark: SparkSession, prefixes: dict[str, str], mappings: list[Mapping], subclasses: dict[str, list[str]] | None = None, rules=(), prepare=None, properties=None, domains=None, ranges=None):
         super().__init__(spark)
         self.prepare = prepare
-        self.prefixes, self.mappings, self.rules = prefixes, mappings, list(rules)
+        self.prefixes, self.rules = prefixes, list(rules)
+        self.mappings = entailed(mappings, properties or {}, domains or {}, ranges or {})
         self.sources: dict[str, DataFrame] = {}
         self.below: dict[str, set[str]] = {}
         ups = subclasses or {}

@@ -193,6 +193,14 @@ def vkg_r2rml(spark, sf_dir):
     return graph_.query("SELECT ?region ?nation (COUNT(?c) AS ?n) { ?c ex:inNation ?x . ?x a ex:Nation ; ex:nationName ?nation ; ex:partOf [ ex:regionName ?region ] } GROUP BY ?region ?nation")
 
 
+@query("SELECT DISTINCT 'http://example.org/data/Customer/' || o_custkey AS x, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey")
+def vkg_domain_range(spark, sf_dir):
+    """Classes that the range of a property entails, and a property by way of its superproperty."""
+    prefixes, mappings = parse_mappings(MAPPINGS, UNIQUE)
+    graph_ = VirtualGraph(spark, prefixes, mappings, prepare=lambda sql: views(spark, sf_dir, sql), properties={EX + "customerName": [EX + "label"]}, ranges={EX + "placedBy": [EX + "Buyer"]})
+    return graph_.query("SELECT DISTINCT ?x ?name { ?x a ex:Buyer ; ex:label ?name }")
+
+
 def sqltext(name: str, sparql: str, oracle: str) -> None:
     """A query over the virtual graph by way of its SQL text."""
 

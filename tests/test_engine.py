@@ -407,3 +407,92 @@ def test_service_describes_translates_and_reports(spark, tmp_path):
     s.normalize("d", "run", new)
     assert {(r.method, r.n) for r in s.methods("d").collect()} == {("exact-label", 1), ("jaro-winkler", 2)}
     spark.catalog.dropTempView("city_rows")
+
+
+def test_domains_ranges_and_superproperties(spark):
+    spark.createDataFrame([(1, 2, "A"), (2, None, "B"), (3, 1, None)], "id int, of int, name string").createOrReplaceTempView("things_t")
+    text = "[PrefixDeclaration]\n: http://t/\nex: http://t/o#\n\n[MappingDeclaration] @collection [[\n\nmappingId T\ntarget :T/{id} ex:name {name} ; ex:owns :U/{of} .\nsource SELECT id, of, name FROM things_t\n\n]]\n"
+    prefixes, mappings = parse_mappings(text, ("T",))
+    g = VirtualGraph(spark, prefixes, mappings, {NS + "Owner": [NS + "Agent"]}, properties={NS + "owns": [NS + "has"], NS + "has": [NS + "touches"]}, domains={NS + "has": [NS + "Owner"], NS + "name": [NS + "Named"]}, ranges={NS + "owns": [NS + "Owned"]})
+    q = lambda t: sorted(r.x.removeprefix("http://t/") for r in g.query("SELECT DISTINCT ?x { " + t + " }").collect())
+    assert q("?y ex:touches ?x") == ["U/1", "U/2"] and q("?x a ex:Owner") == q("?x a ex:Agent") == ["T/1", "T/3"]
+    assert q("?x a ex:Owned") == ["U/1", "U/2"] and q("?x a ex:Named") == ["T/1", "T/2"] and q("?x a ex:Named ; ex:has ?y") == ["T/1"]
+    spark.catalog.dropTempView("things_t")
+
+
+#: Every rule shape that the playground offers or a dataset stores, over one vocabulary.
+SHAPES = [
+    "[a: (?x ex:r ?z) <- (?w ex:p ?x), (?w ex:p ?z), (?x rdf:type ex:A), (?z rdf:type ex:A), notEqual(?x, ?z)]",
+    "-> table(rdf:type). [b: (?x rdf:type ex:C) <- (?x rdf:type ex:A), (?x ex:p ?d)]",
+    "[c: (?g ex:r ?m) <- (?o ex:p ?g), (?o ex:q ?m), (?m rdf:type ex:B)]",
+    "-> table(ex:p). [d: (?x ex:p ?z) <- (?x ex:p ?y), (?y ex:p ?z), (?z rdf:type ex:A), notEqual(?x, ?z)]",
+    "-> table(ex:p). [e: (?x ex:p ?z) <- (?x ex:p ?y), (?y ex:p ?z), (?y rdf:type ex:A), (?z rdf:type ex:B), notEqual(?x, ?z)]",
+    "[f: (?s ex:r ?o) <- (?o ex:p ?s), (?o rdf:type ex:A), (?s rdf:type ex:B)]",
+    "[g: (?x ex:r ?z) <- (?x ex:p ?s), (?z ex:p ?s), (?x rdf:type ex:A), (?z rdf:type ex:B), (?s rdf:type ex:A), notEqual(?x, ?z)]",
+    "-> table(ex:q). [h: (?o ex:q ?g) <- (?o ex:p ?s), (?s ex:q ?g), (?o rdf:type ex:A)]",
+    "[i: (?x ex:p ?y), (?y ex:p ?z) -> (?x ex:p ?z)]",
+    "[j: (?x ex:s ?y) -> (?y ex:s ?x)] [k: (?x ex:s ?y), (?y ex:s ?z) -> (?x ex:s ?z)]",
+    "[l: (?x ex:s ?y), (?x ?p ?o) -> (?y ?p ?o)] [m: (?x ex:s ?y), (?y ?p ?o) -> (?x ?p ?o)]",
+    "[n: (?x ex:sub ?y), (?y ex:sub ?z) -> (?x ex:sub ?z)] [o: (?x rdf:type ?c), (?c ex:sub ?d) -> (?x rdf:type ?d)]",
+    "[p: (?c ex:q ?v) <- (?x ex:s ?c), (?x ex:q ?v)]",
+    "[q: (?i ex:q ?r) <- (?i rdf:type ex:A), (?i ex:p ?d), (?d ex:q ?r)]",
+]
+
+
+@pytest.mark.parametrize("text", SHAPES)
+def test_rule_shapes_against_a_naive_fixpoint(spark, text):
+    r = random.Random(text)
+    names = [f"<{NS}n{i}>" for i in range(7)]
+    kinds = {p: f"<{NS}{p}>" for p in ("p", "q", "s", "sub")}
+    base = {(r.choice(names), kinds[r.choice("pppqqs")], r.choice(names)) for _ in range(16)}
+    base |= {(n, "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>", f"<{NS}{r.choice('AB')}>") for n in names}
+    base |= {(f"<{NS}A>", kinds["sub"], f"<{NS}B>"), (f"<{NS}B>", kinds["sub"], f"<{NS}Z>")}
+    parsed = rules.parse_rules(text, {"ex": NS}).rules
+    known = set(base)
+    while True:
+        new = set()
+        for rule in parsed:
+            found = [{}]
+            for t in rule.body:
+                found = [n for row in found for fact in known if (n := _match(row, (t.s, t.p, t.o), fact)) is not None]
+            for row in found:
+                if all(row[a.name] != row[b.name] for _, a, b in rule.builtins):
+                    new |= {tuple(row[x.name] if hasattr(x, "name") else f"<{x.value}>" for x in (h.s, h.p, h.o)) for h in rule.head}
+        if new <= known:
+            break
+        known |= new
+    got = rules.derive(spark.createDataFrame(sorted(base), "s string, p string, o string"), parsed)
+    assert {tuple(x) for x in got.collect()} - base == known - base
+
+
+def _match(row, pattern, fact):
+    row = dict(row)
+    for x, value in zip(pattern, fact, strict=True):
+        if hasattr(x, "name"):
+            if row.setdefault(x.name, value) != value:
+                return None
+        elif f"<{x.value}>" != value:
+            return None
+    return row
+
+
+def test_saga_takes_outer_effects_back_and_pages_are_kept(service, spark):
+    log, before = [], service.store
+
+    def fail(s):
+        raise RuntimeError("no")
+
+    def late(s):
+        raise ValueError("late")
+
+    with pytest.raises(RuntimeError) as e:
+        service.saga([(lambda s: s.update("INSERT DATA { GRAPH <g> { <a> <b> <c> } }"), lambda s: log.append("first")), (lambda s: log.append("did"), late), (lambda s: None, lambda s: log.append("third")), fail])
+    assert log == ["did", "third", "first"] and service.store is before and e.value.__notes__ == ["not taken back: late"]
+    service.normalize("d", "run", spark.createDataFrame([("http://t/1", "Town Hall"), ("http://t/2", "town hall")], "iri string, label string"))
+    one = service.normalization_page("d")
+    assert one.count() == 1 and service._pages["d"][2] is service._pages["d"][2]
+    kept = service._pages["d"]
+    service.normalization_page("d", 2)
+    assert service._pages["d"] is kept
+    service.normalization_page("d", refresh=True)
+    assert service._pages["d"] is not kept

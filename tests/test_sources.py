@@ -123,6 +123,24 @@ def test_corpus_is_indexed_in_one_job(spark, tmp_path):
     assert sorted(r.key for r in d.collect()) == ["a", "z"] and sorted((r.key, len(r.chunk)) for r in c.collect()) == [("a", 250), ("d", 4), ("z", 4)]
 
 
+def test_extraction_asks_once_more(spark):
+    def extractor(text, reason):
+        good = {"entities": [{"label": "A"}, {"label": "B"}], "relationships": [{"subjectId": 0, "objectId": 1}]}
+        if text == "good" or text == "mended" and reason:
+            return good
+        if text == "never":
+            raise RuntimeError("down")
+        if text == "nonsense":
+            return ["x"]
+        return {"entities": [{"label": "A"}], "relationships": [{"subjectId": 0, "objectId": 7}, {"subjectId": 0, "objectIsLiteral": True}]}
+
+    texts = spark.createDataFrame([(t,) for t in ("good", "mended", "wrong", "never", "nonsense")], "chunk string")
+    got = {r.chunk: r for r in corpus.extract(texts, extractor, "entities array<struct<label:string>>, relationships array<struct<subjectId:int,objectId:int,objectIsLiteral:boolean>>").collect()}
+    assert len(got["good"].payload.entities) == len(got["mended"].payload.entities) == 2 and got["mended"].error is None
+    assert [r.objectIsLiteral for r in got["wrong"].payload.relationships] == [True]
+    assert got["never"].payload is None and got["never"].error == "RuntimeError: down" and got["nonsense"].payload is None
+
+
 def test_crawl_goes_on_from_its_state(spark):
     page = lambda *hrefs: " ".join(f'<a href="{h}">x</a>' for h in hrefs)
     pages = [("http://h/a", page("/p/b", "/2001/old", "http://other/x")), ("http://H/p/b#top", page("/p/c.pdf?x=1", "/a")), ("http://h/p/c", page("/p/d")), (None, page("/lost")), ("http://h/2020/n", None)]
