@@ -626,17 +626,17 @@ kg("kg_order_by_cast", "SELECT ?c { GRAPH ex:people { ?c ex:balance ?b } } ORDER
 
 
 @query(
-    f"""WITH c AS (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0), n AS (SELECT count(*) AS n FROM c)
+    f"""WITH c AS (SELECT DISTINCT conv_id, turn FROM conversations), n AS (SELECT count(*) AS n FROM c)
     SELECT * FROM (VALUES ('has'), ('label'), ('slug'), ('type'), ('size')) v(p), LATERAL (SELECT CASE p WHEN 'has' THEN n WHEN 'size' THEN n ELSE n + 1 END AS n FROM n) x"""
 )
 def ingest_statements(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id").distinct()
-    conv = F.col("conv_id").cast("string")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    conv = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     none = F.lit(None).cast("string")
     rows = c.select(
         F.concat(F.lit(DATA + "Doc/"), conv).alias("document"), F.lit("run1").alias("run"), F.lit("2020-01-01T00:00:00").alias("extracted_at"), F.lit("test").alias("method"), F.lit("2020-01-01T00:00:00").alias("now"),
         F.array(
-            F.struct(F.concat(F.lit("Conv "), conv).alias("label"), F.lit("Conversation").alias("type"), none.alias("description"), F.array(F.struct(F.lit("size").alias("predicate"), conv.alias("value"))).alias("attributes")),
+            F.struct(F.concat(F.lit("Turn "), conv).alias("label"), F.lit("Turn").alias("type"), none.alias("description"), F.array(F.struct(F.lit("size").alias("predicate"), conv.alias("value"))).alias("attributes")),
             F.struct(F.lit("The User").alias("label"), F.lit("Person").alias("type"), none.alias("description"), F.array().cast("array<struct<predicate:string,value:string>>").alias("attributes")),
         ).cast(ingest.ENTITIES).alias("entities"),
         F.array(*(F.struct(F.lit(i).alias("subjectId"), F.lit("has").alias("predicate"), F.lit(1).alias("objectId"), none.alias("objectLiteral"), F.lit(False).alias("objectIsLiteral"), F.lit(0.9).alias("confidence")) for i in (0, 5))).cast(ingest.LINKS).alias("relationships"),
