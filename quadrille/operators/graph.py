@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quadrille.plans.lineage import cut
 
 
-def reachable(edges: DataFrame, seeds: list | None = None, zero: bool = False, limit: int = 10_000) -> DataFrame:
-    """(a, b): b can be reached from a in one or more steps (zero: or none); from the seeds only, if given.
+def reachable(edges: DataFrame, seeds: list | None = None, zero: bool = False, most: int | None = None, limit: int = 10_000) -> DataFrame:
+    """(a, b): b can be reached from a in one or more steps (zero: or none; most: no more than so many); from the seeds only, if given.
 
     Semi-naive: each round extends only the pairs that the last one found, and
     an anti join drops what is known, so cycles end.
@@ -17,7 +17,9 @@ def reachable(edges: DataFrame, seeds: list | None = None, zero: bool = False, l
     edges = cut(edges.select("a", "b").where("a is not null and b is not null").distinct(), "edges")
     delta = known = edges if seeds is None else cut(edges.where(F.col("a").isin(seeds)), "pairs")
     step = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    for _ in range(limit):
+    for turn in range(1, limit):
+        if turn == most:
+            break
         found = delta.join(step, "b").select("a", F.col("c").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
         delta = cut(found, "pairs")
         if not delta.limit(1).count():

@@ -509,8 +509,10 @@ class Engine:
                     kind, s, o, inner = x
                     if kind == "union":
                         b = self.union([self.patterns(part, graph) for part in inner])
+                    elif kind == "not":
+                        b = self.other(s, o, inner, graph)
                     else:
-                        b = self.closure(s, o, inner, graph, kind == "star")
+                        b = self.closure(s, o, inner, graph, kind)
                     rel = b if rel is None else join(rel, b)
         if plain:
             b = self.bgp(plain, graph)
@@ -532,20 +534,28 @@ class Engine:
             return out
         if p.kind == "alt":
             return [("union", t.s, t.o, [[Triple(t.s, x, t.o)] for x in p.parts])]
-        return [(p.kind, t.s, t.o, p.parts[0])]
+        return [(p.kind, t.s, t.o, p.parts if p.kind == "not" else p.parts[0])]
 
-    def closure(self, s, o, path, graph, zero: bool) -> Rel:
-        """Pairs joined by one or more steps of the path, from the bound end where there is one."""
+    def other(self, s, o, left_out, graph) -> Rel:
+        """Pairs joined by a predicate that is none of these."""
+        p = Var(fresh("."))
+        rel = self.bgp([Triple(s, p, o)], graph)
+        return Rel(rel.df.where(~render(rel.terms[p.name]).isin([encode(x) for x in left_out])), {v: t for v, t in rel.terms.items() if v != p.name})
+
+    def closure(self, s, o, path, graph, kind: str) -> Rel:
+        """Pairs joined by steps of the path, from the bound end where there is one. kind: plus (one or more), star (or none), opt (one or none)."""
         from quadrille.operators.graph import reachable
 
+        zero, most = kind != "plus", 1 if kind == "opt" else None
+
         a, b = Var(fresh(".")), Var(fresh("."))
         step = self.patterns([Triple(a, path, b)], graph)
         edges = step.df.select(render(step.terms[a.name]).alias("a"), render(step.terms[b.name]).alias("b")).distinct()
         if isinstance(o, (Iri, Lit)) and not isinstance(s, (Iri, Lit)):
             edges = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-            pairs = reachable(edges, [encode(o)], zero).select(F.col("b").alias("a"), F.col("a").alias("b"))
+            pairs = reachable(edges, [encode(o)], zero, most).select(F.col("b").alias("a"), F.col("a").alias("b"))
         else:
-            pairs = reachable(edges, [encode(s)] if isinstance(s, (Iri, Lit)) else None, zero)
+            pairs = reachable(edges, [encode(s)] if isinstance(s, (Iri, Lit)) else None, zero, most)
         x, y = fresh(), fresh()
         pairs = pairs.select(F.col("a").alias(x), F.col("b").alias(y))
         terms = {}

@@ -42,7 +42,7 @@ class Lit:
 
 @dataclass(frozen=True)
 class Path:
-    """kind: alt, seq, inv, plus or star."""
+    """kind: alt, seq, inv, plus, star, opt or not (of predicates, forward ones)."""
 
     kind: str
     parts: tuple
@@ -108,7 +108,7 @@ class Update:
 _TOKEN = re.compile(
     r"""(?P<skip>\s+|\#[^\n]*)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<var>[?$]\w+)|(?P<str>\"\"\".*?\"\"\"|'''.*?'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
     r"""|(?P<num>\d+\.\d*(?:[eE][+-]?\d+)?|\.\d+|\d+(?:[eE][+-]?\d+)?)|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<bnode>_:\w+)|(?P<name>(?:[A-Za-z_][\w.-]*)?:(?:[\w%-](?:[\w.%-]*[\w%-])?)?|[A-Za-z_]\w*)"""
-    r"""|(?P<op><<|>>|\^\^|&&|\|\||!=|<=|>=|[{}()\[\].,;=<>!+*/|^-])""",
+    r"""|(?P<op><<|>>|\^\^|&&|\|\||!=|<=|>=|[{}()\[\].,;=<>!+*/|^?-])""",
     re.S | re.X,
 )
 _DATE = re.compile(r"\d{4}-\d\d-\d\d$")
@@ -231,6 +231,18 @@ class Parser:
     def path_one(self):
         if self.op("^"):
             return Path("inv", (self.path_one(),))
+        if self.op("!"):
+            parts = []
+            if self.op("("):
+                parts.append(self.term())
+                while self.op("|"):
+                    parts.append(self.term())
+                self.need(")")
+            else:
+                parts.append(self.term())
+            if not all(isinstance(x, Iri) for x in parts):
+                raise SparqlError("only predicates can be left out of a path")
+            return Path("not", tuple(parts))
         if self.op("("):
             out = self.path()
             self.need(")")
@@ -240,6 +252,8 @@ class Parser:
             return Path("plus", (out,))
         if self.op("*"):
             return Path("star", (out,))
+        if self.op("?"):
+            return Path("opt", (out,))
         return out
 
     # -- patterns

@@ -273,6 +273,8 @@ kg(
 )
 kg("kg_label_search", "SELECT ?c ?name { GRAPH ex:people { ?c ex:name ?name FILTER(CONTAINS(LCASE(STR(?name)), LCASE('R#00000001'))) } } ORDER BY ?name ?c OFFSET 2 LIMIT 5", f"SELECT '{DATA}Customer/' || c_custkey AS c, c_name AS name FROM customer WHERE contains(lower(c_name), 'r#00000001') ORDER BY 2, 1 LIMIT 5 OFFSET 2")
 kg("kg_property_path", "SELECT ?n { GRAPH ex:geo { <http://example.org/data/Region/1> (ex:partOf|^ex:partOf)+ ?n } }", f"SELECT '{DATA}Nation/' || n_nationkey AS n FROM nation WHERE n_regionkey = 1 UNION ALL SELECT '{DATA}Region/1'")
+kg("kg_path_optional", "SELECT ?x ?y { GRAPH ex:geo { ?x ex:name ?m . ?x ex:partOf? ?y } }", f"SELECT '{DATA}Nation/' || n_nationkey AS x, '{DATA}Region/' || n_regionkey AS y FROM nation UNION ALL SELECT '{DATA}Nation/' || n_nationkey, '{DATA}Nation/' || n_nationkey FROM nation UNION ALL SELECT '{DATA}Region/' || r_regionkey, '{DATA}Region/' || r_regionkey FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+kg("kg_path_not", "SELECT ?c ?o { GRAPH ex:people { ?c !(ex:name|ex:balance) ?o } }", f"SELECT '{DATA}Customer/' || c_custkey AS c, '{DATA}Nation/' || c_nationkey AS o FROM customer")
 kg("kg_path_sequence", "SELECT ?c ?name { GRAPH ex:people { ?c ex:inNation ?n } GRAPH ex:geo { ?n ex:partOf/ex:name ?name } }", f"SELECT '{DATA}Customer/' || c_custkey AS c, r_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 kg("kg_numeric_filter_bind", "SELECT ?c ?twice { GRAPH ex:people { ?c ex:balance ?b } FILTER(?b > 9000) BIND(?b * 2 AS ?twice) }", f"SELECT '{DATA}Customer/' || c_custkey AS c, c_acctbal * 2 AS twice FROM customer WHERE c_acctbal > 9000")
 kg("kg_ask", "ASK { GRAPH ex:geo { ?n ex:name 'NATION_3' } }", "SELECT EXISTS (SELECT 1 FROM nation WHERE n_name = 'NATION_3') AS ask")
