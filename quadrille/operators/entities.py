@@ -60,25 +60,31 @@ def alike(left: DataFrame, right: DataFrame, least: float = LOW) -> DataFrame:
     Labels are compared as distinct keys, so a hot label is one row; equal labels
     need no comparison. Jaro's ratio is at most (m / |a| + m / |b| + 1) / 3 with m
     characters in common, and a common head of s characters credits s tenths of the
-    rest. Pairs that share two leading characters meet by these. Others need a ratio
-    of (least - 0.1) / 0.9, so m of at least `most` below, and meet by a character
-    that is not among the last m - 1 of either (prefix filtering), which loses none.
+    rest, so a pair needs so many characters in common, and shares one that is not
+    among the last m - 1 of either (prefix filtering, rare characters first), which
+    loses none. Pairs that share two leading characters may have credit for four and
+    meet by these two and such a character; others have credit for one at most, need
+    more in common, and meet by a character alone.
     """
     a, b = _keys(left, "a"), _keys(right, "b")
     n_a, n_b, m = F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("chars_a", "chars_b"))
-    need = 3 * (least - 0.1) / 0.9 - 1
-    most = F.greatest(F.lit(1), F.ceil(F.lit(need) * n_a * n_b / (n_a + n_b) - 1e-9))
 
-    def headed(df: DataFrame, side: str) -> DataFrame:
-        return df.where(F.col(f"n_{side}") > 1).withColumn("head", F.substring(f"key_{side}", 1, 2))
+    def met(credit: float, on: list[str]) -> DataFrame:
+        need = 3 * (least - credit) / (1 - credit) - 1
+        most = F.greatest(F.lit(1), F.ceil(F.lit(need) * n_a * n_b / (n_a + n_b) - 1e-9))
 
-    def placed(df: DataFrame, side: str) -> DataFrame:
-        return df.select("*", F.posexplode(f"chars_{side}").alias(f"at_{side}", "char")).where(F.col(f"at_{side}") <= F.col(f"n_{side}") - F.greatest(F.lit(1), F.ceil(F.lit(need - 1) * F.col(f"n_{side}") - 1e-9)))
+        def placed(df: DataFrame, side: str) -> DataFrame:
+            # The other label has at least (need - 1) n characters in common with one of n, whatever its length.
+            inside = F.col(f"at_{side}") <= F.col(f"n_{side}") - F.greatest(F.lit(1), F.ceil(F.lit(need - 1) * F.col(f"n_{side}") - 1e-9))
+            return df.select("*", F.substring(f"key_{side}", 1, 2).alias("head"), F.posexplode(f"chars_{side}").alias(f"at_{side}", "char")).where(inside)
 
-    best = (m / n_a + m / n_b + 1) / 3
-    by_head = headed(a, "a").join(headed(b, "b"), "head").where(best + 0.4 * (1 - best) >= least - 1e-9)
-    by_char = placed(a, "a").join(placed(b, "b"), "char").where((F.col("at_a") <= n_a - most) & (F.col("at_b") <= n_b - most)).where(m >= most)
-    pairs = by_head.select("key_a", "key_b").union(by_char.select("key_a", "key_b")).where("key_a <> key_b").distinct()
+        right_ = placed(b, "b") if "head" in on else placed(b, "b").drop("head")
+        pairs = placed(a, "a").join(right_, on).where((F.col("at_a") <= n_a - most) & (F.col("at_b") <= n_b - most))
+        best = (m / n_a + m / n_b + 1) / 3
+        return pairs.where((m >= most) & (best + credit * (1 - best) >= least - 1e-9)).select("key_a", "key_b")
+
+    by_head, by_char = met(0.4, ["head", "char"]), met(0.1, ["char"])
+    pairs = by_head.union(by_char).where("key_a <> key_b").distinct()
     return pairs.withColumn("score", similarity("key_a", "key_b")).where(F.col("score") >= least)
 
 

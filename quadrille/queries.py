@@ -593,7 +593,7 @@ def crawl_links(spark, sf_dir):
 @query(
     f"""WITH {_LINKS}, seeds AS (SELECT DISTINCT {_canonical("url")} AS url FROM pages WHERE url IS NOT NULL), hosts AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM seeds),
     reached AS (SELECT url, 0 AS depth FROM seeds UNION SELECT link, 1 FROM links JOIN hosts ON host = regexp_extract(link, '^[a-z]+://([^/?#]*)', 1))
-    SELECT url, min(depth) AS depth, regexp_matches(regexp_replace(url, '[?#].*$', ''), '(?i)\.pdf$') AS is_pdf FROM reached GROUP BY url"""
+    SELECT url, min(depth) AS depth, regexp_matches(regexp_replace(url, '[?#].*$', ''), '(?i)[.]pdf$') AS is_pdf FROM reached GROUP BY url"""
 )
 def crawl_frontier(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
