@@ -97,3 +97,34 @@ def map_context(found: DataFrame, where: str, values: dict[str, str] | None = No
             lines += [f"  # {x.label}", "  ```sql", *(f"  {line}" for line in x.sql.strip().split("\n")), "  ```"]
         blocks.append("\n".join(lines))
     return "\n\n".join(blocks) + "\n"
+
+
+def declared_keys(ddl: str) -> dict[str, tuple[str, ...]]:
+    """Table names to the columns of their primary keys, in the CREATE TABLE statements of a text."""
+    plain = re.sub(r"--[^\n]*|/\*.*?\*/", " ", ddl, flags=re.S)
+    out = {}
+    for m in re.finditer(r"(?is)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)\s*\((.*?)\)\s*;", plain):
+        name = m[1].replace('"', "").replace("`", "").split(".")[-1]
+        if whole := re.search(r"(?i)\bprimary\s+key\s*\(([^)]*)\)", m[2]):
+            out[name] = tuple(c.strip().strip('"`') for c in whole[1].split(","))
+        elif own := re.search(r"(?i)(?:^|,)\s*([\w\"`]+)\s[^,]*?\bprimary\s+key\b", m[2]):
+            out[name] = (own[1].strip('"`'),)
+    return out
+
+
+def jdbc_views(spark: SparkSession, url: str, tables: dict[str, str], partitions: dict[str, tuple[str, int, int, int]] | None = None, **properties: str) -> dict[str, DataFrame]:
+    """A temp view by name for each table of a database; filters and columns are pushed to it.
+
+    partitions: for large tables, by view name, a whole-number column with its least
+    and greatest value and how many tasks read it; others are read by one task.
+    """
+    out = {}
+    for name, source in tables.items():
+        if name in (partitions or {}):
+            column, low, high, n = partitions[name]
+            df = spark.read.jdbc(url, source, column=column, lowerBound=low, upperBound=high, numPartitions=n, properties=properties)
+        else:
+            df = spark.read.jdbc(url, source, properties=properties)
+        df.createOrReplaceTempView(name)
+        out[name] = df
+    return out

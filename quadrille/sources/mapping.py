@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from quadrille.plans.sparql import PREFIXES, RDF, XSD, Iri, Lit, Parser, SparqlError, Var, tokens  # noqa: F401
 
@@ -60,6 +60,29 @@ def parse_mappings(text: str, unique: tuple[str, ...] = ()) -> tuple[dict[str, s
     return prefixes, out
 
 
+def keyed(mappings: list[Mapping], keys: dict[str, tuple[str, ...]], names: dict[str, str] | None = None) -> list[Mapping]:
+    """The mappings, with those marked unique whose subject holds the primary key of the one table that they read.
+
+    keys: table to the columns of its key; names: what sources call a table to its name there.
+    """
+    out = []
+    for m in mappings:
+        plain = re.fullmatch(r"(?is)\s*select\s+(.*?)\s+from\s+([\w.]+)(?:\s+where\s+.*)?", m.source)
+        single = plain and not re.search(r"(?i)\b(join|group\s+by|union|distinct)\b|\(", m.source) and "," not in re.sub(r"(?is)^.*\sfrom\s+|\swhere\s.*$", "", m.source)
+        if single:
+            named = {}  # what the source calls a column, to the column
+            for part in plain[1].split(","):
+                words = part.split()
+                named[words[-1].lower()] = words[0].lower().split(".")[-1]
+            table = (names or {}).get(plain[2], plain[2]).split(".")[-1]
+            key = keys.get(table)
+            has = {named.get(c.lower(), c.lower()) for c in m.subject.cols}
+            if key and {c.lower() for c in key} <= has:
+                m = replace(m, unique=True)
+        out.append(m)
+    return out
+
+
 def _target(name: str, target: str, source: str, resolve, unique: bool) -> Mapping:
     words = re.findall(r'"[^"]*"(?:@[\w-]+|\^\^\S+)?|<[^>]*>|\{\w+\}(?:\^\^\S+)?|[;,]|\.(?=\s|$)|[^\s;,]+', target.strip().rstrip("."))
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import text as X
 from quadrille.operators import corpus, crawl, graph
+from quadrille.operators.vkg import VirtualGraph
 from quadrille.sources import bindings, files
+from quadrille.sources.mapping import keyed, parse_mappings
 from quadrille.sources.objects import ObjectStore
 
 DDL = """
@@ -35,6 +37,39 @@ def test_declared_tables_without_rows(spark):
         bindings.declared("CREATE TABLE t (a GEOMETRY);")
 
 
+def test_keys_of_declarations_make_mappings_unique():
+    assert bindings.declared_keys(DDL) == {"county": ("geo_id",), "plain": ("day",)}
+    text = "[PrefixDeclaration]\n: http://t/\nex: http://t/o#\n\n[MappingDeclaration] @collection [[\n" + "\n".join(
+        f"\nmappingId {n}\ntarget :{n}/{{id}} ex:p {{v}} .\nsource {q}\n"
+        for n, q in {
+            "a": "SELECT geo_id AS id, pop AS v FROM s.county", "b": "SELECT pop AS id, geo_id AS v FROM county", "c": "SELECT c.geo_id AS id, p.ok AS v FROM county c JOIN plain p ON p.day = c.day",
+            "d": "SELECT day AS id, ok AS v FROM other_name WHERE ok", "e": "SELECT max(geo_id) AS id, pop AS v FROM county GROUP BY pop", "f": "SELECT geo_id AS id, ok AS v FROM county, plain",
+        }.items()
+    ) + "\n]]\n"
+    found = keyed(parse_mappings(text)[1], bindings.declared_keys(DDL), {"other_name": "s.plain"})
+    assert [m.id for m in found if m.unique] == ["a", "d"]
+
+
+def test_tables_of_a_database(spark):
+    """The database that comes with Spark."""
+    jvm, url = spark.sparkContext._jvm, "jdbc:derby:memory:things;create=true"
+    jvm.java.lang.Class.forName("org.apache.derby.jdbc.EmbeddedDriver")
+    con = jvm.java.sql.DriverManager.getConnection(url)
+    run = con.createStatement().execute
+    run("CREATE TABLE thing (id INT PRIMARY KEY, name VARCHAR(20))")
+    for i in range(20):
+        run(f"INSERT INTO thing VALUES ({i}, 'n{i}')")
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    views = bindings.jdbc_views(spark, url, {"thing_v": "THING", "thing_p": "THING"}, {"thing_p": ("ID", 0, 20, 4)}, **driver)
+    assert views["thing_p"].rdd.getNumPartitions() == 4 and spark.sql("SELECT count(*) AS n FROM thing_p WHERE id >= 5").first().n == 15
+    plan = spark.sql("SELECT name FROM thing_v WHERE id = 7")
+    assert plan.first().name == "n7" and "PushedFilters: [*IsNotNull(ID), *EqualTo(ID,7)]" in plan._jdf.queryExecution().executedPlan().toString()
+    prefixes, mappings = parse_mappings("[PrefixDeclaration]\n: http://t/\nex: http://t/o#\n\n[MappingDeclaration] @collection [[\n\nmappingId T\ntarget :T/{id} ex:name {name} .\nsource SELECT id, name FROM thing_v\n\n]]\n")
+    got = VirtualGraph(spark, prefixes, keyed(mappings, {"thing_v": ("id",)})).query("SELECT ?n { <http://t/T/3> ex:name ?n }")
+    assert [r.n for r in got.collect()] == ["n3"]
+    con.close()
+
+
 def test_table_context(tmp_path):
     (tmp_path / "t.json").write_text(json.dumps(DESCRIBED))
     text = bindings.table_context(bindings.load_bindings(f"{tmp_path}/t.json"))
