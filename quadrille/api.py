@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quadrille.catalog import Manifest
 from quadrille.functions import text as X
-from quadrille.operators import entities, graph, ingest, rules
+from quadrille.operators import entities, graph, ingest, rules, search
 from quadrille.operators.quads import NOTE, QUAD, QuadStore
 from quadrille.operators.vkg import VirtualGraph
 from quadrille.plans.compile import lexical
@@ -24,6 +24,7 @@ from quadrille.plans.sparql import RDF, XSD
 from quadrille.plans.sqltext import DIALECTS, SqlWriter
 from quadrille.sources import bindings
 from quadrille.sources.mapping import RR, parse_mappings
+from quadrille.sources.objects import ObjectStore
 from quadrille.sources.turtle import encoded, read_turtle
 
 OWL, RDFS = "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2000/01/rdf-schema#"
@@ -94,8 +95,15 @@ class Service:
         self.store = self.store.but(self.store.quads.where(~F.col("g").isin(graphs)).union(new).distinct())
 
     # -- queries
-    def query(self, text: str) -> DataFrame:
-        return self.store.query(text)
+    def query(self, text: str, seconds: float | None = None) -> DataFrame:
+        """The solutions; with seconds, worked out at once, or TimeoutError."""
+        found = self.store.query(text)
+        return found if seconds is None else within(self.spark, seconds, lambda: cut(found, "query"))
+
+    def document(self, objects: ObjectStore, prefix: str) -> tuple[str, str, bytes]:
+        """(key, type, content) of what is stored of a document: its first .pdf, else its first object."""
+        key, kind = objects.resolve(prefix)
+        return key, kind, objects.get(key)
 
     def tbox(self, dataset: str, text: str) -> DataFrame:
         return self.store.query(text, graphs=(self.manifest.graph(dataset, "tbox"),))
@@ -161,17 +169,10 @@ class Service:
         return X.guarded(self.spark, text, args=args)
 
     def text(self, dataset: str, phrase: str, per_field: int = 50, top: int = 20) -> DataFrame:
-        """(entity, label, comment, score) of entities whose label or comment has the phrase's words, best first."""
-        words = [w for w in phrase.lower().split() if w]
-        if not words:
-            raise ValueError("an empty phrase finds nothing")
+        """(entity, label, comment, score) of entities whose label or comment has words of the phrase: the better of its BM25 scores in the two fields, best first."""
         asserted = self.store.quads.where(F.col("g") == f"<{self.manifest.graph(dataset, 'asserted')}>")
         fields = {name: asserted.where(F.col("p") == f"<{RDFS}{name}>").groupBy("s").agg(F.min(lexical(F.col("o"))).alias(name)) for name in ("label", "comment")}
-        hits = []
-        for name, df in fields.items():
-            own = F.array_distinct(F.split(X.label_key(F.col(name)), " "))
-            n = F.size(F.array_intersect(own, F.array(*map(F.lit, words))))
-            hits.append(df.select("s", (n / F.sqrt(F.size(own))).alias("score")).where("score > 0").orderBy(F.desc("score"), "s").limit(per_field))
+        hits = [search.bm25(df, phrase, per_field, key="s", text=name) for name, df in fields.items()]
         found = hits[0].union(hits[1]).groupBy("s").agg(F.max("score").alias("score"))
         out = found.join(fields["label"], "s", "left").join(fields["comment"], "s", "left")
         return out.select(lexical(F.col("s")).alias("entity"), "label", "comment", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "entity").limit(top)

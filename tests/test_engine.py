@@ -18,6 +18,7 @@ from quadrille.plans.components import connected_components
 from quadrille.plans.sparql import XSD, SparqlError, parse
 from quadrille.sources import files
 from quadrille.sources.mapping import from_r2rml, parse_mappings
+from quadrille.sources.objects import ObjectStore
 from quadrille.sources.turtle import encoded, read_turtle, to_turtle
 
 NS = "http://t/o#"
@@ -496,3 +497,19 @@ def test_saga_takes_outer_effects_back_and_pages_are_kept(service, spark):
     assert service._pages["d"] is kept
     service.normalization_page("d", refresh=True)
     assert service._pages["d"] is not kept
+
+
+def test_service_text_documents_and_timeouts(service, spark, tmp_path):
+    g = service.manifest.graph("d", "asserted")
+    rows = [("river", "Größe des Flusses", "a long river"), ("town", "Town hall", None), ("both", "river town", "river river")]
+    quads = [(f"<{g}>", f"<{NS}{s}>", f"<{RDFS}{p}>", f'"{v}"') for s, label, comment in rows for p, v in (("label", label), ("comment", comment)) if v]
+    service.store = service.store.but(service.store.quads.union(spark.createDataFrame(quads, "g string, s string, p string, o string")))
+    found = service.text("d", "River").collect()
+    assert {r.entity for r in found} == {NS + "both", NS + "river"} and found[0].score >= found[1].score > 0
+    assert [r.entity for r in service.text("d", "größe").collect()] == [NS + "river"] and service.text("d", "nothing").count() == 0
+    with pytest.raises(ValueError):
+        service.text("d", " ! ")
+    assert service.query("SELECT ?s { GRAPH ?g { ?s rdfs:label 'Town hall' } }", seconds=60).first().s == NS + "town"
+    store = ObjectStore(spark, str(tmp_path / "objects"))
+    key = store.put("docs/d/x/a.pdf", b"%PDF")
+    assert service.document(store, "docs/d/x") == (key, "application/pdf", b"%PDF")
