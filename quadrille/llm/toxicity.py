@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.plans.lineage import cut
+
 # The closed word classes of the grammar.
 CLASSES = {
     "target": "you your yourself u he him his she her they them their these those everyone anybody du dich dir ihr euch eure dein deine er ihn tu te toi vous votre vos il elle eux ils elles tú ti usted ustedes él ella ellos ellas",
@@ -314,16 +316,16 @@ def _terms(rows: DataFrame, level: float) -> dict[str, float]:
     # Each document brings its key under an empty term too: the totals.
     every = F.array_distinct(F.concat(F.array(F.lit("")), "w", *map(begun, BEGINNINGS)))
     each = worded.select("_toxic", "key", F.explode(every).alias("term")).groupBy("term", "key").agg(F.max("_toxic").alias("_toxic"))
-    tally = each.groupBy("term").agg(F.sum("_toxic").alias("pos"), F.count("*").alias("n"))
-    base, tested = tally.where("term = ''").select("pos", "n").first(), tally.where("term <> '' and pos > 0").count()
-    if base is None or base.pos == base.n or not base.pos:
+    tally = cut(each.groupBy("term").agg(F.sum("_toxic").alias("pos"), F.count("*").alias("n")).where("pos > 0"), "terms")
+    base, tested = tally.where("term = ''").select("pos", "n").first(), tally.where("term <> ''").count()
+    if base is None or base.pos == base.n:
         return {}
     rate = base.pos / base.n
     q = F.least(F.col("pos") / F.col("n"), F.lit(1 - 1e-9))
     # Evidence against the base rate, in nats, by the divergence of the two rates; e**-evidence bounds the chance of so much.
     evidence = F.col("n") * (q * F.log(q / rate) + (1 - q) * F.log((1 - q) / (1 - rate)))
     odds = F.log((F.col("pos") + 0.5) / (F.col("n") - F.col("pos") + 0.5)) - math.log(rate / (1 - rate))
-    found = tally.where("term <> '' and pos > 0").where(q > max(rate, 0.5)).withColumn("odds", odds).where(evidence > math.log(max(tested, 1) / level))
+    found = tally.where("term <> ''").where(q > max(rate, 0.5)).withColumn("odds", odds).where(evidence > math.log(max(tested, 1) / level))
     return {r.term: float(r.odds) for r in found.select("term", "odds").collect()}  # fewer than most_rows have words
 
 
