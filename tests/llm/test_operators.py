@@ -588,3 +588,35 @@ def test_quality_ties_and_private_data_by_hand(spark):
     numbers = [f"GB{r.randrange(100):02}WEST{r.randrange(10**14):014}" for _ in range(600)]
     found = pii.find(spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string")).collect()
     assert {x.doc_id: any(y.kind == "iban" for y in x.pii) for x in found} == {i: mod97(x) for i, x in enumerate(numbers)} and any(map(mod97, numbers))
+
+
+def test_toxicity_grammar_adds_to_the_lexicon(spark):
+    """Where clean documents hold insults too, denied or quoted, the marks that are learned tell them apart; the words alone can't."""
+    bad = ["grobian", "schurke", "vermine"]
+    r = random.Random(6)
+
+    weak = ["nobody here is a {0}, not a {0}", "someone wrote {0} on the wall", "it was reported as {0} again"]
+    strong = ["you are such a {0}", "that is what you are, a {0}", "they called and you are a {0}"]
+
+    def row(i):
+        kind = i % 12  # three of twelve with an insult, of which one is denied or quoted; the frames alone are harmless
+        frame = r.choice(weak if kind == 0 else strong if kind < 3 else weak + strong)
+        said = frame.format(r.choice(bad) if kind < 3 else "tree")
+        return (i, f"{prose(5000 + i, 30)}. {said}. {prose(7000 + i, 20)}", None, None, None), (i, int(kind in (1, 2)))
+
+    pairs = [row(i) for i in range(1800)]
+    docs, labels = spark.createDataFrame([x for x, _ in pairs], SCHEMA), spark.createDataFrame([y for _, y in pairs], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels.where(~toxicity.held_out("doc_id")))
+    assert set(bad) <= set(model.terms)
+    held = {x.doc_id for x in labels.where(toxicity.held_out("doc_id")).collect()}
+    truth = {i: y for _, (i, y) in pairs}
+    plain = toxicity.Model(model.terms, model.weights, 0.0, dict.fromkeys(toxicity.MARKS, 1.0))
+
+    def accuracy(m):
+        """On the held-out documents with an insult, at the best threshold."""
+        rows = [(x.total, truth[x.doc_id]) for x in toxicity.featured(docs, m).collect() if x.doc_id in held and x.total > 0]
+        return max(sum((t >= cut) == bool(y) for t, y in rows) / len(rows) for cut in {t for t, _ in rows})
+
+    assert accuracy(model) > 0.97 and accuracy(plain) < 0.9
+    decided = {x.doc_id: x.score >= 0.5 for x in toxicity.featured(docs, model).collect()}
+    assert sum(decided[i] == bool(truth[i]) for i in held) / len(held) > 0.97
