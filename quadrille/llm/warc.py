@@ -50,6 +50,7 @@ from quadrille.plans.lineage import cut, scratch_path
 #: Payloads below this many bytes are never revisits.
 LEAST = 1000
 END = b"\r\n\r\n"
+PIECE = 1 << 13
 #: An empty gzip member, which stands between records.
 NOTHING = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 # The fields of an ARC header line by version.
@@ -151,12 +152,16 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def gunzip(data) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while len(data):
+    """All members of a gzip file, read in pieces so that what follows a member is not copied for each."""
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
+        while not member.eof:
+            if at >= len(view):
+                raise ArchiveError("a member is cut off")
+            out.append(member.decompress(view[at : at + PIECE]))
+            at += PIECE
+        at = min(at, len(view)) - len(member.unused_data)
     return b"".join(out)
 
 
