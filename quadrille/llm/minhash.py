@@ -163,7 +163,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: MinMax) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     pairs = cut(pairs, "candidates")
-    slots = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("slots"))
+    # Written first, so that the join of a hot hub's pairs is one that skew handling can split.
+    slots = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("slots")), "slots")
     members = pairs.join(slots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), "b").join(sets.withColumnRenamed("node", "b"), "b")
     hubs = slots.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("long").alias("b"), "members")
     both = hubs.union(members.select("a", "slot", "b", "members")).repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("b").asc_nulls_first())
