@@ -17,10 +17,10 @@ from quadrille.functions import text as X
 from quadrille.operators import entities, graph, ingest, rules, search
 from quadrille.operators.quads import NOTE, QUAD, QuadStore
 from quadrille.operators.vkg import VirtualGraph
-from quadrille.plans.compile import lexical
+from quadrille.plans.compile import encode, lexical, quoted
 from quadrille.plans.components import connected_components
 from quadrille.plans.lineage import cut
-from quadrille.plans.sparql import RDF, XSD
+from quadrille.plans.sparql import RDF, XSD, Lit
 from quadrille.plans.sqltext import DIALECTS, SqlWriter
 from quadrille.sources import bindings
 from quadrille.sources.mapping import RR, parse_mappings
@@ -228,7 +228,7 @@ class Service:
     def rollback(self, run: str) -> None:
         """Take back a run's statements, but for those that another run asserts too."""
         p = f"<{self.manifest.namespace}indexingRun>"
-        self.store = self.store.without_document(f'"{run}"', p, also=p)
+        self.store = self.store.without_document(encode(Lit(run)), p, also=p)
 
     def saga(self, steps) -> object:
         """Run steps in order on the service; if one fails, the store is what it was before the first.
@@ -274,7 +274,7 @@ class Service:
 
         quads = sure.select(F.lit(g).alias("g"), iri(F.col("iri")).alias("s"), F.lit(SAME).alias("p"), iri(F.col("other")).alias("o"), "method", "score")
         now = datetime.now(UTC).isoformat()
-        facts = F.array(*(F.struct(F.lit(f"<{ns}{k}>").alias("ap"), F.concat(F.lit('"'), v, F.lit(f'"{t}')).alias("ao")) for k, v, t in (("normalizationMethod", F.col("method"), ""), ("confidence", F.col("score").cast("string"), f"^^<{XSD}decimal>"), ("indexingRun", F.lit(run), ""), ("transactionTime", F.lit(now), f"^^<{XSD}dateTime>"))))
+        facts = F.array(*(F.struct(F.lit(f"<{ns}{k}>").alias("ap"), quoted(v, XSD + t).alias("ao")) for k, v, t in (("normalizationMethod", F.col("method"), "string"), ("confidence", F.col("score").cast("string"), "decimal"), ("indexingRun", F.lit(run), "string"), ("transactionTime", F.lit(now), "dateTime"))))
         notes = quads.select(*QUAD, F.explode(facts).alias("n")).select(*QUAD, "n.ap", "n.ao")
         self.store = self.store.but(cut(self.store.quads.union(quads.select(*QUAD)).distinct(), "quads"), cut(self.store.notes.union(notes.select(*NOTE)).distinct(), "notes"))
         self.elect(dataset, new.select(iri(F.col("iri")).alias("node")))
@@ -296,7 +296,7 @@ class Service:
         """Delete a run's identities and elect anew in the clusters they held together."""
         p = f"<{self.manifest.namespace}indexingRun>"
         g = f"<{self.manifest.graph(dataset, 'normalization')}>"
-        hit = self.store.notes.where((F.col("g") == g) & (F.col("ap") == p) & (F.col("ao") == f'"{run}"')).select(*QUAD).distinct()
+        hit = self.store.notes.where((F.col("g") == g) & (F.col("ap") == p) & (F.col("ao") == encode(Lit(run)))).select(*QUAD).distinct()
         touched = cut(hit.select(F.col("s").alias("node")).union(hit.select(F.col("o").alias("node"))).distinct(), "touched")
         canonical = f"<{self.manifest.namespace}isCanonical>"
         marks = touched.select(F.lit(g).alias("g"), F.col("node").alias("s"), F.lit(canonical).alias("p"))

@@ -323,6 +323,14 @@ def kg_reasoned(spark, sf_dir):
     return store.query("SELECT ?c { ?c ex:inRegion <http://example.org/data/Region/2> }")
 
 
+@query("SELECT p_partkey, json_object('name', p_name, 'size', p_size, 'tags', string_split(p_type, ' ')) AS j, string_split(p_type, ' ')[1] AS first FROM part")
+def json_values(spark, sf_dir):
+    """Rows as JSON text, and one value read back from it."""
+    tags = F.split("p_type", " ")
+    j = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"), tags.alias("tags")))
+    return table(spark, sf_dir, "part").select("p_partkey", j.alias("j"), F.get_json_object(j, "$.tags[0]").alias("first"))
+
+
 @query("SELECT p_partkey, '[' || p_size || '.0,' || p_size || '.5]' AS v FROM part WHERE p_size <> 7")
 def vector_text(spark, sf_dir):
     p = table(spark, sf_dir, "part")
