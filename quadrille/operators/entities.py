@@ -140,7 +140,7 @@ def judged(pairs: DataFrame, judge, batch: int = 50, least: float = 0.8) -> Data
     return pairs.where("band = 'judge'").mapInPandas(run, pairs.schema)
 
 
-def top_candidates(queries: DataFrame, docs: DataFrame, top: int = 100, common: float = 0.05) -> DataFrame:
+def top_candidates(queries: DataFrame, docs: DataFrame, top: int = 100, common: float = 0.25) -> DataFrame:
     """(query_id, id, score, rank): for each query (query_id, label) the entries (id, label) whose shared words weigh most.
 
     A word weighs ln(1 + entries / entries that have it). Words that more than
@@ -151,11 +151,12 @@ def top_candidates(queries: DataFrame, docs: DataFrame, top: int = 100, common:
     """
 
     def worded(df, key):
-        return df.select(key, F.explode(F.array_distinct(F.split(label_key(F.col("label")), " "))).alias("word")).where("word <> ''").distinct()
+        return df.select(key, F.explode(F.array_distinct(F.split(F.lower("label"), "[^a-z0-9]+"))).alias("word")).where("word <> ''")  # those of label_key
 
-    asked = worded(queries, "query_id")
+    asked = cut(worded(queries, "query_id").distinct(), "asked")
     entries = docs.select("id").distinct().agg(F.count("*").alias("entries"))
-    lists = cut(worded(docs, "id").join(asked.select("word").distinct(), "word", "left_semi"), "postings")
+    # Only words that are asked for leave the entries.
+    lists = cut(worded(docs, "id").join(asked.select("word").distinct(), "word", "left_semi").distinct(), "postings")
     weights = lists.groupBy("word").agg(F.count("*").alias("df")).crossJoin(entries)  # one row
     known = cut(asked.join(weights, "word").select("query_id", "word", F.log1p(F.col("entries") / F.col("df")).alias("weight"), (F.col("df") > common * F.col("entries")).alias("usual")), "weights")
     rare, usual = known.where("not usual"), known.where("usual")
