@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.llm import codes, packing, whitening
 from quadrille.llm.backoff import score
 from quadrille.llm.bpe import round_trip
 from quadrille.llm.minhash import MinMax, near_components
@@ -18,6 +19,7 @@ from quadrille.llm.pii import listed
 from quadrille.llm.quality import judge
 from quadrille.llm.substrings import remove_repeats
 from quadrille.llm.toxicity import featured, held_out, learn
+from quadrille.llm.vectors import usable
 from quadrille.llm.warc import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +168,52 @@ paired AS (SELECT *, CASE WHEN v IS NOT NULL AND cvx > 0 THEN log10(cvx / greate
     ELSE (CASE WHEN v IS NULL THEN 0 ELSE log10(0.4) END) + log10(greatest(cx, 1) / ((SELECT count(*) FROM placed) - n + 1)::DOUBLE) END AS s2 FROM counted),
 valued AS (SELECT doc_id, CASE WHEN u IS NOT NULL AND cuvx > 0 THEN log10(cuvx / greatest(cuv, cuvx)::DOUBLE) ELSE (CASE WHEN u IS NULL THEN 0 ELSE log10(0.4) END) + s2 END AS s FROM paired)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, round(sum(s) / len(d.w), 6) AS mean FROM words d LEFT JOIN valued v ON v.doc_id = d.doc_id GROUP BY d.doc_id, d.w"""
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = usable(table(spark, sf_dir, "embeddings"), "embedding", keep=("vec_id",))
+    grid = vectors.select("vec_id", F.transform("vector", lambda c: F.floor(c * 64) + 1_000_000).alias("x"))
+    model = whitening.fit(grid, "x")
+    if model is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    done = whitening.whiten(grid, "x", model, ("vec_id",))
+    error = whitening.identity_error(done) if len(model.eigen) else 0.0
+    parts = F.array(*(F.lit(float(e)) for e in model.explained)) if len(model.explained) else F.array().cast("array<double>")
+    each = done.select("vec_id", F.lit(model.n).cast("long").alias("n"), "deviation", F.posexplode(F.arrays_zip("whitened", parts.alias("explained"))).alias("i", "v"))
+    return each.select("vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", "v.whitened", "v.explained", F.lit(error).alias("identity_error"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = usable(table(spark, sf_dir, "embeddings"), "embedding", keep=("vec_id", "label"))
+    coded, books, _ = codes.compress(vectors, keep=("vec_id", "label"))
+    by_label = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    both = coded.join(by_label, F.col("label").eqNullSafe(F.col("of")))
+    return both.select("vec_id", codes.code_text().alias("code"), "error", "label_error", F.lit(codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Plain rounds of Lloyd over the four parts of 64 components."""
+    steps = [r"""WITH kept AS MATERIALIZED (SELECT vec_id, label, [floor(1024 * c::DOUBLE) FOR c IN embedding] AS x FROM embeddings WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, x[p * 16 + 1 : p * 16 + 16] AS x FROM kept, range(4) AS t(p)),
+first_ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT DISTINCT vec_id FROM kept WHERE vec_id IS NOT NULL) ORDER BY vec_id LIMIT 256),
+b0 AS MATERIALIZED (SELECT p, e, min(x) AS c FROM first_ids JOIN parts USING (vec_id) GROUP BY p, e)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (SELECT vec_id, p, min({{'d': list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c), 'e': e}}) AS m, any_value(x) AS x FROM parts JOIN b{r} USING (p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""means{r} AS (SELECT p, e, list(v ORDER BY j) AS c FROM (SELECT p, m.e AS e, j, floor(sum(x[j]) / count(*)) AS v FROM near{r}, range(1, 17) AS t(j) GROUP BY ALL) GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.c, o.c) AS c FROM b{r} o LEFT JOIN means{r} n USING (p, e))""")
+    return ",\n".join(steps) + f""",
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY p, e, j)) AS h FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS j FROM b{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM kept JOIN coded USING (vec_id), books"""
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
