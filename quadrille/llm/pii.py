@@ -5,6 +5,8 @@ them come from one regular expression each, so places are running sums of their
 lengths, in code points. Base kinds report each confirmed match; the other
 kinds need a score of at least 0.5 from their checksum and the words nearby.
 
+No step copies or reads a whole text for one match, so time is linear in matches.
+
 Patterns carry two changes that do not alter their matches: possessive repeats,
 and a lookbehind that lets a match begin only where a run begins or the last
 match ended; both keep long runs linear.
@@ -75,46 +77,87 @@ KINDS = (
     Kind("ssn", r"\b(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}\b", lambda x: F.lit(True), False, 0.3, r"\b(?:ssn|social|security)\b"),
     Kind("local_phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])", lambda x: F.lit(True), False, 0.3, r"\b(?:phone|call|tel|mobile|fax)\b"),
 )
-_ROW = "array<struct<start:int,kind_no:int,end:int,kind:string,score:double>>"
+#: Code points in a block of a text, and numbers in a block of a running total.
+BLOCK = 512
+
+
+def blocks(text: Column) -> Column:
+    """A text in parts of BLOCK code points, so that a place is found without reading what is before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def between(parts: Column, start: Column, end: Column) -> Column:
+    """The text from start to before end, out of its blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    many = F.greatest(F.floor((end - 1) / BLOCK).cast("int") - first + 1, F.lit(0))
+    return F.when(end > start, F.substring(F.array_join(F.slice(parts, first + 1, many), ""), start - first * BLOCK + 1, end - start)).otherwise("")
+
+
+def _within(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of each block of an array, with a zero before them."""
+    n = F.size(values)
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(add(F.element_at(out, -1), x))))
 
+    every = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda i: total(F.slice(values, i * BLOCK + 1, F.lit(BLOCK))))
+    return F.when(n > 0, every)
 
-def _spans(text: Column, no: int, k: Kind, reach: int) -> tuple[Column, Column, Callable[[Column, Column], Column]]:
-    hits = F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
-    gaps = F.split(text, k.pattern, -1)
 
-    def place(hit: Column, gap: Column) -> Column:
-        n = F.size(hit)
-        rows = F.arrays_zip(hit.alias("hit"), F.slice(gap, F.lit(1), n).alias("before"))
+def _joined(within: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """One array of running totals from those of its blocks."""
+    before = F.aggregate(within, F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(add(F.element_at(out, -1), F.element_at(x, -1)))))
+    whole = F.zip_with(within, F.slice(before, F.lit(1), F.size(within)), lambda part, start: F.transform(F.slice(part, F.lit(2), F.size(part) - 1), lambda x: add(start, x)))
+    return F.when(within.isNotNull(), F.flatten(whole)).otherwise(F.array().cast("array<int>"))
 
-        def add(state: Column, x: Column) -> Column:
-            start = state["at"] + F.length(x["before"])
-            end = start + F.length(x["hit"])
-            first = F.greatest(start - reach, F.lit(0))
-            around = F.lower(F.concat(F.substring(text, first + 1, start - first), F.lit(" "), F.substring(text, end + 1, F.lit(reach))))
-            score = F.lit(k.score) + F.when(around.rlike(k.near), 0.3).otherwise(0.0) - F.when(around.rlike(k.against), 0.3).otherwise(0.0)
-            found = F.struct(start.alias("start"), F.lit(no).alias("kind_no"), end.alias("end"), F.lit(k.name).alias("kind"), score.alias("score"))
-            good = k.confirmed(x["hit"]) if k.base else k.confirmed(x["hit"]) & (score >= 0.5)
-            return F.struct(end.alias("at"), F.when(good, F.concat(state["out"], F.array(found))).otherwise(state["out"]).alias("out"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_ROW).alias("out"))
-        return F.when(n == 0, F.array().cast(_ROW)).otherwise(F.aggregate(rows, start, add, lambda s: s["out"]))
+def _add(a: Column, b: Column) -> Column:
+    return a + b
 
-    return hits, gaps, place
+
+def _spans(hits: Column, ends: Column, parts: Column, no: int, k: Kind, reach: int) -> Column:
+    """The confirmed matches of one kind."""
+
+    def placed(hit: Column, end: Column) -> Column:
+        start = end - F.length(hit)
+        before = between(parts, F.greatest(start - reach, F.lit(0)), start)
+        return F.struct(hit.alias("hit"), start.alias("start"), end.alias("end"), F.lower(F.concat(before, F.lit(" "), between(parts, end, end + reach))).alias("around"))
+
+    def scored(x: Column) -> Column:
+        score = F.lit(k.score) + F.when(x["around"].rlike(k.near), 0.3).otherwise(0.0) - F.when(x["around"].rlike(k.against), 0.3).otherwise(0.0)
+        return F.struct(x["start"].alias("start"), F.lit(no).alias("kind_no"), x["end"].alias("end"), F.lit(k.name).alias("kind"), score.alias("score"))
+
+    good = F.filter(F.zip_with(hits, ends, placed), lambda x: k.confirmed(x["hit"]))
+    spans = F.transform(good, scored)
+    return spans if k.base else F.filter(spans, lambda x: x["score"] >= 0.5)
 
 
 def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, reach: int = 40) -> DataFrame:
     """docs with pii: all spans by start and then kind, with start, kind_no, end, kind and score.
 
-    reach: how many code points on either side count as nearby.
+    reach: how many code points on either side count as nearby. Time grows with the
+    text and the number of matches: places are running totals, and what is nearby
+    comes out of blocks of the text.
     """
     docs = docs.drop("pii")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parts = [_spans(text, no, k, reach) for no, k in enumerate(kinds)]
-    hit_names, gap_names = ([unused(docs, f"{x}{i}") for i in range(len(parts))] for x in ("hit", "gap"))
-    hit = docs.select("*", *(hits.alias(name) for name, (hits, _, _) in zip(hit_names, parts, strict=True)))
-    cut = hit.select("*", *(F.when(F.size(h) > 0, gaps).alias(g) for h, g, (_, gaps, _) in zip(hit_names, gap_names, parts, strict=True)))
-    spans = F.concat(*(place(F.col(h), F.col(g)) for h, g, (_, _, place) in zip(hit_names, gap_names, parts, strict=True)))
-    return cut.withColumn("pii", F.sort_array(spans)).select(*docs.columns, "pii")
+    hits, lengths, parts = ([unused(docs, f"{x}{i}") for i in range(len(kinds))] for x in ("hit", "length", "within"))
+    whole = unused(docs, "blocks")
+    step = docs.select("*", *(F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)).alias(h) for h, k in zip(hits, kinds, strict=True)))
+
+    def steps(h: str, k: Kind) -> Column:
+        """From the end of one match to that of the next."""
+        gaps = F.slice(F.split(text, k.pattern, -1), F.lit(1), F.size(h))
+        return F.when(F.size(h) > 0, F.zip_with(gaps, h, lambda gap, hit: F.length(gap) + F.length(hit))).otherwise(F.array().cast("array<int>"))
+
+    some = F.lit(False)
+    for h in hits:
+        some = some | (F.size(h) > 0)
+    step = step.select("*", F.when(some, blocks(text)).alias(whole), *(steps(h, k).alias(n) for h, n, k in zip(hits, lengths, kinds, strict=True)))
+    step = step.select(*docs.columns, whole, *hits, *(_within(F.col(n), _add).alias(p) for n, p in zip(lengths, parts, strict=True)))
+    step = step.select(*docs.columns, whole, *hits, *(_joined(F.col(p), _add).alias(n) for n, p in zip(lengths, parts, strict=True)))
+    spans = F.concat(*(_spans(F.col(h), F.col(n), F.col(whole), i, k, reach) for i, (h, n, k) in enumerate(zip(hits, lengths, kinds, strict=True))))
+    return step.withColumn("pii", F.sort_array(spans)).select(*docs.columns, "pii")
 
 
 def listed(spans: Column) -> Column:
@@ -125,12 +168,15 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
     found = find(docs, kinds)
-
-    def add(state: Column, x: Column) -> Column:
-        cut = F.substring(F.col("text"), state["at"] + 1, F.greatest(x["start"] - state["at"], F.lit(0)))
-        new = F.when(x["start"] >= state["at"], F.concat(state["out"], cut, F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), new.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("pii", start, add, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("pii") > 0, clean).otherwise(F.col("text"))).drop("pii")
+    names = list(found.columns)
+    whole, part, last = (unused(found, x) for x in ("blocks", "part", "last"))
+    some = F.size("pii") > 0
+    step = found.select("*", F.when(some, blocks(F.col("text"))).alias(whole), _within(F.transform("pii", lambda x: x["end"]), F.greatest).alias(part))
+    # How far the spans up to each one reach.
+    step = step.select(*names, whole, _joined(F.col(part), F.greatest).alias(last))
+    before = F.concat(F.array(F.lit(0)), F.slice(last, F.lit(1), F.size("pii") - 1))
+    heads = F.filter(F.zip_with("pii", before, lambda x, at: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), at.alias("at"))), lambda x: x["start"] >= x["at"])
+    pieces = F.transform(heads, lambda x: F.concat(between(F.col(whole), x["at"], x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+    tail = between(F.col(whole), F.element_at(last, -1), F.length("text"))
+    clean = F.concat(F.array_join(pieces, ""), tail)
+    return step.withColumn("text", F.when(some, clean).otherwise(F.col("text"))).select(*(c for c in names if c != "pii"))

@@ -620,3 +620,43 @@ def test_toxicity_grammar_adds_to_the_lexicon(spark):
     assert accuracy(model) > 0.97 and accuracy(plain) < 0.9
     decided = {x.doc_id: x.score >= 0.5 for x in toxicity.featured(docs, model).collect()}
     assert sum(decided[i] == bool(truth[i]) for i in held) / len(held) > 0.97
+
+
+def _private(r, n):
+    """n pieces of prose and of every kind of personal data, right and wrong, with and without context."""
+    number = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    kinds = (
+        lambda: f"bob{number(2)}@mail{number(1)}.example.org", lambda: ".".join(str(r.randrange(300)) for _ in range(4)), lambda: "4111 1111 1111 1111", lambda: number(16), lambda: f"+1 ({number(3)}) 555-{number(4)}",
+        lambda: "GB82 WEST 1234 5698 7654 32", lambda: f"GB82 WEST 1234 5698 7654 {number(2)}", lambda: f"{number(3)}-{number(2)}-{number(4)}", lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: "serial", lambda: "ssn", lambda: "call", lambda: "bank account",
+        lambda: "ünï 中文 😀", lambda: "some plain words of prose that keep others apart", lambda: "a line\n",
+    )
+    return " ".join(r.choice(kinds)() for _ in range(n))
+
+
+def test_all_kinds_of_pii_by_brute_force(spark):
+    r = random.Random(21)
+    texts = [_private(r, r.choice((1, 5, 40))) for _ in range(300)] + [_private(r, 1500), "😀" * 600 + " call 555-123-4567 " + "é" * 1100 + " ssn 123-45-6789"]
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kinds = set()
+    for x in got:
+        assert [(p.start, p.kind_no, p.end, p.kind, round(p.score, 1)) for p in x.pii if p.kind_no > 3] == brute.pii_scored(x.text), x.text
+        assert [f"{p.kind}:{p.start}:{p.end}" for p in x.pii if p.kind_no < 4] == brute.pii(x.text)
+        kinds |= {p.kind for p in x.pii}
+    assert len(kinds) == 7
+    spans = {x.doc_id: x.pii for x in got}
+    for x in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        out, at = [], 0
+        for p in spans[x.doc_id]:
+            if p.start >= at:
+                out += [texts[x.doc_id][at : p.start], f"<{p.kind.upper()}>"]
+            at = max(at, p.end)
+        assert x.text == "".join(out) + texts[x.doc_id][at:]
+
+
+def test_pii_of_a_text_with_many_matches(spark):
+    """A megabyte with some 16 000 spans, which takes minutes where one match costs a pass over the text."""
+    text = _private(random.Random(22), 60_000)
+    x = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(x.pii) > 15_000
+    assert [f"{p.kind}:{p.start}:{p.end}" for p in x.pii if p.kind_no < 4] == brute.pii(text)
+    assert [(p.start, p.kind_no, p.end, p.kind, round(p.score, 1)) for p in x.pii if p.kind_no > 3] == brute.pii_scored(text)
