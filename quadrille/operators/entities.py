@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.functions.text import label_key
-from quadrille.plans.lineage import cut
+from quadrille.plans.lineage import cut, discard
 
 #: Pairs from HIGH on are the same; from LOW on a judge decides.
 HIGH, LOW = 0.92, 0.75
@@ -41,51 +44,169 @@ def jaro_winkler(a: str, b: str) -> float:
     return ratio + same * 0.1 * (1 - ratio)
 
 
+def jaro_winkler_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """jaro_winkler of every pair, a character of all left labels at a time."""
+    out = np.zeros(len(a))
+    size = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        # Pairs of about one length, some million characters at most.
+        some = order[at : at + max(1, 1_000_000 // max(1, int(size[order[min(at + 4095, len(order) - 1)]]) + 1))][:4096]
+        out[some] = _jaro_winkler_block([a[i] for i in some], [b[i] for i in some])
+        at += len(some)
+    return out
+
+
+def _codes(x: list[str], width: int) -> np.ndarray:
+    return np.array(x, f"<U{width}").view(np.uint32).reshape(len(x), width)
+
+
+def _jaro_winkler_block(a: list[str], b: list[str]) -> np.ndarray:
+    la, lb = (np.array([len(s) for s in x], np.int64) for x in (a, b))
+    wide = max(1, int(la.max()), int(lb.max()))
+    x, y = _codes(a, wide), _codes(b, wide)
+    place, rows = np.arange(wide), np.arange(len(a))
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)[:, None]
+    free, left = place < lb[:, None], np.zeros(x.shape, bool)
+    for i in range(int(la.max(initial=0))):
+        fits = free & (y == x[:, i : i + 1]) & (np.abs(place - i) <= reach) & (i < la)[:, None]
+        j = fits.argmax(1)
+        hit = fits[rows, j]
+        left[hit, i] = True
+        free[rows[hit], j[hit]] = False
+    right = ~free & (place < lb[:, None])
+    m = left.sum(1)
+    one, two = (np.take_along_axis(c, np.argsort(~used, axis=1, kind="stable"), 1) for c, used in ((x, left), (y, right)))
+    moved = ((one != two) & (place < m[:, None])).sum(1) / 2
+    some = np.maximum(m, 1)
+    ratio = np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - moved) / some) / 3, 0.0)
+    same = np.zeros(len(a), np.int64)
+    for i in range(min(4, wide)):
+        same += (same == i) & (x[:, i] == y[:, i]) & (i < np.minimum(la, lb))
+    score = np.where(m > 0, ratio + same * 0.1 * (1 - ratio), 0.0)
+    return np.where((la == lb) & (x == y).all(1), 1.0, score)
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    there = a.notna() & b.notna()
+    out = pd.Series(np.nan, a.index, dtype="float64")
+    if there.any():
+        out[there] = jaro_winkler_pairs(a[there].tolist(), b[there].tolist())
+    return out.astype(object).where(there, None)
+
+
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "  # what label_key leaves
+_DEEP = 16
+
+
+def _ranks(keys: DataFrame) -> list[int]:
+    """A rank for the first, second, .. time that each character comes in a label, rarest first, as if characters fell by chance."""
+    totals = keys.agg(F.count("*").alias("n"), *(F.sum(F.length("key") - F.length(F.replace("key", F.lit(c), F.lit("")))).alias(f"c{i}") for i, c in enumerate(_ALPHABET))).first()
+    chance = []
+    for i in range(len(_ALPHABET)):
+        mean = (totals[f"c{i}"] or 0) / max(1, totals["n"])
+        term, below = math.exp(-min(mean, 700)), 0.0
+        for j in range(_DEEP):
+            below += term
+            chance.append((1 - below, i, j))
+            term *= mean / (j + 1)
+    rank = {(i, j): n for n, (_, i, j) in enumerate(sorted(chance))}
+    return [rank[i, j] for i in range(len(_ALPHABET)) for j in range(_DEEP)]
+
+
+def _tokens(text: Column, ranks: list[int]) -> Column:
+    """The characters of a text as numbers, rare ones first; one that comes again is another number."""
+    chars = F.split(text, "")
+
+    def number(c: Column, i: Column) -> Column:
+        times = F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c))
+        deep = (F.instr(F.lit(_ALPHABET), c) - 1) * _DEEP + F.least(times, F.lit(_DEEP))
+        return F.element_at(F.lit(ranks), deep) * 65536 + times
+
+    return F.when(F.length(text) > 0, F.array_sort(F.transform(chars, number))).otherwise(F.array().cast("array<int>"))
+
+
+def _need(least: float, head: int) -> float:
+    """What m / |a| + m / |b| must reach if `head` leading characters are the same."""
+    return 3 * (least - 0.1 * head) / (1 - 0.1 * head) - 1
+
+
+def _most(need: float, a: Column, b: Column) -> Column:
+    """How many characters labels of two lengths must have in common."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(need) * a * b / (a + b) - 1e-9)).cast("int")
 
 
-def _keys(df: DataFrame, side: str) -> DataFrame:
-    """Distinct keys that are not empty, with their length and characters, each with how often it came before, rare letters first."""
-    key = df.select(label_key(F.col("label")).alias("key")).where("key <> ''").distinct()
-    chars = F.split("key", "")
-    numbered = F.transform(chars, lambda c, i: F.concat(F.translate(c, "zqjxkvbywgpfmucdlhrsnioate ", "abcdefghijklmnopqrstuvwxyz~"), F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
-    return key.select(F.col("key").alias(f"key_{side}"), F.length("key").alias(f"n_{side}"), F.array_sort(numbered).alias(f"chars_{side}"))
+_GROUP = ["s", "head", "short", "sig"]
 
 
-def alike(left: DataFrame, right: DataFrame, least: float = LOW) -> DataFrame:
+def alike(left: DataFrame, right: DataFrame, least: float = LOW, grow: int = 4) -> DataFrame:
     """(key_a, key_b, score) of all pairs of different labels with a score from `least`, above 0, on.
 
     Labels are compared as distinct keys, so a hot label is one row; equal labels
     need no comparison. Jaro's ratio is at most (m / |a| + m / |b| + 1) / 3 with m
     characters in common, and a common head of s characters credits s tenths of the
-    rest, so a pair needs so many characters in common, and shares one that is not
-    among the last m - 1 of either (prefix filtering, rare characters first), which
-    loses none. Pairs that share two leading characters may have credit for four and
-    meet by these two and such a character; others have credit for one at most, need
-    more in common, and meet by a character alone.
+    rest. So for each s from none to four the labels must have so and so many
+    characters in common behind the head, depending on their lengths, and the first
+    k of these, rare ones first, lie within the label's first (what it may lack) + k.
+
+    Labels therefore meet by head, by the length of the shorter one, and by their
+    first k common characters. That begins with k = 0; where a group would give
+    more than `grow` pairs for each row that one more character makes of it, it is
+    split by that character, else its pairs are compared. A pair belongs to one
+    head, one length and one choice of first k common characters: it is found once,
+    and none is lost, however hot a head, a length or a character is.
     """
-    a, b = _keys(left, "a"), _keys(right, "b")
-    n_a, n_b, m = F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("chars_a", "chars_b"))
-
-    def met(credit: float, on: list[str]) -> DataFrame:
-        need = 3 * (least - credit) / (1 - credit) - 1
-        most = F.greatest(F.lit(1), F.ceil(F.lit(need) * n_a * n_b / (n_a + n_b) - 1e-9))
-
-        def placed(df: DataFrame, side: str) -> DataFrame:
-            # The other label has at least (need - 1) n characters in common with one of n, whatever its length.
-            inside = F.col(f"at_{side}") <= F.col(f"n_{side}") - F.greatest(F.lit(1), F.ceil(F.lit(need - 1) * F.col(f"n_{side}") - 1e-9))
-            return df.select("*", F.substring(f"key_{side}", 1, 2).alias("head"), F.posexplode(f"chars_{side}").alias(f"at_{side}", "char")).where(inside)
-
-        right_ = placed(b, "b") if "head" in on else placed(b, "b").drop("head")
-        pairs = placed(a, "a").join(right_, on).where((F.col("at_a") <= n_a - most) & (F.col("at_b") <= n_b - most))
-        best = (m / n_a + m / n_b + 1) / 3
-        return pairs.where((m >= most) & (best + credit * (1 - best) >= least - 1e-9)).select("key_a", "key_b")
-
-    by_head, by_char = met(0.4, ["head", "char"]), met(0.1, ["char"])
-    pairs = by_head.union(by_char).where("key_a <> key_b").distinct()
-    return pairs.withColumn("score", similarity("key_a", "key_b")).where(F.col("score") >= least)
+    keyed = lambda df, a: df.select(label_key(F.col("label")).alias("key"), F.lit(a).alias("in_a"), F.lit(not a).alias("in_b"))
+    keys = cut(keyed(left, True).union(keyed(right, False)).where("key <> ''").groupBy("key").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b")), "keys")
+    return alike_candidates(keys, least, grow).withColumn("score", similarity("key_a", "key_b")).where(F.col("score") >= least)
+
+
+def alike_candidates(keys: DataFrame, least: float, grow: int = 4) -> DataFrame:
+    """(key_a, key_b) of the pairs of keys (key, in_a, in_b) that alike compares."""
+    ranks, level = _ranks(keys), None
+    n = F.length("key")
+    for s in range(5):
+        need = _need(least, s)
+        lengths = F.sequence(F.greatest(F.lit(max(1, s)), F.ceil(F.lit(need - 1) * n - 1e-9)).cast("int"), n)
+        rest = keys.where(n >= max(1, s)).select("key", "in_a", "in_b", n.alias("n"), F.lit(s).alias("s"), F.substring("key", 1, s).alias("head"), _tokens(F.substring(F.col("key"), F.lit(s + 1), n), ranks).alias("chars"), F.explode(lengths).alias("short"))
+        lacks = F.col("n") - s - F.greatest(F.lit(0), _most(need, F.col("n"), F.col("short")) - s)
+        all_ = F.greatest(F.lit(0), _most(need, F.col("short"), F.col("short")) - s)
+        part = rest.select("*", lacks.alias("room"), all_.alias("whole"), F.lit(-1).alias("at"), F.array().cast("array<int>").alias("sig"))
+        level = part if level is None else level.union(part)
+    level, found = cut(level, "level"), None
+    for k in range(1 << 16):
+        more = F.greatest(F.lit(0), F.least(F.col("room") + k, F.size("chars") - 1) - F.col("at"))
+        groups = level.groupBy(*_GROUP).agg(F.count_if(F.col("n") == F.col("short")).alias("shorts"), F.count("*").alias("members"), F.sum(more).alias("more"), F.first("whole").alias("least_common"))
+        split = (F.col("shorts") * F.col("members") > grow * F.col("more")) & (F.col("least_common") > k)
+        sized = groups.where("shorts > 0 and members > 1").select(*_GROUP, split.alias("split"))
+        here = cut(level.join(sized, _GROUP), "level")
+        discard(level)
+        pairs = _pairs(here.where("not split"), least, k)
+        found = pairs if found is None else found.union(pairs)
+        if not here.where("split").limit(1).count():
+            return found
+        step = here.where("split").select(*(c for c in level.columns if c != "at"), F.col("at").alias("last"), F.posexplode("chars").alias("at", "char"))
+        step = step.where((F.col("at") > F.col("last")) & (F.col("at") <= F.col("room") + k))
+        level = cut(step.withColumn("sig", F.concat("sig", F.array("char"))).select(*level.columns), "level")
+    raise RuntimeError("labels of over 65536 characters in common")
+
+
+def _pairs(groups: DataFrame, least: float, k: int) -> DataFrame:
+    """The pairs within groups that meet by their first k common characters and can reach the least score, in the directions asked for."""
+    x = groups.where("n = short").select(*_GROUP, *(F.col(c).alias(f"{c}_x") for c in ("key", "n", "chars", "in_a", "in_b")))
+    y = groups.select(*_GROUP, *(F.col(c).alias(f"{c}_y") for c in ("key", "n", "chars", "in_a", "in_b")))
+    met = x.join(y, _GROUP).where((F.col("n_y") > F.col("n_x")) | (F.col("key_y") > F.col("key_x")))
+    met = met.where((F.col("s") == 4) | (F.substring(F.col("key_x"), F.col("s") + 1, F.lit(1)) != F.substring(F.col("key_y"), F.col("s") + 1, F.lit(1))))
+    common = met.withColumn("common", F.array_intersect("chars_x", "chars_y"))
+    if k:
+        common = common.where(F.slice("common", 1, k) == F.col("sig"))
+    m, credit = F.col("s") + F.size("common"), F.col("s") * 0.1
+    best = (m / F.col("n_x") + m / F.col("n_y") + 1) / 3
+    good = common.where((m > 0) & (best + credit * (1 - best) >= least - 1e-9))
+    ways = F.array(*(F.when(F.col(f"in_a_{a}") & F.col(f"in_b_{b}"), F.struct(F.col(f"key_{a}").alias("key_a"), F.col(f"key_{b}").alias("key_b"))) for a, b in ("xy", "yx")))
+    return good.select(F.explode(F.array_compact(ways)).alias("w")).select("w.key_a", "w.key_b")
 
 
 def resolve(new: DataFrame, known: DataFrame, top: int = 100) -> DataFrame:

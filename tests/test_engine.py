@@ -279,6 +279,38 @@ def test_alike_finds_all_pairs(spark, least):
     assert sorted((r.key_a, r.key_b) for r in entities.alike(df, df, least).collect()) == sorted(want)
 
 
+def test_alike_finds_all_pairs_of_many_labels(spark):
+    """2000 words of a small alphabet and their misspellings, against all pairs; candidates are few, also where all labels have one head or one length."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    plain = [" ".join(word(rng.randint(3, 8)) for _ in range(2)) for _ in range(700)]
+    odd = [x[:i] + rng.choice("xyz ") + x[i + 1 :] for x in plain[:200] for i in (rng.randrange(len(x)), rng.randrange(len(x)))]
+    for labels in (plain + odd + [x[1:] for x in plain[:100]], ["item " + word(9) for _ in range(400)] + [f"item {i:06}" for i in range(150)]):
+        keys = sorted({" ".join(re.findall("[a-z0-9]+", x)) for x in labels})
+        pairs = [(a, b) for a in keys for b in keys if a < b]
+        scores = entities.jaro_winkler_pairs(*map(list, zip(*pairs, strict=True)))
+        want = {p for p, s in zip(pairs, scores, strict=True) if s >= entities.HIGH}
+        table = spark.createDataFrame([(x, True, True) for x in keys], "key string, in_a boolean, in_b boolean")
+        met = [(r.key_a, r.key_b) for r in entities.alike_candidates(table, entities.HIGH).where("key_a < key_b").collect()]
+        assert want <= set(met) and len(met) == len(set(met)) <= 3 * len(want) + 0.01 * len(pairs)
+        df = spark.createDataFrame([(x,) for x in labels], "label string")
+        assert {(r.key_a, r.key_b) for r in entities.alike(df, df, entities.HIGH).where("key_a < key_b").collect()} == want
+
+
+def test_alike_of_two_tables(spark):
+    left, right = (spark.createDataFrame([(x,) for x in rows], "label string") for rows in (["abcdefgh", "zzz", "same one"], ["abcdefgi", "same one", "zzy", "abcdefgh"]))
+    got = {(r.key_a, r.key_b) for r in entities.alike(left, right, 0.85).collect()}
+    assert got == {("abcdefgh", "abcdefgi")} and entities.alike(left.limit(0), right, 0.85).count() == 0
+
+
+def test_similarity_of_many_pairs():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcé 😀") for _ in range(rng.randrange(12))) for _ in range(400)] + ["", "a", "x" * 700, "x" * 699 + "y"]
+    a, b = ([rng.choice(words) for _ in range(6000)] for _ in range(2))
+    got = entities.jaro_winkler_pairs(a, b)
+    assert all(abs(g - entities.jaro_winkler(x, y)) < 1e-12 for g, x, y in zip(got, a, b, strict=True))
+
+
 def test_similarity():
     jw = entities.jaro_winkler
     assert jw("", "") == 1.0 and jw("a", "") == 0.0 and jw("abc", "xyz") == 0.0
