@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.plans.compile import Engine, Rel, Term, encode, fresh, join, render
@@ -37,12 +37,16 @@ class QuadStore(Engine):
         return QuadStore(quads, self.notes if notes is None else notes, self.prefixes, self.union_default)
 
     # -- patterns
+    def constant(self, text: str) -> Column:
+        """What an encoded term is compared with."""
+        return F.lit(text)
+
     def table(self, df: DataFrame, nodes: dict[str, object], graph, dedupe: tuple[str, ...]) -> Rel:
         several = False
         if isinstance(graph, Iri):
-            df = df.where(F.col("g") == encode(graph))
+            df = df.where(F.col("g") == self.constant(encode(graph)))
         elif isinstance(graph, tuple):
-            df, several = df.where(F.col("g").isin([f"<{g}>" for g in graph])), len(graph) > 1
+            df, several = df.where(F.col("g").isin([self.constant(f"<{g}>") for g in graph])), len(graph) > 1
         elif graph is None:
             df, several = df if self.union_default else df.where("false"), True
         if several:  # several graphs merge to one set
@@ -57,7 +61,7 @@ class QuadStore(Engine):
                 else:
                     names[node.name] = c
             else:
-                df = df.where(F.col(c) == encode(node))
+                df = df.where(F.col(c) == self.constant(encode(node)))
         out = {}
         for v, c in names.items():
             new = fresh()

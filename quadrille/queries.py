@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from quadrille.functions import text as X
 from quadrille.operators import crawl, entities, graph, ingest, rules, search
 from quadrille.operators.quads import QuadStore
+from quadrille.operators.stored import StoredGraph
 from quadrille.operators.vkg import VirtualGraph
 from quadrille.plans.compile import quoted
+from quadrille.plans.lineage import scratch_path
 from quadrille.plans.sqltext import SqlWriter
 from quadrille.sources.mapping import from_r2rml, parse_mappings
 from quadrille.sources.turtle import encoded, read_turtle, to_turtle
@@ -362,6 +364,64 @@ def kg_update(spark, sf_dir):
     return store.query("SELECT ?c ?region { GRAPH ex:derived { ?c ex:inRegion ?region } }")
 
 
+# -- graphs that stay on disk
+_files: dict[tuple[str, str], str] = {}
+
+
+def on_disk(spark: SparkSession, sf_dir: str, own: bool = False) -> StoredGraph:
+    """The graphs of stored(), written as files once a session; own: a copy that may be changed."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if own or key not in _files:
+        path, source = scratch_path(spark, "graphs"), stored(spark, sf_dir)
+        store = StoredGraph.create(spark, path, source.quads, source.notes, prefixes=source.prefixes)
+        if own:
+            return store
+        _files[key] = path
+    return StoredGraph.open(spark, _files[key], prefixes={"ex": EX, "d": DATA})
+
+
+def files(name: str, sparql: str, oracle: str, update: str = "") -> None:
+    """A query over files, after an update."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = on_disk(spark, sf_dir, own=bool(update))
+        return (store.update(update) if update else store).query(sparql)
+
+    run.__name__ = name
+    query(oracle)(run)
+
+
+files("files_star", "SELECT ?c ?name ?v { GRAPH ex:people { ?c ex:name ?name ; ex:balance ?b ; ex:inNation ?n } FILTER(?b > 5000) BIND(xsd:double(?b) AS ?v) }", f"SELECT '{DATA}Customer/' || c_custkey AS c, c_name AS name, c_acctbal AS v FROM customer WHERE c_acctbal > 5000")
+files("files_across_graphs", "SELECT ?name (COUNT(?c) AS ?n) { GRAPH ex:people { ?c ex:inNation ?x } GRAPH ex:geo { ?x ex:partOf ?r . ?r ex:name ?name } } GROUP BY ?name", "SELECT r_name AS name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
+files("files_any_graph", "SELECT ?g ?p (COUNT(*) AS ?n) { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g ?p", f"SELECT '{EX}geo' AS g, '{EX}name' AS p, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n UNION ALL SELECT '{EX}geo', '{EX}partOf', count(*) FROM nation UNION ALL SELECT '{EX}people', '{EX}' || unnest(['name', 'inNation', 'balance']), count(*) FROM customer")
+files("files_provenance", "SELECT ?doc (COUNT(*) AS ?n) { GRAPH ex:people { ?c ex:inNation ?n . << ?c ex:inNation ?n >> ex:sourceDocument ?doc } } GROUP BY ?doc", f"SELECT '{DATA}Doc/' || (c_custkey % 10) AS doc, count(*) AS n FROM customer GROUP BY 1")
+files(
+    "files_update",
+    "SELECT ?g ?p (COUNT(*) AS ?n) { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g ?p",
+    f"""SELECT '{EX}people' AS g, '{EX}' || unnest(['name', 'balance']) AS p, count(*) AS n FROM customer UNION ALL SELECT '{EX}people', '{EX}inNation', count(*) FROM customer WHERE c_nationkey <> 3
+    UNION ALL SELECT '{EX}derived', '{EX}inRegion', count(*) + 1 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 2 AND c_nationkey <> 3""",
+    """DELETE WHERE { GRAPH ex:people { ?c ex:inNation <http://example.org/data/Nation/3> } } ;
+       INSERT { GRAPH ex:derived { ?c ex:inRegion ?r } } WHERE { GRAPH ex:people { ?c ex:inNation ?n } GRAPH ex:geo { ?n ex:partOf ?r FILTER(?r != <http://example.org/data/Region/2>) } } ;
+       INSERT DATA { GRAPH ex:derived { d:new ex:inRegion <http://example.org/data/Region/1> } } ; CLEAR GRAPH ex:geo""",
+)
+
+
+@query(f"SELECT '{DATA}Customer/' || c_custkey AS c FROM customer WHERE NOT (c_custkey % 3 = 1 AND c_custkey % 2 <> 0)")
+def files_forget_run(spark, sf_dir):
+    """Statements of one run alone go from their part; the version before still has them."""
+    p = f"<{EX}indexingRun>"
+    return on_disk(spark, sf_dir, own=True).without_document('"run1"', p, also=p).query("SELECT ?c { GRAPH ex:people { ?c ex:inNation ?n } }")
+
+
+@query("SELECT count(*) AS before, count_if(c_nationkey <> 3) AS after FROM customer")
+def files_versions(spark, sf_dir):
+    """How many customers have a nation in the last version and in the one before."""
+    store = on_disk(spark, sf_dir, own=True)
+    store.update("DELETE WHERE { GRAPH ex:people { ?c ex:inNation <http://example.org/data/Nation/3> } }")
+    counts = [StoredGraph.open(spark, store.path, v, prefixes=store.prefixes).query("SELECT (COUNT(?c) AS ?n) { GRAPH ex:people { ?c ex:inNation ?x } }").withColumnRenamed("n", n) for v, n in ((1, "before"), (2, "after"))]
+    return counts[0].crossJoin(counts[1])  # one row each
+
+
 # -- traversals
 def _edges(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")

@@ -39,7 +39,7 @@ def test_query(name, spark, duck):
 
 
 #: Plans that may hold a nested loop: one side has one row, or rows without a variable go with all others.
-LOOPS = {"vkg_optional_chain", "kg_optional_then_join", "kg_snapshot_roundtrip", "er_bands_counts", "er_topk_blocking", "bitemporal_asof", "text_search"}
+LOOPS = {"vkg_optional_chain", "kg_optional_then_join", "kg_snapshot_roundtrip", "er_bands_counts", "er_topk_blocking", "bitemporal_asof", "text_search", "files_versions"}
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - LOOPS))
