@@ -10,7 +10,7 @@ the lookahead is bounded by the longest token. States and arcs are made when
 first reached; a byte mostly costs one lookup and one or two pair checks.
 
 A text is cut at blanks that begin a word where that is known to be a pretoken
-border, each piece is cut by the given pattern, new pretokens of a batch run
+border (`BLANKS`; under other patterns the text itself is cut), each piece is cut by the given pattern, new pretokens of a batch run
 through the transducer together, and the ids of recent pieces are kept in a
 table of bounded size.
 
@@ -278,15 +278,21 @@ class Tape:
         return out
 
 
+#: Fixed value: the pattern under which a blank between two other characters begins a pretoken, and a word of letters behind it is one.
+BLANKS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Codec:
-    """Encoder and decoder for one vocabulary and pretoken pattern."""
+    """Encoder and decoder for one vocabulary and pretoken pattern; texts are cut at blanks first only under the pattern known to allow that."""
 
     _twice = re.compile(r"\s\s").search
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = MergeTransducer(ranks)
         self.tape = Tape(self.machine)
-        self.cut = regex.compile(pattern).findall
+        self.at_blanks = pattern == BLANKS
+        found = regex.compile(pattern).finditer
+        self.cut = regex.compile(pattern).findall if self.at_blanks else lambda text: [m[0] for m in found(text) if m[0]]
         self.first: dict[str, bytes] = {}  # ids of pieces
         self.later: dict[str, bytes] = {}  # ids of a blank and the piece
         self.token = {rank: token for token, rank in ranks.items()}
@@ -298,7 +304,7 @@ class Codec:
         if len(known) > PIECES:
             known.clear()
             new = list(pieces)
-        parts = [[blank + x] if x.isalpha() and (x.isascii() or max(x) < "\u0530") else self.cut(blank + x) for x in new]
+        parts = [[x] for x in new] if not self.at_blanks else [[blank + x] if x.isalpha() and (x.isascii() or max(x) < "\u0530") else self.cut(blank + x) for x in new]
         distinct = list({y for x in parts for y in x})
         ids = dict(zip(distinct, self.whole([x.encode() for x in distinct]), strict=True))
         for piece, cut in zip(new, parts, strict=True):
@@ -316,7 +322,7 @@ class Codec:
         """Ids of each text, as little-endian 32-bit bytes."""
         heads, tails, plain = set(), set(), []
         for text in texts:
-            if self._twice(text):  # a blank may belong to a run of white space
+            if not self.at_blanks or self._twice(text):  # a blank may belong to a run of white space
                 parts = self.cut(text)
                 heads.update(parts)
                 plain.append((parts, []))

@@ -15,10 +15,12 @@ the largest id is the response, the others are revisits that refer to it. Which
 they are is decided on rows without payloads; revisits are written from those
 rows, and payloads meet only the record ids of revisits, which spread evenly.
 
-Each record is a gzip member of its own, so that it can be sought. Files are
-written by Spark's text writer with an empty member as line separator, so they go
-through its commit protocol to any file system; they are read whole, one file at
-a time. The page id travels in the HTTP head as X-Page-Id, and in revisits as
+Each record is a gzip member of its own, so that it can be sought. Members are
+gathered to volumes of some megabytes, and a file holds a few of these, so its
+size is bounded by bytes, unless single records are larger. Files are written by
+Spark's text writer with an empty member between volumes, so they go through its
+commit protocol to any file system; in reading, one member is unpacked at a time.
+The page id travels in the HTTP head as X-Page-Id, and in revisits as
 WARC-Refers-To-Page; both are this module's own.
 
 Rows: a null html is an empty payload; a null url becomes urn:page:<id>; blanks
@@ -151,18 +153,23 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4
 
 
-def gunzip(data) -> bytes:
-    """All members of a gzip file, read in pieces so that what follows a member is not copied for each."""
-    view, at, out = memoryview(data), 0, []
+def members(data) -> Iterator[bytes]:
+    """The members of a gzip file that aren't empty, one after the other; read in pieces so that what follows a member is not copied for each."""
+    view, at = memoryview(data), 0
     while at < len(view):
-        member = zlib.decompressobj(31)
+        member, out = zlib.decompressobj(31), []
         while not member.eof:
             if at >= len(view):
                 raise ArchiveError("a member is cut off")
             out.append(member.decompress(view[at : at + PIECE]))
             at += PIECE
         at = min(at, len(view)) - len(member.unused_data)
-    return b"".join(out)
+        if any(out):
+            yield b"".join(out)
+
+
+def gunzip(data) -> bytes:
+    return b"".join(members(data))
 
 
 def to_arc(pages: DataFrame, date: str = "20080101000000", size: int = 1 << 20) -> DataFrame:
@@ -239,8 +246,8 @@ def mark(records: DataFrame) -> DataFrame:
     return whole.select("*", *none).union(again.select(F.lit(REVISIT).alias("kind"), *(c for c in records.columns if c not in ("kind", "block")), F.col("head").alias("block"), "refers_to", "refers_id", "refers_url"))
 
 
-def warc_records(marked: DataFrame) -> DataFrame:
-    """One column, record: each WARC record as a gzip member."""
+def warc_records(marked: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """One column, volume: WARC records as gzip members, some `size` bytes of them together, or one larger record."""
     profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
     def one(row: dict) -> bytes:
@@ -255,17 +262,28 @@ def warc_records(marked: DataFrame) -> DataFrame:
         member = zlib.compressobj(1, zlib.DEFLATED, 31)
         return member.compress("\r\n".join(lines).encode("utf-8", "surrogateescape") + END + row["block"] + END) + member.flush()
 
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                yield pa.RecordBatch.from_arrays([pa.array([one(r) for r in batch.slice(i, 64).to_pylist()], pa.binary())], ["record"])
-
-    return marked.mapInArrow(run, "record binary")
+    def volume(parts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["volume"])
 
-
-def write(records: DataFrame, path: str, most: int = 2000) -> None:
-    """Archive files of at most `most` records each."""
-    text = records.select(F.col("record").cast("string").alias("value"))
+    def run(batches):
+        parts, held = [], 0
+        for batch in slices(batches, "block", 1 << 20):
+            for row in batch.to_pylist():
+                member = one(row)
+                if parts and held + len(member) > size:
+                    yield volume(parts)
+                    parts, held = [], 0
+                parts.append(member)
+                held += len(member)
+        if parts:
+            yield volume(parts)
+
+    return marked.mapInArrow(run, "volume binary")
+
+
+def write(volumes: DataFrame, path: str, most: int = 8) -> None:
+    """Archive files of at most `most` volumes each."""
+    text = volumes.select(F.col("volume").cast("string").alias("value"))
     text.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("compression", "none").option("maxRecordsPerFile", most).text(path)
 
 
@@ -281,7 +299,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for header, block in read_warc(gunzip(content.as_buffer())):
+                for header, block in (record for member in members(content.as_buffer()) for record in read_warc(member)):
                     if header["warc-type"] == WARCINFO:
                         continue
                     fields, _, payload = http_parts(block)

@@ -660,3 +660,35 @@ def test_pii_of_a_text_with_many_matches(spark):
     assert len(x.pii) > 15_000
     assert [f"{p.kind}:{p.start}:{p.end}" for p in x.pii if p.kind_no < 4] == brute.pii(text)
     assert [(p.start, p.kind_no, p.end, p.kind, round(p.score, 1)) for p in x.pii if p.kind_no > 3] == brute.pii_scored(text)
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    """Pages of a megabyte that don't compress, one of 6 MB, and small ones: no file is over its volumes."""
+    r = random.Random(31)
+    alphabet = [chr(c) for c in range(0x100, 0x2FF)]
+    noise = lambda n: "".join(r.choices(alphabet, k=n // 2))
+    pages = [(i, f"http://a/{i}", noise(1 << 20)) for i in range(24)] + [(100, "http://a/100", noise(6 << 20)), (101, "http://a/101", noise(6 << 20))] + [(200 + i, f"http://b/{i}", f"small {i}") for i in range(3000)]
+    pages += [(5000, "http://a/copy", pages[3][2])]
+    path = f"file://{tmp_path}/warc"
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    got = {x.source: x for x in warc.archive(df, path).collect()}
+    for i, _, html in pages:
+        b = html.encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(b), hashlib.sha1(b).hexdigest())
+    assert len(got) == len(pages) and (got[3].record_type, got[3].refers_to) == ("revisit", 5000)
+    sizes = [f.stat().st_size for f in Path(f"{tmp_path}/warc").glob("part-*")]
+    assert len(sizes) > 2 and max(sizes) <= 8 * (6 << 20)
+
+
+@pytest.mark.parametrize("pattern", [r"[A-Z][a-z]*|[a-z]+|[^A-Za-z]+", r"\s+|[^\s]{1,3}", r"\p{L}+(?=\s|$)|.|\n"])
+def test_bpe_honours_its_pattern(pattern):
+    ranks = bpe.read_ranks(Path(VOCAB).read_bytes())
+    enc, codec = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), bpe.Codec(ranks, pattern)
+    r = random.Random(4)
+    texts = ["helloWorld fooBar x", "one two  three\nfour", ""] + ["".join(r.choice("abcXYZé ß\n\t  .,12中") for _ in range(r.randrange(50))) for _ in range(800)]
+    for t, ids in zip(texts, codec.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t), t
+
+
+def test_bpe_knows_the_given_pattern():
+    assert P.PATTERN == bpe.BLANKS
