@@ -20,7 +20,7 @@ from quadrille.operators.vkg import VirtualGraph
 from quadrille.plans.compile import encode, lexical, quoted
 from quadrille.plans.components import connected_components
 from quadrille.plans.lineage import cut
-from quadrille.plans.sparql import RDF, XSD, Lit
+from quadrille.plans.sparql import RDF, XSD, Lit, parse
 from quadrille.plans.sqltext import DIALECTS, SqlWriter
 from quadrille.sources import bindings
 from quadrille.sources.mapping import RR, parse_mappings
@@ -196,10 +196,10 @@ class Service:
         return out
 
     def reasoned(self, dataset: str, text: str) -> DataFrame:
-        """The query over the normalization graph and what the stored rules derive from it."""
+        """The query over the normalization graph and what the stored rules derive from it, as far as the query asks for it."""
         g = self.manifest.graph(dataset, "normalization")
         base = self.store.quads.where(F.col("g") == f"<{g}>").select("s", "p", "o")
-        derived = rules.derive(base, self.rules(dataset).rules)
+        derived = rules.inferred_for(base, self.rules(dataset).rules, parse(text, self.prefixes))
         return QuadStore(base.union(derived).select(F.lit(f"<{g}>").alias("g"), "s", "p", "o"), prefixes=self.prefixes, union_default=True).query(text)
 
     def playground(self, dataset: str, rule_text: str, text: str, seconds: float = 15.0) -> dict[str, DataFrame]:

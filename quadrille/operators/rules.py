@@ -19,6 +19,10 @@ from quadrille.plans.lineage import cut
 from quadrille.plans.sparql import PREFIXES, RDF, Group, Iri, Lit, Path, Select, Triple, Var, parse
 
 
+#: Predicates that begin so hold what a query asks for; no variable stands for them.
+MAGIC = "urn:demand:"
+
+
 class RuleError(ValueError):
     """A rule set or query that is not accepted; status is 400, 408 or 500."""
 
@@ -156,6 +160,8 @@ def _body(rule: Rule, tables: list[DataFrame]) -> DataFrame:
     out, bound = None, set()
     for t, df in zip(rule.body, tables, strict=True):
         names: dict[str, str] = {}
+        if isinstance(t.p, Var):
+            df = df.where(~F.col("p").startswith(f"<{MAGIC}"))
         for c, node in zip("spo", (t.s, t.p, t.o), strict=True):
             if not isinstance(node, Var):
                 df = df.where(F.col(c) == encode(node))
@@ -182,11 +188,13 @@ def _heads(rule: Rule, solutions: DataFrame) -> list[DataFrame]:
 def derive(base: DataFrame, rules: list[Rule], limit: int = 1000) -> DataFrame:
     """The triples (s, p, o) that rules add to base: the least fixed point, without the base."""
     known = cut(base.select("s", "p", "o").distinct(), "base")
-    start, delta, added = known, known, None
+    start, delta, added, moved = known, known, None, None
     for turn in range(limit):
         found = None
         for r in rules:
             for i in range(len(r.body)) if turn else [0]:
+                if moved is not None and isinstance(r.body[i].p, Iri) and encode(r.body[i].p) not in moved:
+                    continue
                 # Old or new before place i, new at i, anything after it.
                 tables = [known] * len(r.body)
                 tables[i] = delta
@@ -195,8 +203,11 @@ def derive(base: DataFrame, rules: list[Rule], limit: int = 1000) -> DataFrame:
         if found is None:
             break
         delta = cut(found.where("s is not null and o is not null").distinct().join(known, ["s", "p", "o"], "left_anti"), "delta")
-        if not delta.limit(1).count():
+        # Predicates of what is new, unless they are many.
+        fresh = [x.p for x in delta.select("p").distinct().limit(1001).collect()]
+        if not fresh:
             break
+        moved = set(fresh) if len(fresh) <= 1000 else None
         known = known.union(delta)
         added = delta if added is None else added.union(delta)
         if not recursive_set(rules):
@@ -216,6 +227,13 @@ def recursive_set(rules: list[Rule]) -> bool:
     return any(meets(h.p, t.p) and (meets(h.o, t.o) if isinstance(h.p, Iri) and h.p.value == RDF + "type" else True) for h in heads for r in rules for t in r.body)
 
 
+def inferred_for(base: DataFrame, rules: list[Rule], query: Select) -> DataFrame:
+    """What rules add to base that a query can see; the query's constants and joins decide what is derived."""
+    from quadrille.operators.goals import conjunctions, demanded
+
+    return demanded(base, rules, conjunctions(query))[0]
+
+
 def playground(store, graph: str, rules_text: str, query_text: str, cap: int = 500) -> dict[str, DataFrame]:
     """The query over base and derived triples of a graph, over the base alone, and the rows that rules added."""
     from quadrille.operators.quads import QuadStore
@@ -227,7 +245,7 @@ def playground(store, graph: str, rules_text: str, query_text: str, cap: int = 5
     rules = parse_rules(rules_text, store.prefixes)
     check(rules, query)
     base = store.quads.where((F.col("g") == f"<{graph}>") & F.col("s").startswith("<")).select("s", "p", "o")
-    derived = derive(base, rules.rules)
+    derived = inferred_for(base, rules.rules, query)
 
     def run(triples: DataFrame) -> DataFrame:
         return QuadStore(triples.select(F.lit(f"<{graph}>").alias("g"), "s", "p", "o"), prefixes=store.prefixes, union_default=True).query(query_text, limit=cap)

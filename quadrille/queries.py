@@ -15,6 +15,7 @@ from quadrille.operators.stored import StoredGraph
 from quadrille.operators.vkg import VirtualGraph
 from quadrille.plans.compile import quoted
 from quadrille.plans.lineage import scratch_path
+from quadrille.plans.sparql import parse
 from quadrille.plans.sqltext import SqlWriter
 from quadrille.sources.mapping import from_r2rml, parse_mappings
 from quadrille.sources.turtle import encoded, read_turtle, to_turtle
@@ -475,6 +476,27 @@ rule("rules_two_joined", "[a: (?c ex:inNation ?n), (?d ex:inNation ?n), notEqual
 rule("rules_symmetric", "[s: (?a ex:partOf ?b) -> (?a ex:near ?b)] [m: (?a ex:near ?b) -> (?b ex:near ?a)]", "near", f"SELECT {_node('Nation', 'n_nationkey')} AS s, {_node('Region', 'n_regionkey')} AS o FROM nation UNION ALL SELECT {_node('Region', 'n_regionkey')}, {_node('Nation', 'n_nationkey')} FROM nation")
 
 
+def goal(name: str, text: str, sparql: str, oracle: str) -> None:
+    """A query over statements and what rules derive for it alone."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = _triples(spark, sf_dir)
+        found = rules.inferred_for(base, rules.parse_rules(text, {"ex": EX, "d": DATA}).rules, parse(sparql, {"ex": EX, "d": DATA}))
+        return QuadStore(base.union(found).select(F.lit("<g>").alias("g"), "s", "p", "o"), prefixes={"ex": EX, "d": DATA}, union_default=True).query(sparql)
+
+    run.__name__ = name
+    query(oracle)(run)
+
+
+_PART_OF = "-> table(ex:partOf). [t: (?a ex:partOf ?b) <- (?a ex:partOf ?c), (?c ex:partOf ?b)] [i: (?a ex:partOf ?n) <- (?a ex:inNation ?n)]"
+goal("goal_bound_subject", _PART_OF, f"SELECT ?x {{ <{DATA}Customer/7> ex:partOf ?x }}", f"SELECT '{DATA}Nation/' || c_nationkey AS x FROM customer WHERE c_custkey = 7 UNION ALL SELECT '{DATA}Region/' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 7")
+goal("goal_bound_object", _PART_OF, f"SELECT ?x {{ ?x ex:partOf <{DATA}Region/2> }}", f"SELECT '{DATA}Customer/' || c_custkey AS x FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2 UNION ALL SELECT '{DATA}Nation/' || n_nationkey FROM nation WHERE n_regionkey = 2")
+goal("goal_bound_by_join", "[h: (?c ex:inRegion ?r) <- (?c ex:inNation ?n), (?n ex:partOf ?r)]", "SELECT ?c { ?r ex:name 'ASIA' . ?c ex:inRegion ?r }", f"SELECT '{DATA}Customer/' || c_custkey AS c FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'")
+goal("goal_sibling", "[b: (?a ex:sibling ?b) <- (?a ex:partOf ?r), (?b ex:partOf ?r), notEqual(?a, ?b)]", f"SELECT ?name {{ <{DATA}Nation/3> ex:sibling ?b . ?b ex:name ?name }}", "SELECT n_name AS name FROM nation WHERE n_nationkey <> 3 AND n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3)")
+goal("goal_type", "-> table(ex:kind). [y: (?c ex:kind d:Rich) <- (?c ex:balance ?b), greaterThan(?b, 5000)] [z: (?c ex:kind d:Noted) <- (?c ex:kind d:Rich), (?c ex:inNation d:Three)] [w: (?c ex:kind d:Poor) <- (?c ex:balance ?b), lessThan(?b, 0)]", "SELECT ?c { ?c ex:kind d:Rich FILTER NOT EXISTS { ?c ex:kind d:Noted } }", f"SELECT '{DATA}Customer/' || c_custkey AS c FROM customer WHERE c_acctbal > 5000")
+goal("goal_any_predicate", "[v: (?a ?p ?o) <- (?a ex:inNation ?r), (?r ?p ?o)]", f"SELECT ?p ?o {{ <{DATA}Customer/7> ?p ?o }}", f"SELECT '{EX}name' AS p, c_name AS o FROM customer WHERE c_custkey = 7 UNION ALL SELECT '{EX}balance', c_acctbal::VARCHAR FROM customer WHERE c_custkey = 7 UNION ALL SELECT '{EX}inNation', '{DATA}Nation/' || c_nationkey FROM customer WHERE c_custkey = 7 UNION ALL SELECT '{EX}name', n_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 7 UNION ALL SELECT '{EX}partOf', '{DATA}Region/' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 7")
+
+
 @query(f"SELECT '{DATA}Region/' || n_regionkey AS r, '{DATA}Nation/' || n_nationkey AS n FROM nation")
 def rules_playground_diff(spark, sf_dir):
     found = rules.playground(stored(spark, sf_dir), EX + "geo", "[v: (?r ex:has ?n) <- (?n ex:partOf ?r)]", "SELECT ?r ?n { GRAPH ?g { ?r ex:has ?n } }")

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from quadrille.api import RDFS, Service, to_sparql_json, within
 from quadrille.catalog import Manifest
 from quadrille.functions import text as X
-from quadrille.operators import entities, graph, ingest, rules, search
+from quadrille.operators import entities, goals, graph, ingest, rules, search
 from quadrille.operators.quads import QuadStore
 from quadrille.operators.vkg import VirtualGraph
+from quadrille.plans.compile import encode
 from quadrille.plans.components import connected_components
-from quadrille.plans.sparql import XSD, SparqlError, parse
+from quadrille.plans.sparql import XSD, Iri, SparqlError, Triple, Var, parse
 from quadrille.sources import files
 from quadrille.sources.mapping import from_r2rml, parse_mappings
 from quadrille.sources.objects import ObjectStore
@@ -472,30 +473,94 @@ SHAPES = [
 ]
 
 
-@pytest.mark.parametrize("text", SHAPES)
-def test_rule_shapes_against_a_naive_fixpoint(spark, text):
-    r = random.Random(text)
+def _facts(seed):
+    """A small random graph for the shapes."""
+    r = random.Random(seed)
     names = [f"<{NS}n{i}>" for i in range(7)]
     kinds = {p: f"<{NS}{p}>" for p in ("p", "q", "s", "sub")}
     base = {(r.choice(names), kinds[r.choice("pppqqs")], r.choice(names)) for _ in range(16)}
-    base |= {(n, "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>", f"<{NS}{r.choice('AB')}>") for n in names}
-    base |= {(f"<{NS}A>", kinds["sub"], f"<{NS}B>"), (f"<{NS}B>", kinds["sub"], f"<{NS}Z>")}
-    parsed = rules.parse_rules(text, {"ex": NS}).rules
+    base |= {(n, f"<{RDF_TYPE}>", f"<{NS}{r.choice('AB')}>") for n in names}
+    return base | {(f"<{NS}A>", kinds["sub"], f"<{NS}B>"), (f"<{NS}B>", kinds["sub"], f"<{NS}Z>")}
+
+
+RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+
+
+def _solved(body, builtins, known):
+    found = [{}]
+    for t in body:
+        hidden = lambda fact, t=t: hasattr(t.p, "name") and fact[1].startswith("<" + rules.MAGIC)
+        found = [n for row in found for fact in known if not hidden(fact) and (n := _match(row, (t.s, t.p, t.o), fact)) is not None]
+    value = lambda row, x: row[x.name] if hasattr(x, "name") else f"<{x.value}>"
+    return [row for row in found if all(value(row, a) != value(row, b) for _, a, b in builtins)]
+
+
+def _naive(base, parsed):
     known = set(base)
     while True:
-        new = set()
-        for rule in parsed:
-            found = [{}]
-            for t in rule.body:
-                found = [n for row in found for fact in known if (n := _match(row, (t.s, t.p, t.o), fact)) is not None]
-            for row in found:
-                if all(row[a.name] != row[b.name] for _, a, b in rule.builtins):
-                    new |= {tuple(row[x.name] if hasattr(x, "name") else f"<{x.value}>" for x in (h.s, h.p, h.o)) for h in rule.head}
+        new = {tuple(row[x.name] if hasattr(x, "name") else f"<{x.value}>" for x in (h.s, h.p, h.o)) for rule in parsed for row in _solved(rule.body, rule.builtins, known) for h in rule.head}
         if new <= known:
-            break
+            return known
         known |= new
+
+
+@pytest.mark.parametrize("text", SHAPES)
+def test_rule_shapes_against_a_naive_fixpoint(spark, text):
+    base, parsed = _facts(text), rules.parse_rules(text, {"ex": NS}).rules
     got = rules.derive(spark.createDataFrame(sorted(base), "s string, p string, o string"), parsed)
-    assert {tuple(x) for x in got.collect()} - base == known - base
+    assert {tuple(x) for x in got.collect()} - base == _naive(base, parsed) - base
+
+
+def _asked(text):
+    """Conjunctions for a shape: ends bound and free, constants, joins, variable predicates."""
+    head = rules.parse_rules(text, {"ex": NS}).rules[0].head[0]
+    p = head.p if isinstance(head.p, Iri) else Iri(NS + "q")
+    n, v = [Iri(f"{NS}n{i}") for i in range(7)], {x: Var(x) for x in "abcp"}
+    own = head.o if isinstance(head.o, Iri) else None
+    out = [[Triple(n[1], p, v["a"])], [Triple(v["a"], p, own or n[2])], [Triple(v["a"], p, v["b"])], [Triple(n[3], p, own or n[2])], [Triple(n[4], v["p"], v["a"])]]
+    return out + [[Triple(n[1], Iri(NS + "p"), v["a"]), Triple(v["a"], p, v["b"])], [Triple(v["a"], p, v["b"]), Triple(v["b"], Iri(RDF_TYPE), Iri(NS + "A"))], [Triple(v["a"], p, v["a"])]]
+
+
+@pytest.mark.parametrize("text", SHAPES)
+def test_goals_of_every_shape(spark, text):
+    """The transformed rules give a conjunction the solutions that all deductions give; once by Spark, else by the naive evaluator."""
+    base, parsed = _facts(text + "goals"), rules.parse_rules(text, {"ex": NS}).rules
+    whole = _naive(base, parsed)
+    frame = spark.createDataFrame(sorted(base), "s string, p string, o string")
+    for i, asked in enumerate(_asked(text)):
+        program, seeds = goals.transformed(parsed, [asked])
+        known = _naive(base | {tuple(encode(x) for x in (t.s, t.p, t.o)) for t in seeds}, program)
+        plain = {x for x in known if not x[1].startswith("<" + rules.MAGIC)}
+        solutions = lambda facts, asked=asked: {tuple(sorted(row.items())) for row in _solved(asked, [], facts)}
+        assert plain <= whole and solutions(plain) == solutions(whole), asked
+        if i == 0:
+            found, demands = goals.demanded(frame, parsed, [asked])
+            assert {tuple(x) for x in found.collect()} - base == plain - base
+            assert all(x.p.startswith("<" + rules.MAGIC) for x in demands.collect())
+
+
+def test_goals_leave_the_rest_of_the_graph_alone(spark):
+    """A chain from one node: what is derived does not grow with other chains."""
+    text = "-> table(ex:p). [t: (?x ex:p ?z) <- (?x ex:p ?y), (?y ex:p ?z)]"
+    parsed = rules.parse_rules(text, {"ex": NS}).rules
+    chain = lambda c, n: [(f"<{NS}{c}{i}>", f"<{NS}p>", f"<{NS}{c}{i + 1}>") for i in range(n)]
+    asked = [[Triple(Iri(NS + "a0"), Iri(NS + "p"), Var("x"))]]
+    counts = []
+    for others in (0, 6):
+        rows = chain("a", 6) + [x for k in range(others) for x in chain("bcdefg"[k], 30)]
+        found, demands = goals.demanded(spark.createDataFrame(rows, "s string, p string, o string"), parsed, asked)
+        found, demands = found.collect(), demands.collect()
+        assert {x.o for x in found if x.s == f"<{NS}a0>"} == {f"<{NS}a{i}>" for i in range(2, 7)}
+        counts.append((len(found), len(demands)))
+    assert counts[0] == counts[1]
+
+
+def test_goals_of_queries():
+    """Every place of a query in which patterns may stand."""
+    q = parse("SELECT ?x { ?x <a> ?y . ?y <b>+/<c> ?z OPTIONAL { ?z <d> ?w } FILTER(NOT EXISTS { ?x <e> ?v }) { SELECT ?x { ?x <f> ?u } } MINUS { ?x <g> ?t } << ?x <a> ?y >> <h> ?i }", {})
+    named = {t.p.value for c in goals.conjunctions(q) for t in c if isinstance(t.p, Iri)}
+    assert named == set("abcdefg")
+    assert goals.conjunctions(parse("SELECT ?x { ?x !(<a>|<b>) ?y }", {})) == [[Triple(Var(".s"), Var(".any"), Var(".o"))]]
 
 
 def _match(row, pattern, fact):
