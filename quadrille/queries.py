@@ -14,6 +14,7 @@ from quadrille.operators.quads import QuadStore
 from quadrille.operators.stored import StoredGraph
 from quadrille.operators.vkg import VirtualGraph
 from quadrille.plans.compile import quoted
+from quadrille.plans.components import connected_components, merged, parted
 from quadrille.plans.lineage import scratch_path
 from quadrille.plans.sparql import parse
 from quadrille.plans.sqltext import SqlWriter
@@ -509,8 +510,6 @@ def _same_names(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", X.label_key(F.col("p_name")).alias("k"))
     least = p.groupBy("k").agg(F.min("p_partkey").alias("b"))
     edges = p.join(least, "k").where("p_partkey <> b").select(F.col("p_partkey").alias("a"), "b")
-    from quadrille.plans.components import connected_components
-
     return edges, connected_components(edges).select("root", "node")
 
 
@@ -522,6 +521,21 @@ def same_as_components(spark, sf_dir):
     return _same_names(spark, sf_dir)[1]
 
 
+@query(f"WITH {_NAMES} SELECT node, root FROM m WHERE n > 1")
+def same_as_added(spark, sf_dir):
+    """Components of half the edges, and then of all by what the other half joins."""
+    edges, _ = _same_names(spark, sf_dir)
+    first, rest = edges.where("a % 2 = 0"), edges.where("a % 2 <> 0")
+    return merged(connected_components(first), rest).select("node", "root")
+
+
+@query("WITH k AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS k FROM part), e AS (SELECT p_partkey AS a, min(p_partkey) OVER (PARTITION BY k) AS b FROM k), l AS (SELECT a, b FROM e WHERE a <> b AND a % 5 <> 0), g AS (SELECT b, a FROM l UNION SELECT b, b FROM l) SELECT a AS node, b AS root FROM g")
+def same_as_removed(spark, sf_dir):
+    """Components once a fifth of the edges are gone, of the clusters that had them alone."""
+    edges, members = _same_names(spark, sf_dir)
+    return parted(members, edges.where("a % 5 <> 0"), edges.where("a % 5 = 0")).select("node", "root")
+
+
 @query(f"WITH {_NAMES}, b AS (SELECT DISTINCT root, p_brand FROM m JOIN part ON p_partkey = node WHERE n > 1) SELECT node AS s, p_brand AS o FROM m JOIN b USING (root) EXCEPT SELECT p_partkey, p_brand FROM part")
 def same_as_closure(spark, sf_dir):
     """(s, o): the brands that parts get from parts of equal name."""

@@ -15,7 +15,7 @@ from quadrille.operators import entities, goals, graph, ingest, rules, search
 from quadrille.operators.quads import QuadStore
 from quadrille.operators.vkg import VirtualGraph
 from quadrille.plans.compile import encode
-from quadrille.plans.components import connected_components
+from quadrille.plans.components import connected_components, merged, parted
 from quadrille.plans.sparql import XSD, Iri, SparqlError, Triple, Var, parse
 from quadrille.sources import files
 from quadrille.sources.mapping import from_r2rml, parse_mappings
@@ -318,6 +318,49 @@ def test_similarity():
     assert abs(jw("martha", "marhta") - 0.9611111) < 1e-6 and abs(jw("dixon", "dicksonx") - 0.8133333) < 1e-6 and abs(jw("dwayne", "duane") - 0.84) < 1e-6
 
 
+def _roots(edges):
+    root = {x: x for e in edges for x in e}
+    for _ in range(len(root)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_components_after_random_changes(spark):
+    """Edges come and go; labels equal components of all edges each time."""
+    r = random.Random(17)
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "a long, b long")
+    edges = {(r.randrange(60), r.randrange(60)) for _ in range(35)}
+    labels = connected_components(frame(edges))
+    for turn in range(4):
+        if turn % 2:
+            gone = set(r.sample(sorted(edges), 6))
+            edges -= gone
+            labels = parted(labels, frame(edges), frame(gone))
+        else:
+            new = {(r.randrange(70), r.randrange(70)) for _ in range(9)} | {(5, 5)}
+            edges |= new
+            labels = merged(labels, frame(new))
+        got = labels.collect()
+        assert {x.node: x.root for x in got} == _roots(edges) and len(got) == len(_roots(edges))
+    none = frame(set()).limit(0)
+    assert sorted(map(tuple, merged(labels, none).collect())) == sorted(map(tuple, labels.collect())) == sorted(map(tuple, parted(labels, frame(edges), none).collect()))
+    assert merged(none.toDF("node", "root"), frame({(1, 2)})).count() == 2
+
+
+def test_untouched_clusters_stay_out_of_the_rounds(spark, monkeypatch):
+    from quadrille.plans import components
+
+    seen, plain = [], components.connected_components
+    monkeypatch.setattr(components, "connected_components", lambda edges, *more: seen.append(edges.count()) or plain(edges, *more))
+    rows = [(10 * c, 10 * c + i) for c in range(50) for i in range(1, 6)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    labels = plain(edges)
+    components.merged(labels, spark.createDataFrame([(3, 14), (999, 1000)], "a long, b long"))
+    components.parted(labels, edges.where("b <> 21"), edges.where("b = 21"))
+    assert seen == [2, 4]
+
+
 def test_graph_helpers(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("z", "z")], "a string, b string")
     members = connected_components(edges).select("node", "root")
