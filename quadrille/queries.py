@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import text as X
 from quadrille.operators import crawl, entities, graph, ingest, rules, search
+from quadrille.operators.incremental import Materialized
 from quadrille.operators.quads import QuadStore
 from quadrille.operators.stored import StoredGraph
 from quadrille.operators.vkg import VirtualGraph
@@ -477,6 +478,31 @@ rule("rules_two_joined", "[a: (?c ex:inNation ?n), (?d ex:inNation ?n), notEqual
 rule("rules_symmetric", "[s: (?a ex:partOf ?b) -> (?a ex:near ?b)] [m: (?a ex:near ?b) -> (?b ex:near ?a)]", "near", f"SELECT {_node('Nation', 'n_nationkey')} AS s, {_node('Region', 'n_regionkey')} AS o FROM nation UNION ALL SELECT {_node('Region', 'n_regionkey')}, {_node('Nation', 'n_nationkey')} FROM nation")
 
 
+_KEPT_RULES = """[t: (?a ex:within ?b), (?b ex:within ?c) -> (?a ex:within ?c)] [i: (?a ex:inNation ?n) -> (?a ex:within ?n)] [o: (?a ex:partOf ?n) -> (?a ex:within ?n)]
+    [c: (?c ex:inNation ?n), (?n ex:partOf ?r), (?c ex:balance ?b), lessThan(?b, 0) -> (?r ex:owed d:Money)]"""
+
+
+def _kept_up(spark: SparkSession, sf_dir: str) -> Materialized:
+    """Deductions from all statements but a tenth of the customers, and then without the nations of one region and with these customers."""
+    triples = _triples(spark, sf_dir)
+    late = triples.where(F.col("s").rlike("Customer/[0-9]*7>$"))
+    state = Materialized.of(triples.join(late, ["s", "p", "o"], "left_anti"), rules.parse_rules(_KEPT_RULES, {"ex": EX, "d": DATA}).rules)
+    return state.changed(insert=late, delete=triples.where((F.col("p") == f"<{EX}partOf>") & (F.col("o") == f"<{DATA}Region/1>")))
+
+
+@query(f"SELECT {_node('Customer', 'c_custkey')} AS s, {_node('Nation', 'c_nationkey')} AS o FROM customer UNION ALL SELECT {_node('Customer', 'c_custkey')}, {_node('Region', 'n_regionkey')} FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 1 UNION ALL SELECT {_node('Nation', 'n_nationkey')}, {_node('Region', 'n_regionkey')} FROM nation WHERE n_regionkey <> 1")
+def incremental_closure(spark, sf_dir):
+    """A recursive predicate after statements have come and gone."""
+    return _kept_up(spark, sf_dir).derived.where(F.col("p") == f"<{EX}within>").select("s", "o")
+
+
+@query(f"SELECT {_node('Region', 'n_regionkey')} AS s, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 1 AND c_acctbal < 0 GROUP BY 1")
+def incremental_counts(spark, sf_dir):
+    """How many solutions give a statement after the change."""
+    layer = next(x for x in _kept_up(spark, sf_dir).layers if not x.recursive)
+    return layer.known.select("s", "n")
+
+
 def goal(name: str, text: str, sparql: str, oracle: str) -> None:
     """A query over statements and what rules derive for it alone."""
 
