@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.functions.text import label_key
-from quadrille.plans.lineage import cut, discard
+from quadrille.plans.lineage import cut
 
 #: Pairs from HIGH on are the same; from LOW on a judge decides.
 HIGH, LOW = 0.92, 0.75
@@ -128,6 +128,34 @@ def _tokens(text: Column, ranks: list[int]) -> Column:
     return F.when(F.length(text) > 0, F.array_sort(F.transform(chars, number))).otherwise(F.array().cast("array<int>"))
 
 
+#: Of how many of each character the masks tell whether a label has them.
+_TIMES = 4
+
+
+def _masks(key: Column) -> Column:
+    """A number for each of one to _TIMES, with a bit for every character that comes at least so often."""
+    counts = F.transform(F.lit(list(_ALPHABET)), lambda c: F.length(key) - F.length(F.replace(key, c, F.lit(""))))
+
+    def mask(times: int) -> Column:
+        bits = F.transform(counts, lambda n, i: F.when(n >= times, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    return F.array(*(mask(k + 1) for k in range(_TIMES)))
+
+
+def _at_most(x: str, y: str) -> Column:
+    """A bound on how many characters two labels have in common: without those that masks show one of them lacks."""
+    lacking = lambda a, b: sum((F.bit_count(F.col(f"masks_{a}")[k].bitwiseAND(F.bitwise_not(F.col(f"masks_{b}")[k]))) for k in range(_TIMES)), F.lit(0))
+    return F.least(F.col(f"n_{x}") - lacking(x, y), F.col(f"n_{y}") - lacking(y, x))
+
+
+def _reaches(m: Column, least: float) -> Column:
+    """Whether labels with m characters in common can have the least score."""
+    credit = F.col("s") * 0.1
+    best = (m / F.col("n_x") + m / F.col("n_y") + 1) / 3
+    return (m > 0) & (best + credit * (1 - best) >= least - 1e-9)
+
+
 def _need(least: float, head: int) -> float:
     """What m / |a| + m / |b| must reach if `head` leading characters are the same."""
     return 3 * (least - 0.1 * head) / (1 - 0.1 * head) - 1
@@ -141,7 +169,7 @@ def _most(need: float, a: Column, b: Column) -> Column:
 _GROUP = ["s", "head", "short", "sig"]
 
 
-def alike(left: DataFrame, right: DataFrame, least: float = LOW, grow: int = 4) -> DataFrame:
+def alike(left: DataFrame, right: DataFrame, least: float = LOW, grow: int = 4, few: int = 1_000_000) -> DataFrame:
     """(key_a, key_b, score) of all pairs of different labels with a score from `least`, above 0, on.
 
     Labels are compared as distinct keys, so a hot label is one row; equal labels
@@ -154,38 +182,46 @@ def alike(left: DataFrame, right: DataFrame, least: float = LOW, grow: int = 4)
     Labels therefore meet by head, by the length of the shorter one, and by their
     first k common characters. That begins with k = 0; where a group would give
     more than `grow` pairs for each row that one more character makes of it, it is
-    split by that character, else its pairs are compared. A pair belongs to one
+    split by that character, else its pairs are compared; so are the last `few` pairs
+    of all groups together, which aren't worth another round. A pair belongs to one
     head, one length and one choice of first k common characters: it is found once,
     and none is lost, however hot a head, a length or a character is.
     """
     keyed = lambda df, a: df.select(label_key(F.col("label")).alias("key"), F.lit(a).alias("in_a"), F.lit(not a).alias("in_b"))
     keys = cut(keyed(left, True).union(keyed(right, False)).where("key <> ''").groupBy("key").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b")), "keys")
-    return alike_candidates(keys, least, grow).withColumn("score", similarity("key_a", "key_b")).where(F.col("score") >= least)
+    return alike_candidates(keys, least, grow, few).withColumn("score", similarity("key_a", "key_b")).where(F.col("score") >= least)
 
 
-def alike_candidates(keys: DataFrame, least: float, grow: int = 4) -> DataFrame:
-    """(key_a, key_b) of the pairs of keys (key, in_a, in_b) that alike compares."""
+def alike_candidates(keys: DataFrame, least: float, grow: int = 4, few: int = 1_000_000) -> DataFrame:
+    """(key_a, key_b) of the pairs of keys (key, in_a, in_b) that alike compares.
+
+    few: so many pairs are compared as they are, without further rounds.
+    """
     ranks, level = _ranks(keys), None
-    n = F.length("key")
+    n = F.col("n")
+    # Before anything multiplies the rows.
+    known = cut(keys.select("key", "in_a", "in_b", F.length("key").alias("n"), _masks(F.col("key")).alias("masks"), *(_tokens(F.substring(F.col("key"), F.lit(s + 1), F.length("key")), ranks).alias(f"chars{s}") for s in range(5))), "tokens")
     for s in range(5):
         need = _need(least, s)
         lengths = F.sequence(F.greatest(F.lit(max(1, s)), F.ceil(F.lit(need - 1) * n - 1e-9)).cast("int"), n)
-        rest = keys.where(n >= max(1, s)).select("key", "in_a", "in_b", n.alias("n"), F.lit(s).alias("s"), F.substring("key", 1, s).alias("head"), _tokens(F.substring(F.col("key"), F.lit(s + 1), n), ranks).alias("chars"), F.explode(lengths).alias("short"))
-        lacks = F.col("n") - s - F.greatest(F.lit(0), _most(need, F.col("n"), F.col("short")) - s)
+        rest = known.where(n >= max(1, s)).select("key", "in_a", "in_b", "n", "masks", F.lit(s).alias("s"), F.substring("key", 1, s).alias("head"), F.col(f"chars{s}").alias("chars"), F.explode(lengths).alias("short"))
+        lacks = n - s - F.greatest(F.lit(0), _most(need, n, F.col("short")) - s)
         all_ = F.greatest(F.lit(0), _most(need, F.col("short"), F.col("short")) - s)
         part = rest.select("*", lacks.alias("room"), all_.alias("whole"), F.lit(-1).alias("at"), F.array().cast("array<int>").alias("sig"))
         level = part if level is None else level.union(part)
     level, found = cut(level, "level"), None
     for k in range(1 << 16):
         more = F.greatest(F.lit(0), F.least(F.col("room") + k, F.size("chars") - 1) - F.col("at"))
-        groups = level.groupBy(*_GROUP).agg(F.count_if(F.col("n") == F.col("short")).alias("shorts"), F.count("*").alias("members"), F.sum(more).alias("more"), F.first("whole").alias("least_common"))
+        groups = level.groupBy(*_GROUP).agg(F.count_if(n == F.col("short")).alias("shorts"), F.count("*").alias("members"), F.sum(more).alias("more"), F.first("whole").alias("least_common"))
         split = (F.col("shorts") * F.col("members") > grow * F.col("more")) & (F.col("least_common") > k)
-        sized = groups.where("shorts > 0 and members > 1").select(*_GROUP, split.alias("split"))
-        here = cut(level.join(sized, _GROUP), "level")
-        discard(level)
+        sized = cut(groups.where("shorts > 0 and members > 1").select(*_GROUP, (F.col("shorts") * F.col("members")).alias("pairs"), split.alias("split")), "groups")
+        hot = sized.agg(F.sum(F.when(F.col("split"), F.col("pairs")))).first()[0] or 0
+        if hot <= few:
+            sized = sized.withColumn("split", F.lit(False))
+        here = level.join(sized.drop("pairs"), _GROUP)
         pairs = _pairs(here.where("not split"), least, k)
         found = pairs if found is None else found.union(pairs)
-        if not here.where("split").limit(1).count():
+        if hot <= few:
             return found
         step = here.where("split").select(*(c for c in level.columns if c != "at"), F.col("at").alias("last"), F.posexplode("chars").alias("at", "char"))
         step = step.where((F.col("at") > F.col("last")) & (F.col("at") <= F.col("room") + k))
@@ -195,16 +231,15 @@ def alike_candidates(keys: DataFrame, least: float, grow: int = 4) -> DataFrame:
 
 def _pairs(groups: DataFrame, least: float, k: int) -> DataFrame:
     """The pairs within groups that meet by their first k common characters and can reach the least score, in the directions asked for."""
-    x = groups.where("n = short").select(*_GROUP, *(F.col(c).alias(f"{c}_x") for c in ("key", "n", "chars", "in_a", "in_b")))
-    y = groups.select(*_GROUP, *(F.col(c).alias(f"{c}_y") for c in ("key", "n", "chars", "in_a", "in_b")))
+    x = groups.where("n = short").select(*_GROUP, *(F.col(c).alias(f"{c}_x") for c in ("key", "n", "masks", "chars", "in_a", "in_b")))
+    y = groups.select(*_GROUP, *(F.col(c).alias(f"{c}_y") for c in ("key", "n", "masks", "chars", "in_a", "in_b")))
     met = x.join(y, _GROUP).where((F.col("n_y") > F.col("n_x")) | (F.col("key_y") > F.col("key_x")))
     met = met.where((F.col("s") == 4) | (F.substring(F.col("key_x"), F.col("s") + 1, F.lit(1)) != F.substring(F.col("key_y"), F.col("s") + 1, F.lit(1))))
-    common = met.withColumn("common", F.array_intersect("chars_x", "chars_y"))
+    # Within a condition, so that only pairs that the masks leave are intersected.
+    good = met.withColumn("common", F.when(_reaches(_at_most("x", "y"), least), F.array_intersect("chars_x", "chars_y"))).where("common is not null")
     if k:
-        common = common.where(F.slice("common", 1, k) == F.col("sig"))
-    m, credit = F.col("s") + F.size("common"), F.col("s") * 0.1
-    best = (m / F.col("n_x") + m / F.col("n_y") + 1) / 3
-    good = common.where((m > 0) & (best + credit * (1 - best) >= least - 1e-9))
+        good = good.where(F.slice("common", 1, k) == F.col("sig"))
+    good = good.where(_reaches(F.col("s") + F.size("common"), least))
     ways = F.array(*(F.when(F.col(f"in_a_{a}") & F.col(f"in_b_{b}"), F.struct(F.col(f"key_{a}").alias("key_a"), F.col(f"key_{b}").alias("key_b"))) for a, b in ("xy", "yx")))
     return good.select(F.explode(F.array_compact(ways)).alias("w")).select("w.key_a", "w.key_b")
 

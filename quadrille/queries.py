@@ -590,7 +590,52 @@ def er_exact_and_high(spark, sf_dir):
     return entities.alike(p, p, entities.HIGH).where("key_a < key_b").select("key_a", "key_b")
 
 
-@query()
+def _scored_sql(pairs: str) -> str:
+    """CTEs that end in `scored` (a, b, score): Jaro-Winkler of the pairs (a, b) character by character, as the built-in one rounds half transpositions down and counts a common head from 0.7 on only."""
+    head = " ".join(f"WHEN left(a, {k}) = left(b, {k}) THEN {k}" for k in (4, 3, 2, 1))
+    return f"""asked AS (SELECT DISTINCT a, b FROM ({pairs}) WHERE a <> b AND a <> '' AND b <> ''),
+    steps(a, b, i, used, x) AS (SELECT a, b, 0, []::BIGINT[], '' FROM asked UNION ALL
+        SELECT a, b, i + 1, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END, CASE WHEN j IS NULL THEN x ELSE x || substr(a, i + 1, 1) END FROM (
+            SELECT *, list_min([y FOR y IN range(greatest(1, i + 1 - reach), least(length(b), i + 1 + reach) + 1) IF substr(b, y, 1) = substr(a, i + 1, 1) AND NOT list_contains(used, y)]) AS j
+            FROM (SELECT *, greatest(greatest(length(a), length(b)) // 2 - 1, 0) AS reach FROM steps WHERE i < length(a)))),
+    ended AS (SELECT a, b, x, array_to_string([substr(b, y, 1) FOR y IN list_sort(used)], '') AS y, length(x)::DOUBLE AS m FROM steps WHERE i = length(a)),
+    jaro AS (SELECT a, b, CASE WHEN m = 0 THEN 0 ELSE (m / length(a) + m / length(b) + (m - len([k FOR k IN range(1, length(x) + 1) IF substr(x, k, 1) <> substr(y, k, 1)]) / 2.0::DOUBLE) / m) / 3 END AS j FROM ended),
+    scored AS (SELECT a, b, CASE WHEN j = 0 THEN 0 ELSE j + 0.1::DOUBLE * (CASE {head} ELSE 0 END) * (1 - j) END AS score FROM jaro)"""
+
+
+_TITLES = r"k AS (SELECT DISTINCT trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-z0-9]+', ' ', 'g')) AS k FROM pages)"
+
+
+# No score is above the built-in one from 0.85 on, so that chooses the pairs.
+@query(f"WITH RECURSIVE {_TITLES}, {_scored_sql('SELECT x.k AS a, y.k AS b FROM k x JOIN k y ON x.k < y.k WHERE jaro_winkler_similarity(x.k, y.k) >= 0.92')} SELECT a AS key_a, b AS key_b FROM scored WHERE score >= 0.92")
+def er_page_titles(spark, sf_dir):
+    """Titles of pages, of which there are more the more pages, that are nearly the same."""
+    t = table(spark, sf_dir, "pages").select(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("label"))
+    return entities.alike(t, t, entities.HIGH).where("key_a < key_b").select("key_a", "key_b")
+
+
+@query(f"WITH RECURSIVE {_TITLES}, l AS (SELECT DISTINCT trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) AS l FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM benchmark)), {_scored_sql('SELECT k AS a, l AS b FROM k JOIN l ON jaro_winkler_similarity(k, l) >= 0.85')} SELECT a AS key_a, b AS key_b FROM scored WHERE score >= 0.85")
+def er_titles_and_lines(spark, sf_dir):
+    """Titles against the lines of benchmark items."""
+    t = table(spark, sf_dir, "pages").select(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("label"))
+    lines = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("label"))
+    return entities.alike(t, lines, 0.85).select("key_a", "key_b")
+
+
+@query(
+    f"""WITH RECURSIVE k AS (SELECT p_partkey::VARCHAR AS iri, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, p_partkey % 20 = 0 AS fresh FROM part),
+    n AS (SELECT iri, key FROM k WHERE fresh AND key <> ''), o AS (SELECT iri, key FROM k WHERE NOT fresh AND key <> ''),
+    {_scored_sql('SELECT x.key AS a, y.key AS b FROM (SELECT DISTINCT key FROM n) x, (SELECT DISTINCT key FROM k) y')},
+    inside AS (SELECT x.iri, y.iri AS other, coalesce(score, 1) AS score FROM n x JOIN n y ON x.iri < y.iri LEFT JOIN scored ON a = x.key AND b = y.key WHERE coalesce(score, 1) >= 0.92),
+    q AS (SELECT iri, unnest(list_distinct(string_split(key, ' '))) AS word FROM n), d AS (SELECT iri AS other, unnest(list_distinct(string_split(key, ' '))) AS word FROM o),
+    f AS (SELECT word, ln(1 + (SELECT count(*) FROM o) / count(*)::DOUBLE) AS weight FROM d GROUP BY word),
+    s AS (SELECT iri, other, round(sum(weight), 6) AS weight FROM q JOIN d USING (word) JOIN f USING (word) GROUP BY iri, other),
+    best AS (SELECT iri, other FROM (SELECT *, row_number() OVER (PARTITION BY iri ORDER BY weight DESC, other) AS r FROM s) WHERE r <= 100),
+    outside AS (SELECT x.iri, y.iri AS other, coalesce(score, 1) AS score FROM best JOIN n x ON x.iri = best.iri JOIN o y ON y.iri = other LEFT JOIN scored ON a = x.key AND b = y.key),
+    pairs AS (SELECT * FROM inside UNION SELECT * FROM outside WHERE score >= 0.75)
+    SELECT (SELECT count(*) FROM k WHERE fresh) AS total, count_if(score = 1) AS exact, count_if(score >= 0.92 AND score < 1) AS high, count_if(score < 0.92) AS judge,
+    (SELECT count(*) FROM k WHERE fresh AND iri NOT IN (SELECT iri FROM pairs UNION SELECT other FROM pairs)) AS no_candidate FROM pairs"""
+)
 def er_bands_counts(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("iri"), F.col("p_name").alias("label"), "p_partkey")
     new, known = p.where("p_partkey % 20 = 0").drop("p_partkey"), p.where("p_partkey % 20 <> 0").drop("p_partkey")
