@@ -116,16 +116,15 @@ def _ranks(keys: DataFrame) -> list[int]:
     return [rank[i, j] for i in range(len(_ALPHABET)) for j in range(_DEEP)]
 
 
-def _tokens(text: Column, ranks: list[int]) -> Column:
-    """The characters of a text as numbers, rare ones first; one that comes again is another number."""
-    chars = F.split(text, "")
+def _tokens(letters: str, ranks: list[int]) -> Column:
+    """Sorted characters as numbers, rare ones first; one that comes again is another number."""
 
     def number(c: Column, i: Column) -> Column:
-        times = F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c))
+        times = (i + 2 - F.array_position(letters, c)).cast("int")
         deep = (F.instr(F.lit(_ALPHABET), c) - 1) * _DEEP + F.least(times, F.lit(_DEEP))
         return F.element_at(F.lit(ranks), deep) * 65536 + times
 
-    return F.when(F.length(text) > 0, F.array_sort(F.transform(chars, number))).otherwise(F.array().cast("array<int>"))
+    return F.array_sort(F.transform(letters, number))
 
 
 #: Of how many of each character the masks tell whether a label has them.
@@ -145,7 +144,11 @@ def _masks(key: Column) -> Column:
 
 def _at_most(x: str, y: str) -> Column:
     """A bound on how many characters two labels have in common: without those that masks show one of them lacks."""
-    lacking = lambda a, b: sum((F.bit_count(F.col(f"masks_{a}")[k].bitwiseAND(F.bitwise_not(F.col(f"masks_{b}")[k]))) for k in range(_TIMES)), F.lit(0))
+
+    def lacking(a: str, b: str) -> Column:
+        each = F.zip_with(f"masks_{a}", f"masks_{b}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(each, F.lit(0), lambda total, n: total + n)
+
     return F.least(F.col(f"n_{x}") - lacking(x, y), F.col(f"n_{y}") - lacking(y, x))
 
 
@@ -200,7 +203,9 @@ def alike_candidates(keys: DataFrame, least: float, grow: int = 4, few: int = 1_
     ranks, level = _ranks(keys), None
     n = F.col("n")
     # Before anything multiplies the rows.
-    known = cut(keys.select("key", "in_a", "in_b", F.length("key").alias("n"), _masks(F.col("key")).alias("masks"), *(_tokens(F.substring(F.col("key"), F.lit(s + 1), F.length("key")), ranks).alias(f"chars{s}") for s in range(5))), "tokens")
+    rest = lambda s: F.substring(F.col("key"), F.lit(s + 1), F.length("key"))
+    letters = keys.select("*", *(F.when(F.length("key") > s, F.array_sort(F.split(rest(s), ""))).otherwise(F.array().cast("array<string>")).alias(f"letters{s}") for s in range(5)))
+    known = cut(letters.select("key", "in_a", "in_b", F.length("key").alias("n"), _masks(F.col("key")).alias("masks"), *(_tokens(f"letters{s}", ranks).alias(f"chars{s}") for s in range(5))), "tokens")
     for s in range(5):
         need = _need(least, s)
         lengths = F.sequence(F.greatest(F.lit(max(1, s)), F.ceil(F.lit(need - 1) * n - 1e-9)).cast("int"), n)
