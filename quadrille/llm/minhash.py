@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.columns import unused
-from quadrille.llm.kernels import as_long, mix, slices, text_bytes, windows, words
+from quadrille.llm.kernels import as_long, mix, released, slices, text_bytes, windows, words
 from quadrille.plans.components import connected_components
 from quadrille.plans.lineage import cut
 
@@ -125,7 +125,7 @@ def sketches(docs: DataFrame, p: MinMax) -> DataFrame:
             made = sketch(batch, p)
             yield pa.RecordBatch.from_arrays([*made.columns, batch.column("row")], [*made.schema.names, "row"])
 
-    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _row().alias("row")).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, row long")
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _row().alias("row")).mapInArrow(released(run), "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, row long")
     return made.select("doc_id", "n_shingles", "keys", "row", _class().alias("node"))
 
 
@@ -139,7 +139,7 @@ def _sets(docs: DataFrame, classes: DataFrame, p: MinMax) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(made.column(c) for c in ("fp1", "fp2", "n_shingles")), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp1", "fp2", "n_shingles", "members"])
 
     rows = docs.select(F.col("doc_id").cast("long"), _row().alias("row"), F.col("text").cast("string").alias("text")).join(classes.select("row"), "row", "left_semi")
-    return rows.select("doc_id", "text").mapInArrow(run, "fp1 long, fp2 long, n_shingles long, members binary").select(_class().alias("node"), "members")
+    return rows.select("doc_id", "text").mapInArrow(released(run), "fp1 long, fp2 long, n_shingles long, members binary").select(_class().alias("node"), "members")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: MinMax) -> DataFrame:
@@ -168,7 +168,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: MinMax) -> DataFrame:
     members = pairs.join(slots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), "b").join(sets.withColumnRenamed("node", "b"), "b")
     hubs = slots.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("long").alias("b"), "members")
     both = hubs.union(members.select("a", "slot", "b", "members")).repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("b").asc_nulls_first())
-    return both.mapInArrow(run, "a long, b long, linked boolean")
+    return both.mapInArrow(released(run), "a long, b long, linked boolean")
 
 
 def _ordered(df: DataFrame, x: str, y: str, p: MinMax, nx: str, ny: str) -> DataFrame:
@@ -194,7 +194,7 @@ def _rare_pairs(sets: DataFrame, nodes: DataFrame, p: MinMax) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(np.repeat(n, n)), pa.array(np.concatenate(members))], ["node", "root", "n", "token"])
 
     t = p.percent
-    token = cut(sets.join(nodes.drop("n"), "node").select("node", "root", "members").mapInArrow(run, "node long, root long, n long, token long"), "tokens")
+    token = cut(sets.join(nodes.drop("n"), "node").select("node", "root", "members").mapInArrow(released(run), "node long, root long, n long, token long"), "tokens")
     df = token.groupBy("token").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
     ranked = cut(token.join(df, "token").withColumn("rank", rank).where(f"100 * rank <= (100 - {t}) * n + 100 and df > 1").select("token", "node", "root", "n", "rank"), "rare")

@@ -382,7 +382,7 @@ def featured(docs: DataFrame, model: Model, keep: str = "", tally: bool = False)
 
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([name] if name else [])]
     schema = "doc_id long, best double, total double, distinct double, score double" + (f", {keep}" if keep else "") + (", marked array<double>" if tally else "")
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(released(run), schema)
 
 
 def held_out(doc_id: str) -> Column:
@@ -402,4 +402,4 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = pa.array([scorer.score(t) < 0.5 for t in batch.column("text").to_pylist()], pa.bool_())
             yield batch.filter(keep)
 
-    return docs.select(*columns).mapInArrow(run, fields)
+    return docs.select(*columns).mapInArrow(released(run), fields)
