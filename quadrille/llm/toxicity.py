@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.kernels import released
 from quadrille.plans.lineage import cut
 
 # The closed word classes of the grammar.
