@@ -2,9 +2,12 @@
 
 Written from the algebra: a basic pattern is the join of its mappings' source
 queries, templates are taken apart into their columns, and only results render
-IRIs as text. Basic patterns, joins, OPTIONAL over variables that are bound, UNION,
-FILTER, BIND, VALUES, grouping, HAVING, DISTINCT, order and limits are covered;
-anything else raises SqlTextError rather than giving other rows.
+IRIs as text. Basic patterns, variable predicates (a union over the mappings), joins,
+OPTIONAL over variables that are bound, UNION, MINUS and EXISTS (as NOT EXISTS and
+EXISTS), paths (recursive queries), FILTER, BIND, grouping, HAVING, DISTINCT, order
+and limits are covered; anything else raises SqlTextError rather than giving other
+rows. Recursion ends on cycles by UNION where a database has it, else by the nodes
+that a path has seen; Spark bounds its depth (spark.sql.cteRecursionLevelLimit).
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import re
 from dataclasses import dataclass, replace
 
 from quadrille.plans.compile import Term, total, unifiable
-from quadrille.plans.sparql import AGGREGATES, XSD, Call, Iri, Lit, Path, Select, SparqlError, Var, parse
+from quadrille.plans.sparql import AGGREGATES, XSD, Call, Group, Iri, Lit, Path, Select, SparqlError, Triple, Var, parse
 from quadrille.sources.mapping import Made
 
 
@@ -31,6 +34,7 @@ class Dialect:
     text: str
     double: str
     number: str = "CAST({x} AS DECIMAL(38, 6))"
+    sets: bool = False  # whether a recursive query may be a UNION
 
     def name(self, x: str) -> str:
         return self.quote + x.replace(self.quote, self.quote * 2) + self.quote
@@ -38,8 +42,8 @@ class Dialect:
 
 DIALECTS = {
     "spark": Dialect("`", "datediff(to_date({y}), to_date({x}))", "CAST({x} AS STRING)", "CAST({x} AS DOUBLE)"),
-    "postgres": Dialect('"', "(CAST({y} AS DATE) - CAST({x} AS DATE))", "CAST({x} AS VARCHAR)", "CAST({x} AS DOUBLE PRECISION)"),
-    "duckdb": Dialect('"', "date_diff('day', CAST({x} AS DATE), CAST({y} AS DATE))", "CAST({x} AS VARCHAR)", "CAST({x} AS DOUBLE)"),
+    "postgres": Dialect('"', "(CAST({y} AS DATE) - CAST({x} AS DATE))", "CAST({x} AS VARCHAR)", "CAST({x} AS DOUBLE PRECISION)", sets=True),
+    "duckdb": Dialect('"', "date_diff('day', CAST({x} AS DATE), CAST({y} AS DATE))", "CAST({x} AS VARCHAR)", "CAST({x} AS DOUBLE)", sets=True),
     "bigquery": Dialect("`", "DATE_DIFF(DATE({y}), DATE({x}), DAY)", "CAST({x} AS STRING)", "CAST({x} AS FLOAT64)", "CAST({x} AS NUMERIC)"),
 }
 
@@ -196,6 +200,8 @@ class SqlWriter:
                 x = self.bind(x or Text("SELECT 1 AS one", {}), part[1], part[2])
             elif part[0] == "union":
                 with_(self.union([self.group(b) for b in part[1]]))
+            elif part[0] == "minus":
+                x = self.without(x or Text("SELECT 1 AS one", {}), self.group(part[1]))
             elif part[0] == "optional":
                 x = self.join(x or Text("SELECT 1 AS one", {}), self.group(part[1]), "LEFT JOIN")
             elif part[0] == "select":
@@ -215,19 +221,43 @@ class SqlWriter:
         c = self.fresh()
         return Text(f"SELECT *, {self.expr(e, x.terms)} AS {self.col(c)} FROM {self.sub(x)}", {**x.terms, name: Term("lit", (c,), maybe=not total(e, x.terms))})
 
-    def join(self, x: Text, y: Text, how: str = "JOIN") -> Text:
+    def matching(self, x: Text, y: Text) -> tuple[list[str], bool]:
+        """What makes solutions compatible, and whether nothing can."""
         conditions, none = [], False
         for v in y.terms:
             if v in x.terms:
                 a, b = x.terms[v], y.terms[v]
                 if a.maybe or b.maybe:
                     raise SqlTextError(f"?{v} may be unbound in a join")
+                if "any" in (a.kind, b.kind):
+                    raise SqlTextError(f"?{v} is an IRI or a literal in a join")
                 if a.kind == b.kind == "iri" and a.template == b.template:
                     conditions += [f"{self.col(p)} = {self.col(q)}" for p, q in zip(a.cols, b.cols, strict=True)]
                 elif a.kind == b.kind == "iri" and not unifiable(a.template, b.template) or a.kind != b.kind:
                     none = True
                 else:
                     conditions.append(f"{self.value(a)} = {self.value(b)}")
+        return conditions, none
+
+    def without(self, x: Text, y: Text) -> Text:
+        """The solutions of x that share a variable with none of y and agree on all that are shared."""
+        conditions, none = self.matching(x, y)
+        if none or not conditions:
+            return x
+        return Text(f"SELECT * FROM {self.sub(x)} WHERE NOT EXISTS (SELECT 1 FROM {self.sub(y)} WHERE {' AND '.join(conditions)})", x.terms)
+
+    def exists(self, e: Call, terms: dict[str, Term]) -> str:
+        """Whether the group has a solution that fits; its own filters may use the variables outside."""
+        g = e.args[0]
+        inner = self.group(Group([p for p in g.parts if not (isinstance(p, tuple) and p[0] == "filter")]))
+        conditions, none = self.matching(Text("", terms), inner)
+        if none:
+            return "(1 = 0)" if e.op == "EXISTS" else "(1 = 1)"
+        conditions += [self.expr(p[1], {**inner.terms, **terms}) for p in g.parts if isinstance(p, tuple) and p[0] == "filter"]
+        return f"({e.op} (SELECT 1 FROM {self.sub(inner)}{' WHERE ' + ' AND '.join(conditions) if conditions else ''}))"
+
+    def join(self, x: Text, y: Text, how: str = "JOIN") -> Text:
+        conditions, none = self.matching(x, y)
         on = "1 = 0" if none else " AND ".join(conditions) or "1 = 1"
         more = {v: replace(t, maybe=t.maybe or how != "JOIN") for v, t in y.terms.items() if v not in x.terms}
         return Text(f"SELECT * FROM {self.sub(x)} {how} {self.sub(y)} ON {on}", {**x.terms, **more})
@@ -238,31 +268,85 @@ class SqlWriter:
         for v in names:
             kinds = {(t.kind, t.template, len(t.cols)) for t in (p.terms.get(v) for p in parts) if t is not None}
             alike = len(kinds) == 1
-            if len({k for k, *_ in kinds}) > 1:
-                raise SqlTextError(f"?{v} is an IRI in one part and a literal in another")
+            mixed = len({k for k, *_ in kinds}) > 1 or any(k == "any" for k, *_ in kinds)
             first = next(p.terms[v] for p in parts if v in p.terms)
             cols = tuple(self.fresh() for _ in (first.cols if alike else "x"))
-            terms[v] = replace(first if alike else Term("iri", cols, "{}"), cols=cols, maybe=any(v not in p.terms or p.terms[v].maybe for p in parts))
+            terms[v] = replace(Term("any", cols) if mixed else first if alike else Term("iri", cols, "{}"), cols=cols, maybe=any(v not in p.terms or p.terms[v].maybe for p in parts))
             for p, row in zip(parts, rows, strict=True):
                 own = p.terms.get(v)
-                row += [f"{'NULL' if own is None else self.col(own.cols[i]) if alike else self.value(own)} AS {self.col(c)}" for i, c in enumerate(cols)]
+                row += [f"{'NULL' if own is None else self.d.text.format(x=self.value(own)) if mixed else self.col(own.cols[i]) if alike else self.value(own)} AS {self.col(c)}" for i, c in enumerate(cols)]
         return Text(" UNION ALL ".join(f"SELECT {', '.join(r) or '1 AS one'} FROM {self.sub(p)}" for p, r in zip(parts, rows, strict=True)), terms)
 
     # -- patterns
     def pattern(self, triples: list) -> Text:
-        out = None
-        for s in dict.fromkeys(t.s for t in triples):
-            star = [t for t in triples if t.s == s]
+        out, plain, paths = None, [], []
+        for t in triples:
+            for x in self.unpath(t):
+                (plain if isinstance(x, Triple) else paths).append(x)
+        for s in dict.fromkeys(t.s for t in plain):
+            star = [t for t in plain if t.s == s]
             for y in self.star(star):
                 out = y if out is None else self.join(out, y)
+        for y in paths:
+            out = y if out is None else self.join(out, y)
         return out
 
+    # -- paths
+    def unpath(self, t: Triple) -> list:
+        """Plain patterns, and the solutions of what is none."""
+        p = t.p
+        if not isinstance(p, Path):
+            return [t]
+        if p.kind == "inv":
+            return self.unpath(Triple(t.o, p.parts[0], t.s))
+        if p.kind == "seq":
+            ends = [t.s, *(Var("." + self.fresh()) for _ in p.parts[1:]), t.o]
+            return [y for a, x, b in zip(ends, p.parts, ends[1:], strict=False) for y in self.unpath(Triple(a, x, b))]
+        if p.kind == "alt":
+            return [self.union([self.pattern([Triple(t.s, x, t.o)]) for x in p.parts])]
+        if p.kind == "not":
+            free = Var("." + self.fresh())
+            y = self.pattern([Triple(t.s, free, t.o)])
+            out = ", ".join(self.literal(x.value) for x in p.parts)
+            return [Text(f"SELECT * FROM {self.sub(y)} WHERE {self.value(y.terms[free.name])} NOT IN ({out})", {v: k for v, k in y.terms.items() if v != free.name})]
+        return [self.closure(t.s, t.o, p.parts[0], p.kind)]
+
+    def closure(self, s, o, path, kind: str) -> Text:
+        """Nodes joined by one or more steps (plus), or none (star), or no more than one (opt); none of steps: the nodes of all steps, and a constant end."""
+        a, b = Var("." + self.fresh()), Var("." + self.fresh())
+        step = self.pattern([Triple(a, path, b)])
+        if any(step.terms[x.name].kind != "iri" or step.terms[x.name].maybe for x in (a, b)):
+            raise SqlTextError("a path over literals has no SQL text")
+        edges = f"SELECT DISTINCT {self.value(step.terms[a.name])} AS a, {self.value(step.terms[b.name])} AS b FROM {self.sub(step)}"
+        ends = [x.value for x in (s, o) if isinstance(x, Iri)]
+        if any(isinstance(x, Lit) for x in (s, o)):
+            raise SqlTextError("a path to a literal has no SQL text")
+        begin = f" WHERE a = {self.literal(s.value)}" if isinstance(s, Iri) else ""
+        if kind == "opt":
+            found = f"e AS ({edges}), r AS (SELECT a, b FROM e{begin})"
+        elif self.d.sets:
+            found = f"e AS ({edges}), r(a, b) AS (SELECT a, b FROM e{begin} UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"
+        else:  # on from a node that was not seen, or back to the first one and no further
+            seen, more = "CONCAT('|', a, '|', b, '|')", "CONCAT('|', e.b, '|')"
+            found = f"e AS ({edges}), r(a, b, seen) AS (SELECT a, b, {seen} FROM e{begin} UNION ALL SELECT r.a, e.b, CONCAT(r.seen, e.b, '|') FROM r JOIN e ON r.b = e.a WHERE r.a <> r.b AND (e.b = r.a OR INSTR(r.seen, {more}) = 0))"
+        none = [] if kind == "plus" else [f"SELECT {self.literal(x)}, {self.literal(x)}" for x in ends] if ends else ["SELECT a, a FROM e", "SELECT b, b FROM e"]
+        pairs = f"WITH RECURSIVE {found} " + " UNION ".join(["SELECT DISTINCT a, b FROM r", *none])
+        x, y = self.fresh(), self.fresh()
+        sql, terms = f"SELECT a AS {self.col(x)}, b AS {self.col(y)} FROM ({pairs}) AS t{next(self.numbers)}", {}
+        where = []
+        for end, c in ((s, x), (o, y)):
+            if isinstance(end, Iri):
+                where.append(f"{self.col(c)} = {self.literal(end.value)}")
+            elif end.name in terms:
+                where.append(f"{self.col(c)} = {self.col(x)}")
+            else:
+                terms[end.name] = Term("iri", (c,), "{}")
+        return Text(f"SELECT * FROM ({sql}) AS t{next(self.numbers)}" + (f" WHERE {' AND '.join(where)}" if where else ""), terms)
+
     def star(self, triples: list) -> list[Text]:
         """One scan for the patterns of a subject that one keyed mapping alone can give; else one for each."""
         out, rest = [], []
         for t in triples:
-            if isinstance(t.p, (Path, Var)):
-                raise SqlTextError("paths and variable predicates have no SQL text")
             rest.append((t, self.graph.facts(t)))
         while rest:
             t, facts = rest.pop(0)
@@ -272,7 +356,7 @@ class SqlWriter:
                 rest = [x for x in rest if x not in same]
                 together += same
             if not facts:
-                names = [x.name for x in (t.s, t.o) if isinstance(x, Var)]
+                names = [x.name for x in (t.s, t.p, t.o) if isinstance(x, Var)]
                 cols = {v: self.fresh() for v in names}
                 out.append(Text(f"SELECT {', '.join(f'NULL AS {self.col(c)}' for c in cols.values()) or '1 AS one'} WHERE 1 = 0", {v: Term("iri", (c,), "{}") for v, c in cols.items()}))
             elif len(together) > 1:
@@ -284,7 +368,16 @@ class SqlWriter:
         return out
 
     def scan(self, m, wanted: list) -> Text:
-        cols, terms, where = {}, {}, []
+        cols, terms, where, fixed = {}, {}, [], {}
+
+        def constant(x: Var, value) -> None:
+            """A variable for a constant of the mapping."""
+            if x.name in terms:
+                where.append(f"{self.value(terms[x.name])} = {self.literal(value.value)}")
+            else:
+                c = self.fresh()
+                fixed[c] = self.literal(value.value)
+                terms[x.name] = Term("iri", (c,), "{}") if isinstance(value, Iri) else Term("lit", (c,), datatype=value.datatype)
 
         def col(c: str) -> str:
             return cols.setdefault(c, self.fresh())
@@ -302,14 +395,18 @@ class SqlWriter:
                 else:
                     where.append(f"{self.col(used[0])} = {self.expr(x, {})}")
             elif isinstance(x, Var):
-                raise SqlTextError("a variable for a constant of a mapping has no SQL text")
+                constant(x, made)
 
         node(wanted[0][0].s, m.subject)
-        for t, (_, o) in wanted:
+        for t, (p, o) in wanted:
+            if isinstance(t.p, Var):
+                constant(t.p, Iri(p))
             node(t.o, o)
         inner = f"SELECT {'' if m.unique else 'DISTINCT '}{', '.join(f'{a} AS {self.col(b)}' for a, b in cols.items())} FROM ({rewrite_tables(m.source, self.tables, self.d)}) AS s{next(self.numbers)}"
         where += [f"{self.col(c)} IS NOT NULL" for c in cols.values()]  # a null column makes no triple
-        return Text(f"SELECT * FROM ({inner}) AS s{next(self.numbers)} WHERE {' AND '.join(where)}", terms)
+        more = "".join(f", {v} AS {self.col(c)}" for c, v in fixed.items())
+        given = f"(SELECT *{more} FROM ({inner}) AS s{next(self.numbers)})" if fixed else f"({inner})"
+        return Text(f"SELECT * FROM {given} AS s{next(self.numbers)} WHERE {' AND '.join(where)}", terms)
 
     # -- expressions
     def expr(self, e, terms: dict[str, Term]) -> str:
@@ -322,6 +419,8 @@ class SqlWriter:
             if kind in ("dateTime", "date"):
                 return f"TIMESTAMP {self.literal(e.value.replace('T', ' '))}"
             return e.value if kind in ("integer", "decimal", "double", "float", "int", "long", "boolean") else self.literal(e.value)
+        if e.op in ("EXISTS", "NOT EXISTS"):
+            return self.exists(e, terms)
         op, args = e.op, [self.expr(a, terms) for a in e.args if not hasattr(a, "parts")]
         if len(args) < len(e.args):
             raise SqlTextError(f"no SQL text for {op}")

@@ -223,6 +223,12 @@ sqltext("sqltext_entailed_union", "SELECT DISTINCT ?x { ?x a ex:Party }", "SELEC
 sqltext("sqltext_optional", "SELECT ?n ?big { ?c ex:customerName ?n OPTIONAL { ?c ex:largestOrder ?big } }", "SELECT c_name AS n, max(o_totalprice) AS big FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name")
 
 
+sqltext("sqltext_minus", "SELECT ?name { ?c ex:customerName ?name MINUS { ?c a ex:Builder } }", "SELECT c_name AS name FROM customer WHERE c_mktsegment <> 'BUILDING'")
+sqltext("sqltext_not_exists", "SELECT ?name { ?c ex:customerName ?name FILTER NOT EXISTS { ?o ex:placedBy ?c ; ex:total ?t FILTER(?t > 100000) } }", "SELECT c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+sqltext("sqltext_path", f"SELECT ?x {{ ?x (ex:inNation|ex:partOf)+ <{DATA}Region/2> }}", f"SELECT '{DATA}Nation/' || n_nationkey AS x FROM nation WHERE n_regionkey = 2 UNION ALL SELECT '{DATA}Customer/' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2 UNION ALL SELECT '{DATA}Supplier/' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 2")
+sqltext("sqltext_variable_predicate", "SELECT ?p (COUNT(*) AS ?n) { ?c a ex:Customer ; ?p ?o } GROUP BY ?p", f"SELECT '{EX}' || unnest(['customerName', 'segment', 'balance', 'inNation']) AS p, count(*) AS n FROM customer UNION ALL SELECT '{EX}largestOrder', count(DISTINCT o_custkey) FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', (SELECT count(*) FROM customer) + (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING')")
+
+
 # -- stored graphs
 def stored(spark: SparkSession, sf_dir: str) -> QuadStore:
     """Nations and regions in one graph, customers of positive balance in another, with annotations on the latter."""

@@ -277,17 +277,17 @@ def test_alike_finds_all_pairs(spark, least):
     keys = {r[0] for r in df.select(X.label_key(F.col("label"))).collect()}
     want = {(a, b) for a in keys for b in keys if a != b and entities.jaro_winkler(a, b) >= least}
     assert ("microsoft", "nicrosoft") in want
-    for few in (0, 300, 1_000_000):
+    for few in (0, 1_000_000):
         assert sorted((r.key_a, r.key_b) for r in entities.alike(df, df, least, few=few).collect()) == sorted(want)
 
 
 def test_alike_finds_all_pairs_of_many_labels(spark):
-    """2000 words of a small alphabet and their misspellings, against all pairs; candidates are few, also where all labels have one head or one length."""
+    """Hundreds of words of a small alphabet and their misspellings, against all pairs; candidates are few, also where all labels have one head or one length."""
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
-    plain = [" ".join(word(rng.randint(3, 8)) for _ in range(2)) for _ in range(700)]
-    odd = [x[:i] + rng.choice("xyz ") + x[i + 1 :] for x in plain[:200] for i in (rng.randrange(len(x)), rng.randrange(len(x)))]
-    for labels in (plain + odd + [x[1:] for x in plain[:100]], ["item " + word(9) for _ in range(400)] + [f"item {i:06}" for i in range(150)]):
+    plain = [" ".join(word(rng.randint(3, 8)) for _ in range(2)) for _ in range(450)]
+    odd = [x[:i] + rng.choice("xyz ") + x[i + 1 :] for x in plain[:150] for i in (rng.randrange(len(x)), rng.randrange(len(x)))]
+    for labels in (plain + odd + [x[1:] for x in plain[:100]], ["item " + word(9) for _ in range(250)] + [f"item {i:06}" for i in range(150)]):
         keys = sorted({" ".join(re.findall("[a-z0-9]+", x)) for x in labels})
         pairs = [(a, b) for a in keys for b in keys if a < b]
         scores = entities.jaro_winkler_pairs(*map(list, zip(*pairs, strict=True)))
@@ -567,7 +567,7 @@ def _asked(text):
 
 @pytest.mark.parametrize("text", SHAPES)
 def test_goals_of_every_shape(spark, text):
-    """The transformed rules give a conjunction the solutions that all deductions give; once by Spark, else by the naive evaluator."""
+    """The transformed rules give a conjunction the solutions that all deductions give; a few by Spark, the others by the naive evaluator."""
     base, parsed = _facts(text + "goals"), rules.parse_rules(text, {"ex": NS}).rules
     whole = _naive(base, parsed)
     frame = spark.createDataFrame(sorted(base), "s string, p string, o string")
@@ -577,7 +577,7 @@ def test_goals_of_every_shape(spark, text):
         plain = {x for x in known if not x[1].startswith("<" + rules.MAGIC)}
         solutions = lambda facts, asked=asked: {tuple(sorted(row.items())) for row in _solved(asked, [], facts)}
         assert plain <= whole and solutions(plain) == solutions(whole), asked
-        if i == 0:
+        if i == 0 and SHAPES.index(text) % 3 == 0:
             found, demands = goals.demanded(frame, parsed, [asked])
             assert {tuple(x) for x in found.collect()} - base == plain - base
             assert all(x.p.startswith("<" + rules.MAGIC) for x in demands.collect())

@@ -226,11 +226,44 @@ def test_sql_text_runs_here_too(both, spark):
     raw = SqlWriter(graph, "postgres").translate("SELECT ?policy { ?p ex:policyNumber ?policy }", projected=False)
     assert not raw["projectedRequested"] and not raw["projectedApplied"] and '"policy"' not in raw["sql"]
     assert rewrite_tables("SELECT 'from a' FROM a JOIN b.c x ON x.a = a.a", {"a": "p.q", "b.c": "z"}, DIALECTS["bigquery"]) == "SELECT 'from a' FROM `p`.`q` JOIN `z` x ON x.a = a.a"
-    for q in ("SELECT ?x { ?x ?y ?z }", "ASK { ?x ex:policyNumber ?z }", "SELECT ?x { ?x ex:policyNumber ?z MINUS { ?x a ex:Claim } }", "SELECT ?x { ?x ex:policyNumber ?z OPTIONAL { ?x ex:policyStart ?s } ?y ex:policyEnd ?s }"):
+    for q in ("ASK { ?x ex:policyNumber ?z }", "SELECT ?x { ?x ?y ?z . ?z ?a ?b }", "SELECT ?x { ?x ex:policyNumber+ ?z }", "SELECT ?x { ?x ex:policyNumber ?z OPTIONAL { ?x ex:policyStart ?s } ?y ex:policyEnd ?s }"):
         with pytest.raises(SqlTextError):
             SqlWriter(graph, "duckdb").translate(q)
 
 
+#: Negation, variable predicates and paths, with cycles, constants at either end, and no steps.
+FORMS = [
+    "SELECT ?x ?z { ?x ex:policyNumber ?z MINUS { ?v ex:ofPolicy ?x . ?c ex:against ?v } }",
+    "SELECT ?x ?z { ?x ex:policyNumber ?z MINUS { ?v ex:ofPolicy ?y } }",
+    "SELECT ?z { ?x ex:policyNumber ?z FILTER NOT EXISTS { ?v ex:ofPolicy ?x . ?c ex:against ?v } }",
+    "SELECT ?z { ?x ex:policyNumber ?z FILTER(EXISTS { ?v ex:ofPolicy ?x . ?c ex:against ?v } || ?z = '100') }",
+    "SELECT ?z { ?x ex:policyNumber ?z FILTER EXISTS { ?y ex:policyNumber ?w FILTER(?w > ?z) } }",
+    "SELECT ?p (COUNT(*) AS ?n) { ?x ?p ?o } GROUP BY ?p",
+    "SELECT ?p { <http://t/insurance/Policy/3> ?p ?o }",
+    "SELECT ?x ?t { ?x a ?t }",
+    "SELECT ?x { ?x ?p <http://t/insurance/Policy/3> }",
+    "SELECT ?a ?b { ?a ex:against/ex:ofPolicy ?b }",
+    "SELECT ?a ?b { ?a (ex:against|ex:ofPolicy)+ ?b }",
+    "SELECT ?a ?b { ?a (ex:ofPolicy|^ex:ofPolicy)+ ?b }",
+    "SELECT ?b { <http://t/insurance/Policy/3> (^ex:ofPolicy|^ex:against)+ ?b }",
+    "SELECT ?a { ?a (ex:against|ex:ofPolicy)+ <http://t/insurance/Policy/3> }",
+    "SELECT ?a ?b { ?a ex:ofPolicy? ?b }",
+    "SELECT ?b { <http://t/insurance/Policy/3> (ex:ofPolicy|^ex:ofPolicy)* ?b }",
+    "SELECT ?a { ?a (ex:ofPolicy|^ex:ofPolicy)+ ?a }",
+    "SELECT ?z (COUNT(?b) AS ?n) { ?x ex:policyNumber ?z . ?x (^ex:ofPolicy/^ex:against)+ ?b } GROUP BY ?z",
+]
+
+
+@pytest.mark.parametrize("q", FORMS)
+def test_negation_predicates_and_paths_as_sql(both, spark, q):
+    """The DataFrame plan, Spark's SQL and DuckDB's give the same solutions."""
+    graph, con = both
+    want = sorted(tuple(map(str, r)) for r in graph.query(q).collect())
+    assert sorted(tuple(map(str, r)) for r in con.execute(SqlWriter(graph, "duckdb", {f"ins_{t}": f"main.{t}" for t in TABLES}).translate(q)["sql"]).fetchall()) == want
+    assert sorted(tuple(map(str, r)) for r in spark.sql(SqlWriter(graph, "spark").translate(q)["sql"]).collect()) == want
+    assert want
+
+
 @pytest.mark.parametrize("n", [n for n, q in enumerate(QUESTIONS) if "days" not in q[2]])
 def test_question_as_given_sql(both, spark, n):
     """The SQL itself, through the guarded entry."""
