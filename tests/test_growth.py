@@ -32,3 +32,11 @@ def test_sql_path_begins_at_a_constant_end(spark):
     finally:
         spark.conf.unset(LIMIT)
         spark.catalog.dropTempView("chain_steps")
+
+
+def test_variable_predicate_reads_only_mappings_of_its_subject(spark):
+    """Customers are no lines or events; predicates keep the mappings apart, so only customers that are builders, too, are made distinct."""
+    writer = SqlWriter(queries.virtual(spark, SF))
+    sql = writer.translate("SELECT ?p (COUNT(*) AS ?n) { ?c a ex:Customer ; ?p ?o } GROUP BY ?p")["sql"]
+    assert "FROM orders" in sql and not any(f"FROM {t}" in sql for t in ("lineitem", "events", "supplier", "part"))
+    assert sql.count("DISTINCT") == writer.translate("SELECT ?c { ?c a ex:Customer }")["sql"].count("DISTINCT") == 1
