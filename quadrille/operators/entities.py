@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.functions.text import label_key
+from quadrille.operators import labels
 from quadrille.plans.lineage import cut
 
 #: Pairs from HIGH on are the same; from LOW on a judge decides.
@@ -97,156 +98,69 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return out.astype(object).where(there, None)
 
 
-_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "  # what label_key leaves
-_DEEP = 16
-
-
-def _ranks(keys: DataFrame) -> list[int]:
-    """A rank for the first, second, .. time that each character comes in a label, rarest first, as if characters fell by chance."""
-    totals = keys.agg(F.count("*").alias("n"), *(F.sum(F.length("key") - F.length(F.replace("key", F.lit(c), F.lit("")))).alias(f"c{i}") for i, c in enumerate(_ALPHABET))).first()
-    chance = []
-    for i in range(len(_ALPHABET)):
-        mean = (totals[f"c{i}"] or 0) / max(1, totals["n"])
-        term, below = math.exp(-min(mean, 700)), 0.0
-        for j in range(_DEEP):
-            below += term
-            chance.append((1 - below, i, j))
-            term *= mean / (j + 1)
-    rank = {(i, j): n for n, (_, i, j) in enumerate(sorted(chance))}
-    return [rank[i, j] for i in range(len(_ALPHABET)) for j in range(_DEEP)]
-
-
-def _tokens(letters: str, ranks: list[int]) -> Column:
-    """Sorted characters as numbers, rare ones first; one that comes again is another number."""
-
-    def number(c: Column, i: Column) -> Column:
-        times = (i + 2 - F.array_position(letters, c)).cast("int")
-        deep = (F.instr(F.lit(_ALPHABET), c) - 1) * _DEEP + F.least(times, F.lit(_DEEP))
-        return F.element_at(F.lit(ranks), deep) * 65536 + times
-
-    return F.array_sort(F.transform(letters, number))
-
-
-#: Of how many of each character the masks tell whether a label has them.
-_TIMES = 4
-
-
-def _masks(key: Column) -> Column:
-    """A number for each of one to _TIMES, with a bit for every character that comes at least so often."""
-    counts = F.transform(F.lit(list(_ALPHABET)), lambda c: F.length(key) - F.length(F.replace(key, c, F.lit(""))))
-
-    def mask(times: int) -> Column:
-        bits = F.transform(counts, lambda n, i: F.when(n >= times, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-
-    return F.array(*(mask(k + 1) for k in range(_TIMES)))
-
-
-def _at_most(x: str, y: str) -> Column:
-    """A bound on how many characters two labels have in common: without those that masks show one of them lacks."""
-
-    def lacking(a: str, b: str) -> Column:
-        each = F.zip_with(f"masks_{a}", f"masks_{b}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
-        return F.aggregate(each, F.lit(0), lambda total, n: total + n)
-
-    return F.least(F.col(f"n_{x}") - lacking(x, y), F.col(f"n_{y}") - lacking(y, x))
-
-
-def _reaches(m: Column, least: float) -> Column:
-    """Whether labels with m characters in common can have the least score."""
-    credit = F.col("s") * 0.1
-    best = (m / F.col("n_x") + m / F.col("n_y") + 1) / 3
-    return (m > 0) & (best + credit * (1 - best) >= least - 1e-9)
-
-
-def _need(least: float, head: int) -> float:
-    """What m / |a| + m / |b| must reach if `head` leading characters are the same."""
-    return 3 * (least - 0.1 * head) / (1 - 0.1 * head) - 1
-
-
-def _most(need: float, a: Column, b: Column) -> Column:
-    """How many characters labels of two lengths must have in common."""
-    return F.greatest(F.lit(1), F.ceil(F.lit(need) * a * b / (a + b) - 1e-9)).cast("int")
-
-
-_GROUP = ["s", "head", "short", "sig"]
-
-
-def alike(left: DataFrame, right: DataFrame, least: float = LOW, grow: int = 4, few: int = 1_000_000) -> DataFrame:
+def alike(left: DataFrame, right: DataFrame, least: float = LOW, few: int = 100_000_000) -> DataFrame:
     """(key_a, key_b, score) of all pairs of different labels with a score from `least`, above 0, on.
 
     Labels are compared as distinct keys, so a hot label is one row; equal labels
     need no comparison. Jaro's ratio is at most (m / |a| + m / |b| + 1) / 3 with m
     characters in common, and a common head of s characters credits s tenths of the
-    rest. So for each s from none to four the labels must have so and so many
-    characters in common behind the head, depending on their lengths, and the first
-    k of these, rare ones first, lie within the label's first (what it may lack) + k.
-
-    Labels therefore meet by head, by the length of the shorter one, and by their
-    first k common characters. That begins with k = 0; where a group would give
-    more than `grow` pairs for each row that one more character makes of it, it is
-    split by that character, else its pairs are compared; so are the last `few` pairs
-    of all groups together, which aren't worth another round. A pair belongs to one
-    head, one length and one choice of first k common characters: it is found once,
-    and none is lost, however hot a head, a length or a character is.
+    rest. So only pairs with enough characters in common are looked at further.
+
+    Keys are dealt by hash into blocks, and each pair of blocks that asks for pairs is
+    one group, so every pair meets in one place, a group has as many keys whatever
+    the labels are, and no head, length or character is hot. The work is by pair of
+    labels of fitting lengths, but a pair that can't reach the score costs some ten
+    nanoseconds and makes no row. few: about so many pairs are one group's, at most.
     """
     keyed = lambda df, a: df.select(label_key(F.col("label")).alias("key"), F.lit(a).alias("in_a"), F.lit(not a).alias("in_b"))
     keys = cut(keyed(left, True).union(keyed(right, False)).where("key <> ''").groupBy("key").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b")), "keys")
-    return alike_candidates(keys, least, grow, few).withColumn("score", similarity("key_a", "key_b")).where(F.col("score") >= least)
-
-
-def alike_candidates(keys: DataFrame, least: float, grow: int = 4, few: int = 1_000_000) -> DataFrame:
-    """(key_a, key_b) of the pairs of keys (key, in_a, in_b) that alike compares.
-
-    few: so many pairs are compared as they are, without further rounds.
-    """
-    ranks, level = _ranks(keys), None
-    n = F.col("n")
-    # Before anything multiplies the rows.
-    rest = lambda s: F.substring(F.col("key"), F.lit(s + 1), F.length("key"))
-    letters = keys.select("*", *(F.when(F.length("key") > s, F.array_sort(F.split(rest(s), ""))).otherwise(F.array().cast("array<string>")).alias(f"letters{s}") for s in range(5)))
-    known = cut(letters.select("key", "in_a", "in_b", F.length("key").alias("n"), _masks(F.col("key")).alias("masks"), *(_tokens(f"letters{s}", ranks).alias(f"chars{s}") for s in range(5))), "tokens")
-    for s in range(5):
-        need = _need(least, s)
-        lengths = F.sequence(F.greatest(F.lit(max(1, s)), F.ceil(F.lit(need - 1) * n - 1e-9)).cast("int"), n)
-        rest = known.where(n >= max(1, s)).select("key", "in_a", "in_b", "n", "masks", F.lit(s).alias("s"), F.substring("key", 1, s).alias("head"), F.col(f"chars{s}").alias("chars"), F.explode(lengths).alias("short"))
-        lacks = n - s - F.greatest(F.lit(0), _most(need, n, F.col("short")) - s)
-        all_ = F.greatest(F.lit(0), _most(need, F.col("short"), F.col("short")) - s)
-        part = rest.select("*", lacks.alias("room"), all_.alias("whole"), F.lit(-1).alias("at"), F.array().cast("array<int>").alias("sig"))
-        level = part if level is None else level.union(part)
-    level, found = cut(level, "level"), None
-    for k in range(1 << 16):
-        more = F.greatest(F.lit(0), F.least(F.col("room") + k, F.size("chars") - 1) - F.col("at"))
-        groups = level.groupBy(*_GROUP).agg(F.count_if(n == F.col("short")).alias("shorts"), F.count("*").alias("members"), F.sum(more).alias("more"), F.first("whole").alias("least_common"))
-        split = (F.col("shorts") * F.col("members") > grow * F.col("more")) & (F.col("least_common") > k)
-        sized = cut(groups.where("shorts > 0 and members > 1").select(*_GROUP, (F.col("shorts") * F.col("members")).alias("pairs"), split.alias("split")), "groups")
-        hot = sized.agg(F.sum(F.when(F.col("split"), F.col("pairs")))).first()[0] or 0
-        if hot <= few:
-            sized = sized.withColumn("split", F.lit(False))
-        here = level.join(sized.drop("pairs"), _GROUP)
-        pairs = _pairs(here.where("not split"), least, k)
-        found = pairs if found is None else found.union(pairs)
-        if hot <= few:
-            return found
-        step = here.where("split").select(*(c for c in level.columns if c != "at"), F.col("at").alias("last"), F.posexplode("chars").alias("at", "char"))
-        step = step.where((F.col("at") > F.col("last")) & (F.col("at") <= F.col("room") + k))
-        level = cut(step.withColumn("sig", F.concat("sig", F.array("char"))).select(*level.columns), "level")
-    raise RuntimeError("labels of over 65536 characters in common")
-
-
-def _pairs(groups: DataFrame, least: float, k: int) -> DataFrame:
-    """The pairs within groups that meet by their first k common characters and can reach the least score, in the directions asked for."""
-    x = groups.where("n = short").select(*_GROUP, *(F.col(c).alias(f"{c}_x") for c in ("key", "n", "masks", "chars", "in_a", "in_b")))
-    y = groups.select(*_GROUP, *(F.col(c).alias(f"{c}_y") for c in ("key", "n", "masks", "chars", "in_a", "in_b")))
-    met = x.join(y, _GROUP).where((F.col("n_y") > F.col("n_x")) | (F.col("key_y") > F.col("key_x")))
-    met = met.where((F.col("s") == 4) | (F.substring(F.col("key_x"), F.col("s") + 1, F.lit(1)) != F.substring(F.col("key_y"), F.col("s") + 1, F.lit(1))))
-    # Within a condition, so that only pairs that the masks leave are intersected.
-    good = met.withColumn("common", F.when(_reaches(_at_most("x", "y"), least), F.array_intersect("chars_x", "chars_y"))).where("common is not null")
-    if k:
-        good = good.where(F.slice("common", 1, k) == F.col("sig"))
-    good = good.where(_reaches(F.col("s") + F.size("common"), least))
-    ways = F.array(*(F.when(F.col(f"in_a_{a}") & F.col(f"in_b_{b}"), F.struct(F.col(f"key_{a}").alias("key_a"), F.col(f"key_{b}").alias("key_b"))) for a, b in ("xy", "yx")))
-    return good.select(F.explode(F.array_compact(ways)).alias("w")).select("w.key_a", "w.key_b")
+    return alike_candidates(keys, least, few).where(F.col("score") >= least)
+
+
+#: Rows that a block has at least, and characters at most, about.
+_BLOCK_ROWS, _BLOCK_CHARS = 256, 8_000_000
+
+
+def _blocks(keys: DataFrame, few: int) -> tuple[list[tuple[bool, bool, int, int]], dict[int, list[int]]]:
+    """Blocks of the keys of the left side, of the right one and of both: (in_a, in_b, first number, how many); and which ones each meets."""
+    sizes = sorted(keys.groupBy("in_a", "in_b").agg(F.count("*").alias("n"), F.sum(F.length("key")).alias("chars")).collect())
+    cores, kinds, first = keys.sparkSession.sparkContext.defaultParallelism, [], 0
+    for in_a, in_b, n, chars in sizes:
+        tasks = min(math.ceil(math.sqrt(8 * cores)), math.ceil(n / 1000))
+        many = max(1, tasks, math.ceil(n / max(_BLOCK_ROWS, math.isqrt(few))), math.ceil(chars / _BLOCK_CHARS))
+        kinds.append((in_a, in_b, first, many))
+        first += many
+    meets = {k: [b for c, d, start, many in kinds if in_a and d or in_b and c for b in range(start, start + many)] for in_a, in_b, k, _ in kinds}
+    return kinds, meets
+
+
+def alike_candidates(keys: DataFrame, least: float, few: int = 100_000_000) -> DataFrame:
+    """(key_a, key_b, score) of the pairs of keys (key, in_a, in_b) whose score alike computes; no pair is lost or found twice."""
+    kinds, meets = _blocks(keys, few)
+    if not kinds or not any(meets.values()):
+        return keys.select(F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(0.0).alias("score")).limit(0)
+    own, met = F.lit(None).cast("int"), F.lit(None).cast("array<int>")
+    for in_a, in_b, start, many in kinds:
+        here = (F.col("in_a") == in_a) & (F.col("in_b") == in_b)
+        own = F.when(here, (F.pmod(F.xxhash64("key"), F.lit(many)) + start).cast("int")).otherwise(own)
+        met = F.when(here, F.lit(meets[start]).cast("array<int>")).otherwise(met)
+    dealt = keys.select("key", "in_a", "in_b", own.alias("own"), F.explode(met).alias("other"))
+    cells = len({(min(b, c), max(b, c)) for _, _, start, many in kinds for b in range(start, start + many) for c in meets[start]})
+    groups = dealt.select("key", "in_a", "in_b", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).repartition(min(2 * cells, 4000), "x", "y")
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (pdf[pdf["own"] == pdf[c].iloc[0]] for c in "xy")
+        p = labels.Labels(x["key"].tolist())
+        q = p if pdf["x"].iloc[0] == pdf["y"].iloc[0] else labels.Labels(y["key"].tolist())
+        (a, b), (c, d) = [(bool(z["in_a"].any()), bool(z["in_b"].any())) for z in (x, y)]  # a block's keys are of one kind
+        out = [pd.DataFrame({"key_a": pd.Series(dtype=str), "key_b": pd.Series(dtype=str), "score": pd.Series(dtype=float)})]
+        for i, j, there, back in labels.scored(p, q, least, jaro_winkler_pairs) if len(x) and len(y) else ():
+            for ask, score, (u, f), (v, t) in ((a and d, there, (p, i), (q, j)), (c and b, back, (q, j), (p, i))):
+                if ask and (ways := score > 0).any():
+                    out.append(pd.DataFrame({"key_a": [u.keys[k] for k in f[ways]], "key_b": [v.keys[k] for k in t[ways]], "score": score[ways]}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    return groups.groupBy("x", "y").applyInPandas(compared, "key_a string, key_b string, score double")
 
 
 def resolve(new: DataFrame, known: DataFrame, top: int = 100) -> DataFrame:

@@ -1,9 +1,14 @@
 """What queries do as tables grow: rows and steps that small tables show, too."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from quadrille import queries
+from quadrille.operators import entities, labels
 from quadrille.operators.vkg import VirtualGraph
+from quadrille.plans import lineage
 from quadrille.plans.sqltext import SqlWriter
 from quadrille.sources.mapping import parse_mappings
 
@@ -40,3 +45,44 @@ def test_variable_predicate_reads_only_mappings_of_its_subject(spark):
     sql = writer.translate("SELECT ?p (COUNT(*) AS ?n) { ?c a ex:Customer ; ?p ?o } GROUP BY ?p")["sql"]
     assert "FROM orders" in sql and not any(f"FROM {t}" in sql for t in ("lineitem", "events", "supplier", "part"))
     assert sql.count("DISTINCT") == writer.translate("SELECT ?c { ?c a ex:Customer }")["sql"].count("DISTINCT") == 1
+
+
+def test_alike_writes_each_label_once(spark, monkeypatch):
+    """However long labels are, and however low the score: none is written once for each length or character it could meet."""
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).strip()
+    titles = [line(rng.randint(30, 60)) for _ in range(40)]
+    lines = [line(rng.randint(60, 300)) for _ in range(40)] + [x[:-3] + "q" for x in titles[:9]]
+    written = []
+
+    def counted(df, kind="t"):
+        back = lineage.cut(df, kind)
+        written.append(back.count())
+        return back
+
+    monkeypatch.setattr(entities, "cut", counted)
+    got = {(r.key_a, r.key_b): r.score for r in entities.alike(*(spark.createDataFrame([(x,) for x in z], "label string") for z in (titles, lines)), 0.85).collect()}
+    keys = lambda z: {re.sub("[^a-z0-9]+", " ", x).strip() for x in z}
+    want = {(a, b): s for a in keys(titles) for b in keys(lines) if a != b and (s := entities.jaro_winkler(a, b)) >= 0.85}
+    assert len(want) >= 9 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert sum(written) <= 2 * (len(titles) + len(lines))
+
+
+def test_blocks_of_labels_score_all_pairs():
+    """Lengths around what a number has bits for, counts over 255, blocks with themselves and with others."""
+    rng = random.Random(3)
+    keys = {"".join(rng.choice("abc d1") for _ in range(rng.randint(1, 20))).strip() for _ in range(90)} | {"x" * n + "ab" * rng.randint(1, 40) for n in (60, 62, 63, 64, 65, 70)} | {("abc def " * 100 + "q" * k).strip() for k in range(3)}
+    every = sorted(keys - {""})
+    x, y = labels.Labels(every), labels.Labels(every[::2])
+    for least in (0.75, 0.92):
+        for p, q in ((x, x), (x, y)):
+            got = {}
+            for i, j, there, back in labels.scored(p, q, least, entities.jaro_winkler_pairs):
+                for a, b, s, t in zip(i, j, there, back, strict=True):
+                    assert (a, b) not in got
+                    got[a, b] = s, t
+            for i, a in enumerate(p.keys):
+                for j, b in enumerate(q.keys):
+                    if a != b and (p is not q or i < j):
+                        for s, found in zip((entities.jaro_winkler(a, b), entities.jaro_winkler(b, a)), got.get((i, j), (0, 0)), strict=True):
+                            assert abs(found - s) < 1e-12 or s < least and found < least
