@@ -178,14 +178,41 @@ def resolve(new: DataFrame, known: DataFrame, top: int = 100) -> DataFrame:
     same = n.select("iri", F.col("key").alias("key_b")).join(other, "key_b").select("iri", "other", F.lit(1.0).alias("score"))
     near = n.select("iri", F.col("key").alias("key_a")).join(alike(n, n, HIGH), "key_a").join(other, "key_b").select("iri", "other", "score")
     inside = same.union(near).where("iri < other")
-    candidates = top_candidates(n.select(F.col("iri").alias("query_id"), "label"), k.select(F.col("iri").alias("id"), "label"), top)
-    labelled = candidates.select(F.col("query_id").alias("iri"), F.col("id").alias("other")).join(n.select("iri", F.col("key").alias("key_a")), "iri").join(k.select(F.col("iri").alias("other"), F.col("key").alias("key_b")), "other")
-    outside = labelled.select("iri", "other", F.when(F.col("key_a") == F.col("key_b"), F.lit(1.0)).otherwise(similarity("key_a", "key_b")).alias("score")).where(F.col("score") >= LOW)
+    outside = _outside(n, k, top).select("iri", "other", "score")
     both = inside.union(outside).distinct()
     band = F.when(F.col("score") == 1.0, "exact").when(F.col("score") >= HIGH, "high").otherwise("judge")
     return both.withColumn("method", F.when(F.col("score") == 1.0, "exact-label").otherwise("jaro-winkler")).withColumn("band", band)
 
 
+def _outside(n: DataFrame, k: DataFrame, top: int) -> DataFrame:
+    """(iri, other, score, key_a) from LOW on of new entities (iri, key) and their candidates among known ones.
+
+    Entities of equal words have equal candidates, and of known ones with equal words
+    the first `top` by iri come before the others; so classes of equal words are
+    weighed, not entities, however many copies there are.
+    """
+
+    def classes(df: DataFrame, name: str) -> DataFrame:
+        words = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("key", " ")))))
+        return cut(df.groupBy("iri").agg(F.array_join(words, " ").alias(name)), "classes")
+
+    asked, known = classes(n, "query_id"), classes(k, "id")
+    sizes = known.groupBy("id").agg(F.count("*").alias("size"))
+    order = Window.partitionBy("id").orderBy("iri")
+    first = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).drop("r")
+    queries = asked.select("query_id").distinct()
+    found = top_candidates(queries.withColumn("label", F.col("query_id")), sizes.withColumn("label", F.col("id")), top, sizes=sizes)
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "iri"))
+    ranked = found.join(first, "id").withColumn("r", best).where(F.col("r") <= top).select("query_id", F.col("iri").alias("other"))
+    keys = n.join(asked, "iri").select("query_id", F.col("key").alias("key_a")).distinct()
+    met = cut(ranked.join(keys, "query_id").join(k.select(F.col("iri").alias("other"), F.col("key").alias("key_b")), "other"), "met")
+    pairs = met.select("key_a", "key_b").distinct()
+    score = F.when(F.col("key_a") == F.col("key_b"), F.lit(1.0)).otherwise(similarity("key_a", "key_b"))
+    scores = pairs.withColumn("score", score).where(F.col("score") >= LOW)
+    ends = met.join(scores, ["key_a", "key_b"]).select("query_id", "key_a", "other", "score")
+    return n.join(asked, "iri").select("iri", F.col("key").alias("key_a"), "query_id").join(ends, ["query_id", "key_a"]).select("iri", "other", "score", "key_a")
+
+
 def telemetry(new: DataFrame, pairs: DataFrame) -> DataFrame:
     """Counts of one run: entities, exact, high and judged pairs, and entities without any."""
     touched = pairs.select("iri").union(pairs.select("other")).distinct()
@@ -215,7 +242,7 @@ def judged(pairs: DataFrame, judge, batch: int = 50, least: float = 0.8) -> Data
     return pairs.where("band = 'judge'").mapInPandas(run, pairs.schema)
 
 
-def top_candidates(queries: DataFrame, docs: DataFrame, top: int = 100, common: float = 0.25) -> DataFrame:
+def top_candidates(queries: DataFrame, docs: DataFrame, top: int = 100, common: float = 0.25, sizes: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank): for each query (query_id, label) the entries (id, label) whose shared words weigh most.
 
     A word weighs ln(1 + entries / entries that have it). Words that more than
@@ -223,16 +250,18 @@ def top_candidates(queries: DataFrame, docs: DataFrame, top: int = 100, common:
     the query weigh at most the sum of its common ones, so where `top` entries weigh
     more without them, only entries near these are looked up in the common words'
     long lists. Other queries are answered in full; no result depends on `common`.
+    sizes: (id, size) where an entry stands for so many; then the entries that have
+    one of the `top` are given, ties whole, as only the caller knows the order in them.
     """
 
     def worded(df, key):
         return df.select(key, F.explode(F.array_distinct(F.split(F.lower("label"), "[^a-z0-9]+"))).alias("word")).where("word <> ''")  # those of label_key
 
     asked = cut(worded(queries, "query_id").distinct(), "asked")
-    entries = docs.select("id").distinct().agg(F.count("*").alias("entries"))
+    entries = (docs.select("id").distinct() if sizes is None else sizes).agg((F.count("*") if sizes is None else F.sum("size")).alias("entries"))
     # Only words that are asked for leave the entries.
     lists = cut(worded(docs, "id").join(asked.select("word").distinct(), "word", "left_semi").distinct(), "postings")
-    weights = lists.groupBy("word").agg(F.count("*").alias("df")).crossJoin(entries)  # one row
+    weights = (lists if sizes is None else lists.join(sizes, "id")).groupBy("word").agg((F.count("*") if sizes is None else F.sum("size")).alias("df")).crossJoin(entries)  # one row
     known = cut(asked.join(weights, "word").select("query_id", "word", F.log1p(F.col("entries") / F.col("df")).alias("weight"), (F.col("df") > common * F.col("entries")).alias("usual")), "weights")
     rare, usual = known.where("not usual"), known.where("usual")
     first = cut(rare.join(lists, "word").groupBy("query_id", "id").agg(F.sum("weight").alias("part")), "rare")
@@ -245,5 +274,9 @@ def top_candidates(queries: DataFrame, docs: DataFrame, top: int = 100, common:
     more = near.join(usual, "query_id").join(lists, ["id", "word"]).select("query_id", "id", "weight")
     full = known.join(bounds.where("not sure"), "query_id", "left_semi").join(lists, "word").select("query_id", "id", "weight")
     scored = near.select("query_id", "id", F.col("part").alias("weight")).union(more).union(full).groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    if sizes is not None:
+        # As many as stand for more before them give all there are.
+        before = F.coalesce(F.sum("size").over(Window.partitionBy("query_id").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("size").over(Window.partitionBy("query_id", "score")), F.lit(0))
+        return scored.join(sizes, "id").withColumn("before", before).where(F.col("before") < top).drop("size", "before")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", best).where(F.col("rank") <= top)

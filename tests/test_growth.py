@@ -99,3 +99,30 @@ def test_rule_bodies_join_patterns_of_a_node_first(spark):
     joins = re.findall(r"Join Inner, (.*)", found._jdf.queryExecution().optimizedPlan().toString())
     # The join by nation, of nodes that are filtered, stands above both by customer.
     assert len(joins) == 3 and "v_n" in joins[0] and not any("v_n" in x for x in joins[1:])
+
+
+def test_candidates_of_copies_are_weighed_once(spark, monkeypatch):
+    """Copies, words in another order and entities with two labels: the candidates are those of single entities, and rows are by class."""
+    rng = random.Random(4)
+    names = ["red bolt", "Bolt, red", "red bolts", "blue bolt", "blue nut", "redd bolt", "nut"]
+    new = [(f"n{i:03}", rng.choice(names)) for i in range(60)] + [("n001", "blue nut"), ("n002", "...")]
+    known = [(f"k{i:03}", rng.choice(names)) for i in range(300)] + [("k007", "blue nut"), ("k008", "nut red")]
+    asked, entries = (spark.createDataFrame(x, "iri string, label string") for x in (new, known))
+    key = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip()
+    want = set()
+    for r in entities.top_candidates(asked.selectExpr("iri AS query_id", "label"), entries.selectExpr("iri AS id", "label"), 20).collect():
+        for a in {key(x) for i, x in new if i == r.query_id and key(x)}:
+            for b in {key(x) for i, x in known if i == r.id}:
+                if (s := entities.jaro_winkler(a, b)) >= entities.LOW:
+                    want.add((r.query_id, r.id, round(s, 9)))
+    written = []
+
+    def counted(df, kind="t"):
+        back = lineage.cut(df, kind)
+        written.append((kind, back.count()))
+        return back
+
+    monkeypatch.setattr(entities, "cut", counted)
+    pairs = entities.resolve(asked, entries, 20).where("other LIKE 'k%'").collect()
+    assert {(r.iri, r.other, round(r.score, 9)) for r in pairs} == want and len(pairs) == len(want)
+    assert 0 < sum(n for kind, n in written if kind in ("postings", "rare")) < 150
