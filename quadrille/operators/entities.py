@@ -112,8 +112,10 @@ def alike(left: DataFrame, right: DataFrame, least: float = LOW, few: int = 100_
     labels of fitting lengths, but a pair that can't reach the score costs some ten
     nanoseconds and makes no row. few: about so many pairs are one group's, at most.
     """
-    keyed = lambda df, a: df.select(label_key(F.col("label")).alias("key"), F.lit(a).alias("in_a"), F.lit(not a).alias("in_b"))
-    keys = cut(keyed(left, True).union(keyed(right, False)).where("key <> ''").groupBy("key").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b")), "keys")
+    keyed = lambda df, a, b: df.select(label_key(F.col("label")).alias("key"), F.lit(a).alias("in_a"), F.lit(b).alias("in_b"))
+    # One table on both sides is read once.
+    both = keyed(left, True, True) if left is right else keyed(left, True, False).union(keyed(right, False, True))
+    keys = cut(both.where("key <> ''").groupBy("key").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b")), "keys")
     return alike_candidates(keys, least, few).where(F.col("score") >= least)
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quadrille import queries
@@ -88,6 +89,56 @@ def test_blocks_of_labels_score_all_pairs():
                             assert abs(found - s) < 1e-12 or s < least and found < least
 
 
+@pytest.mark.parametrize("least, sizes", [(0.92, {}), (0.85, {"_KEYS": 2, "_ROWS": 40, "_TILE": 16, "_SOME": 300, "_PAIRS": 700}), (0.4, {"_KEYS": 9, "_ROWS": 64, "_TILE": 64})])
+def test_labels_of_common_words_are_scored_by_few(monkeypatch, least, sizes):
+    """Titles of common words have nearly the same characters: only pairs that have them in the same order, too, are scored, and none is lost."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(labels, name, value)
+    rng = random.Random(11)
+    words = "the of and ing tion her ther er on re ent an is that with for ed".split()
+    title = lambda: " ".join(rng.choice(words) for _ in range(20))[: rng.randint(45, 60)].strip()
+    titles = [title() for _ in range(90)]
+    for x in titles[:15]:
+        at = rng.randrange(len(x) - 9)
+        titles += [x[:at] + x[at + rng.randint(1, 6) :], x[:at] + x[at + 4 : at + 8] + x[at : at + 4] + x[at + 8 :], "".join(rng.sample(x, len(x)))]
+    keys = sorted({" ".join(x.split()) for x in titles} | {"a", "ab", "b", "abc", "x" * 64, "x" * 63 + "y", "xy" * 40})
+    asked, real = [], labels._scores
+
+    def counted(x, i, *rest):
+        asked.append(len(i))
+        return real(x, i, *rest)
+
+    monkeypatch.setattr(labels, "_scores", counted)
+    x, y = labels.Labels(keys), labels.Labels(keys[::2])
+    pairs = 0
+    for p, q in ((x, x), (x, y), (y, x)):
+        found = [(p.keys[a], q.keys[b], s, t) for i, j, there, back in labels.scored(p, q, least, entities.jaro_winkler_pairs) for a, b, s, t in zip(i, j, there, back, strict=True)]
+        got = {(a, b): (s, t) for a, b, s, t in found}
+        assert len(got) == len(found)
+        every = [(a, b) for i, a in enumerate(p.keys) for j, b in enumerate(q.keys) if a != b and (p is not q or i < j)]
+        pairs += len(every)
+        left, right = map(list, zip(*every, strict=True))
+        for pair, *want in zip(every, entities.jaro_winkler_pairs(left, right), entities.jaro_winkler_pairs(right, left), strict=True):
+            for s, t in zip(want, got.get(pair, (0, 0)), strict=True):
+                assert abs(s - t) < 1e-12 or s < least and t < least
+    assert least < 0.92 or sum(asked) / 2 < 0.01 * pairs
+
+
+def test_alike_reads_one_table_once(spark, monkeypatch):
+    """Pages that are compared among themselves are not read for either side."""
+    plans = []
+
+    def seen(df, kind="t"):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return lineage.cut(df, kind)
+
+    monkeypatch.setattr(entities, "cut", seen)
+    df = queries.table(spark, SF, "part").selectExpr("p_name AS label")
+    one, two = (entities.alike(df, x, entities.HIGH).select("key_a", "key_b") for x in (df, df.select("label")))
+    assert [x.count("Relation") for x in plans] == [1, 2]
+    assert sorted(one.collect()) == sorted(two.collect())
+
+
 def test_rule_bodies_join_patterns_of_a_node_first(spark):
     """Of 400 customers of one nation, one owes and one is rich: no plan pairs all of them before it looks at balances."""
     rows = [(f"<c{i}>", p, o) for i in range(400) for p, o in (("<e:in>", "<n>"), ("<e:has>", '"5"' if i == 1 else '"-5"' if i == 2 else '"0"'))]
