@@ -39,10 +39,13 @@ class Labels:
         self.head = head.view(">u4").ravel().astype(np.int64)
         near = at < _WIDE
         # One more character, that no label has, behind the end of each.
-        self.codes = np.full((len(keys), _WIDE), size, np.uint8)
-        self.codes[row[near], at[near]] = flat[near]
+        self.codes = np.full((_WIDE, len(keys)), size, np.uint8)
+        self.codes[at[near], row[near]] = flat[near]
         places = np.zeros((len(keys), size + 1), np.uint64)
-        np.bitwise_or.at(places, (row[near], flat[near]), np.uint64(1) << at[near].astype(np.uint64))
+        every = np.arange(len(keys))
+        for k in range(min(_WIDE, int(self.n.max(initial=0)))):
+            places[every, self.codes[k]] |= np.uint64(1 << k)
+        places[:, size] = 0
         self.places = places.ravel()
 
 
@@ -147,10 +150,10 @@ def _ordered(x: Labels, i: np.ndarray, y: Labels, j: np.ndarray, m: np.ndarray,
     ahead = np.floor(b - np.maximum(fewest, 0) + 1e-6).astype(np.int64)
     left, base, at = np.full(len(i), full), j * wide, np.arange(len(i))
     for k in range(1, int(a.max(initial=0)) + 1):
-        place = y.places[base + x.codes[i, k - 1]]
+        place = y.places.take(base + x.codes[k - 1].take(i))
         met = left & place
         left = (left + met) | (left & ~place)
-        if k % 8 == 0 and len(at):
+        if k % 8 == 0 and k > 8 and len(at):
             # What stands in both so far, and all that is to come.
             window = full >> (_WIDE - np.clip(k + ahead, 1, _WIDE)).astype(np.uint64)
             some = np.flatnonzero(np.bitwise_count(~left & window) + np.maximum(a - k, 0) >= kept)
@@ -167,7 +170,7 @@ def _scores(x: Labels, i: np.ndarray, y: Labels, j: np.ndarray, same: np.ndarray
     free, left, base = np.full(len(i), full), np.zeros(len(i), np.uint64), j * wide
     for k in range(int(a.max(initial=0))):
         window = (full << np.maximum(k - reach, 0).astype(np.uint64)) & (full >> (_WIDE - 1 - np.minimum(k + reach, _WIDE - 1)).astype(np.uint64))
-        fit = y.places[base + x.codes[i, k]] & free & window
+        fit = y.places[base + x.codes[k, i]] & free & window
         free &= ~(fit & (~fit + one))
         left |= (fit != 0).astype(np.uint64) << np.uint64(k)
     m = np.bitwise_count(left).astype(np.int64)
@@ -178,7 +181,7 @@ def _scores(x: Labels, i: np.ndarray, y: Labels, j: np.ndarray, same: np.ndarray
     for k in range(int(m.max(initial=0))):
         # The next place of both that met; behind the last one that is the same place of neither.
         p, q = (np.minimum(np.bitwise_count((z & (~z + one)) - one), _WIDE - 1) for z in (left, right))
-        moved += (k < m) & (x.codes[i[good], p] != y.codes[j[good], q])
+        moved += (k < m) & (x.codes[p, i[good]] != y.codes[q, j[good]])
         left, right = left & (left - one), right & (right - one)
     ratio = (m / a + m / b + (m - moved / 2) / m) / 3
     out[good] = ratio + same * 0.1 * (1 - ratio)
